@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, mixing, pii
-from siltstone.llm.common import table
+from siltstone.llm import decontaminate, language, mixing, pii, simhash, toxicity
+from siltstone.llm.common import fold_of, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    trees = language.Trees(language.sample(docs.where(~held_out)))
+    return language.identify(docs, trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = simhash.group(table(spark, sf_dir, "documents"))
+    return g.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,8 +43,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", *n, F.sha2(pii.render(F.col("spans")), 256).alias("base_sha256"), pii.render(every).alias("spans"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    classes = toxicity.Classes(*toxicity.sample(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out)))
+    s = toxicity.score(docs, classes)
+    return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_mix_sources, op5_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
