@@ -92,23 +92,29 @@ def _near(text: Column, span: Column, words: int, reach: int) -> Column:
     return F.array_distinct(F.concat(F.slice(tail, F.greatest(F.size(tail) - words + 1, F.lit(1)), words), F.slice(plain(whole_r), 1, words)))
 
 
+def _disclosure(pairs: DataFrame, n: Column) -> DataFrame:
+    pmi, ic = F.ln(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.ln(n / F.col("n_e"))
+    return pairs.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, *, words: int = 4, reach: int = 80, generalise: float = 0.85, remove: float = 0.95, support: int = 3) -> DataFrame:
     """(v, term, disclosure, action): words that disclose a protected value.
 
     found: (k, text, spans); docs: (k, text). Counts are over all documents; a pair needs `support` documents.
     """
+    n = F.lit(float(docs.count()))
     near = found.select("k", F.explode("spans").alias("x"), "text").select("k", F.col("x.v").alias("v"), F.explode(_near(F.col("text"), F.col("x"), words, reach)).alias("term"))
-    pairs = near.distinct().groupBy("v", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = stage(pairs)
+    near = stage(near.distinct())
     values = found.select("k", F.explode(F.array_distinct("spans.v")).alias("v")).groupBy("v").agg(F.count("*").alias("n_e"))
+    pairs = near.groupBy("v", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(values, "v")
+    # the documents that have a term near any value are a lower bound of n(t): a pair that fails with it fails anyway
+    some = near.select("k", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = stage(_disclosure(pairs.join(some, "term"), n).where(F.col("disclosure") >= generalise).drop("n_t", "disclosure"))
     wanted = stage(pairs.select("term").distinct())
     if wanted.isEmpty():
         return pairs.select("v", "term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).where("false")
     freq = docs.select(F.explode(F.array_distinct(alnum_words(F.col("text")))).alias("term")).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(docs.count()))
-    pmi = F.ln(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    ic = F.ln(n / F.col("n_e"))
-    told = pairs.join(values, "v").join(freq, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    told = _disclosure(pairs.join(freq, "term"), n)
     action = F.when(F.col("disclosure") >= remove, "gone").otherwise("term")
     return told.where(F.col("disclosure") >= generalise).select("v", "term", "disclosure", action.alias("action"))
 
