@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, language, mixing, pii, simhash, toxicity
+from siltstone.llm import decontaminate, language, mixing, ngram, pii, repeats, simhash, toxicity
 from siltstone.llm.common import fold_of, table
 
 
@@ -43,6 +45,19 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", *n, F.sha2(pii.render(F.col("spans")), 256).alias("base_sha256"), pii.render(every).alias("spans"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
+def _trained(ids: list[int | None]) -> np.ndarray:
+    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for i in ids], dtype=bool)
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ngram.score(table(spark, sf_dir, "documents"), _trained)
+    return s.withColumn("held_out", fold_of(F.col("doc_id"), 7) == 2)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 4) == 2
@@ -52,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op7_repeats, op9_lm_score, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
