@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, mixing, pii
-from siltstone.llm.common import stage, table
+from siltstone.llm import decontaminate, mixing, pii, simhash, toxicity
+from siltstone.llm.common import fold_of, stage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class models score 0.3 or more go; they learn from the folds that the toxicity query uses."""
+    learn = fold_of(F.col("doc_id"), 4) != 2
+    classes = toxicity.Classes(*toxicity.sample(docs.where(learn), table(spark, sf_dir, "labels").where(learn)))
+    return toxicity.keep_ordinary(docs, classes)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of fingerprints within 3 bits, the document with the smallest id stays."""
+    return simhash.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +33,17 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a row per document that it takes, with the copies and words taken."""
-    taken = mixing.mix(docs).where("copies > 0")
-    return taken.select("doc_id", "source", "size", "source_size", "target", F.col("copies"), "taken")
+    return mixing.mix(docs).where("copies > 0")
 
 
-STAGES = [("decontaminate", drop_contaminated), ("pii", sanitise), ("mix", mix)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("pii", sanitise), ("mix", mix)]
 
 #: The stages learn models, link fingerprints and round at random, which SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir))

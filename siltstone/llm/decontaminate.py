@@ -115,3 +115,20 @@ def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     bad = report(docs, items, id_col=id_col, text_col=text_col, **kw).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct()
     bad = small(stage(bad))
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)) == F.col("_bad_h")), "left_anti")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM benchmark),
+bs AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS phrase FROM bs),
+ns AS (SELECT DISTINCT n FROM win),
+ds AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, ns WHERE len(w) >= n),
+occ AS (SELECT DISTINCT ds.doc_id, win.item_id, ds.s, ds.n FROM ds JOIN win ON ds.n = win.n AND array_to_string(ds.w[ds.s:ds.s + ds.n - 1], ' ') = win.phrase),
+pos AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM occ),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM occ GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

@@ -5,7 +5,7 @@ words disclose it: with N documents, n(e) that hold the value, n(t) the word, n(
 disclosure is PMI / IC = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)), 1 for a word that stands only with the value.
 Words above `generalise` are replaced by a general term, above `remove` they go, in the documents that hold the value.
 
-Defined cases: null texts are empty and have no spans; repeated rows are judged alike and each counts as a document; null
+Defined cases: null texts are empty and have no spans; repeated rows are judged alike and count once near a value; null
 ids are allowed; empty tables give no rows; offsets are in code points, the end exclusive; other columns are ignored.
 """
 

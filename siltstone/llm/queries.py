@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, language, mixing, ngram, pii, repeats, simhash, toxicity
+from siltstone.llm import decontaminate, embeddings, language, mixing, ngram, pii, repeats, simhash, toxicity, urls
 from siltstone.llm.common import fold_of, table
 
 
@@ -45,10 +45,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", *n, F.sha2(pii.render(F.col("spans")), 256).alias("base_sha256"), pii.render(every).alias("spans"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.group(table(spark, sf_dir, "embeddings"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def _trained(ids: list[int | None]) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for i in ids], dtype=bool)
 
@@ -67,8 +75,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op7_repeats, op9_lm_score, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op6_embeddings, op7_repeats, op8_url_rules, op9_lm_score, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL expresses the operator; the others are tested against brute force in tests/llm."""
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op6_embeddings": embeddings.ORACLE_SQL, "op8_url_rules": urls.ORACLE_SQL}
