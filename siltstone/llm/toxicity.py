@@ -46,13 +46,14 @@ class Classes:
             return
         fit = [[t for i, t in enumerate(x) if i % 5 or len(x) < 5] for x in (toxic, ordinary)]
         rest = [[t for i, t in enumerate(x) if i % 5 == 0] for x in (toxic, ordinary)]
-        docs = [[words_of(t) for t in x] for x in fit]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for x in docs for d in x for w in d}))}
+        self.vocabulary: dict[bytes, int] = {}
+        number = self.vocabulary.setdefault
+        ids = [[np.array([number(w, len(self.vocabulary)) for w in words_of(t)], dtype=np.uint64) for t in x] for x in fit]
+        ids = [[d for d in x if len(d)] for x in ids]
         v = max(1, len(self.vocabulary))
         self.starts = {x: i for i, x in enumerate(sorted({w[:BEGIN] for w in self.vocabulary}))}
         start_of = np.array([self.starts[w[:BEGIN]] for w in self.vocabulary], dtype=np.int64)
         self.v = np.uint64(v)
-        ids = [[np.array([self.vocabulary[w] for w in d], dtype=np.uint64) for d in x if d] for x in docs]
         # Kneser-Ney counts: how many different words stand before a word, or before a pair; copies of a text add nothing
         twos = [_distinct([a[:-1] * self.v + a[1:] for a in x]) for x in ids]
         threes = [_distinct([(a[:-2] * self.v + a[1:-1]) * self.v + a[2:] for a in x]) for x in ids]
@@ -63,6 +64,7 @@ class Classes:
         odds = np.log((words[0] * even[0] + shared) / (words[1] * even[1] + shared))
         self.word_odds = odds.astype(np.float32)
         pairs = [np.unique(x % (self.v * self.v), return_counts=True) for x in threes]
+        pairs = [(k[n > 1], n[n > 1]) for k, n in pairs]  # one count is all but discounted: those back off
         keys = np.unique(np.concatenate([k for k, _ in pairs]))
         self.rows = Rows(keys)
         right = (keys % self.v).astype(np.int64)
@@ -135,13 +137,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(c[0]), float(c[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, max_bytes: int = 1 << 16) -> tuple[list[str], list[str], float]:
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_bytes: int = 1 << 16) -> tuple[list[str], list[str], float]:
     """The bounded learning sample: texts of toxic and of ordinary labelled rows, and the share of toxic labels."""
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("y")).distinct()
-    rows = docs.where(F.octet_length(text_col).between(1, max_bytes)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(marks, F.col("i") == F.col("_i"))
+    fit = F.octet_length(text_col).between(1, max_bytes)
     order = W.partitionBy("y").orderBy("r", "i")
-    r = rows.select("y", "i", F.xxhash64("i").alias("r"), "t")
-    got = r.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("y", "t").collect()
+    # ids only go through the shuffle; the texts of the chosen few are fetched beside a bounded broadcast
+    ids = docs.where(fit).select(F.col(id_col).alias("i")).join(marks, F.col("i") == F.col("_i")).select("y", "i", F.xxhash64("i").alias("r"))
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("y", F.col("i").alias("c"))
+    got = docs.where(fit).join(F.broadcast(chosen), F.col(id_col) == F.col("c")).orderBy("c").select("y", text_col).collect()
     toxic, ordinary = [x[1] for x in got if x[0] == 1], [x[1] for x in got if x[0] == 0]
     share = marks.agg(F.avg("y")).first()[0]
     return toxic, ordinary, float(min(0.99, max(0.01, share))) if share is not None else 0.5
