@@ -235,18 +235,21 @@ def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
 
 def audit(vectors: DataFrame, found: DataFrame, *, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9) -> float:
     """Recall of the links of the vectors whose id is divisible by `every`, against all vectors, as found / true counts."""
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(id_col, F.col(vec_col).cast("array<double>"))
-    queries = rows.where(F.col(id_col) % every == 0).collect()
+    d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = d.mapInArrow(_keys, "vec_id long, vec binary, key binary").where("vec_id is not null and vec is not null").select("vec_id", "vec")
+    queries = [(r[0], np.frombuffer(bytes(r[1]), np.float64)) for r in rows.where(F.col("vec_id") % every == 0).collect()]
     if not queries:
         return 1.0
-    q = np.array([r[1] for r in queries])
+    sizes = {len(v) for _, v in queries}
+    blocks = {n: ([i for i, v in queries if len(v) == n], np.array([v for _, v in queries if len(v) == n])) for n in sizes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            s = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1), 1e-300)
-            n = (s >= reach).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in queries]), pa.array(n)], ["id", "n"])
+            vec = b.column(1).to_pylist()
+            for n, (ids, q) in blocks.items():
+                x = np.frombuffer(b"".join(v for v in vec if len(v) == 8 * n), np.float64).reshape(-1, n)
+                s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((s >= reach).sum(axis=1))], ["id", "n"])
 
     truth = rows.mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
     both = truth.join(found, truth.id == found.vec_id).agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()

@@ -46,28 +46,30 @@ class Trees:
     def __init__(self, sample: dict[str, list[bytes]]):
         self.langs = sorted(sample)
         n_lang = len(self.langs)
+        if not n_lang:
+            return
         counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for lang in self.langs:
             own = [np.frombuffer(b" " * ORDER + t, dtype=np.uint8) for t in sample[lang]]
             counts.append([np.unique(np.concatenate([_grams(t, k) for t in own]), return_counts=True) for k in range(1, ORDER + 2)])
         self.rows: list[Rows] = []
         self.values: list[np.ndarray] = []
-        self.escapes: list[np.ndarray] = []  # by rows of the order below: the context of the gram
+        self.contexts: list[Rows] = []
+        self.escapes: list[np.ndarray] = []  # by rows of contexts
         for k in range(1, ORDER + 2):
             keys = np.unique(np.concatenate([c[k - 1][0] for c in counts]))
             low = np.uint64((1 << (8 * (k - 1))) - 1)
             short = self.rows[k - 2].find(keys & low) if k > 1 else None
-            contexts = self.rows[k - 2].keys if k > 1 else np.zeros(1, dtype=np.uint64)
+            contexts = Rows(np.unique(np.concatenate([c[k - 1][0] >> np.uint64(8) for c in counts])))
             value = np.empty((len(keys), n_lang), dtype=np.float32)
-            escape = np.zeros((len(contexts), n_lang), dtype=np.float32)
+            escape = np.zeros((len(contexts.keys), n_lang), dtype=np.float32)
             for j in range(n_lang):
                 grams, n = counts[j][k - 1]
                 ctx, start = np.unique(grams >> np.uint64(8), return_index=True)
                 total = np.add.reduceat(n, start)
                 kinds = np.diff(np.append(start, len(grams)))
                 esc = np.log2(kinds / (total + kinds))
-                at = self.rows[k - 2].find(ctx) if k > 1 else np.zeros(len(ctx), dtype=np.int64)
-                escape[at[at >= 0], j] = esc[at >= 0]
+                escape[contexts.find(ctx), j] = esc
                 below = self.values[k - 2][short, j] if k > 1 else np.full(len(keys), -8.0)
                 ctx_of = np.searchsorted(ctx, keys >> np.uint64(8))
                 has = (ctx_of < len(ctx)) & (ctx[np.minimum(ctx_of, len(ctx) - 1)] == keys >> np.uint64(8))
@@ -77,6 +79,7 @@ class Trees:
                 value[:, j] = v
             self.rows.append(Rows(keys))
             self.values.append(value)
+            self.contexts.append(contexts)
             self.escapes.append(escape)
 
     def bits(self, text: np.ndarray) -> np.ndarray:
@@ -92,7 +95,7 @@ class Trees:
                 break
             if k > 1:
                 size = np.uint64((1 << (8 * k)) - 1)
-                ctx = self.rows[k - 2].find((full[todo] & size) >> np.uint64(8))
+                ctx = self.contexts[k - 1].find((full[todo] & size) >> np.uint64(8))
                 seen = ctx >= 0
                 out[todo[seen]] += self.escapes[k - 1][ctx[seen]]
                 row = self.rows[k - 2].find(full[todo] & np.uint64((1 << (8 * (k - 1))) - 1))
