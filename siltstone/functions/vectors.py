@@ -16,7 +16,7 @@ def node_vector(node_type: Column, code: Column, line_index: Column, flags: Colu
     """37 doubles: type one-hot by hash, line position up to 1, four flags, hashed token shares."""
     slot = crc_bucket(F.coalesce(node_type, F.lit("UNKNOWN")), TYPE_SLOTS)
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(TYPE_SLOTS - 1)), lambda i: (i == slot).cast("double"))
-    line = F.array(F.coalesce(F.least(line_index / F.lit(LINE_SCALE), F.lit(1.0)), F.lit(0.0)))
+    line = F.array(F.when(line_index.isNull(), 0.0).otherwise(F.least(line_index / F.lit(LINE_SCALE), F.lit(1.0))))
     flag = F.array(*[F.coalesce(F.try_element_at(flags, F.lit(k)).cast("double"), F.lit(0.0)) for k in FLAGS])
     slots = F.transform(tokens(code), lambda t: crc_bucket(t, TOKEN_SLOTS))
     n = F.greatest(F.size(slots), F.lit(1)).cast("double")

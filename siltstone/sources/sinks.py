@@ -20,7 +20,7 @@ def write_jsonl(df: DataFrame, path: str) -> int:
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
     """The columns in order; doubles with six decimals, null as empty."""
     kinds = dict(df.dtypes)
-    df.select(*[(F.format_string("%.6f", c) if kinds[c] == "double" else F.col(c)).alias(c) for c in columns]).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    df.select(*[(F.when(F.col(c).isNotNull(), F.format_string("%.6f", c)) if kinds[c] == "double" else F.col(c)).alias(c) for c in columns]).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
 
 
 def concat(*frames: DataFrame) -> DataFrame:
