@@ -73,13 +73,17 @@ class Packed:
         ok = high + 1 < len(self.starts)
         at, end = self.starts[np.where(ok, high, 0)], np.where(ok, self.starts[np.where(ok, high + 1, 0)], 0)
         low = values & np.uint64((1 << self.low_bits) - 1)
+        # values of one high part are sorted by their low bits: halve the range, as frequent contexts make long ones
         todo = np.flatnonzero(at < end)
         while len(todo):
-            same = self._low(at[todo]) == low[todo]
-            out[todo[same]] = at[todo[same]]
-            todo = todo[~same]
-            at[todo] += 1
+            mid = (at[todo] + end[todo]) // 2
+            less = self._low(mid) < low[todo]
+            at[todo] = np.where(less, mid + 1, at[todo])
+            end[todo] = np.where(less, end[todo], mid)
             todo = todo[at[todo] < end[todo]]
+        there = np.flatnonzero(at < np.where(ok, self.starts[np.where(ok, high + 1, 0)], 0))
+        there = there[self._low(at[there]) == low[there]]
+        out[there] = at[there]
         return out
 
 
