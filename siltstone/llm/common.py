@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Characters between words: ASCII space and the controls \t \n \v \f \r.
@@ -78,3 +79,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_of(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+def sample_ids(rows: DataFrame, n: int) -> DataFrame:
+    """(label, i): of each label the n ids (not null) with the smallest hash, from rows (label, i).
+
+    A count of each label gives a hash below which some 2 n ids lie, so what meets in a window does not grow with the table.
+    """
+    rows = rows.where("i is not null and label is not null")
+    count = stage(rows.groupBy("label").agg(F.count("*").alias("_c"))).withColumnRenamed("label", "_l")
+    r = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(small(count), F.col("label") == F.col("_l")).withColumn("_r", r).where(F.col("_r") * F.col("_c") <= 2 * n + 100).select("label", "i", "_r").distinct()
+    order = W.partitionBy("label").orderBy("_r", "i")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("label", "i")

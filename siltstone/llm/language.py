@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import sample_ids, small, stage
 from siltstone.llm.lookup import Rows, pieces
 
 ORDER = 3
@@ -132,11 +132,11 @@ class Trees:
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_bytes: int = 1 << 16) -> dict[str, list[bytes]]:
     """The bounded learning sample: per_lang rows of each language, chosen by a hash of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= max_bytes))
-    order = W.partitionBy("lang").orderBy("r", "i")
-    r = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("i"), F.xxhash64(F.col(id_col)).alias("r"), F.col(text_col).alias("t"))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= max_bytes)).select(F.col(lang_col).alias("label"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    # ids only meet; the texts of the chosen few are fetched beside them
+    chosen = small(stage(sample_ids(rows.select("label", "i"), per_lang))).withColumnsRenamed({"label": "c_label", "i": "c_i"})
     out: dict[str, list[bytes]] = {}
-    for row in r.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("lang", "t").collect():
+    for row in rows.join(chosen, (F.col("i") == F.col("c_i")) & (F.col("label") == F.col("c_label")), "left_semi").orderBy("i").select("label", "t").collect():
         out.setdefault(row[0], []).append(row[1].encode())
     return out
 

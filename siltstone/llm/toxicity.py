@@ -23,9 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import sample_ids
 from siltstone.llm.lookup import Rows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -141,10 +141,9 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """The bounded learning sample: texts of toxic and of ordinary labelled rows, and the share of toxic labels."""
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("y")).distinct()
     fit = F.octet_length(text_col).between(1, max_bytes)
-    order = W.partitionBy("y").orderBy("r", "i")
     # ids only go through the shuffle; the texts of the chosen few are fetched beside a bounded broadcast
-    ids = docs.where(fit).select(F.col(id_col).alias("i")).join(marks, F.col("i") == F.col("_i")).select("y", "i", F.xxhash64("i").alias("r"))
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("y", F.col("i").alias("c"))
+    ids = docs.where(fit).select(F.col(id_col).alias("i")).join(marks, F.col("i") == F.col("_i")).select(F.col("y").alias("label"), "i")
+    chosen = sample_ids(ids, per_class).select(F.col("label").alias("y"), F.col("i").alias("c"))
     got = docs.where(fit).join(F.broadcast(chosen), F.col(id_col) == F.col("c")).orderBy("c").select("y", text_col).collect()
     toxic, ordinary = [x[1] for x in got if x[0] == 1], [x[1] for x in got if x[0] == 0]
     share = marks.agg(F.avg("y")).first()[0]
