@@ -15,7 +15,8 @@ EDGE = "struct<source:int,target:int,edge_type:string>"
 FEATURE = f"sample_id string, label int, cwe array<string>, file string, function string, span {SPAN}, function_code string, code_lines array<string>, alert_lines array<int>, trace_lines array<int>, nodes array<{NODE}>, edges array<{EDGE}>, static_features map<string,string>, metadata map<string,string>"
 RANK = "sample_id string, rank_score double, rank int, label int, metadata map<string,string>"
 COST = "sample_id string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, latency_seconds double, success boolean, api_cost_usd double, error_type string"
-PACKET = f"sample_id string, language string, function_code string, span {SPAN}, static_alerts array<struct<{ALERT.replace(' ', ':', 1).replace(', ', ',')}>>, joern_evidence string, context string"
+_ALERT_FIELDS = ",".join(x.replace(" ", ":", 1) for x in ALERT.split(", "))
+PACKET = f"sample_id string, language string, function_code string, span {SPAN}, static_alerts array<struct<{_ALERT_FIELDS}>>, graph_evidence string, context string"
 
 VERDICTS = ("vulnerable", "benign", "uncertain")
 

@@ -195,3 +195,10 @@ def test_verifier(spark):
     got = {r["sample_id"]: r for r in V.verify(p, client, V.VerifierConfig(concurrency=1)).collect()}
     assert (got["a"]["verdict"], got["a"]["confidence"], got["a"]["success"]) == ("vulnerable", 1.0, True)
     assert got["b"]["verdict"] == "vulnerable" and got["c"]["success"] is False and got["c"]["verdict"] == "uncertain" and got["d"]["confidence"] == 0.0 and got["d"]["success"] is True
+
+
+def test_schemas_parse(spark):
+    from siltstone import schemas as C
+
+    for kind in (C.SAMPLE, C.ALERT, C.VERDICT, C.FINDING, C.FEATURE, C.RANK, C.COST, C.PACKET):
+        assert spark.createDataFrame([], kind).columns[0] == "sample_id"
