@@ -79,7 +79,7 @@ def triggers(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _codes(code: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 48-bit key of trigger hashes."""
+    """Bucket (of 65536 at most) and 48-bit key of trigger hashes."""
     return ((code >> np.uint64(3)) % np.uint64(n_buckets)).astype(np.int32), (code * _M) >> np.uint64(16)
 
 
@@ -92,15 +92,16 @@ class Parse:
         self.doc = np.searchsorted(c.ends, self.first, side="right")
         bucket, key = _codes(code, n_buckets)
         own = c.ids[self.doc]
-        order = np.lexsort((own, key, bucket))
-        b, k, o = bucket[order], key[order], own[order]
-        new = np.concatenate([np.ones(min(1, len(k)), bool), (b[1:] != b[:-1]) | (k[1:] != k[:-1])])
-        group = np.cumsum(new) - 1
+        both = bucket.astype(np.uint64) << np.uint64(48) | key
+        order = np.argsort(both)
+        k, o = both[order], own[order]
+        new = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
         start = np.flatnonzero(new)
         self.kind = np.empty(len(k), np.int64)  # of each phrase: number of its trigger among the distinct ones
-        self.kind[order] = group
-        self.bucket, self.key = b[start], k[start]
-        self.several = o[start] != o[np.append(start[1:], len(o)) - 1] if len(o) else np.zeros(0, bool)
+        self.kind[order] = np.cumsum(new) - 1
+        self.bucket, self.key = (k[start] >> np.uint64(48)).astype(np.int64), k[start] & np.uint64((1 << 48) - 1)
+        other = np.concatenate([np.zeros(min(1, len(k)), bool), (o[1:] != o[:-1]) & ~new[1:]])
+        self.several = np.logical_or.reduceat(other, start) if len(k) else other
         self.cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
 
     def ask(self) -> Iterator[tuple[int, str, bytes]]:
@@ -173,13 +174,6 @@ def _triggers_of_bucket(payloads: list[bytes]) -> tuple[list[bytes], str]:
     return [np.packbits(out[e - len(x) : e]).tobytes() for x, e in zip(keys, ends, strict=True)], "trigger"
 
 
-def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Ranks of the pairs (high, low)."""
-    _, a = np.unique(high, return_inverse=True)
-    _, b = np.unique(low, return_inverse=True)
-    return np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)[1]
-
-
 def string_ranks(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, rank) of every 50-byte string in the rows: its place in the order of the suffixes' first 50 bytes."""
     n = len(rows)
@@ -189,9 +183,17 @@ def string_ranks(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     eight = np.zeros((n, starts), np.uint64)
     for i in range(8):
         eight = (eight << np.uint64(8)) | padded[:, i : i + starts]
-    r8 = np.unique(eight, return_inverse=True)[1].reshape(n, starts).astype(np.uint64)
-    r16 = np.unique(r8[:, :-8] << np.uint64(32) | r8[:, 8:], return_inverse=True)[1].reshape(n, starts - 8).astype(np.uint64)
-    r32 = np.unique(r16[:, :-16] << np.uint64(32) | r16[:, 16:], return_inverse=True)[1].reshape(n, starts - 24).astype(np.uint64)
+
+    def ranks(codes: np.ndarray, length: int) -> np.ndarray:
+        """Ranks of the codes of strings that lie within their row; the others stay 0 and are not used."""
+        own = np.arange(codes.shape[1]) <= (size - length)[:, None]
+        out = np.zeros(codes.shape, np.uint64)
+        out[own] = np.unique(codes[own], return_inverse=True)[1]
+        return out
+
+    r8 = ranks(eight, 8)
+    r16 = ranks(r8[:, :-8] << np.uint64(32) | r8[:, 8:], 16)
+    r32 = ranks(r16[:, :-16] << np.uint64(32) | r16[:, 16:], 32)
     row, start = np.nonzero(np.arange(WIDE - LENGTH + 1) <= (size - LENGTH)[:, None])
     both = r32[row, start] << np.uint64(32) | r32[row, start + LENGTH - 32]
     return row, start, np.unique(both, return_inverse=True)[1]
@@ -234,13 +236,12 @@ def _result(p: Parse, c: Chunk, got: dict[tuple[str, int], bytes]) -> pa.Table:
         at, to = np.searchsorted(ph.bucket, [b, b + 1])
         block = low[at:to]
         block[np.arange(REACH) <= (ph.size[at:to] - LENGTH)[:, None]] = np.frombuffer(zlib.decompress(got["phrase", b]), np.int64)
-    cover = np.zeros(len(p.text) + 1, np.int32)
-    for at in range(0, len(ph.which), 1 << 16):
-        w = ph.which[at : at + (1 << 16)]
-        i, s = np.nonzero(low[ph.number[at : at + (1 << 16)]] < c.ids[p.doc[w]][:, None])
+    cover = np.zeros(len(p.text) + 1, np.int64)
+    for at in range(0, len(ph.which), 1 << 18):
+        w = ph.which[at : at + (1 << 18)]
+        i, s = np.nonzero(low[ph.number[at : at + (1 << 18)]] < c.ids[p.doc[w]][:, None])
         start = p.first[w][i] + s
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + LENGTH, -1)
+        cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + LENGTH, minlength=len(cover))
     gone = np.cumsum(cover[:-1]) > 0
     removed, spans, digest = [], [], []
     at = 0
@@ -257,7 +258,7 @@ def _result(p: Parse, c: Chunk, got: dict[tuple[str, int], bytes]) -> pa.Table:
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     chunks = pack(docs, id_col=id_col, text_col=text_col)
-    n = buckets_for(chunks)
+    n = min(buckets_for(chunks), 1 << 16)
     told = answer(send(chunks, lambda c: Parse(c, n).ask()), _triggers_of_bucket, n)
 
     def phrases(c: Chunk, got: dict) -> pa.Table:
