@@ -6,12 +6,15 @@ are robustly pruned (a neighbour goes if a kept one is `alpha` times nearer to i
 searched from the shard's medoid and its own node: a greedy search that goes on as long as the next candidate is in
 reach of the range, so that it walks through whole neighbourhoods. Links are verified in double precision. A pair that
 shares several shards counts in the first of them; each shard audits its recall against all of its pairs for a part of
-its vectors and answers by block products if it is too low.
+its vectors and answers by block products if it is too low. What the dealing itself would miss is audited before: a bounded
+set of vectors is compared with all vectors, and the number of shards a vector joins rises until every link found so has
+a shard in common.
 
 Links are counted where they are found and only a spanning forest of each shard leaves it, so a large group of near
 copies costs no more edges than it has vectors.
 
-Sample: at most `sample` vectors, in order of a hash of the id. All vectors are indexed and all are queries.
+Samples: pivots learn from at most `sample` vectors, the dealing is audited with at most `probes`, both in order of a hash
+of the id. All vectors are indexed and all are queries.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows with
 a null id and vectors of different lengths with each other; repeated vectors link with each other; ids are taken as
@@ -157,6 +160,42 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def _ranks(centre: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rank of every pivot for the rows of x, 0 for the nearest."""
+    order = np.argsort(-(x @ centre.T), axis=1, kind="stable")
+    out = np.empty(order.shape, np.int16)
+    np.put_along_axis(out, order, np.arange(len(centre), dtype=np.int16)[None, :], axis=1)
+    return out
+
+
+def _needed(centres: dict[int, np.ndarray], probes: dict[int, np.ndarray], reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches of vectors (vec), the number of shards a vector must join for all links with the probes to share one."""
+    ready = {d: (q / np.linalg.norm(q, axis=1, keepdims=True), _ranks(centres[d], q)) for d, q in probes.items() if d in centres}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        need = 1
+        for b in batches:
+            vec = b.column(0).to_pylist()
+            for d, (unit, rank) in ready.items():
+                all_x = np.frombuffer(b"".join(v for v in vec if len(v) == 8 * d), np.float64).reshape(-1, d)
+                for at in range(0, len(all_x), BLOCK):
+                    x = all_x[at : at + BLOCK]
+                    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T >= reach - 1e-9
+                    some = np.flatnonzero(near.any(axis=1))
+                    for i, r in zip(some, _ranks(centres[d], x[some]), strict=True):
+                        need = max(need, int(np.maximum(rank[near[i]], r).min(axis=1).max()) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([need], pa.int32())], ["need"])
+
+    return run
+
+
+def _by_size(rows: list) -> dict[int, np.ndarray]:
+    out: dict[int, list[bytes]] = {}
+    for r in rows:
+        out.setdefault(len(r[0]) // 8, []).append(bytes(r[0]))
+    return {d: np.frombuffer(b"".join(v), np.float64).reshape(-1, d) for d, v in out.items()}
+
+
 def _shard(reach: float, audit: int, least: float) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
@@ -190,19 +229,20 @@ def _shard(reach: float, audit: int, least: float) -> Callable[[pa.Table], pa.Ta
     return run
 
 
-def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 600, most_shards: int = 2048, overlap: int = 3, audit: int = 16, least: float = 0.98) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 600, most_shards: int = 2048, overlap: int = 3, probes: int = 2048, audit: int = 16, least: float = 0.98) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row. A vector joins `overlap` shards, or more if the audit needs them."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = stage(rows.mapInArrow(_keys, "vec_id long, vec binary, key binary"))
     good = rows.where("key is not null and vec_id is not null")
     reps = stage(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec")))
     n = reps.count()
     some = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
-    by_size: dict[int, list[bytes]] = {}
-    for r in some:
-        by_size.setdefault(len(r[0]) // 8, []).append(bytes(r[0]))
     k = max(1, min(most_shards, n // per_shard))
-    centres = {d: pivots(np.frombuffer(b"".join(v), np.float64).reshape(-1, d), max(1, k * len(v) // len(some))) for d, v in by_size.items()}
+    centres = {d: pivots(v, max(1, k * len(v) // len(some))) for d, v in _by_size(some).items()}
+    if max(map(len, centres.values()), default=0) > overlap:
+        asked = _by_size(reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(probes).select("vec").collect())
+        need = reps.select("vec").mapInArrow(_needed(centres, asked, reach), "need int").agg(F.max("need")).first()[0]
+        overlap = max(overlap, need or 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,8 +253,7 @@ def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
                 if c is None:  # a length that the sample has not: one shard
                     near = [0]
                 else:
-                    s = c @ np.frombuffer(vec, np.float64)
-                    near = np.sort(np.argsort(-s, kind="stable")[:overlap]).tolist()
+                    near = np.flatnonzero(_ranks(c, np.frombuffer(vec, np.float64)[None])[0] < overlap).tolist()
                 shards = [(d << 32) + x for x in near]
                 shards += [-1 - i for i in range(overlap - len(shards))]
                 out += [(s, rep, m, vec, shards) for s in shards if s >= 0]

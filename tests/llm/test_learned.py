@@ -133,6 +133,18 @@ def test_embeddings(spark):
     assert embeddings.group(d.limit(0)).count() == 0
 
 
+def test_embeddings_across_shards(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1000, 64)))
+    y = unit(x + 0.45 * unit(rng.normal(size=x.shape)))
+    v = np.concatenate([x, y])
+    got = embeddings.group(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<double>"), sample=200, per_shard=20, audit=1, least=1.0)
+    want = (v @ v.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 1000
+    assert [r["n_links"] for r in got.orderBy("vec_id").collect()] == want.tolist()
+
+
 def test_graph_is_pruned():
     g = embeddings.Graph(np.random.default_rng(0).normal(size=(200, 8)))
     degree = (g.edges >= 0).sum(axis=1)
