@@ -1,12 +1,15 @@
 """Information-theoretic sanitisation of personal data.
 
-Base patterns find e-mail addresses, IP addresses, card and phone numbers. Around each value the corpus is asked which
-words disclose it: with N documents, n(e) that hold the value, n(t) the word, n(e, t) the word near the value, the
-disclosure is PMI / IC = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)), 1 for a word that stands only with the value.
-Words above `generalise` are replaced by a general term, above `remove` they go, in the documents that hold the value.
-
-Defined cases: null texts are empty and have no spans; repeated rows are judged alike and count once near a value; null
-ids are allowed; empty tables give no rows; offsets are in code points, the end exclusive; other columns are ignored.
+Base patterns find e-mail addresses, IP addresses, card and phone numbers. Of each value the corpus is asked which words
+disclose it: with N documents, n(e) that hold the value, n(t) the word, n(e, t) both, the disclosure is PMI / IC =
+log(N n(e,t) / (n(e) n(t))) / log(N / n(e)), 1 for a word that stands only with the value, anywhere in its documents.
+Words above `generalise` are replaced by a general term, above `remove` they go, in all documents. Words within values
+are not counted. A word passes only if n(t) <= N ** (1 - generalise) * n(e) ** generalise, as n(e, t) <= n(e); this leaves
+out pairs before they are counted. Values that stand in the same documents are counted as one, and so are words.
+
+Defined cases: null texts are empty and have no spans; repeated rows are judged alike, and count each in n but once for the
+support; null ids are allowed; empty tables give no rows; offsets are in code points, the end exclusive; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import alnum_words, small, stage
+from siltstone.llm.common import alnum_words, ascii_lower, small, stage
 
 # Each pattern finds the leftmost, longest matches in one pass: runs start where the class starts (or at the end of the
 # match before), and quantifiers are possessive or bounded, so no text makes a search quadratic or deep.
@@ -81,42 +84,43 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _near(text: Column, span: Column, words: int, reach: int) -> Column:
-    """Words near a span: `words` on each side within `reach` characters, no digits in them, none of another value's."""
-    left = F.substring(text, F.greatest(span["s"] - reach, F.lit(0)) + 1, F.least(span["s"], F.lit(reach)))
-    right = F.substring(text, span["e"] + 1, F.lit(reach))
-    plain = lambda c: F.filter(alnum_words(F.regexp_replace(c, r"\S*[@0-9]\S*", " ")), lambda w: F.length(w) >= 4)
-    whole_l = F.when(span["s"] > reach, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    whole_r = F.when(F.length(right) == reach, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    tail = plain(whole_l)
-    return F.array_distinct(F.concat(F.slice(tail, F.greatest(F.size(tail) - words + 1, F.lit(1)), words), F.slice(plain(whole_r), 1, words)))
-
-
-def _disclosure(pairs: DataFrame, n: Column) -> DataFrame:
-    pmi, ic = F.ln(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.ln(n / F.col("n_e"))
-    return pairs.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+def _own_words(text: Column, spans: Column) -> Column:
+    """Distinct words outside of the spans."""
+    return F.array_distinct(alnum_words(redact(text, spans, F.lit(" "))))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, *, words: int = 4, reach: int = 80, generalise: float = 0.85, remove: float = 0.95, support: int = 3) -> DataFrame:
-    """(v, term, disclosure, action): words that disclose a protected value.
+def disclosing_terms(found: DataFrame, docs: DataFrame, *, generalise: float = 0.85, remove: float = 0.95, support: int = 3) -> DataFrame:
+    """(term, disclosure, action): words that disclose a protected value, with the highest disclosure of any.
 
-    found: (k, text, spans); docs: (k, text). Counts are over all documents; a pair needs `support` documents.
+    found: (k, text, spans), the rows with spans; docs: (k, text). Counts are over all rows; a pair needs `support` documents.
     """
-    n = F.lit(float(docs.count()))
-    near = found.select("k", F.explode("spans").alias("x"), "text").select("k", F.col("x.v").alias("v"), F.explode(_near(F.col("text"), F.col("x"), words, reach)).alias("term"))
-    near = stage(near.distinct())
-    values = found.select("k", F.explode(F.array_distinct("spans.v")).alias("v")).groupBy("v").agg(F.count("*").alias("n_e"))
-    pairs = near.groupBy("v", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(values, "v")
-    # the documents that have a term near any value are a lower bound of n(t): a pair that fails with it fails anyway
-    some = near.select("k", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    pairs = stage(_disclosure(pairs.join(some, "term"), n).where(F.col("disclosure") >= generalise).drop("n_t", "disclosure"))
-    wanted = stage(pairs.select("term").distinct())
-    if wanted.isEmpty():
-        return pairs.select("v", "term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).where("false")
-    freq = docs.select(F.explode(F.array_distinct(alnum_words(F.col("text")))).alias("term")).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    told = _disclosure(pairs.join(freq, "term"), n)
+    n_all = docs.count()
+    n = F.lit(float(n_all))
+    once = stage(found.groupBy("k").agg(F.count("*").alias("m"), F.first("spans").alias("spans"), F.first("text").alias("text")))
+    held = once.select("k", "m", F.explode(F.array_distinct("spans.v")).alias("v"))
+    mark = F.bit_xor(F.xxhash64("k"))  # the same for what stands in the same documents
+    values = held.groupBy("v").agg(F.sum("m").alias("n_e"), F.count("*").alias("n_d"), mark.alias("x")).where((F.col("n_d") >= support) & (F.col("n_e") < n_all))
+    most = F.pow(n, F.lit(1 - generalise)) * F.pow("n_e", F.lit(generalise)) * (1 + 1e-9)
+    values = stage(values.select("v", "n_e", F.xxhash64("x", "n_d").alias("e"), most.alias("most")))
+    held = stage(held.join(small(values), "v").select("k", "m", "e", "n_e", "most").distinct())
+    reach = held.groupBy("k").agg(F.max("most").alias("most"))
+    told = stage(once.join(small(reach), "k", "left").select("k", "m", "most", F.explode(_own_words(F.col("text"), F.col("spans"))).alias("term")))
+    by = F.col("most").isNotNull()
+    terms = told.groupBy("term").agg(F.sum("m").alias("n_h"), F.count_if(by).alias("n_d"), F.bit_xor(F.when(by, F.xxhash64("k"))).alias("x"), F.max("most").alias("most"))
+    terms = stage(terms.where((F.col("n_d") >= support) & (F.col("n_h") <= F.col("most"))))
+    if terms.isEmpty():
+        return terms.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).where("false")
+    bare = docs.where(F.size(base_spans(F.col("text"))) == 0).select(F.explode(F.array_distinct(alnum_words(F.col("text")))).alias("term"))
+    bare = bare.join(small(terms.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_f"))
+    n_t = F.col("n_h") + F.coalesce("n_f", F.lit(0))
+    terms = terms.join(bare, "term", "left").withColumn("n_t", n_t).where(F.col("n_t") <= F.col("most"))
+    terms = stage(terms.select("term", "n_t", F.xxhash64("x", "n_d", "n_t").alias("t")))
+    stands = told.where(by).join(small(terms), "term").select("k", "t", "n_t").distinct()
+    pairs = held.join(stands, "k").where(F.col("n_t") <= F.col("most")).groupBy("e", "t").agg(F.sum("m").alias("n_et"), F.count("*").alias("n_d"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    pmi, ic = F.ln(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.ln(n / F.col("n_e"))
+    best = pairs.where(F.col("n_d") >= support).groupBy("t").agg(F.max(pmi / ic).alias("disclosure")).where(F.col("disclosure") >= generalise)
     action = F.when(F.col("disclosure") >= remove, "gone").otherwise("term")
-    return told.where(F.col("disclosure") >= generalise).select("v", "term", "disclosure", action.alias("action"))
+    return terms.join(best, "t").select("term", "disclosure", action.alias("action"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -125,32 +129,32 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **k
     d = docs.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("doc_id"), text.alias("text"))
     held = stage(d.select("k", "doc_id", "text", base_spans(F.col("text")).alias("spans")).where("size(spans) > 0"))
     terms = stage(disclosing_terms(held, d, **kw))
-    by_doc = held.select("k", F.explode(F.array_distinct("spans.v")).alias("v")).join(small(terms), "v").groupBy("k", "term").agg(F.max(F.when(F.col("action") == "gone", 1).otherwise(0)).alias("gone"))
-    word = F.concat(F.lit(r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?i:"), F.col("term"), F.lit(r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"))
-    hit = held.join(stage(by_doc), "k").withColumn("pattern", word)
-    cuts = F.transform(_cuts(F.col("text"), F.col("pattern"), "term", len(KINDS)), lambda x: x.withField("kind", F.when(F.col("gone") == 1, "gone").otherwise("term")))
-    free = F.filter(cuts, lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    # the terms of one document, no more than its values' neighbours
-    extra = stage(hit.select("k", free.alias("c")).groupBy("k").agg(F.array_distinct(F.array_sort(F.flatten(F.collect_list("c")))).alias("extra")))
+    words = d.select("k", F.explode(F.array_distinct(alnum_words(F.col("text")))).alias("term"))
+    by_doc = words.join(small(terms), "term").groupBy("k").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("action") == "gone", F.col("term"))).alias("gone"))
+    some = held.select("k", "spans").distinct().join(stage(by_doc), "k", "full").withColumnRenamed("k", "s_k")
+    out = d.join(stage(some).hint("merge"), F.col("k") == F.col("s_k"), "left")  # a twentieth of the documents or more: too large to broadcast
     none = F.array().cast("array<struct<s:int,o:int,e:int,kind:string,v:string>>")
-    some = held.select("k", "spans").distinct().join(extra, "k", "left").withColumnRenamed("k", "s_k")
-    out = d.join(some, F.col("k") == F.col("s_k"), "left")
-    return out.select("k", "doc_id", "text", F.coalesce("spans", none).alias("spans"), F.coalesce("extra", none).alias("extra"))
+    word = F.concat(F.lit(r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?i:"), F.array_join("terms", "|"), F.lit(r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"))
+    out = out.withColumn("spans", F.coalesce("spans", none)).withColumn("pattern", word)
+    cuts = F.transform(_cuts(F.col("text"), F.col("pattern"), "term", len(KINDS)), lambda x: x.withField("kind", F.when(F.array_contains("gone", ascii_lower(x["v"])), "gone").otherwise("term")))
+    free = F.filter(cuts, lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    extra = F.when(F.col("terms").isNotNull(), F.array_sort(free)).otherwise(none)
+    return out.select("k", "doc_id", "text", "spans", extra.alias("extra"))
 
 
 def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind's tag; overlapping spans become one, tagged as the first."""
+def redact(text: Column, spans: Column, by: Column | None = None) -> Column:
+    """text with each span replaced by its kind's tag, or `by`; overlapping spans become one, tagged as the first."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tag = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
         piece = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece, F.element_at(tag, x["kind"])))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece, by if by is not None else F.element_at(tag, x["kind"])))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(F.array_sort(spans), start, step)
     return F.transform(F.array(done), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))[0]
@@ -158,7 +162,7 @@ def redact(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs with the text sanitised; all rows and columns kept, null texts stay null."""
-    f = find(docs, id_col=id_col, text_col=text_col, **kw).where("size(spans) > 0").select("k", redact(F.col("text"), F.concat("spans", "extra")).alias("_safe")).dropDuplicates(["k"])
+    f = find(docs, id_col=id_col, text_col=text_col, **kw).where("size(spans) > 0 or size(extra) > 0").select("k", redact(F.col("text"), F.concat("spans", "extra")).alias("_safe")).dropDuplicates(["k"])
     text = F.col(text_col)
     safe = stage(f).withColumnRenamed("k", "_k")
     out = docs.join(safe, F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))) == F.col("_k"), "left")

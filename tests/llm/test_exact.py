@@ -207,6 +207,20 @@ def test_disclosing_terms(spark):
     assert pii.find(d.limit(0)).count() == 0
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    far = " ".join(["then some more of the common words"] * 30)
+    texts = [(i, f"Li has account ab12 {far} write to zeb.q@mail.example.com" + (" Brunhild" if i % 2 else f" {far} Brunhild")) for i in range(6)]
+    texts += [(i, f"write to number {i} of mail {far}") for i in range(6, 400)] + [(400, "ask LI or Lila"), (2, texts[2][1])]
+    want = {"li", "has", "account", "ab12", "brunhild"}
+    r = pii.find(documents(spark, texts)).collect()
+    assert len(r) == len(texts)
+    for x in r:
+        assert {s["v"].lower() for s in x["extra"]} == (want if x["doc_id"] < 6 else {"li"} if x["doc_id"] == 400 else set()), x
+    t = {x["doc_id"]: x["text"] for x in pii.sanitise(documents(spark, texts)).collect()}
+    assert "ab12" not in t[0] and "Brunhild" not in t[0] and "Li " not in t[0] and t[7] == texts[7][1] and t[400] in ("ask  or Lila", "ask [TERM] or Lila")
+
+
+
 def brute_repeats(docs):
     first = {}
     for i, t in sorted(docs, key=lambda x: (x[0] is None, x[0])):
