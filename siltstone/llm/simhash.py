@@ -53,13 +53,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = [fingerprint(t or b"") for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), b.column(2)], ["doc_id", "fp", "mark"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return d.mapInArrow(_map, "doc_id long, fp long")
+    """(doc_id, fp, mark) of every row; mark is a hash of the text."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("mark"))
+    return d.mapInArrow(_map, "doc_id long, fp long, mark long")
 
 
 def _longs(values: list[int]) -> Column:
@@ -98,15 +98,20 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
 
 
-def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable by links."""
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, mark, root, component_id) of every row; root is the component's smallest fingerprint."""
     rows = stage(fingerprints(docs, id_col, text_col))
     kinds = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(kinds.select("fp"))).withColumnRenamed("node", "n_fp")
     placed = stage(kinds.join(roots, F.col("fp") == F.col("n_fp"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     best = stage(placed.groupBy("root").agg(F.min("rep").alias("component_id"))).withColumnRenamed("root", "r")
-    label = stage(placed.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("l_fp"), "component_id"))
-    return rows.join(label, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "component_id")
+    label = stage(placed.join(best, F.col("root") == F.col("r")).select(F.col("fp").alias("l_fp"), "root", "component_id"))
+    return rows.join(label, F.col("fp") == F.col("l_fp")).select("doc_id", "fp", "mark", "root", "component_id")
+
+
+def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable by links."""
+    return _placed(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -114,9 +119,12 @@ def hex_of(fp: Column) -> Column:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, all columns kept: the one with the smallest id."""
-    g = stage(group(docs, id_col=id_col, text_col=text_col))
-    kept = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    again = g.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return out.dropDuplicates([id_col]) if again else out
+    """docs with one row of each component, all columns kept: of the smallest id, nulls last, and then of the text with the smallest hash."""
+    g = stage(_placed(docs, id_col, text_col).select("doc_id", "mark", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("x")
+    kept = g.groupBy("root").agg(first).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
+    mark = F.xxhash64(text_col)
+    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (mark == F.col("_mark")), "left_semi")
+    again = g.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count() > 0
+    # rows of one id and text are of one component
+    return out.withColumn("_mark", mark).dropDuplicates([id_col, "_mark"]).drop("_mark") if again else out

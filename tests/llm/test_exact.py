@@ -1,6 +1,7 @@
 """Operators with exact results, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import chunks, decontaminate, graph, mixing, ngram, pii, repeats, simhash, urls
 from siltstone.llm.common import n_spaced_words
-from tests.llm.data import SCHEMA, corpus, documents
+from tests.llm.data import SCHEMA, corpus, documents, words
 
 KEY = lambda r: tuple((v is None, v) for v in r)
 
@@ -96,6 +97,15 @@ def test_fingerprints_and_groups(spark):
     assert simhash.group(documents(spark, docs).limit(0)).count() == 0
 
 
+def test_dedup_keeps_a_row_of_each_component(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (None, None), (1, c), (1, d), (1, d), (2, d), (2, e), (None, c)]
+    kept = simhash.dedup(documents(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=KEY) == sorted([(None, a), (None, b), (None, None), (1, c), (1, d), (2, e)], key=KEY)
+
+
+
 @pytest.mark.parametrize("flips", [(0,), (5, 9), (1, 40), (3, 33, 63), (60, 61, 62), (31, 32, 0)])
 def test_ball_finds_every_pair_within_three_bits(spark, flips):
     base = [0x0123456789ABCDEF, 0, (1 << 64) - 1, 0xAAAAAAAAAAAAAAAA]
