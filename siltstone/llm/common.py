@@ -16,18 +16,21 @@ NOT_SPACES = r"[^\x20\x09-\x0D]+"
 #: ASCII that is neither letter nor digit; all of it separates alphanumeric words.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A side of a join is broadcast only after its rows were counted and are no more than this.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after its rows and bytes were counted and are no more than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is one of our own in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="siltstone-"))
     return sc.getCheckpointDir()
 
 
@@ -52,9 +55,30 @@ def release() -> None:
             return
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has no more than `rows` rows; else df as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has no more than `rows` rows and `size` bytes, by counting both."""
+    wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, t in df.dtypes if t in ("string", "binary") or "<" in t]
+    width = F.lit(16 * len(df.columns))
+    for w in wide:
+        width = width + F.coalesce(w, F.lit(0))
+    n, held = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n <= rows and (held or 0) <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if counts prove it small; else df as it is (shuffle join)."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has (names do not differ by case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+        taken.add(n.lower())
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -82,13 +106,33 @@ def fold_of(doc_id: Column, mod: int) -> Column:
 
 
 def sample_ids(rows: DataFrame, n: int) -> DataFrame:
-    """(label, i): of each label the n ids (not null) with the smallest hash, from rows (label, i).
+    """(label, i): of each label the n distinct ids (not null) with the smallest hash, from rows (label, i).
 
-    A count of each label gives a hash below which some 2 n ids lie, so what meets in a window does not grow with the table.
+    A sketch of each label's distinct ids gives a hash below which some 2 n ids lie, so repeated rows change nothing and
+    what meets in a window does not grow with the table.
     """
     rows = rows.where("i is not null and label is not null")
-    count = stage(rows.groupBy("label").agg(F.count("*").alias("_c"))).withColumnRenamed("label", "_l")
+    count = stage(rows.groupBy("label").agg(F.approx_count_distinct("i").alias("_c"))).withColumnRenamed("label", "_l")
     r = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
     near = rows.join(small(count), F.col("label") == F.col("_l")).withColumn("_r", r).where(F.col("_r") * F.col("_c") <= 2 * n + 100).select("label", "i", "_r").distinct()
     order = W.partitionBy("label").orderBy("_r", "i")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("label", "i")
+
+
+def sample_texts(rows: DataFrame, n: int, most: int, labelled: DataFrame | None = None) -> dict:
+    """label to texts: of each label n ids at most, one text an id, in order of the ids.
+
+    rows (label, i, t), or rows (i, t) with labelled (label, i). Of a text of more than `most` characters, the `most` at a
+    place drawn by its hash are taken. Ids only meet; of the chosen ones the smallest text an id is fetched, so that
+    repeated rows bring one text to the driver.
+    """
+    own = labelled is None
+    chosen = stage(sample_ids(rows.select("label", "i") if own else labelled, n)).withColumnsRenamed({"label": "c_label", "i": "c_i"})
+    at = 1 + F.pmod(F.xxhash64("t"), F.greatest(F.lit(1), F.length("t") - most + 1)).cast("int")
+    part = F.when(F.length("t") <= most, F.col("t")).otherwise(F.substring("t", at, F.lit(most)))
+    on = (F.col("i") == F.col("c_i")) & (F.col("label") == F.col("c_label")) if own else F.col("i") == F.col("c_i")
+    near = rows.join(small(chosen), on).select(F.col("c_label").alias("label"), "i", part.alias("t"))
+    out: dict = {}
+    for label, _, t in near.groupBy("label", "i").agg(F.min("t").alias("t")).orderBy("i").collect():
+        out.setdefault(label, []).append(t)
+    return out

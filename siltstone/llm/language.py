@@ -6,8 +6,10 @@ last resort is 1/256 a byte. The trees are learnt from a bounded sample and froz
 exact to double precision, and the shortest code wins. The nodes of all languages share one table with a row of log
 probabilities each, so a byte costs one look-up for all languages unless it escapes.
 
-Learning: at most `per_lang` labelled rows of a language, of at most `max_bytes` bytes each, in order of a hash of the
-id; so the sample and the model are bounded whatever the size of the corpus.
+Learning: at most `per_lang` labelled ids of a language, chosen by a hash of the id, one text each, and of a longer text
+the `most` characters at a place drawn by a hash; so the sample and the model are bounded for a language, whatever the
+size of the corpus, and no language goes unlearnt because its texts are long or its rows repeat. Texts are judged whole,
+in pieces of bounded size.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; rows without a label are not learnt from;
 without any labelled row all texts are `und`; ties go to the smaller language name; repeated rows are judged alike; other
@@ -16,20 +18,20 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import sample_ids, small, stage
+from siltstone.llm.common import sample_texts
 from siltstone.llm.lookup import Rows, pieces
 
 ORDER = 3
 PIECE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # what the learning side takes for a letter, too
 
 
 def _grams(text: np.ndarray, k: int) -> np.ndarray:
@@ -130,15 +132,11 @@ class Trees:
         return [self.langs[a] if k else "und" for a, k in zip(at, known, strict=True)], np.where(known, score, 0.0)
 
 
-def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_bytes: int = 1 << 16) -> dict[str, list[bytes]]:
-    """The bounded learning sample: per_lang rows of each language, chosen by a hash of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= max_bytes)).select(F.col(lang_col).alias("label"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    # ids only meet; the texts of the chosen few are fetched beside them
-    chosen = small(stage(sample_ids(rows.select("label", "i"), per_lang))).withColumnsRenamed({"label": "c_label", "i": "c_i"})
-    out: dict[str, list[bytes]] = {}
-    for row in rows.join(chosen, (F.col("i") == F.col("c_i")) & (F.col("label") == F.col("c_label")), "left_semi").orderBy("i").select("label", "t").collect():
-        out.setdefault(row[0], []).append(row[1].encode())
-    return out
+def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, most: int = 1 << 16) -> dict[str, list[bytes]]:
+    """The bounded learning sample: of each language per_lang ids by a hash, one text an id, `most` characters of a text."""
+    text = F.col(text_col)
+    rows = docs.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).alias("label"), F.col(id_col).alias("i"), text.alias("t"))
+    return {lang: [t.encode() for t in texts] for lang, texts in sample_texts(rows, per_lang, most).items()}
 
 
 def identify(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

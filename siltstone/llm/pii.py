@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import alnum_words, ascii_lower, small, stage
+from siltstone.llm.common import alnum_words, ascii_lower, free_names, small, stage
 
 # Each pattern finds the leftmost, longest matches in one pass: runs start where the class starts (or at the end of the
 # match before), and quantifiers are possessive or bounded, so no text makes a search quadratic or deep.
@@ -130,6 +130,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **k
     held = stage(d.select("k", "doc_id", "text", base_spans(F.col("text")).alias("spans")).where("size(spans) > 0"))
     terms = stage(disclosing_terms(held, d, **kw))
     words = d.select("k", F.explode(F.array_distinct(alnum_words(F.col("text")))).alias("term"))
+    # a document's own terms are gathered: sets, so that repeated rows add nothing
     by_doc = words.join(small(terms), "term").groupBy("k").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("action") == "gone", F.col("term"))).alias("gone"))
     some = held.select("k", "spans").distinct().join(stage(by_doc), "k", "full").withColumnRenamed("k", "s_k")
     out = d.join(stage(some).hint("merge"), F.col("k") == F.col("s_k"), "left")  # a twentieth of the documents or more: too large to broadcast
@@ -162,8 +163,8 @@ def redact(text: Column, spans: Column, by: Column | None = None) -> Column:
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs with the text sanitised; all rows and columns kept, null texts stay null."""
-    f = find(docs, id_col=id_col, text_col=text_col, **kw).where("size(spans) > 0 or size(extra) > 0").select("k", redact(F.col("text"), F.concat("spans", "extra")).alias("_safe")).dropDuplicates(["k"])
+    key, clean = free_names(docs, "safe_key", "safe_text")
+    f = find(docs, id_col=id_col, text_col=text_col, **kw).where("size(spans) > 0 or size(extra) > 0").select(F.col("k").alias(key), redact(F.col("text"), F.concat("spans", "extra")).alias(clean)).dropDuplicates([key])
     text = F.col(text_col)
-    safe = stage(f).withColumnRenamed("k", "_k")
-    out = docs.join(safe, F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))) == F.col("_k"), "left")
-    return out.withColumn(text_col, F.coalesce("_safe", text)).drop("_safe", "_k")
+    out = docs.join(stage(f), F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))) == F.col(key), "left")
+    return out.withColumn(text_col, F.coalesce(clean, text_col)).drop(clean, key)

@@ -11,8 +11,9 @@ Before that, a fingerprint is dropped from the search if it is alone: one of its
 its partner's half, so the two share a half, or a half with a one cleared. These keys are only counted.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows and ids keep a row
-each; null ids are never the smallest of a component that has another; an empty table gives no rows; other columns are
-ignored.
+each; null ids are never the smallest of a component that has another; texts are taken whole, each as one value of one task;
+an empty table gives no rows; other columns are ignored, whatever their names. Ties: of a component's rows dedup keeps the
+one with the smallest id, then the smallest text hash.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.llm.common import small, stage
+from siltstone.llm.common import free_names, small, stage
 from siltstone.llm.graph import components
 
 SEED, SHINGLE, SLICE = 42, 3, 1 << 16
@@ -120,11 +121,12 @@ def hex_of(fp: Column) -> Column:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, all columns kept: of the smallest id, nulls last, and then of the text with the smallest hash."""
+    i, m, r = free_names(docs, "kept_id", "kept_mark", "own_mark")
     g = stage(_placed(docs, id_col, text_col).select("doc_id", "mark", "root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("x")
-    kept = g.groupBy("root").agg(first).select(F.col("x.doc_id").alias("_kept"), F.col("x.mark").alias("_mark"))
+    kept = g.groupBy("root").agg(first).select(F.col("x.doc_id").alias(i), F.col("x.mark").alias(m))
     mark = F.xxhash64(text_col)
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (mark == F.col("_mark")), "left_semi")
+    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (mark == F.col(m)), "left_semi")
     again = g.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count() > 0
     # rows of one id and text are of one component
-    return out.withColumn("_mark", mark).dropDuplicates([id_col, "_mark"]).drop("_mark") if again else out
+    return out.withColumn(r, mark).dropDuplicates([id_col, r]).drop(r) if again else out

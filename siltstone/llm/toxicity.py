@@ -7,8 +7,8 @@ length in words, taken over the text's most toxic passage of two words: over who
 the two samples add up with the length and drown a few toxic words. A logistic curve, fitted on a part of the sample
 that is set apart, turns the evidence into a score.
 
-Learning: at most `per_class` labelled rows of each class, of at most `max_bytes` bytes each, in order of a hash of the
-id; so sample and model are bounded whatever the size of the corpus. A fifth of the sample is set apart for the curve.
+Learning: at most `per_class` labelled ids of each class, chosen by a hash of the id, one text each, and of a longer text
+the `most` characters at a place drawn by a hash; so sample and model are bounded whatever the size of the corpus. A fifth of the sample is set apart for the curve.
 
 Defined cases: null and empty texts carry no evidence and get the score of an even text; rows without a label are not
 learnt from; without labelled rows of both classes all scores are 0; repeated rows are judged alike; other columns are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import sample_ids
+from siltstone.llm.common import sample_texts
 from siltstone.llm.lookup import Rows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -137,17 +137,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(c[0]), float(c[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, max_bytes: int = 1 << 16) -> tuple[list[str], list[str], float]:
-    """The bounded learning sample: texts of toxic and of ordinary labelled rows, and the share of toxic labels."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("y")).distinct()
-    fit = F.octet_length(text_col).between(1, max_bytes)
-    # ids only go through the shuffle; the texts of the chosen few are fetched beside a bounded broadcast
-    ids = docs.where(fit).select(F.col(id_col).alias("i")).join(marks, F.col("i") == F.col("_i")).select(F.col("y").alias("label"), "i")
-    chosen = sample_ids(ids, per_class).select(F.col("label").alias("y"), F.col("i").alias("c"))
-    got = docs.where(fit).join(F.broadcast(chosen), F.col(id_col) == F.col("c")).orderBy("c").select("y", text_col).collect()
-    toxic, ordinary = [x[1] for x in got if x[0] == 1], [x[1] for x in got if x[0] == 0]
-    share = marks.agg(F.avg("y")).first()[0]
-    return toxic, ordinary, float(min(0.99, max(0.01, share))) if share is not None else 0.5
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, most: int = 1 << 16) -> tuple[list[str], list[str], float]:
+    """The bounded learning sample: texts of toxic and of ordinary labelled rows, and the share of toxic labels.
+
+    Of each class per_class ids by a hash, one text an id, and `most` characters of a text; an id labelled both ways is in both.
+    """
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("m"), F.col(label_col).cast("int").alias("label")).distinct()
+    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    ids = rows.select("i").join(marks, F.col("i") == F.col("m")).select("label", "i")  # only ids go through the shuffle
+    texts = sample_texts(rows, per_class, most, ids)
+    share = marks.agg(F.avg("label")).first()[0]
+    return texts.get(1, []), texts.get(0, []), float(min(0.99, max(0.01, share))) if share is not None else 0.5
 
 
 def score(docs: DataFrame, classes: Classes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

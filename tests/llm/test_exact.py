@@ -53,8 +53,28 @@ def test_decontaminate(spark):
     assert sum(x[2] for x in want) > 40
     kept = decontaminate.clean(d, b)
     assert kept.columns == d.columns and kept.count() == sum(not x[5] for x in want)
-    near = decontaminate.find(d, b, slop=2)
-    assert near.count() >= decontaminate.find(d, b, exact=False).count() > 0
+    odd = d.withColumns({"bad_id": F.lit(1), "BAD_H": F.lit(2), "pos": F.lit(3)})
+    assert decontaminate.clean(odd, b).columns == odd.columns and decontaminate.clean(odd, b).count() == kept.count()
+    # proximity: seen from the rarest word, every word stands within the slop of its place
+    tf = Counter(w for _, t in docs for w in alnum(t))
+    for slop in (1, 2):
+        near = set()
+        for i, t in docs:
+            w = alnum(t)
+            for phrase, ids in windows.items():
+                if any(x not in tf for x in phrase):
+                    continue
+                _, off, rare = min((tf[x], o, x) for o, x in enumerate(phrase))
+                for p in (p for p, x in enumerate(w) if x == rare):
+                    s = p - off
+                    if s >= -slop and all(x in w[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, x in enumerate(phrase)):
+                        near |= {(x, " ".join(phrase), i, s) for x in ids}
+        got = {(x["item_id"], x["phrase"], x["doc_id"], x["start"]) for x in decontaminate.find(d, b, slop=slop).collect()}
+        assert got == near and len(near) > 0
+    assert {x["doc_id"]: x["n_hit"] <= x["n_words"] for x in decontaminate.report(d, b, slop=2).collect()}.values() != {False}
+    one = spark.createDataFrame([(1, "zeta wrong kappa other stuff common omega")], "doc_id long, text string")
+    item = spark.createDataFrame([(1, "zeta common kappa common omega common")], "item_id long, text string")
+    assert decontaminate.find(one, item, slop=1).count() == 0
     assert decontaminate.report(d, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0 and decontaminate.report(d.limit(0), b).count() == 0
 
 
