@@ -8,11 +8,11 @@ comes once a chunk, and no group is larger than its bucket's share of distinct k
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +27,31 @@ MESSAGE = "chunk long, bucket int, kind string, payload binary"
 MESSAGE_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("kind", pa.string()), ("payload", pa.binary())])
 
 
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def expand(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def squeeze_longs(x: np.ndarray) -> bytes:
+    """int64 values, of which neighbours are often equal or near: differences by byte planes, compressed."""
+    return squeeze(np.ascontiguousarray(np.diff(x, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def expand_longs(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
 class Chunk:
     """ids (int64), null_ids (bool), sizes (bytes of each text) and the texts one after the other."""
 
     def __init__(self, row: dict):
         self.number = row["chunk"]
         self.ids, self.null_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["null_ids"], bool)
-        self.sizes, self.raw = np.frombuffer(row["sizes"], np.int64), zlib.decompress(row["texts"])
+        self.sizes, self.raw = np.frombuffer(row["sizes"], np.int64), expand(row["texts"])
         self.ends = np.cumsum(self.sizes)
 
     def texts(self) -> Iterator[bytes]:
@@ -46,8 +64,9 @@ class Chunk:
         return [None if n else i for i, n in zip(self.ids.tolist(), self.null_ids.tolist(), strict=True)]
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK) -> DataFrame:
-    """The staged chunk table. Null texts are empty; a text is never cut."""
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
+    """The staged chunk table, `size` bytes a chunk (CHUNK). Null texts are empty; a text is never cut."""
+    size = size or CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -59,7 +78,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
             null = np.array([i is None for i in ids], dtype=bool)
             own = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            row = [(part << 32) + number, held, own.tobytes(), null.tobytes(), sizes.tobytes(), zlib.compress(b"".join(texts), 1)]
+            row = [(part << 32) + number, held, own.tobytes(), null.tobytes(), sizes.tobytes(), squeeze(b"".join(texts))]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
         for b in batches:
@@ -79,8 +98,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     return stage(d.mapInArrow(run, "chunk long, n_bytes long, ids binary, null_ids binary, sizes binary, texts binary"), codec="uncompressed")
 
 
-def buckets_for(chunks: DataFrame, size: int = 2 * CHUNK) -> int:
-    """Number of buckets: one for each `size` bytes of text."""
+def buckets_for(chunks: DataFrame, size: int | None = None) -> int:
+    """Number of buckets: one for each `size` bytes of text (2 CHUNK)."""
+    size = size or 2 * CHUNK
     return max(4, int((chunks.agg(F.sum("n_bytes")).first()[0] or 0) // size) + 1)
 
 

@@ -17,7 +17,6 @@ are ignored.
 from __future__ import annotations
 
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.chunks import Chunk, answer, buckets_for, meet, pack, send
+from siltstone.llm.chunks import Chunk, answer, buckets_for, expand, meet, pack, send, squeeze
 
 DISCOUNT = 0.75
 END, BEGIN = b"\n", b"\t"  # white space is in no word
@@ -177,7 +176,7 @@ class Tokens:
             at, to, p, q = *self.cuts[b : b + 2], *self.pair_cuts[b : b + 2]
             n = np.bincount(self.left[p:q] - at, minlength=to - at).astype(np.uint32)
             plain = self.hash[at:to].tobytes() + (self.hash[self.right[p:q]] >> np.uint64(32)).astype(np.uint32).tobytes()
-            counts = zlib.compress(n.tobytes() + self.words[at:to].tobytes() + self.pairs[p:q].tobytes(), 1)
+            counts = squeeze(n.tobytes() + self.words[at:to].tobytes() + self.pairs[p:q].tobytes())
             yield b, "grams", int(to - at).to_bytes(4, "little") + int(q - p).to_bytes(4, "little") + plain + counts
 
 
@@ -185,7 +184,7 @@ def _bucket(payloads: list[bytes]) -> tuple[list[bytes], str]:
     asked = []
     for p in payloads:
         n, m = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:8], "little")
-        counts = np.frombuffer(zlib.decompress(p[8 + 8 * n + 4 * m :]), np.uint32)
+        counts = np.frombuffer(expand(p[8 + 8 * n + 4 * m :]), np.uint32)
         asked.append((np.frombuffer(p, np.uint8, 8 * n, 8).view(np.uint64), np.frombuffer(p, np.uint8, 4 * m, 8 + 8 * n).view(np.uint32), counts[:n], counts[n : 2 * n], counts[2 * n :]))
     words, number = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     unigram = np.bincount(number, np.concatenate([a[3] for a in asked]), minlength=len(words)).astype(np.int64)
@@ -206,7 +205,7 @@ def _bucket(payloads: list[bytes]) -> tuple[list[bytes], str]:
         backs = np.where(c >= 0, trie.backs[np.maximum(c, 0)] if len(trie.backs) else 0, 0).astype(np.uint8)
         codes = trie.search(np.repeat(c, a[2]), a[1])
         mine = unigram[number[e - len(a[0]) : e]].tobytes() + backs.tobytes() + codes.tobytes()
-        out.append((totals if i == 0 else bytes(16)) + books + zlib.compress(mine, 1))
+        out.append((totals if i == 0 else bytes(16)) + books + squeeze(mine))
     return out, "grams"
 
 
@@ -217,7 +216,7 @@ def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int,
         at, to, p, q = *t.cuts[b : b + 2], *t.pair_cuts[b : b + 2]
         raw = got["grams", b]
         books = np.frombuffer(raw, np.float64, 2 * BINS, 16)
-        plain = zlib.decompress(raw[16 + 16 * BINS :])
+        plain = expand(raw[16 + 16 * BINS :])
         n = to - at
         count[at:to] = np.frombuffer(plain, np.int64, n)
         codes = np.frombuffer(plain, np.uint8, -1, 8 * n)

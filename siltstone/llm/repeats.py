@@ -7,249 +7,320 @@ prefix-free parsing and every 50-byte string lies whole in the phrase of its tri
 
 1. Chunks tell buckets their distinct triggers; a trigger of one document only cannot be in a repeat and is dropped.
 2. Chunks tell buckets the distinct phrases of the others, with the smallest document. A bucket's dictionary is the
-   set of distinct phrases; its suffixes are ranked by their first 50 bytes with prefix doubling (8, 16, 32, 50), and
-   suffixes of one rank are one string, whose smallest document goes back to every phrase.
+   set of distinct phrases. A 50-byte string is its trigger with some bytes before and the rest after it, so two sorts
+   order all of them: of what precedes the triggers, read backwards, and of what follows them. The common prefixes of
+   neighbours in these orders give each phrase's rank at every depth, and strings of equal ranks on both sides are one
+   string, whose smallest document goes back to every phrase.
 3. The parse maps the answers back: a start whose string has a smaller document covers 50 bytes, which are removed.
 
-The ranks compare bytes, so the result is exact. Highly repetitive text costs what its distinct phrases cost.
+The orders compare bytes, so the result is exact. Highly repetitive text costs what its distinct phrases cost. A trigger
+with very many different phrases (a common line with ever different neighbours) is hot: its phrases are cut into their
+50-byte strings, and these go to buckets by their own hash.
 
 Defined cases: null texts are empty; null ids come after all others; equal ids are no smaller than each other, so repeated
-rows of one id keep theirs; texts under 50 bytes stay; an empty table gives no rows; other columns are ignored.
+rows of one id keep theirs; texts under 50 bytes stay; a text is never cut, it and its chunk are in one task's memory; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.chunks import Chunk, answer, buckets_for, meet, pack, send
+from siltstone.llm.chunks import Chunk, answer, buckets_for, expand, expand_longs, meet, pack, send, squeeze, squeeze_longs
 
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1
-SLICE = 1 << 19
+SIDE = LENGTH - GRAM
+#: Starts that are hashed together: the arrays stay in the processor's cache, and a place fits beside 17 bits of hash.
+SLICE = 1 << 14
 WIDE = 80  # a phrase has at most LENGTH + REACH - 1 bytes
+#: A trigger is hot once this many different phrases, counted chunk by chunk, have it.
+HOT = 1 << 16
+NONE = np.iinfo(np.int64).max
 _M = np.uint64(0xD1342543DE82EF95)
-_POW = [np.uint64(pow(int(_M), 1 << i, 1 << 64)) for i in range(6)]
-_TABLE = np.frombuffer(hashlib.shake_256(b"phrases").digest(2048), dtype=np.uint64)
-
-
-def _double(h: np.ndarray, step: int, i: int) -> np.ndarray:
-    return h[:-step] * _POW[i] + h[step:]
-
-
-def triggers(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger, first, last, code) of every phrase: positions of the trigger and of its first and last start, hash."""
-    found = []
-    for at in range(0, max(0, len(text) - LENGTH + 1), SLICE):
-        t = text[at : at + SLICE + LENGTH - 1]
-        h1 = _TABLE[t]
-        h2 = _double(h1, 1, 0)
-        h4 = _double(h2, 2, 1)
-        h8 = _double(h4, 4, 2)
-        h16 = _double(h8, 8, 3)
-        n = len(t) - GRAM + 1
-        h = h16[:n] * _POW[3] + h8[16 : 16 + n]
-        h ^= h >> np.uint64(29)
-        h *= _M
-        key = (h & np.uint64(0xFFFFFFFFFFF00000)) | np.arange(n, dtype=np.uint64)  # ties: the first
-        m = key
+_R = 0x2C1B3C6D
+_POW = [np.uint32(pow(_R, 1 << i, 1 << 32)) for i in range(5)]
+_TABLE = np.frombuffer(hashlib.shake_256(b"phrases").digest(1024), dtype=np.uint32)
+
+
+def _rows(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """size bytes of the text from each place on, zeros beyond its end."""
+    padded = np.concatenate([text, np.zeros(size, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, size)[at]
+
+
+def _mix(rows: np.ndarray, start: int = 0) -> np.ndarray:
+    """A 64-bit hash of rows whose width is a multiple of 8."""
+    words = np.ascontiguousarray(rows).view("<u8")
+    mixed = np.full(len(rows), start, np.uint64)
+    for i in range(words.shape[1]):
+        mixed = (mixed ^ words[:, i]) * _M
+        mixed ^= mixed >> np.uint64(31)
+    return mixed
+
+
+def triggers(text: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger, first, last) of every phrase: positions of the trigger and of its first and last start."""
+    n = len(text) - LENGTH + 1
+    if n <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    whole = np.ones(len(text) + LENGTH, bool)  # starts whose string lies in one document
+    tail = np.minimum(sizes, LENGTH - 1)
+    for back in range(1, LENGTH):
+        whole[ends[tail >= back] - back] = False
+    trigger = np.empty(n, np.int64)
+    place = np.arange(SLICE + LENGTH, dtype=np.uint32)
+    for at in range(0, n, SLICE):
+        h1 = _TABLE[text[at : at + SLICE + LENGTH - 1]]
+        h2 = h1[:-1] * _POW[0] + h1[1:]
+        h4 = h2[:-2] * _POW[1] + h2[2:]
+        h8 = h4[:-4] * _POW[2] + h4[4:]
+        h16 = h8[:-8] * _POW[3] + h8[8:]
+        m = len(h1) - GRAM + 1
+        h = h16[:m] * _POW[3] + h8[16 : 16 + m]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(_R | 1)
+        key = (h & np.uint32(0xFFFF8000)) | place[:m]  # ties: the first
         for step in (1, 2, 4, 8):
-            m = np.minimum(m[:-step], m[step:])
-        m = np.minimum(m[: n - REACH + 1], m[REACH - 16 : REACH - 16 + n - REACH + 1])
-        place = (m & np.uint64(0xFFFFF)).astype(np.int64)
-        start = np.arange(len(m), dtype=np.int64) + at
-        doc_end = ends[np.searchsorted(ends, start, side="right")]
-        ok = np.flatnonzero(start + LENGTH <= doc_end)
-        if not len(ok):
-            continue
-        p, s, d = place[ok], start[ok], doc_end[ok]
-        new = np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(p)) - 1
-        found.append((p[first] + at, s[first], s[last], h[p[first]]))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            key = np.minimum(key[:-step], key[step:])
+        last = m - REACH + 1
+        key = np.minimum(key[:last], key[REACH - 16 : REACH - 16 + last])
+        trigger[at : at + last] = (key & np.uint32(0x7FFF)).astype(np.int64) + at
+    whole = whole[:n]
+    new = whole.copy()
+    new[1:] &= (trigger[1:] != trigger[:-1]) | ~whole[:-1]
+    end = whole.copy()
+    end[:-1] &= new[1:] | ~whole[1:]
+    first, last = np.flatnonzero(new), np.flatnonzero(end)
+    return trigger[first], first, last
 
 
-def _codes(code: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket (of 65536 at most) and 48-bit key of trigger hashes."""
-    return ((code >> np.uint64(3)) % np.uint64(n_buckets)).astype(np.int32), (code * _M) >> np.uint64(16)
+def _bucket(code: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets in the order of the codes."""
+    return ((code >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
 class Parse:
     """The phrases of a chunk, and its distinct triggers by bucket."""
 
     def __init__(self, c: Chunk, n_buckets: int):
-        self.text = np.frombuffer(c.raw, np.uint8)
-        self.trigger, self.first, self.last, code = triggers(self.text, c.ends)
+        self.text, self.n_buckets = np.frombuffer(c.raw, np.uint8), n_buckets
+        self.trigger, self.first, self.last = triggers(self.text, c.ends, c.sizes)
         self.doc = np.searchsorted(c.ends, self.first, side="right")
-        bucket, key = _codes(code, n_buckets)
-        own = c.ids[self.doc]
-        both = bucket.astype(np.uint64) << np.uint64(48) | key
-        order = np.argsort(both)
-        k, o = both[order], own[order]
+        code = _mix(_rows(self.text, self.trigger, GRAM))
+        order = np.argsort(code)
+        k, own = code[order], c.ids[self.doc[order]]
         new = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
         start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
         self.kind = np.empty(len(k), np.int64)  # of each phrase: number of its trigger among the distinct ones
-        self.kind[order] = np.cumsum(new) - 1
-        self.bucket, self.key = (k[start] >> np.uint64(48)).astype(np.int64), k[start] & np.uint64((1 << 48) - 1)
-        other = np.concatenate([np.zeros(min(1, len(k)), bool), (o[1:] != o[:-1]) & ~new[1:]])
+        self.kind[order] = group
+        self.key = k[start]
+        self.bucket = _bucket(self.key, n_buckets)
+        other = np.concatenate([np.zeros(min(1, len(k)), bool), (own[1:] != own[:-1]) & ~new[1:]])
         self.several = np.logical_or.reduceat(other, start) if len(k) else other
+        # different phrases of a trigger, as their first and last bytes tell them apart
+        self.forms = np.diff(np.append(start, len(k)))
+        among = np.flatnonzero(self.forms[group] > 1)
+        w = order[among]
+        edge = _mix(np.concatenate([_rows(self.text, self.first[w], 8), _rows(self.text, self.last[w] + LENGTH - 8, 8)], axis=1)) ^ (self.last[w] - self.first[w]).astype(np.uint64)
+        by = np.lexsort((edge, group[among]))
+        g, e = group[among][by], edge[by]
+        fresh = np.concatenate([np.ones(min(1, len(g)), bool), (g[1:] != g[:-1]) | (e[1:] != e[:-1])])
+        self.forms[self.forms > 1] = 0
+        np.add.at(self.forms, g[fresh], 1)
         self.cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
 
     def ask(self) -> Iterator[tuple[int, str, bytes]]:
         for b in np.unique(self.bucket).tolist():
-            k = self.key[self.cuts[b] : self.cuts[b + 1]]
+            at, to = self.cuts[b : b + 2]
+            k, power = self.key[at:to], np.log2(self.forms[at:to]).astype(np.uint8)
             low, high = k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16)
-            yield b, "trigger", len(k).to_bytes(4, "little") + low.tobytes() + high.tobytes() + np.packbits(self.several[self.cuts[b] : self.cuts[b + 1]]).tobytes()
+            yield b, "trigger", len(k).to_bytes(4, "little") + low.tobytes() + high.tobytes() + squeeze(self.several[at:to].astype(np.uint8).tobytes() + power.tobytes())
 
-    def shared(self, got: dict[tuple[str, int], bytes]) -> np.ndarray:
-        """Which phrases have a trigger that several documents have."""
-        keep = np.zeros(len(self.key), bool)
+    def shared(self, got: dict[tuple[str, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which phrases have a trigger that several documents have, and which of these triggers are hot."""
+        said = np.zeros(len(self.key), np.uint8)
         for b in np.unique(self.bucket).tolist():
-            at, to = self.cuts[b], self.cuts[b + 1]
-            keep[at:to] = np.unpackbits(np.frombuffer(got["trigger", b], np.uint8), count=to - at).astype(bool)
-        return np.flatnonzero(keep[self.kind])
+            at, to = self.cuts[b : b + 2]
+            said[at:to] = np.frombuffer(expand(got["trigger", b]), np.uint8)
+        of = said[self.kind]
+        which = np.flatnonzero(of)
+        return which, of[which] == 2
 
 
 class Phrases:
-    """The distinct phrases among those of shared triggers, by bucket."""
-
-    def __init__(self, p: Parse, c: Chunk, which: np.ndarray):
-        self.which = which
-        lo, size = p.first[which], p.last[which] - p.first[which] + LENGTH
-        rows = np.zeros((len(which), WIDE), np.uint8)
-        for at in range(WIDE):
-            in_it = np.flatnonzero(at < size)
-            rows[in_it, at] = p.text[lo[in_it] + at]
-        own = c.ids[p.doc[which]]
-        bucket = p.bucket[p.kind[which]]
-        words = rows.view(">u8").astype(np.uint64)
-        mixed = np.zeros(len(which), np.uint64)
-        for i in range(words.shape[1]):
-            mixed = (mixed ^ words[:, i]) * _M
-            mixed ^= mixed >> np.uint64(31)
-        order = np.lexsort((own, size, mixed, bucket))
-        r, s, b = rows[order], size[order], bucket[order]
+    """The distinct phrases among those of shared triggers, by bucket; phrases of hot triggers as their strings."""
+
+    def __init__(self, p: Parse, c: Chunk, which: np.ndarray, hot: np.ndarray):
+        cold, warm = which[~hot], which[hot]
+        n = p.last[warm] - p.first[warm] + 1
+        start = np.repeat(p.first[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of = np.concatenate([cold, np.repeat(warm, n)])
+        self.first = np.concatenate([p.first[cold], start])
+        size = np.concatenate([p.last[cold] - p.first[cold] + LENGTH, np.full(len(start), LENGTH)]).astype(np.uint8)
+        lead = (p.trigger[of] - self.first).astype(np.uint8)
+        self.own = c.ids[p.doc[of]]
+        rows = _rows(p.text, self.first, WIDE)
+        rows = np.where(np.arange(WIDE) < size[:, None], rows, np.uint8(0))
+        rows[:, WIDE - 1], rows[:, WIDE - 2] = size, lead
+        mixed = _mix(rows)
+        bucket = p.bucket[p.kind[of]]
+        bucket[len(cold) :] = _bucket(mixed[len(cold) :], p.n_buckets)
+        order = np.argsort(mixed)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        r, b = rows[order], bucket[order]
         new = np.ones(len(order), bool)
-        new[1:] = (b[1:] != b[:-1]) | (s[1:] != s[:-1]) | (r[1:] != r[:-1]).any(axis=1)
+        new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1]).any(axis=1)
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
-        pick = order[np.flatnonzero(new)]
-        self.rows, self.size, self.bucket, self.own = rows[pick], size[pick], bucket[pick], own[pick]
+        begin = np.flatnonzero(new)
+        pick = order[begin]
+        self.rows, self.size, self.lead, self.bucket = rows[pick], size[pick], lead[pick], bucket[pick]
+        self.least = np.minimum.reduceat(self.own[order], begin) if len(begin) else self.own
 
     def ask(self) -> Iterator[tuple[int, str, bytes]]:
         for b in np.unique(self.bucket).tolist():
             at, to = np.searchsorted(self.bucket, [b, b + 1])
             size = self.size[at:to]
             text = self.rows[at:to][np.arange(WIDE) < size[:, None]]
-            yield b, "phrase", zlib.compress(len(size).to_bytes(4, "little") + size.astype(np.uint8).tobytes() + self.own[at:to].tobytes() + text.tobytes(), 1)
+            least = squeeze_longs(self.least[at:to])
+            yield b, "phrase", len(size).to_bytes(4, "little") + len(least).to_bytes(4, "little") + least + squeeze(size.tobytes() + self.lead[at:to].tobytes() + text.tobytes())
 
 
 def _triggers_of_bucket(payloads: list[bytes]) -> tuple[list[bytes], str]:
-    keys, several = [], []
+    keys, several, forms = [], [], []
     for p in payloads:
         n = int.from_bytes(p[:4], "little")
         keys.append(np.frombuffer(p, np.uint32, n, 4).astype(np.uint64) | np.frombuffer(p, np.uint16, n, 4 + 4 * n).astype(np.uint64) << np.uint64(32))
-        several.append(np.unpackbits(np.frombuffer(p, np.uint8, -1, 4 + 6 * n), count=n).astype(bool))
+        rest = np.frombuffer(expand(p[4 + 6 * n :]), np.uint8)
+        several.append(rest[:n])
+        forms.append(np.int64(1) << rest[n:].astype(np.int64))
     flat = np.concatenate(keys)
     order = np.argsort(flat)
     k = flat[order]
-    same = np.concatenate([[False], k[1:] == k[:-1]])
-    many = same | np.append(same[1:], False)
-    hot = np.unique(k[np.concatenate(several)[order]])
-    out = np.empty(len(k), bool)
-    out[order] = many
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-        out |= hot[at] == flat
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+    n = np.diff(np.append(start, len(k)))
+    shared = (n > 1) | (np.maximum.reduceat(np.concatenate(several)[order], start) > 0)
+    hot = np.add.reduceat(np.concatenate(forms)[order], start) >= HOT
+    out = np.empty(len(k), np.uint8)
+    out[order] = np.repeat(np.where(shared, np.where(hot, 2, 1), 0), n)
     ends = np.cumsum([len(x) for x in keys])
-    return [np.packbits(out[e - len(x) : e]).tobytes() for x, e in zip(keys, ends, strict=True)], "trigger"
-
-
-def string_ranks(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, rank) of every 50-byte string in the rows: its place in the order of the suffixes' first 50 bytes."""
+    return [squeeze(out[e - len(x) : e].tobytes()) for x, e in zip(keys, ends, strict=True)], "trigger"
+
+
+def _side_order(rows: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by `within` and then by their bytes, and the common prefix of each with the one before in that
+    order (-1 where `within` changes)."""
+    words = np.zeros((len(rows), (rows.shape[1] + 7) // 8 * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.lexsort((*(words[:, i] for i in range(words.shape[1] - 1, -1, -1)), within))
+    r, w = rows[order], within[order]
+    differ = np.ones((len(rows), rows.shape[1] + 1), bool)
+    differ[1:, :-1] = r[1:] != r[:-1]
+    prefix = differ.argmax(axis=1)
+    prefix[1:][w[1:] != w[:-1]] = -1
+    prefix[:1] = -1
+    return order, prefix
+
+
+def string_ranks(rows: np.ndarray, size: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, rank) of every 50-byte string in the rows; equal strings of equal triggers have equal ranks.
+
+    lead: the trigger's place in its row. Ranks follow the trigger, its depth in the string, and the orders of both sides.
+    """
     n = len(rows)
-    padded = np.zeros((n, WIDE + 8), np.uint8)
-    padded[:, :WIDE] = rows
-    starts = WIDE
-    eight = np.zeros((n, starts), np.uint64)
-    for i in range(8):
-        eight = (eight << np.uint64(8)) | padded[:, i : i + starts]
-
-    def ranks(codes: np.ndarray, length: int) -> np.ndarray:
-        """Ranks of the codes of strings that lie within their row; the others stay 0 and are not used."""
-        own = np.arange(codes.shape[1]) <= (size - length)[:, None]
-        out = np.zeros(codes.shape, np.uint64)
-        out[own] = np.unique(codes[own], return_inverse=True)[1]
-        return out
-
-    r8 = ranks(eight, 8)
-    r16 = ranks(r8[:, :-8] << np.uint64(32) | r8[:, 8:], 16)
-    r32 = ranks(r16[:, :-16] << np.uint64(32) | r16[:, 16:], 32)
-    row, start = np.nonzero(np.arange(WIDE - LENGTH + 1) <= (size - LENGTH)[:, None])
-    both = r32[row, start] << np.uint64(32) | r32[row, start + LENGTH - 32]
-    return row, start, np.unique(both, return_inverse=True)[1]
+    size, lead = size.astype(np.int64), lead.astype(np.int64)
+    wide = np.zeros((n, SIDE + WIDE + SIDE), np.uint8)
+    wide[:, SIDE : SIDE + WIDE] = np.where(np.arange(WIDE) < size[:, None], rows, np.uint8(0))
+    at = np.arange(n)[:, None]
+    gram = wide[at, SIDE + lead[:, None] + np.arange(GRAM)]
+    left = wide[at, SIDE + lead[:, None] - 1 - np.arange(SIDE)]
+    right = wide[at, SIDE + lead[:, None] + GRAM + np.arange(SIDE)]
+    order, prefix = _side_order(gram, np.zeros(n, np.int64))
+    trigger = np.empty(n, np.int64)
+    trigger[order] = np.cumsum(prefix < GRAM) - 1
+    orders = [_side_order(x, trigger) for x in (left, right)]
+    after = size - lead - GRAM  # bytes that follow the trigger
+    found, used = [], 0
+    for depth in range(SIDE + 1):
+        who = np.flatnonzero((lead >= depth) & (after >= SIDE - depth))
+        code = np.zeros(n, np.uint64)
+        for (o, prefix), deep in zip(orders, (depth, SIDE - depth), strict=True):
+            rank = np.empty(n, np.uint64)
+            rank[o] = np.cumsum(prefix < deep).astype(np.uint64)
+            code = code << np.uint64(32) | rank
+        kinds, rank = np.unique(code[who], return_inverse=True)
+        found.append((who, lead[who] - depth, rank + used))
+        used += len(kinds)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _phrases_of_bucket(payloads: list[bytes]) -> tuple[list[bytes], str]:
-    sizes, owners, texts = [], [], []
+    sizes, leads, owners, texts = [], [], [], []
     for p in payloads:
-        p = zlib.decompress(p)
-        n = int.from_bytes(p[:4], "little")
-        sizes.append(np.frombuffer(p, np.uint8, n, 4).astype(np.int64))
-        owners.append(np.frombuffer(p, np.uint8, 8 * n, 4 + n).view(np.int64))
-        texts.append(np.frombuffer(p, np.uint8, -1, 4 + 9 * n))
+        n, cut = int.from_bytes(p[:4], "little"), 8 + int.from_bytes(p[4:8], "little")
+        owners.append(expand_longs(p[8:cut]))
+        plain = np.frombuffer(expand(p[cut:]), np.uint8)
+        sizes.append(plain[:n])
+        leads.append(plain[n : 2 * n])
+        texts.append(plain[2 * n :])
     size, own = np.concatenate(sizes), np.concatenate(owners)
     rows = np.zeros((len(size), WIDE), np.uint8)
     rows[np.arange(WIDE) < size[:, None]] = np.concatenate(texts)
+    rows[:, WIDE - 1], rows[:, WIDE - 2] = size, np.concatenate(leads)
     # the dictionary: distinct phrases, each with its smallest document
-    whole = np.concatenate([rows, size[:, None].astype(np.uint8)], axis=1)
-    whole = np.ascontiguousarray(whole).view(f"V{WIDE + 1}").ravel()
-    _, pick, number = np.unique(whole, return_index=True, return_inverse=True)
-    least = np.full(len(pick), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, own)
-    row, start, rank = string_ranks(rows[pick], size[pick])
-    low = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    order = np.argsort(_mix(rows))
+    r = rows[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (r[1:] != r[:-1]).any(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    pick = order[begin]
+    least = np.minimum.reduceat(own[order], begin) if len(begin) else own
+    row, start, rank = string_ranks(rows[pick], size[pick], rows[pick, WIDE - 2])
+    low = np.full(int(rank.max(initial=-1)) + 1, NONE)
     np.minimum.at(low, rank, least[row])
-    answers = np.full((len(pick), REACH), np.iinfo(np.int64).max)
+    answers = np.full((len(pick), REACH), NONE)
     answers[row, start] = low[rank]
     ends = np.cumsum([len(s) for s in sizes])
     out = []
     for s, e in zip(sizes, ends, strict=True):
         mine = number[e - len(s) : e]
-        out.append(zlib.compress(answers[mine][np.arange(REACH) <= (s - LENGTH)[:, None]].tobytes(), 1))
+        out.append(squeeze_longs(answers[mine][np.arange(REACH) <= (s.astype(np.int64) - LENGTH)[:, None]]))
     return out, "phrase"
 
 
 def _result(p: Parse, c: Chunk, got: dict[tuple[str, int], bytes]) -> pa.Table:
-    ph = Phrases(p, c, p.shared(got))
-    low = np.full((len(ph.size), REACH), np.iinfo(np.int64).max)
+    ph = Phrases(p, c, *p.shared(got))
+    low = np.full((len(ph.size), REACH), NONE)
+    span = ph.size.astype(np.int64) - LENGTH
     for b in np.unique(ph.bucket).tolist():
         at, to = np.searchsorted(ph.bucket, [b, b + 1])
         block = low[at:to]
-        block[np.arange(REACH) <= (ph.size[at:to] - LENGTH)[:, None]] = np.frombuffer(zlib.decompress(got["phrase", b]), np.int64)
-    cover = np.zeros(len(p.text) + 1, np.int64)
-    for at in range(0, len(ph.which), 1 << 18):
-        w = ph.which[at : at + (1 << 18)]
-        i, s = np.nonzero(low[ph.number[at : at + (1 << 18)]] < c.ids[p.doc[w]][:, None])
-        start = p.first[w][i] + s
-        cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + LENGTH, minlength=len(cover))
+        block[np.arange(REACH) <= span[at:to][:, None]] = expand_longs(got["phrase", b])
+    cover = np.zeros(len(p.text) + 1, np.int32)
+    for at in range(0, len(ph.number), 1 << 16):
+        number, own, first = ph.number[at : at + (1 << 16)], ph.own[at : at + (1 << 16)], ph.first[at : at + (1 << 16)]
+        i, s = np.nonzero(low[number] < own[:, None])
+        start = first[i] + s
+        cover[start] += 1  # a start is in one phrase only
+        cover[start + LENGTH] -= 1
     gone = np.cumsum(cover[:-1]) > 0
     removed, spans, digest = [], [], []
     at = 0
     for n in c.sizes.tolist():
         g = gone[at : at + n]
-        hit = int(g.sum())
+        hit = int(np.count_nonzero(g))
         removed.append(hit)
-        spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if hit else 0)
+        spans.append(int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if hit else 0)
         digest.append(hashlib.sha256(p.text[at : at + n][~g].tobytes() if hit else c.raw[at : at + n]).hexdigest())
         at += n
     return pa.table({"doc_id": pa.array(c.id_list(), pa.int64()), "n_bytes": c.sizes, "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
@@ -258,12 +329,12 @@ def _result(p: Parse, c: Chunk, got: dict[tuple[str, int], bytes]) -> pa.Table:
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     chunks = pack(docs, id_col=id_col, text_col=text_col)
-    n = min(buckets_for(chunks), 1 << 16)
+    n = buckets_for(chunks)
     told = answer(send(chunks, lambda c: Parse(c, n).ask()), _triggers_of_bucket, n)
 
     def phrases(c: Chunk, got: dict) -> pa.Table:
         p = Parse(c, n)
-        asked = list(Phrases(p, c, p.shared(got)).ask())
+        asked = list(Phrases(p, c, *p.shared(got)).ask())
         return pa.table({"chunk": pa.array([c.number] * len(asked), pa.int64()), "bucket": pa.array([a[0] for a in asked], pa.int32()), "kind": pa.array([a[1] for a in asked], pa.string()), "payload": pa.array([a[2] for a in asked], pa.binary())})
 
     asked = meet(chunks, told, phrases, "chunk long, bucket int, kind string, payload binary", n)

@@ -270,8 +270,10 @@ def brute_repeats(docs):
     return out
 
 
-def test_repeats(spark, monkeypatch):
-    monkeypatch.setattr(chunks, "CHUNK", 3000)
+@pytest.mark.parametrize("hot", [1, 1 << 16])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(chunks, "CHUNK", 9000)
+    monkeypatch.setattr(repeats, "HOT", hot)
     docs = corpus() + [(i, ("ab" * 30) + str(i)) for i in range(400, 405)]
     got = [tuple(r) for r in repeats.remove(documents(spark, docs)).collect()]
     assert sorted(got, key=KEY) == sorted(brute_repeats(docs), key=KEY)
