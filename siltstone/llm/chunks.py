@@ -120,6 +120,11 @@ def send(chunks: DataFrame, f: Callable[[Chunk], Iterator[tuple[int, str, bytes]
     return chunks.mapInArrow(run, MESSAGE)
 
 
+def parts_for(n_buckets: int) -> int:
+    """Tasks that buckets or chunks are dealt to: some four of them a task, as each task leaves a file."""
+    return max(min(n_buckets, 16), n_buckets // 4)
+
+
 def answer(messages: DataFrame, f: Callable[[list[bytes]], tuple[list[bytes], str]], n_buckets: int) -> DataFrame:
     """Each bucket's answers, staged: f gets the payloads of a bucket and gives an answer for each, and a kind."""
 
@@ -128,11 +133,11 @@ def answer(messages: DataFrame, f: Callable[[list[bytes]], tuple[list[bytes], st
         replies, kind = f(t.column("payload").to_pylist())
         return pa.table([t.column("chunk"), t.column("bucket"), pa.array([kind] * t.num_rows, pa.string()), pa.array(replies, pa.binary())], schema=MESSAGE_ARROW)
 
-    dealt = messages.repartition(n_buckets, "bucket")
+    dealt = messages.repartition(parts_for(n_buckets), "bucket")
     return stage(dealt.groupBy("bucket").applyInArrow(run, MESSAGE))
 
 
-def meet(chunks: DataFrame, replies: DataFrame, f: Callable[[Chunk, dict[tuple[str, int], bytes]], pa.Table], schema: str, parts: int) -> DataFrame:
+def meet(chunks: DataFrame, replies: DataFrame, f: Callable[[Chunk, dict[tuple[str, int], bytes]], pa.Table], schema: str, n_buckets: int) -> DataFrame:
     """f of each chunk with its answers by (kind, bucket)."""
     fields = replies.sparkSession.createDataFrame([], schema).schema
 
@@ -141,5 +146,6 @@ def meet(chunks: DataFrame, replies: DataFrame, f: Callable[[Chunk, dict[tuple[s
         tables = [f(Chunk(left.slice(i, 1).to_pylist()[0]), got) for i in range(left.num_rows)]
         return pa.concat_tables(tables)
 
+    parts = parts_for(n_buckets)
     a, b = chunks.repartition(parts, "chunk"), replies.repartition(parts, "chunk")
     return a.groupBy("chunk").cogroup(b.groupBy("chunk")).applyInArrow(run, fields)
