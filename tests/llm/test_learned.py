@@ -1,6 +1,8 @@
 """Operators that learn or approximate: held-out accuracy and recall."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -99,6 +101,92 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(d, none).collect()} == {0.0}
 
 
+def brute_likelihood(texts, d, least):
+    """p(w | v, c) by dictionaries, from the texts of (toxic, ordinary)."""
+    n, pairs, begins = [], [], []
+    for x in texts:
+        docs = [toxicity.words_of(t) for t in x]
+        two = {(v, w) for t in docs for v, w in zip([b"", *t], t)}
+        three = {(u, v, w) for t in docs for u, v, w in zip([b"", *t], t, t[1:])}
+        n.append(Counter(w for _, w in two))
+        pairs.append(Counter((v, w) for _, v, w in three))
+        begins.append(Counter(w[:5] for w in {w for _, w in two}))
+    words = {b""} | set(n[0]) | set(n[1])
+    starts = {w[:5] for w in words}
+    has = {w: max(1, (w in n[0]) + (w in n[1])) for w in words}
+    of_start = {b: 1 + sum(has[w] for w in words if w[:5] == b) for b in starts}
+    begin_has = {b: max(1, (b in begins[0]) + (b in begins[1])) for b in starts}
+
+    def begin(b, c):
+        low = begin_has.get(b, 1) / (sum(begin_has.values()) + 1)
+        return (max(begins[c][b] - d, 0) + d * len(begins[c]) * low) / sum(begins[c].values())
+
+    def single(w, c):
+        b = w[0] if isinstance(w, tuple) else w[:5]  # (b,): the unknown words that begin so
+        low = begin(b, c) * (has.get(w, 1) / of_start[b] if b in starts else 1)
+        return (max(n[c][w] - d, 0) + d * len(n[c]) * low) / sum(n[c].values())
+
+    both = pairs[0] + pairs[1]
+    lean = {(w, c): single(w, c) / (single(w, 0) / 2 + single(w, 1) / 2) for w in words for c in (0, 1)}
+
+    def share(count, v, w):
+        total = sum(k for (x, _), k in count.items() if x == v)
+        return max(count[v, w] - d, 0) / total if total and both[v, w] >= least else 0.0
+
+    def left(count, v):
+        return 1 - sum(share(count, v, w) for w in {w for x, w in count if x == v})
+
+    def likelihood(v, w, c):
+        norm = sum(share(both, v, x) * lean[x, c] for x in {x for y, x in both if y == v}) + left(both, v)
+        back = (share(both, v, w) * lean.get((w, c), 1) + left(both, v) * single(w, c)) / norm
+        return share(pairs[c], v, w) + left(pairs[c], v) * back
+
+    return likelihood, words, starts
+
+
+def test_class_models_are_proper_and_exact():
+    rng = random.Random(5)
+    nouns = ["apple", "applet", "appletree", "moron", "moronic", "the", "a", "of"]
+    make = lambda k, bad: [" ".join(rng.choice(nouns[: 3 + 2 * bad] + nouns[5:]) for _ in range(rng.randint(0, 12))) for _ in range(k)]
+    toxic, ordinary = make(4, 1), make(3, 0)  # fewer than five: all of them are learnt from
+    for least in (1, 2, 3):
+        likelihood, words, starts = brute_likelihood((toxic, ordinary), 0.6, least)
+        for c in (0, 1):
+            for v in (b"", b"the", b"moron", b"apple"):
+                unknown = [(b,) for b in starts] + [(b"never",)]
+                assert abs(sum(likelihood(v, w, c) for w in [*words, *unknown]) - 1) < 1e-9
+        model = toxicity.Classes(toxic, ordinary, discount=0.6, least=least)
+        docs = [toxicity.words_of(t) for t in [*toxic, *ordinary, "moron apple the", "moronish the appleseed a zebra moron the", ""]]
+        got, heard = model.likelihoods(docs)
+        i = 0
+        for t in docs:
+            for before, w in zip([b"", *t], t):
+                for c in (0, 1):
+                    if w[:5] not in starts:
+                        assert not heard[i] and got[c, i] == 0
+                    elif before not in words:
+                        assert abs(math.exp(got[c, i]) - (likelihood(b"nothing before", w, c))) < 1e-6
+                    else:
+                        assert abs(math.exp(got[c, i]) / likelihood(before, w, c) - 1) < 1e-4, (before, w, c)
+                i += 1
+
+
+def test_toxicity_of_awkward_samples(spark):
+    assert (toxicity.Classes([], ["a"]).scores(["x", None]) == 0).all()
+    for toxic, ordinary in ((["", "."], ["..", "!"]), (["a"], ["a"]), (["moron " * 3] * 7, ["the end"] * 9)):
+        s = toxicity.Classes(toxic, ordinary).scores(["moron", "", None, "the end of it " * 9])
+        assert np.isfinite(s).all() and s[1] == s[2]
+    rows = [(1, "vile moron", "p", "q")] * 500 + [(i, f"calm words {i}", "p", "q") for i in range(2, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, c string, y string")
+    labels = spark.createDataFrame([(1, 1)] * 3 + [(i, 0) for i in range(2, 40)], "doc_id long, toxic int")
+    toxic, ordinary, share = toxicity.sample(d, labels, per_class=5)
+    assert toxic == ["vile moron"] and len(ordinary) == 5 and 0 < share < 0.1
+    model = toxicity.Classes(*toxicity.sample(d, labels))
+    kept = toxicity.keep_ordinary(d, model)
+    assert kept.columns == d.columns and kept.count() <= len(rows)
+    assert toxicity.score(d.limit(0), model).count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(300, 16))
@@ -152,6 +240,15 @@ def test_graph_is_pruned():
     assert (g.search(np.arange(50), 0.7) & ~g.exhaustive(np.arange(50), 0.7)).sum() == 0
 
 
+def test_repeated_and_long_rows_are_learnt_from(spark):
+    rows = [(i, f"uno dos {i}", "es") for i in range(4)] * 5000 + [(10, "ab cd " * 30000, "xx"), (11, "½ ² 3", "yy"), (12, None, "es")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"c_label": F.lit(1), "label": F.lit(2), "i": F.lit(3)})
+    got = language.sample(d)
+    assert sorted(got["es"]) == sorted(f"uno dos {i}".encode() for i in range(4)) and len(got["xx"]) == 1 and len(got["xx"][0]) == 1 << 16
+    assert sum(len(x) for x in language.sample(d, per_lang=2).values()) == 3 and "yy" not in got
+    assert language.Trees(got).best(["½ ²", "², ①", "", None, "dos"])[0] == ["und"] * 4 + ["es"]
+
+
 def test_sample_is_bounded(spark):
     d = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("abc def").alias("text"), F.lit("en").alias("lang"))
     assert len(language.sample(d, per_lang=7)["en"]) == 7
