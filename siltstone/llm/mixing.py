@@ -7,7 +7,8 @@ documents of like size are folded in parallel, each leaves one undecided fractio
 the tree. The last fold goes from large to small, so what stays undecided at the end is a small document.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times; a source may be null (it is a source of its own,
-last in order); repeated rows are pooled and share their copies evenly; an empty table gives no rows; other columns are
+last in order); rows equal in id, source and text are pooled and share their copies evenly; texts are counted whole, as one
+value of a task; fractions of equal size meet in the order of a hash; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import n_spaced_words, stage
+from siltstone.llm.common import free_names, n_spaced_words, stage
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3) -> DataFrame:
@@ -45,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat
 
 
 def _fold(elements: Column, seed: int) -> Column:
-    """Sequential pivotal steps over an array of (size, r, doc_id, p, base, m): struct(c: undecided one, done)."""
+    """Sequential pivotal steps over an array of (size, r, doc_id, h, p, base, m): struct(c: undecided one, done)."""
     none = F.filter(elements, lambda e: F.lit(False))
 
     def decided(e: Column, up: Column) -> Column:
@@ -81,20 +82,20 @@ def _levels(n: int, fan_in: int) -> int:
     return k
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3, seed: int = 29, fan_in: int = 32) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): a row per document row; taken = copies * size."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_spaced_words(F.col(text_col)).alias("size"))
-    units = stage(d.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")))
+def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], max_repeat: float, seed: int, fan_in: int) -> DataFrame:
+    """(doc_id, source, h, size, source_size, target, m, all): of the m rows that are equal in id, source and text (hash h), the copies taken of all of them."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h"), n_spaced_words(F.col(text_col)).alias("size"))
+    units = stage(d.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("m")))
     src = stage(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n")), weights, max_repeat).withColumnRenamed("source", "s"))
     most = src.agg(F.max("n")).first()[0] or 0
     share = F.when(F.col("source_size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(0.0)
     near = F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(share)
     u = units.join(src, F.col("source").eqNullSafe(F.col("s"))).withColumn("x", F.when(F.col("size") > 0, near).otherwise(0.0))
     u = u.withColumn("base", F.floor("x").cast("long")).withColumn("p", F.col("x") - F.col("base"))
-    r = F.xxhash64("doc_id", "size", "source", F.lit(seed))
+    r = F.xxhash64("doc_id", "size", "source", "h", F.lit(seed))
     u = u.withColumn("r", r).withColumn("band", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
     keys = ["source", "source_size", "target"]
-    element = F.struct("size", "r", "doc_id", "p", "base", "m")
+    element = F.struct("size", "r", "doc_id", "h", "p", "base", "m")
     parts = [u.where("p = 0").select(*keys, element.alias("e"))]
     level = u.where("p > 0").select(*keys, "band", F.col("r").alias("spot"), element.alias("e"))
     roots = []
@@ -122,9 +123,31 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
-    rows = rows.select(*keys, "e.doc_id", "e.size", "e.m", (F.col("e.base") + F.col("e.p").cast("long")).alias("all"))
+    return rows.select(*keys, "e.doc_id", "e.h", "e.size", "e.m", (F.col("e.base") + F.col("e.p").cast("long")).alias("all"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3, seed: int = 29, fan_in: int = 32) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): a row per document row; taken = copies * size."""
+    rows = _units(docs, id_col, text_col, source_col, weights, max_repeat, seed, fan_in)
     # pooled rows are dealt again, in slices so that no array grows with the number of repeats
     rows = rows.withColumn("hi", F.explode(F.expr("sequence(0L, (m - 1) div 4096)")))
     rows = rows.withColumn("i", F.explode(F.expr("sequence(hi * 4096, least(m, (hi + 1) * 4096) - 1)")))
     copies = F.expr("all div m + if(i < all % m, 1, 0)")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3, seed: int = 29, fan_in: int = 32) -> DataFrame:
+    """The mix itself: the documents that it takes, all columns kept, with copies and taken (which replace columns so named).
+
+    Rows that are equal in id, source and text are one document here: one of them stays, with the copies of all.
+    """
+    units = stage(_units(docs, id_col, text_col, source_col, weights, max_repeat, seed, fan_in))
+    again = not units.where("m > 1").isEmpty()
+    docs = docs.drop("copies", "taken")
+    i, s, h, own = free_names(docs, "unit_id", "unit_source", "unit_h", "own_h")
+    got = units.where("all > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("h").alias(h), F.col("all").alias("copies"), (F.col("all") * F.col("size")).alias("taken"))
+    d = docs.withColumn(own, F.xxhash64(text_col))
+    if again:
+        d = d.dropDuplicates([id_col, source_col, own])
+    on = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).cast("string").eqNullSafe(F.col(s)) & (F.col(own) == F.col(h))
+    return d.join(got, on).select(*[f"`{c}`" for c in docs.columns], "copies", "taken")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline as cp
-from siltstone.llm import simhash
+from siltstone.llm import mixing, simhash
 from siltstone.llm.common import stage
 from tests.llm.data import corpus, words
 from tests.llm.test_exact import alnum, spans
@@ -86,20 +86,45 @@ def test_stages(spark, tables):
                 at = int(b)
         assert re.sub(r"\s+|\[TERM\]", "", r["text"]) == re.sub(r"\s+", "", out + t[at:]) or len(r["text"]) < len(out + t[at:])
 
-    mixed = f["mix"](spark, safe, folder).collect()
-    by, size = defaultdict(int), {}
+    out = f["mix"](spark, safe, folder)
+    assert out.columns == [*docs.columns, "copies", "taken"]
+    mixed = out.collect()
+    given = {(r["doc_id"], r["text"], r["source"]) for r in safe.collect()}
+    by = defaultdict(int)
     for r in mixed:
-        assert r["copies"] >= 1 and r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+        assert (r["doc_id"], r["text"], r["source"]) in given and 1 <= r["copies"] <= 3
+        assert r["taken"] == r["copies"] * len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
         by[r["source"]] += r["taken"]
-        size[r["source"]] = r["target"]
+    want = {r["source"]: r["target"] for r in mixing.mix(safe).collect()}
     biggest = max(len((r["text"] or "").split()) for r in safe.collect())
-    assert all(abs(by[s] - size[s]) <= biggest for s in by)
+    assert len(mixed) == len({(r["doc_id"], r["text"], r["source"]) for r in mixed}) and all(abs(by[s] - want[s]) <= biggest for s in want)
 
 
 def test_run_and_empty(spark, tables):
     docs, _, folder = tables
     assert cp.run(spark, folder).count() > 50
     empty = docs.limit(0)
-    for _, f in cp.STAGES[:-1]:
+    for name, f in cp.STAGES:
         out = f(spark, empty, folder)
-        assert out.columns == docs.columns and out.count() == 0
+        assert out.columns == docs.columns + ["copies", "taken"] * (name == "mix") and out.count() == 0
+
+
+def test_rows_that_share_ids_or_names_stay_whole(spark, tables):
+    """Null and repeated ids with other texts, and clashing names: no document of its own is lost at any stage."""
+    _, _, folder = tables
+    rng = random.Random(4)
+    texts = [(None, words(rng, 60)) for _ in range(4)] + [(5, words(rng, 60)) for _ in range(3)] + [(6, "½ ² ③"), (6, "½ ² ③"), (6, None)]
+    odd = ["bad_id", "kept_id", "safe_key", "safe_text", "unit_id", "own_h", "k", "c", "y", "root", "fp"]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1, *[1] * len(odd)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in odd))
+    key = lambda df: sorted((r["doc_id"] or -1, r["text"] or "") for r in df.collect())
+    once = sorted({(i or -1, t or "") for i, t in texts})
+    f = dict(cp.STAGES)
+    d = docs
+    for name in ("toxicity", "near_dedup", "decontaminate", "pii"):
+        d = stage(f[name](spark, d, folder))
+        assert d.columns == docs.columns, name
+        assert key(d) == (sorted((i or -1, t or "") for i, t in texts) if name == "toxicity" else once), name
+    out = f["mix"](spark, d, folder)
+    assert out.columns == [*docs.columns, "copies", "taken"] and out.agg({"taken": "sum"}).first()[0] == sum(len(t.split()) for _, t in once)
+    again = mixing.take(docs)
+    assert len(key(again)) == len(set(key(again))) and again.agg({"taken": "sum"}).first()[0] == sum(len((t or "").split()) for _, t in texts)
