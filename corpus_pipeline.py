@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents to a clean, weighted training mix."""
+"""The corpus pipeline: documents to a clean, weighted training mix.
+
+Every stage takes rows with null or repeated ids, null, empty or very long texts and further columns of any name, and keeps
+the columns of documents; the last adds copies and taken. A null or empty text is not toxic, holds no benchmark words and no
+personal data, is a near copy of the other empty ones (one of a group stays), and has no words to take. An empty table
+passes as an empty table. Ties are settled by id and text hash, as the operators say.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +38,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row per document that it takes, with the copies and words taken."""
-    return mixing.mix(docs).where("copies > 0")
+    """The training mix: the documents that it takes, their texts as sanitised, with copies and the words taken."""
+    return mixing.take(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("pii", sanitise), ("mix", mix)]
