@@ -1,24 +1,29 @@
-"""Embedding near-duplicates by robust-pruned flat graphs on overlapping cluster shards.
-
-Exact copies are folded into one vector with a count. Pivots from k-means on a bounded sample cut the vectors into shards;
-each vector joins the shards of its nearest pivots. In a shard, a flat graph is built: every vector's nearest neighbours
-are robustly pruned (a neighbour goes if a kept one is `alpha` times nearer to it) and made mutual. Every vector is then
-searched from the shard's medoid and its own node: a greedy search that goes on as long as the next candidate is in
-reach of the range, so that it walks through whole neighbourhoods. Links are verified in double precision. A pair that
-shares several shards counts in the first of them; each shard audits its recall against all of its pairs for a part of
-its vectors and answers by block products if it is too low. What the dealing itself would miss is audited before: a bounded
-set of vectors is compared with all vectors, and the number of shards a vector joins rises until every link found so has
-a shard in common.
-
-Links are counted where they are found and only a spanning forest of each shard leaves it, so a large group of near
-copies costs no more edges than it has vectors.
-
-Samples: pivots learn from at most `sample` vectors, the dealing is audited with at most `probes`, both in order of a hash
-of the id. All vectors are indexed and all are queries.
+"""Embedding near-duplicates by a robust-pruned flat graph, built on overlapping cluster shards and searched as a whole.
+
+1. Exact copies are folded into one vector with a count; vectors become unit vectors in double precision.
+2. Cells are cut by k-means pivots, each from a bounded sample of its cell, until none is larger than two shards. A vector
+   joins the cells of its `overlap` nearest pivots (its copies, in deeper cuts, only the nearest); the nearest is its home.
+3. In each shard, every vector's nearest candidates (from block products; a shard is small) are robustly pruned: one goes if
+   a kept one is `alpha` times nearer to it. Lists are made mutual. The lists of all shards are united into one
+   adjacency table: a vector's neighbours in any of its shards.
+4. The united graph is searched, home by home. A query enters at the home's medoid (and then at its own node, if the greedy
+   search has not come by it) and expands what is within the range and some slack, so it walks through whole
+   neighbourhoods. Neighbours that live elsewhere and can be in range, by the angles of the edges walked, are sent as a visit
+   to their home, round by round until no visit is left. A query visits a home once; links to vectors of this home are
+   counted there, after their similarity is computed in double precision, so none counts twice and none is below `reach`.
+5. A bounded set of probes is compared with all vectors. If the recall of their links is under `least`, vectors join more
+   shards and the search is done again; the recall measured is a column of the result.
+
+Only counts and a spanning forest of each visit's links leave a task, so a large group of near copies costs no more edges than
+it has vectors, though a comparison for each of its links.
+
+Samples: pivots learn from at most `sample` vectors of a cell, recall is measured with at most `probes` vectors, both by a
+hash of the id. All vectors are indexed and all are queries.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows with
-a null id and vectors of different lengths with each other; repeated vectors link with each other; ids are taken as
-unique, repeated rows of one id keep a row each; an empty table gives no rows; other columns are ignored.
+a null id and vectors of different lengths with each other; components of any size keep their direction, as they are
+scaled before squares are taken; repeated vectors link with each other; ids are taken as unique, repeated rows of one id
+keep a row each; ties between pivots go to the first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,27 +36,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stage
+from siltstone.llm.common import small, stage
 from siltstone.llm.graph import components
 
 DEGREE, CANDIDATES, ALPHA, BLOCK = 24, 40, 1.2, 256
+#: Children of a cell at most, rows of a cell that are dealt in one task, and cuts below each other.
+FAN, DEAL, DEPTH = 1024, 1 << 17, 8
+SLACK = 0.08
+
+
+def _unit(v: list | None) -> np.ndarray | None:
+    """The unit vector, null if there is none."""
+    if not v or None in v:
+        return None
+    x = np.array(v, np.float64)
+    top = np.abs(x).max()
+    if not np.isfinite(top) or top == 0:
+        return None
+    x = x / top if top > 1e-300 else x * 1e300 / (top * 1e300)
+    return x / np.sqrt((x * x).sum())
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         vec, key = [], []
         for v in b.column(1).to_pylist():
-            ok = bool(v) and None not in v
-            x = np.array(v if ok else [], np.float64)
-            ok = ok and bool(np.isfinite(x).all()) and bool((x != 0).any())
-            vec.append(x.tobytes() if ok else None)
-            key.append(hashlib.md5(x.tobytes()).digest() if ok else None)
+            u = _unit(v)
+            vec.append(None if u is None else u.tobytes())
+            key.append(None if u is None else hashlib.md5(np.array(v, np.float64).tobytes()).digest())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vec, pa.binary()), pa.array(key, pa.binary())], ["vec_id", "vec", "key"])
 
 
-def pivots(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | list) -> np.ndarray:
+    vec = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(vec), np.float64).reshape(len(vec), -1)
+
+
+def pivots(unit: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centres of spherical k-means, started from vectors spread over the sample."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     centre = unit[np.linspace(0, len(unit) - 1, min(k, len(unit))).astype(int)].copy()
     for _ in range(rounds):
         near = (unit @ centre.T).argmax(axis=1)
@@ -63,16 +85,15 @@ def pivots(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 class Graph:
-    """A flat graph over the rows of x."""
+    """Robust-pruned adjacency lists over the rows of x, unit vectors: edges holds row numbers, -1 for none."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.norm = x, np.linalg.norm(x, axis=1)
-        self.unit = x / self.norm[:, None]
+        self.x = x
         n = len(x)
         c = min(CANDIDATES, n - 1)
         lists: list[np.ndarray] = []
         for at in range(0, n, BLOCK):
-            s = self.unit[at : at + BLOCK] @ self.unit.T
+            s = x[at : at + BLOCK] @ x.T
             s[np.arange(len(s)), at + np.arange(len(s))] = -2
             near = np.argpartition(-s, c - 1, axis=1)[:, :c] if c else np.zeros((len(s), 0), int)
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
@@ -83,17 +104,15 @@ class Graph:
         a, b = np.concatenate([source, target]), np.concatenate([target, source])
         key = np.unique(a * n + b)
         a, b = key // n, key % n
-        order = np.lexsort((-np.einsum("ij,ij->i", self.unit[a], self.unit[b]), a))
+        order = np.lexsort((-np.einsum("ij,ij->i", x[a], x[b]), a))
         a, b = a[order], b[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         keep = rank < 3 * DEGREE
-        self.edges = np.full((n, int(rank[keep].max(initial=-1)) + 1), -1)
-        self.edges[a[keep], rank[keep]] = b[keep]
-        self.medoid = int((self.unit @ self.unit.mean(axis=0)).argmax())
+        self.a, self.b = a[keep], b[keep]
 
     def _prune(self, near: np.ndarray, sim: np.ndarray) -> list[np.ndarray]:
         """Robust pruning of sorted candidate lists."""
-        v = self.unit[near]
+        v = self.x[near]
         between = 1 - np.einsum("bid,bjd->bij", v, v)
         dist, alive, kept = 1 - sim, np.ones(near.shape, bool), np.zeros(near.shape, bool)
         for i in range(near.shape[1]):
@@ -102,50 +121,45 @@ class Graph:
             alive &= ~(take[:, None] & (ALPHA * between[:, i, :] <= dist))
         return [row[k] for row, k in zip(near, kept, strict=True)]
 
-    def sims(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.einsum("...d,...d->...", self.x[i], self.x[j]) / (self.norm[i] * self.norm[j])
-
-    def search(self, who: np.ndarray, reach: float, effort: int = 8, slack: float = 0.08, width: int = 4) -> np.ndarray:
-        """(query, vector) matches at `reach` or more of the vectors `who`, as a mask."""
-        n, q = len(self.x), len(who)
-        sim = np.full((q, n), -2.0)
-        todo = np.full((q, n), -2.0)  # similarity of what is seen but not expanded
-        rows = np.arange(q)
-        for start in (np.full(q, self.medoid), who):
-            sim[rows, start] = todo[rows, start] = self.sims(who, start)
-        spent = np.zeros(q, int)
-        w = min(width, n)
-        live = rows
+
+def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, enter: list[np.ndarray], reach: float, own: np.ndarray | None = None, effort: int = 8, width: int = 4) -> np.ndarray:
+    """Similarities (query, row of x) of what a range-expanding greedy search has seen, -2 elsewhere.
+
+    enter: rows that each query begins with. own: each query's own row, where a query begins anew that has not come by it.
+    """
+    n, rows = len(x), np.arange(len(q))
+    sim = np.full((len(q), n), -2.0)
+    todo = np.full((len(q), n), -2.0)  # similarity of what is seen but not expanded
+
+    def see(r: np.ndarray, k: np.ndarray) -> None:
+        flat = np.unique(r * n + k)
+        r, k = flat // n, flat % n
+        new = sim[r, k] == -2
+        r, k = r[new], k[new]
+        sim[r, k] = todo[r, k] = np.einsum("ij,ij->i", q[r], x[k])
+
+    def walk(live: np.ndarray) -> None:
+        spent, w = np.zeros(len(q), int), min(width, n)
         while len(live):
             best = np.argpartition(-todo[live], w - 1, axis=1)[:, :w]
             value = np.take_along_axis(todo[live], best, 1)
-            go = (value > -2) & ((value >= reach - slack) | (spent[live] < effort)[:, None])
+            go = (value > -2) & ((value >= reach - SLACK) | (spent[live] < effort)[:, None])
             active = go.any(axis=1)
             live, best, go = live[active], best[active], go[active]
-            if not len(live):
-                break
             spent[live] += go.sum(axis=1)
-            r, k = np.nonzero(go)
-            todo[live[r], best[r, k]] = -2
-            e = self.edges[best[r, k]]
-            rr, nn = np.repeat(live[r], e.shape[1]), e.ravel()
-            ok = nn >= 0
-            flat = np.unique(rr[ok] * n + nn[ok])
-            rr, nn = flat // n, flat % n
-            new = sim[rr, nn] == -2
-            rr, nn = rr[new], nn[new]
-            sim[rr, nn] = todo[rr, nn] = self.sims(who[rr], nn)
-        found = sim >= reach
-        found[rows, who] = False
-        return found
-
-    def exhaustive(self, who: np.ndarray, reach: float) -> np.ndarray:
-        s = (self.x[who] @ self.x.T) / (self.norm[who][:, None] * self.norm)
-        close = np.nonzero(np.abs(s - reach) < 1e-9)  # as search() computes it
-        s[close] = self.sims(who[close[0]], close[1])
-        found = s >= reach
-        found[np.arange(len(who)), who] = False
-        return found
+            i, j = np.nonzero(go)
+            r, k = live[i], best[i, j]
+            todo[r, k] = -2
+            e = edges[k]
+            r, k = np.repeat(r, e.shape[1]), e.ravel()
+            see(r[k >= 0], k[k >= 0])
+
+    see(np.repeat(rows, [len(e) for e in enter]), np.concatenate(enter))
+    walk(rows)
+    if own is not None and len(lost := np.flatnonzero(sim[rows, own] == -2)):
+        see(lost, own[lost])
+        walk(lost)
+    return sim
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,137 +174,228 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _ranks(centre: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Rank of every pivot for the rows of x, 0 for the nearest."""
-    order = np.argsort(-(x @ centre.T), axis=1, kind="stable")
-    out = np.empty(order.shape, np.int16)
-    np.put_along_axis(out, order, np.arange(len(centre), dtype=np.int16)[None, :], axis=1)
-    return out
+def _cut(vectors: DataFrame, sample: int, per_shard: int, overlap: int) -> DataFrame:
+    """(rep, m, vec, cell, home): the vectors dealt to cells of at most some 2 per_shard vectors, staged."""
 
-
-def _needed(centres: dict[int, np.ndarray], probes: dict[int, np.ndarray], reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of batches of vectors (vec), the number of shards a vector must join for all links with the probes to share one."""
-    ready = {d: (q / np.linalg.norm(q, axis=1, keepdims=True), _ranks(centres[d], q)) for d, q in probes.items() if d in centres}
+    def learn(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        k = max(2, min(FAN, -(-t.column("n")[0].as_py() // per_shard)))
+        return pa.table({"cell": t.column("cell").slice(0, 1), "pivots": pa.array([pivots(_matrix(t.column("vec")), k).tobytes()], pa.binary())})
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["rep", "m", "vec", "cell", "home"])
+        x, cell = _matrix(left.column("vec")), left.column("cell")[0].as_py()
+        centre = np.frombuffer(right.column("pivots")[0].as_py(), np.float64).reshape(-1, x.shape[1])
+        take, child = [], []
+        home = np.array(left.column("home").to_pylist(), bool)
+        for at in range(0, len(x), 4096):
+            near = np.argsort(-(x[at : at + 4096] @ centre.T), axis=1, kind="stable")[:, :overlap]
+            used = home[at : at + 4096, None] | (np.arange(near.shape[1]) == 0)
+            r, c = np.nonzero(used)
+            take.append(r + at)
+            child.append(np.stack([near[r, c], c]))
+        i, (j, rank) = np.concatenate(take), np.concatenate(child, axis=1)
+        path = [int.from_bytes(hashlib.blake2b(b"%d/%d" % (cell, k), digest_size=8).digest(), "big", signed=True) for k in range(len(centre))]
+        part = left.select(["rep", "m", "vec"]).take(pa.array(i))
+        return part.append_column("cell", pa.array([path[k] for k in j.tolist()], pa.int64())).append_column("home", pa.array(home[i] & (rank == 0)))
+
+    todo = vectors.select("rep", "m", "vec", F.octet_length("vec").cast("long").alias("cell"), F.lit(True).alias("home"))
+    done, made = [], "rep long, m long, vec binary, cell long, home boolean"
+    for _ in range(DEPTH):
+        size = stage(todo.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_shard)).withColumnRenamed("cell", "big")
+        if size.isEmpty():
+            break
+        big = todo.join(small(size), F.col("cell") == F.col("big"), "left")
+        done.append(big.where("big is null").select("rep", "m", "vec", "cell", "home"))
+        big = big.where("big is not null")
+        r = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / float(1 << 40)
+        some = big.where(r * F.col("n") <= sample).select("cell", "n", "rep", "vec")
+        centres = stage(some.groupBy("cell").applyInArrow(learn, "cell long, pivots binary"))
+        salts = F.ceil(F.col("n") / DEAL).cast("int")
+        salted = big.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(7)), salts).cast("int")).select("rep", "m", "vec", "cell", "home", "salt")
+        spread = centres.join(small(size), F.col("cell") == F.col("big")).select("cell", "pivots", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        todo = stage(salted.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInArrow(deal, made))
+    for d in done:
+        todo = todo.union(d)
+    return stage(todo.repartition("cell"))
+
+
+def _build(t: pa.Table) -> pa.Table:
+    """The edges (a, b, sim) of a shard, and its home's medoid as an edge (a, a)."""
+    t = t.sort_by("rep")
+    rep, x = t.column("rep").to_numpy(), _matrix(t.column("vec"))
+    g = Graph(x)
+    sim = np.einsum("ij,ij->i", x[g.a], x[g.b])
+    own = np.flatnonzero(np.array(t.column("home").to_pylist(), bool))
+    middle = own[[int((x[own] @ x[own].mean(axis=0)).argmax())]] if len(own) else own
+    return pa.table({"a": np.concatenate([rep[g.a], rep[middle]]), "b": np.concatenate([rep[g.b], rep[middle]]), "sim": np.concatenate([sim, np.ones(len(middle))])})
+
+
+_FOUND = "kind int, a long, b long, n long, vec binary, enter array<long>"
+
+
+def _visit(reach: float, first: bool) -> Callable[..., pa.Table]:
+    """Search of a home: of all of its own vectors (first), or of visits (q, vec, enter) from elsewhere.
+
+    Gives links of a query (kind 0: a, n), forest edges (1: a, b) and visits to other homes (2: a, home b, vec, enter).
+    """
+
+    def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        kinds: list[list] = [[], [], [], [], [], []]
+
+        def add(kind: int, a: list, b: list | None = None, n: list | None = None, vec: list | None = None, enter: list | None = None) -> None:
+            for out, x in zip(kinds, ([kind] * len(a), a, b, n, vec, enter), strict=True):
+                out += x if x is not None else [None] * len(a)
+
+        left = left.sort_by("rep")
+        rep, m = left.column("rep").to_numpy(), left.column("m").to_numpy()
+        if len(rep) and (right is None or right.num_rows):
+            x, home = _matrix(left.column("vec")), left.column("home")[0].as_py()
+            near = left.column("near").combine_chunks()
+            count = np.diff(near.offsets.to_numpy())
+            of = np.repeat(np.arange(len(rep)), count)
+            flat = near.flatten()
+            to, to_home, edge = (flat.field(k).to_numpy() for k in ("b", "home", "sim"))
+            inside = to_home == home
+            i, j = of[inside], np.searchsorted(rep, to[inside])
+            self_edge = i == j
+            medoid = i[self_edge]
+            i, j = i[~self_edge], j[~self_edge]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            edges = np.full((len(rep), int(rank.max(initial=0)) + 1), -1)
+            edges[i, rank] = j
+            out_of, out_to, out_home, out_angle = of[~inside], to[~inside], to_home[~inside], np.arccos(np.clip(edge[~inside], -1, 1))
+            begin = np.searchsorted(out_of, np.arange(len(rep) + 1))
+            if right is None:
+                q, ids = x, rep
+                enter = [medoid if len(medoid) else np.array([0])] * len(q)
+            else:
+                right = right.sort_by("a")
+                q, ids = _matrix(right.column("vec")), right.column("a").to_numpy()
+                enter = [np.unique(np.searchsorted(rep, e)) for e in right.column("enter").to_pylist()]
+            widest = np.arccos(reach - SLACK)
+            link_q, link_x = [], []
+            for at in range(0, len(q), BLOCK):
+                part = q[at : at + BLOCK]
+                own = np.arange(at, at + len(part)) if right is None else None
+                sim = search(x, edges, part, enter[at : at + BLOCK], reach, own)
+                if own is not None:
+                    sim[np.arange(len(part)), own] = 1.0
+                hit = sim >= reach
+                if own is not None:
+                    hit[np.arange(len(part)), own] = False
+                r, k = np.nonzero(hit)
+                add(0, ids[at : at + len(part)].tolist(), n=(hit @ m).tolist())
+                link_q.append(r + at)
+                link_x.append(k)
+                # neighbours elsewhere that can be in range, seen from a vector in range
+                r, k = np.nonzero(sim >= reach - SLACK)
+                size = begin[k + 1] - begin[k]
+                spot = np.repeat(begin[k], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                angle = np.repeat(np.arccos(np.clip(sim[r, k], -1, 1)), size)
+                can = np.abs(out_angle[spot] - angle) <= widest
+                asks: dict[tuple[int, int], set[int]] = {}
+                for who, where, what in zip(np.repeat(r, size)[can].tolist(), out_home[spot[can]].tolist(), out_to[spot[can]].tolist(), strict=True):
+                    asks.setdefault((who, where), set()).add(what)
+                add(2, [int(ids[at + who]) for who, _ in asks], [h for _, h in asks], vec=[part[who].tobytes() for who, _ in asks], enter=[sorted(e) for e in asks.values()])
+            lq, lx = np.concatenate(link_q), np.concatenate(link_x)
+            if right is None:
+                name, root = rep, _forest(len(rep), lq, lx)
+            else:
+                name, root = np.concatenate([rep, ids]), _forest(len(rep) + len(ids), lx, lq + len(rep))
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            add(1, name[tied].tolist(), name[root[tied]].tolist())
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, t) for c, t in zip(kinds, types, strict=True)], names=["kind", "a", "b", "n", "vec", "enter"])
+
+    return (lambda t: run(t)) if first else run
+
+
+def _link(reps: DataFrame, reach: float, sample: int, per_shard: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, n), forest (a, b)) of the search."""
+    dealt = _cut(reps, sample, per_shard, overlap)
+    built = stage(dealt.groupBy("cell").applyInArrow(_build, "a long, b long, sim double"))
+    homes = dealt.where("home").select(F.col("rep").alias("h_rep"), F.col("cell").alias("home"))
+    united = built.groupBy("a", "b").agg(F.max("sim").alias("sim")).join(homes, F.col("b") == F.col("h_rep"))
+    lists = united.groupBy("a").agg(F.collect_list(F.struct("b", "home", "sim")).alias("near"))  # some 3 DEGREE a shard at most
+    nodes = dealt.where("home").select("rep", "m", "vec", F.col("cell").alias("home")).join(lists, F.col("rep") == F.col("a"), "left")
+    none = F.array().cast("array<struct<b:long,home:long,sim:double>>")
+    nodes = stage(nodes.select("rep", "m", "vec", "home", F.coalesce("near", none).alias("near")).repartition("home"))
+    found = stage(nodes.groupBy("home").applyInArrow(_visit(reach, True), _FOUND))
+    seen = nodes.select(F.col("rep").alias("s_a"), F.col("home").alias("s_home"))
+    links, forest = found.where("kind = 0"), found.where("kind = 1")
+    while True:
+        asks = found.where("kind = 2").groupBy("a", "b").agg(F.first("vec").alias("vec"), F.array_distinct(F.flatten(F.collect_list("enter"))).alias("enter"))
+        asks = stage(asks.join(seen, (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_home")), "left_anti").select("a", "vec", "enter", F.col("b").alias("home")))
+        if asks.isEmpty():
+            return links.groupBy("a").agg(F.sum("n").alias("n")), forest.select("a", "b")
+        seen = seen.union(asks.select(F.col("a").alias("s_a"), F.col("home").alias("s_home")))
+        there = nodes.join(small(stage(asks.select(F.col("home").alias("asked")).distinct())), F.col("home") == F.col("asked"), "left_semi")
+        found = stage(there.groupBy("home").cogroup(asks.groupBy("home")).applyInArrow(_visit(reach, False), _FOUND))
+        links, forest = links.union(found.where("kind = 0")), forest.union(found.where("kind = 1"))
+
+
+def _true_links(reps: DataFrame, queries: list, reach: float) -> DataFrame:
+    """(a, n): the links of the queries (rep, vec) with all vectors, compared in blocks."""
+    by: dict[int, list] = {}
+    for rep, vec in queries:
+        by.setdefault(len(vec) // 8, []).append((rep, bytes(vec)))
+    blocks = {d: (np.array([r for r, _ in v]), _matrix([x for _, x in v])) for d, v in by.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = 1
+        total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in blocks.items()}
         for b in batches:
-            vec = b.column(0).to_pylist()
-            for d, (unit, rank) in ready.items():
-                all_x = np.frombuffer(b"".join(v for v in vec if len(v) == 8 * d), np.float64).reshape(-1, d)
-                for at in range(0, len(all_x), BLOCK):
-                    x = all_x[at : at + BLOCK]
-                    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T >= reach - 1e-9
-                    some = np.flatnonzero(near.any(axis=1))
-                    for i, r in zip(some, _ranks(centres[d], x[some]), strict=True):
-                        need = max(need, int(np.maximum(rank[near[i]], r).min(axis=1).max()) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([need], pa.int32())], ["need"])
+            m, vec, rep = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            size = np.array([len(v) // 8 for v in vec])
+            for d, (ids, q) in blocks.items():
+                own = np.flatnonzero(size == d)
+                for at in range(0, len(own), 2048):
+                    who = own[at : at + 2048]
+                    near = _matrix([vec[i] for i in who]) @ q.T >= reach
+                    total[d] += m[who] @ (near & (rep[who][:, None] != ids))
+        for d, (ids, _) in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[d], pa.int64())], ["a", "n"])
 
-    return run
+    return reps.select("m", "vec", "rep").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def _by_size(rows: list) -> dict[int, np.ndarray]:
-    out: dict[int, list[bytes]] = {}
-    for r in rows:
-        out.setdefault(len(r[0]) // 8, []).append(bytes(r[0]))
-    return {d: np.frombuffer(b"".join(v), np.float64).reshape(-1, d) for d, v in out.items()}
+def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 600, overlap: int = 3, probes: int = 1024, least: float = 0.98, tries: int = 3) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) of every row; recall: share of the probes' true links that were found.
 
-
-def _shard(reach: float, audit: int, least: float) -> Callable[[pa.Table], pa.Table]:
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        rep, m = t.column("rep").to_numpy(), t.column("m").to_numpy()
-        home = np.array(t.column("shards").to_pylist())
-        shard = t.column("shard")[0].as_py()
-        g = Graph(np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(len(rep), -1))
-        probe = np.arange(0, len(rep), audit)
-        hit = want = 0
-        for at in range(0, len(probe), BLOCK):
-            truth, got = g.exhaustive(probe[at : at + BLOCK], reach), g.search(probe[at : at + BLOCK], reach)
-            hit, want = hit + int((truth & got).sum()), want + int(truth.sum())
-        look = g.search if hit >= least * want else g.exhaustive
-        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for at in range(0, len(rep), BLOCK):
-            who = np.arange(at, min(at + BLOCK, len(rep)))
-            i, j = np.nonzero(look(who, reach))
-            i = who[i]
-            same = (home[i][:, :, None] == home[j][:, None, :]) & (home[i] >= 0)[:, :, None]
-            first = np.where(same.any(axis=2), home[i], np.iinfo(np.int64).max).min(axis=1)
-            own = first == shard
-            np.add.at(links, i[own], m[j[own]])
-            root = _forest(len(rep), np.concatenate([i, np.arange(len(rep))]), np.concatenate([j, root]))
-        kept = np.flatnonzero(root != np.arange(len(rep)))
-        a = np.concatenate([rep, rep[kept]])
-        b = np.concatenate([np.full(len(rep), -1), rep[root[kept]]])
-        n = np.concatenate([links, np.zeros(len(kept), np.int64)])
-        edge = np.concatenate([np.zeros(len(rep), bool), np.ones(len(kept), bool)])
-        return pa.table({"a": a, "b": b, "n": n, "edge": edge})
-
-    return run
-
-
-def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 600, most_shards: int = 2048, overlap: int = 3, probes: int = 2048, audit: int = 16, least: float = 0.98) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row. A vector joins `overlap` shards, or more if the audit needs them."""
+    A vector joins `overlap` shards; as long as the recall is under `least`, twice as many, in up to `tries` searches.
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = stage(rows.mapInArrow(_keys, "vec_id long, vec binary, key binary"))
     good = rows.where("key is not null and vec_id is not null")
     reps = stage(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec")))
-    n = reps.count()
-    some = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()
-    k = max(1, min(most_shards, n // per_shard))
-    centres = {d: pivots(v, max(1, k * len(v) // len(some))) for d, v in _by_size(some).items()}
-    if max(map(len, centres.values()), default=0) > overlap:
-        asked = _by_size(reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(probes).select("vec").collect())
-        need = reps.select("vec").mapInArrow(_needed(centres, asked, reach), "need int").agg(F.max("need")).first()[0]
-        overlap = max(overlap, need or 1)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for rep, m, vec in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                d = len(vec) // 8
-                c = centres.get(d)
-                if c is None:  # a length that the sample has not: one shard
-                    near = [0]
-                else:
-                    near = np.flatnonzero(_ranks(c, np.frombuffer(vec, np.float64)[None])[0] < overlap).tolist()
-                shards = [(d << 32) + x for x in near]
-                shards += [-1 - i for i in range(overlap - len(shards))]
-                out += [(s, rep, m, vec, shards) for s in shards if s >= 0]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["shard", "rep", "m", "vec", "shards"])
-
-    dealt = reps.select("rep", "m", "vec").mapInArrow(deal, "shard long, rep long, m long, vec binary, shards array<long>")
-    found = stage(dealt.repartition(max(8, k // 4), "shard").groupBy("shard").applyInArrow(_shard(reach, audit, least), "a long, b long, n long, edge boolean"))
-    roots = components(found.where("edge").select("a", "b"))
-    links = found.where("not edge").groupBy("a").agg(F.sum("n").alias("n"))
-    label = reps.select("key", "rep", "m").join(links, F.col("rep") == F.col("a")).join(roots, F.col("rep") == F.col("node"), "left")
-    label = stage(label.select(F.col("key").alias("l_key"), (F.col("n") + F.col("m") - 1).alias("n"), F.coalesce("root", "rep").alias("root")))
+    asked = reps.orderBy(F.xxhash64("rep"), "rep").limit(probes).select("rep", "vec").collect()
+    truth = stage(_true_links(reps, asked, reach).withColumnsRenamed({"a": "t_a", "n": "true"}))
+    while True:
+        links, forest = _link(reps, reach, sample, per_shard, overlap)
+        links, tries = stage(links), tries - 1
+        both = truth.join(links, F.col("t_a") == F.col("a"), "left").agg(F.sum(F.least("true", F.coalesce("n", F.lit(0)))), F.sum("true")).first()
+        recall = float(both[0]) / float(both[1]) if both[1] else 1.0
+        if recall >= least or not tries:
+            break
+        overlap *= 2
+    roots = components(forest)
+    label = reps.select("key", "rep", "m").join(links, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    label = stage(label.select(F.col("key").alias("l_key"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "rep").alias("root")))
     out = rows.join(label, (F.col("key") == F.col("l_key")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(recall).alias("recall"))
 
 
 def audit(vectors: DataFrame, found: DataFrame, *, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9) -> float:
-    """Recall of the links of the vectors whose id is divisible by `every`, against all vectors, as found / true counts."""
+    """Recall of the links of the vectors whose id is divisible by `every` (a query set, brought to the driver), against all vectors,
+    as found / true counts."""
     d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = d.mapInArrow(_keys, "vec_id long, vec binary, key binary").where("vec_id is not null and vec is not null").select("vec_id", "vec")
-    queries = [(r[0], np.frombuffer(bytes(r[1]), np.float64)) for r in rows.where(F.col("vec_id") % every == 0).collect()]
+    queries = rows.where(F.col("vec_id") % every == 0).collect()
     if not queries:
         return 1.0
-    sizes = {len(v) for _, v in queries}
-    blocks = {n: ([i for i, v in queries if len(v) == n], np.array([v for _, v in queries if len(v) == n])) for n in sizes}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vec = b.column(1).to_pylist()
-            for n, (ids, q) in blocks.items():
-                x = np.frombuffer(b"".join(v for v in vec if len(v) == 8 * n), np.float64).reshape(-1, n)
-                s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((s >= reach).sum(axis=1))], ["id", "n"])
-
-    truth = rows.mapInArrow(run, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
+    truth = _true_links(rows.select(F.col("vec_id").alias("rep"), "vec", F.lit(1).cast("long").alias("m")), [tuple(r) for r in queries], reach).withColumnRenamed("a", "id")
     both = truth.join(found, truth.id == found.vec_id).agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
     return 1.0 if not both[1] else float(both[0]) / float(both[1])
 
@@ -302,5 +407,5 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.v
 r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
+SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept, CAST(1 AS DOUBLE) AS recall FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
 """

@@ -227,17 +227,30 @@ def test_embeddings_across_shards(spark):
     x = unit(rng.normal(size=(1000, 64)))
     y = unit(x + 0.45 * unit(rng.normal(size=x.shape)))
     v = np.concatenate([x, y])
-    got = embeddings.group(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<double>"), sample=200, per_shard=20, audit=1, least=1.0)
+    got = embeddings.group(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(v)], "vec_id long, embedding array<double>"), sample=200, per_shard=20, least=1.0, probes=2000)
     want = (v @ v.T >= 0.9).sum(axis=1) - 1
     assert want.sum() > 1000
-    assert [r["n_links"] for r in got.orderBy("vec_id").collect()] == want.tolist()
+    rows = got.orderBy("vec_id").collect()
+    assert [r["n_links"] for r in rows] == want.tolist() and rows[0]["recall"] == 1.0
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.1e200]), (2, [1e-200, 1e-200]), (3, [1e-320, 1e-320]), (4, [1e308, -1e308]), (5, [float("inf"), 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.group(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
 
 
 def test_graph_is_pruned():
-    g = embeddings.Graph(np.random.default_rng(0).normal(size=(200, 8)))
-    degree = (g.edges >= 0).sum(axis=1)
+    x = np.random.default_rng(0).normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = embeddings.Graph(x)
+    degree = np.bincount(g.a, minlength=200)
     assert degree.max() <= 3 * embeddings.DEGREE and degree.min() >= 1
-    assert (g.search(np.arange(50), 0.7) & ~g.exhaustive(np.arange(50), 0.7)).sum() == 0
+    edges = np.full((200, 3 * embeddings.DEGREE), -1)
+    edges[g.a, np.arange(len(g.a)) - np.searchsorted(g.a, g.a)] = g.b
+    sim = embeddings.search(x, edges, x[:50], [np.array([7])] * 50, 0.7)
+    seen = sim > -2
+    assert np.allclose(sim[seen], (x[:50] @ x.T)[seen]) and (sim >= 0.7).sum() >= 0.95 * (x[:50] @ x.T >= 0.7).sum()
 
 
 def test_repeated_and_long_rows_are_learnt_from(spark):
