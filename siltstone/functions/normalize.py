@@ -96,7 +96,7 @@ def severity_weight(c: Column) -> Column:
 
 def coerce_line(c: Column) -> Column:
     """A line number of 1 or more, from a number or its text; else null."""
-    n = c.cast("string").try_cast("double").cast("int")
+    n = c.cast("string").try_cast("double").try_cast("int")
     return F.when(n >= 1, n)
 
 
@@ -125,7 +125,8 @@ def safe_div(n: Column, d: Column) -> Column:
 
 
 def number_or_zero(c: Column) -> Column:
-    return F.coalesce(c.cast("double"), F.lit(0.0))
+    """A number, or its text; anything else is 0."""
+    return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
 
 
 def percent(c: Column) -> Column:

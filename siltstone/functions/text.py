@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import strip
 
+# What tokens, identifiers, terms and line ends are.
 #: Word characters as Unicode letters and numbers: Java's \w is ASCII only.
 _WORD = r"\p{L}\p{N}_"
 _BLANK = r"\s\x1c-\x1f\x85\p{Z}"
@@ -81,20 +82,24 @@ def count_of(code: Column, piece: str) -> Column:
 
 
 def code_metrics(code: Column) -> dict[str, Column]:
-    """The nine metrics of a body, as doubles."""
+    """The nine metrics of a body, as doubles. Tokens are cut once; identifiers are those that begin like one."""
     c = F.coalesce(code, F.lit(""))
-    names = tokens(c, IDENTIFIER)
-    among = lambda *words: F.size(F.filter(names, lambda t: t.isin(*words)))
+
+    def counts(t: Column) -> Column:
+        among = lambda *words: F.size(F.filter(t, lambda x: x.isin(*words)))
+        return F.struct(F.size(t).alias("tokens"), among(*DANGEROUS_CALLS).alias("calls"), among("for", "while").alias("loops"), among("if").alias("ifs"), among("return").alias("returns"))
+
+    n = F.transform(F.array(tokens(c)), counts)[0]  # one expression for all columns, so that it is evaluated once
     out = {
         "line_count": F.when(c == "", 0).otherwise(count_of(c, "\n") + 1),
         "char_count": F.length(c),
-        "token_count": F.regexp_count(c, F.lit(TOKEN)),
-        "dangerous_api_count": among(*DANGEROUS_CALLS),
+        "token_count": n["tokens"],
+        "dangerous_api_count": n["calls"],
         "pointer_operator_count": count_of(c, "->") + count_of(c, "*") + count_of(c, "&"),
         "array_access_count": count_of(c, "["),
-        "loop_count": among("for", "while"),
-        "if_count": among("if"),
-        "return_count": among("return"),
+        "loop_count": n["loops"],
+        "if_count": n["ifs"],
+        "return_count": n["returns"],
     }
     return {k: v.cast("double") for k, v in out.items()}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import crc_bucket, tokens
 
+# Slots, flags and keys of the vectors, in order.
 TYPE_SLOTS, TOKEN_SLOTS, LINE_SCALE = 16, 16, 100.0
 FLAGS = ("is_alert_line", "is_trace_line", "is_source_like", "is_sink_like")
 STATIC_KEYS = ("alert_count", "trace_line_count", "unique_query_count", "has_codeql_alert", "max_severity_score", "function_line_count", "graph_node_count", "graph_edge_count", "dangerous_api_count")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.lines import covered
 from siltstone.functions.normalize import basename, paths_match, severity_rank
 
+# Severities that count as high, bodies of a batch file and the lines of its header.
 HIGH = ("error", "critical", "high")
 BATCH, HEADER = 50, 6
 
@@ -65,34 +66,53 @@ def counters(alerts: DataFrame, sample_id: str = "sample_id") -> DataFrame:
     return q.union(c).union(s)
 
 
+def _levels(width: Column, bin_size: int) -> Column:
+    """Level of a span: its bins are bin_size * 4 ** level long, no shorter than the span, so that it touches two at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(width, F.lit(1)) / F.lit(float(bin_size))))).cast("int")
+
+
+def _bins(start: Column, end: Column, level: Column, bin_size: int) -> Column:
+    size = F.lit(float(bin_size)) * F.pow(F.lit(4.0), level)
+    return F.sequence(F.floor(start / size), F.floor(end / size))
+
+
 def in_spans(points: DataFrame, spans: DataFrame, *, key: str, line: str, ids: str, bin_size: int = 1000, how: str = "left") -> DataFrame:
     """Each point with the narrowest span of its key that holds its line, the first among equals.
 
-    spans: key, start_line, end_line, ord and others. The containment becomes an equi-join on key and line bin, each span
-    standing in the bins that it touches, so no nested loop is needed.
+    spans: key, start_line, end_line, ord and others. The containment becomes an equi-join on key, level and line bin: a
+    span stands in the two bins at most that it touches on the level of its width, a point in one bin of each level in
+    use. The best of a point's hits is an aggregate, so hits are reduced before they are shuffled.
     """
-    b = lambda c: F.floor(F.col(c) / bin_size)
-    s = spans.withColumnsRenamed({key: "_k"}).withColumn("_b", F.explode(F.sequence(b("start_line"), b("end_line"))))
-    s = s.withColumnsRenamed({"start_line": "span_start", "end_line": "span_end", "ord": "span_ord"})
-    p = points.withColumn("_pb", b(line))
-    on = (F.col(key) == F.col("_k")) & (F.col("_pb") == F.col("_b")) & F.col(line).between(F.col("span_start"), F.col("span_end"))
+    s = spans.withColumnsRenamed({key: "_k", "start_line": "span_start", "end_line": "span_end", "ord": "span_ord"}).where("span_end >= span_start")
+    s = s.withColumn("_l", _levels(F.col("span_end") - F.col("span_start"), bin_size))
+    levels = [r[0] for r in s.select("_l").distinct().collect()]  # a row for each power of four of widths
+    s = s.withColumn("_b", F.explode(_bins(F.col("span_start"), F.col("span_end"), F.col("_l"), bin_size)))
+    p = points.withColumn("_pl", F.explode(F.array(*[F.lit(x) for x in levels or [0]])))
+    p = p.withColumn("_pb", F.get(_bins(F.col(line), F.col(line), F.col("_pl"), bin_size), F.lit(0)))
+    on = (F.col(key) == F.col("_k")) & (F.col("_pl") == F.col("_l")) & (F.col("_pb") == F.col("_b")) & F.col(line).between(F.col("span_start"), F.col("span_end"))
     hit = p.join(s, on, how)
     width = F.col("span_end") - F.col("span_start")
-    best = F.row_number().over(W.partitionBy(ids).orderBy(width.asc_nulls_last(), "span_ord"))
-    return hit.withColumn("_n", best).where("_n = 1").drop("_n", "_k", "_b", "_pb")
+    own, rest = [c for c in points.columns if c != ids], [c for c in s.columns if c not in ("_k", "_l", "_b")]
+    best = hit.groupBy(ids).agg(F.first(F.struct(*own)).alias("_p"), F.min_by(F.struct(*rest), F.when(F.col("span_ord").isNotNull(), F.struct(width, "span_ord"))).alias("_s"))
+    return best.select(ids, "_p.*", *[F.col(f"_s.{c}").alias(c) for c in rest])
 
 
-def map_to_samples(alerts: DataFrame, samples: DataFrame, ids: str = "ord") -> DataFrame:
+def map_to_samples(alerts: DataFrame, samples: DataFrame, ids: str = "ord", bin_size: int = 200) -> DataFrame:
     """Alerts with sample_id of the narrowest sample span that they overlap on a matching path; null if there is none.
 
-    Paths match at a slash, so equal base names are the equi-key, and the rest is checked on the pairs.
+    Paths match at a slash, so base name, level and line bin are the equi-key, and the rest is checked on the pairs; an
+    alert's best sample is an aggregate.
     """
-    a = alerts.drop("sample_id").withColumn("_a", basename(F.col("file")))
     s = samples.select(F.col("sample_id"), F.col("span.file").alias("s_file"), F.col("span.start_line").alias("s_start"), F.col("span.end_line").alias("s_end"), basename(F.col("span.file")).alias("_s"))
-    on = (F.col("_a") == F.col("_s")) & paths_match(F.col("file"), F.col("s_file")) & (F.col("start_line") <= F.col("s_end")) & (F.col("end_line") >= F.col("s_start"))
-    hit = a.join(s, on, "left")
-    best = F.row_number().over(W.partitionBy(ids).orderBy((F.col("s_end") - F.col("s_start")).asc_nulls_last(), "sample_id"))
-    return hit.withColumn("_n", best).where("_n = 1").drop("_n", "_a", "_s", "s_file", "s_start", "s_end")
+    s = s.withColumn("_l", _levels(F.col("s_end") - F.col("s_start"), bin_size))
+    levels = [r[0] for r in s.select("_l").distinct().collect() if r[0] is not None]  # a row for each power of four of widths
+    s = s.withColumn("_b", F.explode(_bins(F.col("s_start"), F.col("s_end"), F.col("_l"), bin_size)))
+    a = alerts.drop("sample_id")
+    narrow = a.select(ids, "file", "start_line", "end_line", basename(F.col("file")).alias("_a"), F.explode(F.array(*[F.lit(x) for x in levels or [0]])).alias("_al"))
+    narrow = narrow.withColumn("_ab", F.explode(_bins(F.col("start_line"), F.greatest("start_line", "end_line"), F.col("_al"), bin_size)))
+    on = (F.col("_a") == F.col("_s")) & (F.col("_al") == F.col("_l")) & (F.col("_ab") == F.col("_b")) & paths_match(F.col("file"), F.col("s_file")) & (F.col("start_line") <= F.col("s_end")) & (F.col("end_line") >= F.col("s_start"))
+    best = narrow.join(s, on).groupBy(F.col(ids).alias("_i")).agg(F.min_by("sample_id", F.struct(F.col("s_end") - F.col("s_start"), F.col("sample_id"))).alias("sample_id"))
+    return a.join(best, F.col(ids) == F.col("_i"), "left").drop("_i")
 
 
 def wrap(samples: DataFrame, code: Column, order: str, sample_id: str = "sample_id", batch: int = BATCH, header: int = HEADER) -> DataFrame:

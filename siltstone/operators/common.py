@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in spark.checkpoint.dir; where that is unset, as in tests, in a folder of our own."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Unset, it is a folder of our own in local mode (tests), an error on a cluster."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="siltstone-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint df in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it is small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if counts of its rows and bytes prove that it is small, else as it is."""
+    width = F.lit(16 * len(df.columns))
+    for c, t in df.dtypes:
+        if t in ("string", "binary") or "<" in t:
+            width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    n, held = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df

@@ -7,19 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import exact_hash, normalized_hash
-from siltstone.operators.common import cut
+from siltstone.operators.common import cut, small
 
 
 def deduplicate(df: DataFrame, code: str, order: str, mode: str = "normalized") -> DataFrame:
-    """The first row, by order, of each digest of the code; missing code counts as empty.
+    """The first row, by order, of each digest of the code; missing code counts as empty. The order must be unique.
 
-    One shuffle carries digest and order only: min_by-style aggregation finds the winners, a semi-join keeps them.
+    One shuffle carries digest, order and a short hash of the code: an aggregation finds the winners, a semi-join on order
+    and hash keeps them, so a loser that shares a winner's order stays out unless it has the same code.
     """
     if mode not in ("exact", "normalized"):
         raise ValueError(f"mode must be exact or normalized, got {mode!r}")
-    digest = (exact_hash if mode == "exact" else normalized_hash)(F.col(code))
-    first = df.select(digest.alias("_d"), F.col(order).alias("_o")).groupBy("_d").agg(F.min("_o").alias("_o")).select("_o")
-    return df.join(first, F.col(order) == F.col("_o"), "left_semi")
+    digest, mark = (exact_hash if mode == "exact" else normalized_hash)(F.col(code)), F.xxhash64(code)
+    first = df.select(digest.alias("_d"), F.struct(F.col(order).alias("o"), mark.alias("h")).alias("_f")).groupBy("_d").agg(F.min("_f").alias("_f")).select("_f.o", "_f.h")
+    return df.join(first.withColumnsRenamed({"o": "_o", "h": "_h"}), (F.col(order) == F.col("_o")) & (mark == F.col("_h")), "left_semi")
 
 
 def reject_stream(df: DataFrame, code: str, sample_id: str, order: str) -> DataFrame:
@@ -38,12 +39,12 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank", partitions: i
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # null-safe copies of the order keys would change the order; the columns are used as they are
-    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    out = part.join(F.broadcast(before), F.col("_p") == F.col("_q"))  # a row a partition
-    return out.withColumn(name, (F.col("_b") + F.col("_i") + 1).cast("long")).drop("_m", "_p", "_i", "_q", "_b")
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_rank_m", F.monotonically_increasing_id()))
+    part = placed.withColumn("_rank_p", F.shiftright("_rank_m", 33)).withColumn("_rank_i", F.col("_rank_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = part.groupBy("_rank_p").agg(F.count("*").alias("_rank_n"))
+    before = sizes.select(F.col("_rank_p").alias("_rank_q"), F.coalesce(F.sum("_rank_n").over(W.orderBy("_rank_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_rank_b"))
+    out = part.join(F.broadcast(before), F.col("_rank_p") == F.col("_rank_q"))  # a row a partition
+    return out.withColumn(name, (F.col("_rank_b") + F.col("_rank_i") + 1).cast("long")).drop("_rank_m", "_rank_p", "_rank_i", "_rank_q", "_rank_b")
 
 
 def rank_rows(df: DataFrame, score: str = "rank_score", sample_id: str = "sample_id", top_k: int | None = None) -> DataFrame:
@@ -67,29 +68,49 @@ def _by_share(df: DataFrame, place: Column, n: Column, train: float, valid: floa
     return df.withColumn("split", F.when(place <= a, "train").when(place <= a + b, "valid").otherwise("test"))
 
 
+def _with_split(df: DataFrame, ranked: DataFrame, n: Column, train: float, valid: float, sample_id: str) -> DataFrame:
+    """df with the split of its ids: ids alone are ranked, the rest of a row meets its split in one join."""
+    split = _by_share(ranked, F.col("_place"), n, train, valid).select(F.col(sample_id).alias("_i"), "split")
+    return df.drop("split").join(split, F.col(sample_id).eqNullSafe(F.col("_i"))).drop("_i")
+
+
+def _seeded(sample_id: str, seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col(sample_id).cast("string"), F.lit("")), F.lit(f":{seed}")))
+
+
 def random_split(df: DataFrame, sample_id: str = "sample_id", train: float = 0.7, valid: float = 0.1, seed: int = 42) -> DataFrame:
-    """Train, valid and test by place in the order of a seeded hash of the id; shares are cut to whole rows."""
-    key = F.md5(F.concat(F.col(sample_id).cast("string"), F.lit(f":{seed}")))
-    ranked = global_rank(df, key.asc(), F.col(sample_id).asc(), name="_place")
-    return _by_share(ranked, F.col("_place"), F.lit(float(df.count())), train, valid).drop("_place")
+    """Train, valid and test by place in the order of a seeded hash of the id; shares of the ids are cut to whole ones, and rows that share an id share a split."""
+    ids = cut(df.select(sample_id).distinct())
+    ranked = global_rank(ids, _seeded(sample_id, seed).asc(), F.col(sample_id).asc(), name="_place")
+    return _with_split(df, ranked, F.lit(float(ids.count())), train, valid, sample_id)
 
 
 def time_split(df: DataFrame, time: str, sample_id: str = "sample_id", train: float = 0.7, valid: float = 0.1) -> DataFrame:
-    """Earliest rows train, latest test; rows without a time come last, by id."""
-    ranked = global_rank(df, F.col(time).asc_nulls_last(), F.col(sample_id).asc(), name="_place")
-    return _by_share(ranked, F.col("_place"), F.lit(float(df.count())), train, valid).drop("_place")
+    """Earliest ids train, latest test; ids without a time come last, by id. An id's first time counts."""
+    ids = cut(df.groupBy(sample_id).agg(F.min(time).alias("_t")))
+    ranked = global_rank(ids, F.col("_t").asc_nulls_last(), F.col(sample_id).asc(), name="_place")
+    return _with_split(df, ranked, F.lit(float(ids.count())), train, valid, sample_id)
+
+
+def _places(df: DataFrame, label: str, sample_id: str, seed: int) -> DataFrame:
+    """(_l, _i, _place, _n): place of each (label, id) within its label, in the order of a seeded hash, and the label's number."""
+    ids = cut(df.select(F.col(label).alias("_l"), F.col(sample_id).alias("_i")).distinct())
+    counts = ids.groupBy(F.col("_l").alias("_k")).agg(F.count("*").alias("_n"))
+    ranked = global_rank(ids, F.col("_l").asc_nulls_first(), _seeded("_i", seed).asc(), F.col("_i").asc(), name="_g")
+    before = counts.select("_k", "_n", F.coalesce(F.sum("_n").over(W.orderBy(F.col("_k").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return ranked.join(small(before), F.col("_l").eqNullSafe(F.col("_k"))).select("_l", "_i", (F.col("_g") - F.col("_b")).alias("_place"), "_n")
+
+
+def _kept(df: DataFrame, chosen: DataFrame, label: str, sample_id: str, how: str = "inner") -> DataFrame:
+    return df.join(chosen, F.col(label).eqNullSafe(F.col("_l")) & F.col(sample_id).eqNullSafe(F.col("_i")), how)
 
 
 def stratified_split(df: DataFrame, label: str = "label", sample_id: str = "sample_id", train: float = 0.7, valid: float = 0.1, seed: int = 42) -> DataFrame:
     """Shares within each label, rounded half to even, in the order of a seeded hash."""
-    key = F.md5(F.concat(F.col(sample_id).cast("string"), F.lit(f":{seed}")))
-    counts = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
-    ranked = global_rank(df, F.col(label).asc_nulls_first(), key.asc(), F.col(sample_id).asc(), name="_g")
-    before = counts.select("_l", "_n", F.coalesce(F.sum("_n").over(W.orderBy(F.col("_l").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    out = ranked.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_l"))).withColumn("_place", F.col("_g") - F.col("_b"))  # a row a label
     a = F.bround(F.col("_n") * F.lit(train), 0)
     b = F.least(F.bround(F.col("_n") * F.lit(valid), 0), F.col("_n") - a)
-    return out.withColumn("split", F.when(F.col("_place") <= a, "train").when(F.col("_place") <= a + b, "valid").otherwise("test")).drop("_place", "_g", "_l", "_n", "_b")
+    split = F.when(F.col("_place") <= a, "train").when(F.col("_place") <= a + b, "valid").otherwise("test")
+    return _kept(df.drop("split"), _places(df, label, sample_id, seed).select("_l", "_i", split.alias("split")), label, sample_id).drop("_l", "_i")
 
 
 def resolve_split(df: DataFrame, manifest: DataFrame, sample_id: str = "sample_id", **kw) -> DataFrame:
@@ -120,23 +141,23 @@ def allocate(counts: dict[object, int], size: int) -> dict[object, int]:
 
 
 def stratified_subset(df: DataFrame, size: int, label: str = "label", sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
-    """`size` rows with the labels' shares, chosen by a seeded hash."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row a label
-    take = allocate(counts, size)
-    key = F.md5(F.concat(F.col(sample_id).cast("string"), F.lit(f":{seed}")))
-    nth = F.row_number().over(W.partitionBy(label).orderBy(key, F.col(sample_id)))
-    limit = F.create_map(*[F.lit(x) for kv in take.items() for x in kv]) if take else F.lit(None)
-    return df.withColumn("_n", nth).where(F.col("_n") <= F.element_at(limit, F.col(label))).drop("_n") if take else df.limit(0)
+    """`size` ids with the labels' shares, chosen by a seeded hash."""
+    places = _places(df, label, sample_id, seed)
+    take = allocate({r[0]: r[1] for r in places.select("_l", "_n").distinct().collect()}, size)  # a row a label
+    if not take:
+        return df.limit(0)
+    limit = F.lit(take.get(None, 0))
+    for k, n in take.items():
+        limit = F.when(F.col("_l") == F.lit(k), F.lit(n)).otherwise(limit) if k is not None else limit
+    return _kept(df, places.where(F.col("_place") <= limit), label, sample_id, "left_semi")
 
 
 def balanced_subset(df: DataFrame, label: str = "label", score: str = "rank_score", sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
     """As many positives as negatives, chosen by a seeded hash, ranked anew."""
-    n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two rows
+    places = _places(df.where(F.col(label).isin(0, 1)), label, sample_id, seed)
+    n = {r[0]: r[1] for r in places.select("_l", "_n").distinct().collect()}  # two rows
     k = min(n.get(0, 0), n.get(1, 0))
-    key = F.md5(F.concat(F.col(sample_id).cast("string"), F.lit(f":{seed}")))
-    nth = F.row_number().over(W.partitionBy(label).orderBy(key, F.col(sample_id)))
-    kept = df.withColumn("_n", nth).where(F.col("_n") <= k).drop("_n", "rank")
-    return rank_rows(kept, score, sample_id)
+    return rank_rows(_kept(df, places.where(F.col("_place") <= k), label, sample_id, "left_semi").drop("rank"), score, sample_id)
 
 
 def only_split(df: DataFrame, manifest: DataFrame, split: str = "test", sample_id: str = "sample_id", score: str = "rank_score") -> DataFrame:
