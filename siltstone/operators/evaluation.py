@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.lines import hit, iou
 from siltstone.functions.normalize import safe_div
 from siltstone.operators.relational import global_rank
+from siltstone.schemas import VERDICTS, validate
 
 
 def confusion(df: DataFrame, label: Column, predicted: Column, *keys: str) -> DataFrame:
@@ -76,10 +77,21 @@ def ranking(ranked: DataFrame, label: str, ks: Sequence[int], *keys: str) -> Dat
     return base.select(*keys, *[v.alias(n) for n, v in out.items()])
 
 
-def grouped_ranking(df: DataFrame, label: str, score: str, sample_id: str, group: str, ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
-    """(scope, grp, metrics): each group by its own ranks, their unweighted mean, and all rows as one list."""
+def grouped_ranking(df: DataFrame, label: str, score: str, sample_id: str, group: str | None, ks: Sequence[int] = (1, 5, 10, 20), source: str | None = None) -> DataFrame:
+    """(scope, grp, metrics): each group by its own ranks, their unweighted mean, and all rows as one list.
+
+    The group is a column, or with source a key of that map column. Rows without the column or the key are `__ungrouped__`,
+    those with a null value `None`.
+    """
     s = F.coalesce(F.col(score), F.lit(0.0)).desc()
-    g = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("None")))
+    if source is not None:
+        value = F.coalesce(F.try_element_at(source, F.lit(group)).cast("string"), F.lit("None"))
+        value = F.when(F.coalesce(F.map_contains_key(source, group), F.lit(False)), value).otherwise("__ungrouped__")
+    else:
+        value = F.coalesce(F.col(group).cast("string"), F.lit("None")) if group in df.columns else F.lit("__ungrouped__")
+    keep = [F.col(sample_id).alias("_id"), F.col(label).alias("_y"), F.col(score).alias("_s")]
+    df = df.select(*keep, value.alias("_g"))  # what is ranked: ids, labels and scores alone
+    label, sample_id, s, g = "_y", "_id", F.coalesce("_s", F.lit(0.0)).desc(), df
     # a group's ranks: places in the order of (group, score, id), less the rows of the groups before
     all_ranks = global_rank(g, F.col("_g").asc(), s, F.col(sample_id).asc(), name="_place")
     first = all_ranks.groupBy("_g").agg(F.min("_place").alias("_f")).withColumnRenamed("_g", "_h")
@@ -163,6 +175,15 @@ def audit_ranks(ranks: DataFrame, manifest: DataFrame, sample_id: str = "sample_
     return out
 
 
+def _counted(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """(check, failures): the rows of each part."""
+    out = None
+    for name, bad in parts:
+        one = bad.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def audit_leakage(manifest: DataFrame, used: dict[str, DataFrame], test: str = "test", sample_id: str = "sample_id", code: str | None = None) -> DataFrame:
     """(check, failures): ids outside the test split in each used table, test ids that it lacks, ids or codes in two splits."""
     inside = manifest.where(F.col("split") == test).select(sample_id).distinct()
@@ -171,11 +192,32 @@ def audit_leakage(manifest: DataFrame, used: dict[str, DataFrame], test: str = "
         parts.append(("code_in_two_splits", manifest.groupBy(F.sha2(F.coalesce(code, F.lit("")), 256).alias("h")).agg(F.count_distinct("split").alias("n")).where("n > 1")))
     for name, df in used.items():
         parts += [(f"{name}_outside_test", df.select(sample_id).distinct().join(inside, sample_id, "left_anti")), (f"{name}_lacks", inside.join(df.select(sample_id).distinct(), sample_id, "left_anti"))]
-    out = None
-    for name, bad in parts:
-        one = bad.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
-        out = one if out is None else out.union(one)
-    return out
+    return _counted(parts)
+
+
+def audit_test_only(manifest: DataFrame, splits: DataFrame, features: DataFrame, scores: DataFrame, sample_id: str = "sample_id", static: str = "static_features") -> DataFrame:
+    """(check, failures): the seven checks of an evaluation on the test split alone.
+
+    manifest, features (label and a map of static features) and scores (rank) are what the evaluation uses, splits the whole
+    manifest. All rows are looked at for features that repeat the label under a name that ends in `label`.
+    """
+    m, f, s = (x.select(sample_id).distinct() for x in (manifest, features, scores))
+    apart = lambda a, b: a.join(b, sample_id, "left_anti")
+    outside = splits.where(F.col("split").isin("train", "valid")).select(sample_id).distinct()
+    labels = features.select(sample_id, F.col("label").alias("a")).join(manifest.select(sample_id, F.col("label").alias("b")), sample_id, "left")
+    entries = features.select("label", F.explode(static).alias("k", "v")) if static in features.columns else features.select("label", F.lit("").alias("k"), F.lit("").alias("v")).limit(0)
+    n, pos = scores.count(), manifest.agg(F.count_if(F.col("label") == 1)).first()[0]
+    total = manifest.count()
+    gaps = n - scores.where(F.col("rank").between(1, n)).select("rank").distinct().count()
+    counted = _counted([
+        ("split_filtered", manifest.where(~F.col("split").eqNullSafe(F.lit("test")))),
+        ("train_or_valid_scored", scores.join(outside, sample_id, "left_semi")),
+        ("id_sets_differ", apart(m, f).union(apart(f, m)).union(apart(m, s)).union(apart(s, m)).distinct()),
+        ("label_mismatch", labels.where(~F.col("a").eqNullSafe(F.col("b")))),
+        ("label_as_feature", entries.where(F.lower("k").endswith("label") & F.coalesce(F.col("v").cast("string").try_cast("double") == F.col("label"), F.lit(False)))),
+    ])
+    rest = manifest.sparkSession.createDataFrame([("rank_gaps", gaps), ("one_class", int(not 0 < pos < total))], "check string, failures long")
+    return counted.union(rest)
 
 
 def audit_features(features: DataFrame, manifest: DataFrame, code: str = "function_code", sample_id: str = "sample_id") -> DataFrame:
@@ -184,23 +226,51 @@ def audit_features(features: DataFrame, manifest: DataFrame, code: str = "functi
         ("missing", manifest.join(features, sample_id, "left_anti")), ("extra", features.join(manifest, sample_id, "left_anti")),
         ("repeated", features.groupBy(sample_id).count().where("count > 1")), ("empty_code", features.where(F.coalesce(F.trim(F.col(code)), F.lit("")) == "")),
     ]
-    out = None
-    for name, bad in parts:
-        one = bad.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check"), "failures")
-        out = one if out is None else out.union(one)
-    return out
+    return _counted(parts)
+
+
+def readiness(samples: DataFrame, code: str = "code", least: int = 20, sample_id: str = "sample_id", kind: str | None = None) -> DataFrame:
+    """(check, ok): unique ids, both classes, code present, enough rows; with kind, rows that keep its schema's checks, too."""
+    have = samples
+    extra = {}
+    if kind is not None:
+        have = validate(samples, kind)
+        extra = {"schema": F.col("bad") == 0}
+    bad = F.count_if(~F.col("valid")) if kind is not None else F.lit(0)
+    a = have.agg(F.count("*").alias("n"), F.count_distinct(sample_id).alias("ids"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.coalesce(F.col(code), F.lit("")) != "").alias("code"), bad.alias("bad"))
+    tests = {"unique_ids": F.col("n") == F.col("ids"), "both_classes": (F.col("pos") > 0) & (F.col("neg") > 0), "code_located": F.col("code") == F.col("n"), "enough_rows": F.col("n") >= least} | extra
+    return a.select(F.explode(F.create_map(*[x for k, v in tests.items() for x in (F.lit(k), v)])).alias("check", "ok"))
 
 
-def readiness(samples: DataFrame, code: str = "code", least: int = 20, sample_id: str = "sample_id") -> DataFrame:
-    """(check, ok): unique ids, both classes, code present, enough rows."""
-    a = samples.agg(F.count("*").alias("n"), F.count_distinct(sample_id).alias("ids"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.coalesce(F.col(code), F.lit("")) != "").alias("code"))
-    tests = {"unique_ids": F.col("n") == F.col("ids"), "both_classes": (F.col("pos") > 0) & (F.col("neg") > 0), "code_located": F.col("code") == F.col("n"), "enough_rows": F.col("n") >= least}
-    return a.select(F.explode(F.create_map(*[x for k, v in tests.items() for x in (F.lit(k), v)])).alias("check", "ok"))
+#: What looks like a key, a token or a password.
+SECRETS = (r"sk-[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"(?i:api[_-]?key)\s*[:=]\s*\S{12,}", r"ghp_[A-Za-z0-9]{36}", r"(?i:password)\s*=\s*[\"'][^\"']+[\"']")
 
 
-def secrets(df: DataFrame, *cols: str, pattern: str = r"(sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|(?i:api[_-]?key)\s*[:=]\s*\S{12,})") -> DataFrame:
+def secrets(df: DataFrame, *cols: str, pattern: str = "(" + "|".join(SECRETS) + ")") -> DataFrame:
     """Rows with something like a key in one of the columns."""
     bad = F.lit(False)
     for c in cols:
         bad = bad | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     return df.where(bad)
+
+
+def verdict_distribution(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, vulnerable, benign, uncertain): verdicts of each group."""
+    return verdicts.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
+
+
+def verify_release(tables: dict[str, tuple[DataFrame, int]], verdicts: DataFrame | None = None, expected: DataFrame | None = None, keys: Sequence[str] = (), texts: DataFrame | None = None) -> DataFrame:
+    """(check, ok) of a release: least rows of each table, the verdicts' distribution as expected (keys and counts), and no secrets
+    in its texts (column text)."""
+    out = [(f"rows_{name}", df.agg((F.count("*") >= least).alias("ok"))) for name, (df, least) in tables.items()]
+    if verdicts is not None and expected is not None:
+        seen = verdict_distribution(verdicts, *keys).select(*keys, *VERDICTS)
+        want = expected.select(*keys, *VERDICTS)
+        out.append(("verdict_distribution", seen.exceptAll(want).union(want.exceptAll(seen)).agg((F.count("*") == 0).alias("ok"))))
+    if texts is not None:
+        out.append(("no_secrets", secrets(texts, "text").agg((F.count("*") == 0).alias("ok"))))
+    found = None
+    for name, df in out:
+        one = df.select(F.lit(name).alias("check"), "ok")
+        found = one if found is None else found.union(one)
+    return found

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import final_score, label_of
-from siltstone.operators.evaluation import classification, ranking
+from siltstone.operators.common import cut
+from siltstone.operators.evaluation import classification, costs, localization, ranking
 from siltstone.operators.relational import global_rank
 
 # Weights of the methods, and the signals that they use.
@@ -44,6 +46,50 @@ def matrix(scored: DataFrame, ks: Sequence[int], methods: dict[str, tuple[float,
     return classification(j.withColumn("_f", final), F.col("label"), F.col("_f"), threshold, "method", "k")
 
 
+def matrix_cells(scored: DataFrame, ks: Sequence[int], methods: dict[str, tuple[float, float, float]] | None = None, threshold: float = 0.5, truth: DataFrame | None = None, findings: DataFrame | None = None, cost_log: DataFrame | None = None, at: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
+    """matrix() with, for each cell, its samples, the verdicts that it uses, the signals it has, the ranking of its final scores, and
+    the areas under its curves; with truth and findings the localisation, with a cost log its totals, which all cells share.
+
+    Cells are ranked all at once, by (cell, score, id), so a cell's ranks are places less those of the cells before.
+    """
+    c = cells(scored.sparkSession, ks, methods)
+    j = scored.select("sample_id", "label", "rank", "static_score", "rank_score", "llm_score").crossJoin(F.broadcast(c))  # a row a cell
+    uses = (F.col("rank") <= F.col("k")) & (F.col("w_llm") > 0) & F.col("llm_score").isNotNull() & (F.col("llm_score") > 0)
+    final = final_score(F.col("static_score"), F.col("rank_score"), F.when(uses, F.col("llm_score")).otherwise(0.0), {"static": F.col("w_static"), "ranker": F.col("w_rank"), "llm": F.col("w_llm")})
+    f = cut(j.select("method", "k", "sample_id", "label", uses.alias("uses"), final.alias("score")))
+    base = classification(f, F.col("label"), F.col("score"), threshold, "method", "k")
+    more = f.groupBy("method", "k").agg(F.count("*").alias("samples"), F.count_if("uses").alias("llm_verified_count"))
+    places = global_rank(f, F.col("method").asc(), F.col("k").asc(), F.col("score").desc(), F.col("sample_id").asc(), name="_place")
+    first = places.groupBy(F.col("method").alias("_m"), F.col("k").alias("_k")).agg(F.min("_place").alias("_f"))
+    ranked = places.join(F.broadcast(first), (F.col("method") == F.col("_m")) & (F.col("k") == F.col("_k"))).withColumn("rank", F.col("_place") - F.col("_f") + 1)  # a row a cell
+    out = base.join(more, ["method", "k"]).join(ranking(ranked, "label", at, "method", "k"), ["method", "k"]).join(cell_aucs(ranked), ["method", "k"], "left")
+    flags = c.select("method", "k", (F.col("w_static") > 0).alias("static_enabled"), (F.col("w_rank") > 0).alias("ranker_enabled"), ((F.col("w_llm") > 0) & (F.col("k") > 0)).alias("llm_enabled"))
+    out = out.join(F.broadcast(flags), ["method", "k"])  # a row a cell
+    if truth is not None and findings is not None:
+        out = out.crossJoin(F.broadcast(localization(truth, findings).drop("samples")))  # one row
+    if cost_log is not None:
+        out = out.crossJoin(F.broadcast(costs(cost_log).select("total_cost", "avg_latency")))  # one row
+    return out
+
+
+def cell_aucs(ranked: DataFrame) -> DataFrame:
+    """(method, k, roc_auc, pr_auc) of cells, from scores summed by value: ties count half in ROC, PR is average precision."""
+    by = ranked.groupBy("method", "k", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
+    # values of one cell in blocks of bounded size: sums of the blocks before, then of the values before in the block
+    g = global_rank(by, F.col("method").asc(), F.col("k").asc(), F.col("score").desc(), name="_r").withColumn("_b", F.floor(F.col("_r") / 10_000))
+    blocks = g.groupBy("method", "k", "_b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    w = W.partitionBy("method", "k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    before = blocks.select("method", "k", "_b", zero(F.sum("bp").over(w)).alias("bp"), zero(F.sum("bn").over(w)).alias("bn"))
+    inside = W.partitionBy("method", "k", "_b").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    x = g.join(before, ["method", "k", "_b"]).withColumns({"tp": F.col("bp") + zero(F.sum("p").over(inside)), "fp": F.col("bn") + zero(F.sum("n").over(inside))})
+    area = (F.col("n") * (F.col("tp") + F.col("p") / F.lit(2.0))).cast("double")
+    step = F.col("p") * (F.col("tp") + F.col("p")) / (F.col("tp") + F.col("p") + F.col("fp") + F.col("n"))
+    s = x.groupBy("method", "k").agg(F.sum(area).alias("a"), F.sum(step).alias("s"), F.sum("p").alias("P"), F.sum("n").alias("N"))
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    return s.select("method", "k", F.when(both, F.try_divide("a", F.col("P").cast("double") * F.col("N"))).alias("roc_auc"), F.when(both, F.try_divide("s", F.col("P").cast("double"))).alias("pr_auc"))
+
+
 def fp_reduction(cells_: DataFrame, pairs: Sequence[tuple[str, str]] = PAIRS) -> DataFrame:
     """False positives and precision of methods with and without the verifier, at each k."""
     out = None
@@ -73,6 +119,14 @@ def compare_runs(before: DataFrame, after: DataFrame, metric: str, keys: Sequenc
     return d.withColumn("verdict", F.when(F.abs("mean_delta") <= margin, "comparable").when(F.col("mean_delta") > 0, "better").otherwise("worse"))
 
 
+def three_runs(now: DataFrame, first: DataFrame, second: DataFrame, metrics: Sequence[str] = ("f1", "mcc", "pr_auc"), keys: Sequence[str] = ("method", "k")) -> DataFrame:
+    """now's cells with the metrics of two earlier runs beside them (<metric>_first, <metric>_second), null where a run lacks the cell."""
+    out = now.select(*keys, *metrics)
+    for name, run in (("first", first), ("second", second)):
+        out = out.join(run.select(*keys, *[F.col(m).alias(f"{m}_{name}") for m in metrics]), list(keys), "left")
+    return out.select(*keys, *[c for m in metrics for c in (f"{m}_first", f"{m}_second", m)])
+
+
 def best_row(df: DataFrame, metric: str, order: str) -> DataFrame:
     """The row with the highest metric, nulls last, the first among equals."""
     return df.orderBy(F.col(metric).desc_nulls_last(), order).limit(1)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import unknown_cwe
-from siltstone.functions.scores import FUSION_WEIGHTS, alert_lines, final_score, graph_lines, label_of, line_scores, static_score, top_lines, trace_lines, verdict_score
+from siltstone.functions.scores import FUSION_WEIGHTS, LINE_WEIGHTS, alert_lines, final_score, graph_lines, label_of, line_scores, static_score, top_lines, trace_lines, verdict_score
 from siltstone.operators.alerts import cwe_mode, grouped
 from siltstone.operators.relational import last_wins
 
@@ -75,27 +76,56 @@ def findings(fused: DataFrame) -> DataFrame:
     return evidence(fused).select("sample_id", "final_label", F.col("final_score").alias("final_confidence"), "predicted_cwe", "vulnerable_lines", "evidence", "patch_hint")
 
 
-def report(found: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
-    """One row, json: metadata, total, vulnerable_count and findings by id. For a report file, so it holds all findings."""
-    meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.lit("{}").alias("m")
-    row = F.struct(*[F.col(c) for c in found.columns])
-    a = found.agg(F.count("*").alias("total"), F.count_if(F.col("final_label") == 1).alias("vulnerable_count"), F.transform(F.array_sort(F.collect_list(F.struct("sample_id", row.alias("r")))), lambda x: x["r"]).alias("findings"))
-    return a.select(_json(F.struct(*([meta.alias("metadata")] if metadata else []), "total", "vulnerable_count", "findings")).alias("json"))
+def scored_lines(alerts: DataFrame, verdicts: DataFrame, flags: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(sample_id, line, score): the risk of every line that a signal names, capped at 1, without an array a sample.
+
+    verdicts: a row a sample. flags: (sample_id, line) of flagged graph nodes. Lines are exploded, and of each line only
+    which kinds name it is aggregated, partially before the shuffle.
+    """
+    w = weights or LINE_WEIGHTS
+    kinds = {
+        "static_alert_line": alerts.where("end_line >= start_line").select("sample_id", F.explode(F.sequence("start_line", "end_line")).alias("line")),
+        "trace_line": alerts.select("sample_id", F.explode("trace_lines").alias("line")),
+        "llm_vote": verdicts.select("sample_id", F.explode("vulnerable_lines").alias("line")),
+    } | ({"graph_flag": flags.select("sample_id", "line")} if flags is not None else {})
+    rows = None
+    for k, df in kinds.items():
+        one = df.withColumn("kind", F.lit(k))
+        rows = one if rows is None else rows.union(one)
+    has = {k: F.max((F.col("kind") == k).cast("int")) for k in kinds}
+    seen = rows.where("line is not null").groupBy("sample_id", "line").agg(*[c.alias(k) for k, c in has.items()])
+    total = F.lit(0.0)
+    for k in kinds:
+        total = total + F.when(F.col(k) == 1, F.lit(w[k])).otherwise(0.0)
+    return seen.select("sample_id", "line", F.least(F.lit(1.0), total).alias("score"))
+
+
+def best_lines(scored: DataFrame, k: int = 5) -> DataFrame:
+    """(sample_id, vulnerable_lines): each sample's k lines with the highest scores, smaller lines first among equals."""
+    order = W.partitionBy("sample_id").orderBy(F.col("score").desc(), "line")
+    few = scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return few.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]).alias("vulnerable_lines"))
+
+
+def report(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(totals, rows) of a findings report: total and vulnerable_count, one row; and a row a finding, its JSON by sample_id.
+
+    write_report puts them into one file; no row holds them all.
+    """
+    totals = found.agg(F.count("*").alias("total"), F.count_if(F.col("final_label") == 1).alias("vulnerable_count"))
+    return totals, found.select("sample_id", _json(F.struct(*[F.col(c) for c in found.columns])).alias("json"))
 
 
-def sarif(found: DataFrame, features: DataFrame, tool: str = "siltstone", order: str | None = None) -> DataFrame:
-    """One row, sarif: SARIF 2.1.0 of the findings with label 1; rules in the order in which they first occur."""
-    files = features.select("sample_id", F.col("file").alias("uri")).dropDuplicates(["sample_id"])
+def sarif(found: DataFrame, features: DataFrame, tool: str = "siltstone", order: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """(rules, results) of SARIF 2.1.0: rules (ord, rule) in the order in which they first occur; results (ord, json), a row a finding
+    with label 1. A sample's file is the first by order in features; order is a column of both."""
+    by = F.col(order) if order in features.columns else F.col("sample_id")
+    files = features.groupBy("sample_id").agg(F.min_by("file", by).alias("uri"))
     f = found.where("final_label = 1").join(files, "sample_id", "left").withColumn("uri", F.coalesce("uri", F.col("sample_id").cast("string")))
-    o = F.col(order) if order else F.col("sample_id")
     rule = F.when(unknown_cwe(F.col("predicted_cwe")), F.lit(tool)).otherwise(F.col("predicted_cwe"))
     line = F.coalesce(F.get("vulnerable_lines", F.lit(0)), F.lit(1))
     place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation")))
     text = F.format_string("Potential vulnerability (%s) with confidence %.2f", rule, "final_confidence")
     result = F.struct(rule.alias("ruleId"), F.lit("warning").alias("level"), F.struct(text.alias("text")).alias("message"), place.alias("locations"))
-    r = f.select(o.alias("o"), rule.alias("rule"), result.alias("result"))
-    rules = r.groupBy("rule").agg(F.min("o").alias("o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "rule"))), lambda x: F.struct(x["rule"].alias("id"))).alias("rules"))
-    results = r.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "rule", "result"))), lambda x: x["result"]).alias("results"))
-    both = rules.crossJoin(results)  # one row each
-    run = F.array(F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results")))
-    return both.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), run.alias("runs"))).alias("sarif"))
+    r = f.select(F.col(order).alias("ord"), rule.alias("rule"), F.to_json(result).alias("json"))
+    return r.groupBy("rule").agg(F.min("ord").alias("ord")).select("ord", "rule"), r.select("ord", "json")

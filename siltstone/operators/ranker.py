@@ -1,41 +1,61 @@
-"""Term vectors, scaling and a linear ranker, all as DataFrame plans; the learner is Spark's."""
+"""Term vectors, scaling and two rankers (linear, forest), all as DataFrame plans; the learners are Spark's."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from siltstone.functions.normalize import number_or_zero
 from siltstone.functions.text import TERM, code_metrics, tokens
+from siltstone.functions.vectors import STATIC_KEYS
 from siltstone.operators.alerts import ranker_features
+from siltstone.operators.common import shared_path
 
+# The number columns in order.
 CODE = ("line_count", "char_count", "token_count", "dangerous_api_count", "pointer_operator_count", "array_access_count", "loop_count", "if_count", "return_count")
 ALERT = ("alert_count", "has_codeql_alert", "high_severity_count", "unique_query_count", "cwe_count", "trace_line_count")
+RECORD = tuple(f"rec_{k}" for k in STATIC_KEYS)
+NUMBERS = (*CODE, *ALERT, *RECORD)
+MODELS = ("logistic_regression", "random_forest")
 
 
-def numeric_rows(samples: DataFrame, alerts: DataFrame, code: str = "code", sample_id: str = "sample_id") -> DataFrame:
-    """(sample_id, label, 15 doubles): code metrics, then alert features; samples without alerts have zeros."""
-    m = samples.select(sample_id, "label", *[v.alias(k) for k, v in code_metrics(F.col(code)).items()])
+def numeric_rows(samples: DataFrame, alerts: DataFrame, code: str = "code", sample_id: str = "sample_id", static: str = "static_features") -> DataFrame:
+    """(sample_id, label, 24 doubles): code metrics, alert features, and the record's own static features (a map); what is
+    missing or no number is 0."""
+    own = lambda k: number_or_zero(F.try_element_at(static, F.lit(k))) if static in samples.columns else F.lit(0.0)
+    m = samples.select(sample_id, "label", *[v.alias(k) for k, v in code_metrics(F.col(code)).items()], *[own(k).alias(f"rec_{k}") for k in STATIC_KEYS])
     a = ranker_features(alerts, sample_id)
-    return m.join(a, sample_id, "left").select(sample_id, "label", *CODE, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ALERT])
+    return m.join(a, sample_id, "left").select(sample_id, "label", *CODE, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ALERT], *RECORD)
+
+
+def _grams(code: str) -> Column:
+    """One- and two-grams of a text, case kept."""
+    t = tokens(F.col(code), TERM)
+    two = lambda x: F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda y, i: F.concat_ws(" ", F.get(x, i), y))
+    return F.flatten(F.transform(F.array(t), lambda x: F.concat(x, two(x))))
 
 
 def ngrams(samples: DataFrame, code: str = "code", sample_id: str = "sample_id") -> DataFrame:
     """(sample_id, term, tf): one- and two-grams of each sample with their counts, case kept."""
-    t = samples.select(sample_id, tokens(F.col(code), TERM).alias("t"))
-    two = F.transform(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get("t", i), x))
-    return t.select(sample_id, F.explode(F.concat("t", two)).alias("term")).groupBy(sample_id, "term").agg(F.count("*").alias("tf"))
+    return samples.select(sample_id, F.explode(_grams(code)).alias("term")).groupBy(sample_id, "term").agg(F.count("*").alias("tf"))
+
 
+def vocabulary(samples: DataFrame, n_docs: int, limit: int = 20_000, code: str = "code") -> DataFrame:
+    """(term, df, total, idf): the terms with the highest counts, smaller terms first among equals; idf is smoothed, plus 1.
 
-def vocabulary(terms: DataFrame, n_docs: int, limit: int = 20_000) -> DataFrame:
-    """(term, df, total, idf): the terms with the highest counts, smaller terms first among equals; idf is smoothed, plus 1."""
-    v = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    A row's terms are sorted, so that the first of equals marks the document; one aggregation with partial sums counts both.
+    """
+    first = F.transform(F.sort_array(_grams(code)), lambda x, i: F.struct(x.alias("term"), i.alias("i")))
+    pairs = F.flatten(F.transform(F.array(first), lambda s: F.transform(s, lambda x: F.struct(x["term"].alias("term"), F.when((x["i"] > 0) & (F.get(s, x["i"] - 1)["term"] == x["term"]), 0).otherwise(1).alias("first")))))
+    v = samples.select(F.inline(pairs)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total"))
     return v.orderBy(F.col("total").desc(), "term").limit(limit).withColumn("idf", F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
@@ -57,38 +77,54 @@ def scale(rows: DataFrame, deviations: dict[str, float]) -> DataFrame:
 
 
 def assemble(rows: DataFrame, names: Sequence[str], terms: DataFrame | None = None, vocab: DataFrame | None = None, sample_id: str = "sample_id") -> DataFrame:
-    """rows with features: term weights (sparse), then the scaled numbers, then a constant for the penalised intercept."""
-    dense = VectorAssembler(inputCols=[*names, "one"], outputCol="numbers").transform(rows.withColumn("one", F.lit(1.0)))
-    if terms is None or vocab is None:
-        return dense.withColumnRenamed("numbers", "features")
-    size = vocab.count()
-    place = vocab.select("term", (F.row_number().over(W.orderBy("term")) - 1).alias("i"))
-    per = terms.join(F.broadcast(place), "term").groupBy(sample_id).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
-    indices = F.concat(F.transform("x", lambda r: r["i"]), F.transform(vector_to_array("numbers"), lambda _, j: F.lit(size) + j))
-    values = F.concat(F.transform("x", lambda r: r["weight"]), vector_to_array("numbers"))
-    to_vector = F.udf(lambda n, i, v: SparseVector(n, i, v), VectorUDT())  # Catalyst has no constructor of sparse vectors
-    out = dense.join(per, sample_id, "left")
-    out = out.withColumn("x", F.coalesce("x", F.array().cast("array<struct<i:int,weight:double>>")))
-    return out.withColumn("features", to_vector(F.lit(size + len(names) + 1), indices, values)).drop("x", "numbers", "one")
-
-
-def fit(train: DataFrame, label: str = "label", c: float = 1.0) -> LogisticRegressionModel:
-    """Balanced L2 logistic regression without a free intercept; both classes are needed."""
+    """rows with features: term weights (sparse), then the scaled numbers, then a constant for the penalised intercept.
+
+    Catalyst has no constructor of vectors; their storage form is written as a table in the shared folder, which the learner
+    reads again and again, and read back as vectors.
+    """
+    numbers = F.array(*[F.col(c).cast("double") for c in names], F.lit(1.0))
+    size = 0
+    out = rows.withColumn("_x", F.array().cast("array<struct<i:int,weight:double>>"))
+    if terms is not None and vocab is not None:
+        size = vocab.count()
+        place = vocab.select("term", (F.row_number().over(W.orderBy("term")) - 1).alias("i"))  # no longer than the vocabulary's limit
+        per = terms.join(F.broadcast(place), "term").groupBy(sample_id).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("_w"))
+        out = rows.join(per, sample_id, "left").withColumn("_x", F.coalesce("_w", F.array().cast("array<struct<i:int,weight:double>>"))).drop("_w")
+    indices = F.concat(F.transform("_x", lambda r: r["i"]), F.transform(numbers, lambda _, j: F.lit(size) + j))
+    values = F.concat(F.transform("_x", lambda r: r["weight"]), numbers)
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + len(names) + 1).alias("size"), indices.alias("indices"), values.alias("values"))
+    spark = rows.sparkSession
+    path = shared_path(spark, "features")
+    out.withColumn("features", vector).drop("_x").write.parquet(path)
+    return spark.read.schema(StructType([*rows.schema.fields, StructField("features", VectorUDT())])).parquet(path)
+
+
+def fit(train: DataFrame, label: str = "label", c: float = 1.0, model: str = "logistic_regression", seed: int = 42, trees: int = 300) -> Model:
+    """Balanced L2 logistic regression without a free intercept, or a balanced random forest; both classes are needed."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}, expected one of {MODELS}")
     n = {r[0]: r[1] for r in train.groupBy(label).count().collect()}  # two rows
     if len(n) < 2:
         raise ValueError("training rows of both classes are needed")
     total = sum(n.values())
     w = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, total / (len(n) * v))])
     rows = train.withColumn("_w", F.element_at(w, F.col(label))).withColumn("_y", F.col(label).cast("double"))
-    return LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=200, tol=1e-8).fit(rows)
+    if model == "random_forest":
+        fitted = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=15, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+    else:
+        fitted = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=200, tol=1e-8).fit(rows)
+    if fitted.hasSummary:  # it holds the session, which must not travel with the model
+        fitted._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return fitted
 
 
-def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
+def predict(model: Model, rows: DataFrame) -> DataFrame:
     """rows with rank_score, the probability of label 1."""
     return model.transform(rows).withColumn("rank_score", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
 
 
-def importances(model: LogisticRegressionModel, names: Sequence[str]) -> list[tuple[str, float]]:
-    """Weights by falling size."""
-    return sorted(zip(names, model.coefficients.toArray().tolist(), strict=False), key=lambda x: -abs(x[1]))
+def importances(model: Model, names: Sequence[str]) -> list[tuple[str, float]]:
+    """Weights, or a forest's importances, by falling size; names first give the terms, then the numbers."""
+    weights = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
+    return sorted(zip(names, weights.toArray().tolist(), strict=False), key=lambda x: (-abs(x[1]), x[0]))
 

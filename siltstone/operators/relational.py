@@ -166,6 +166,14 @@ def only_split(df: DataFrame, manifest: DataFrame, split: str = "test", sample_i
     return rank_rows(df.drop("rank").join(ids, F.col(sample_id) == F.col("_i"), "left_semi"), score, sample_id)
 
 
+def join_all(left: DataFrame, right: DataFrame, sample_id: str = "sample_id") -> DataFrame:
+    """left with right's columns; an id that right lacks is an error."""
+    mark = right.withColumn("_there", F.lit(True))
+    out = left.join(mark, sample_id, "left")
+    missing = F.raise_error(F.concat(F.lit("no row for "), F.col(sample_id).cast("string")))
+    return out.where(F.when(F.col("_there"), True).otherwise(missing)).drop("_there")
+
+
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: the last by order."""
     rest = [c for c in df.columns if c != key]

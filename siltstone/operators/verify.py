@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -45,25 +48,59 @@ class VerifierConfig:
     concurrency: int = 8
 
 
+_SHOWN = ("tool", "query_id", "message", "severity", "start_line", "end_line", "cwe")
+
+
 def evidence_summary(features: DataFrame) -> DataFrame:
-    """features (function_code, span, alerts, trace_lines, rank_score) with summary: counts, line sets and excerpt."""
+    """features (function_code, span, alerts, trace_lines, rank_score, perhaps graph_evidence as JSON) with summary: counts, alerts
+    in short, line sets, excerpt and the graph evidence as it is ({} if there is none)."""
     lines = code_lines(F.col("function_code"))
     at = numbered(lines, F.col("span.start_line"))
-    alerts = F.coalesce("alerts", F.expr("slice(alerts, 1, 0)"))
+    kind = features.schema["alerts"].dataType
+    alerts, have = F.coalesce("alerts", F.array().cast(kind.simpleString())), kind.elementType.names
+    short = F.transform(alerts, lambda a: F.struct(*[a[f].alias(f) for f in _SHOWN if f in have]))
+    graph = F.coalesce(F.try_parse_json(F.col("graph_evidence")) if "graph_evidence" in features.columns else F.lit(None).cast("variant"), F.parse_json(F.lit("{}")))
     s = F.struct(
-        "sample_id", F.coalesce(F.size(alerts), F.lit(0)).alias("static_alert_count"), alerts.alias("alert_summaries"),
+        "sample_id", F.size(alerts).alias("static_alert_count"), short.alias("alert_summaries"),
         merged(F.col("trace_lines"), trace_lines(F.col("alerts"))).alias("trace_lines"), matching_lines(at, DANGEROUS).alias("dangerous_api_lines"),
         matching_lines(at, SOURCES).alias("source_like_lines"), matching_lines(at, SINKS).alias("sink_like_lines"), "rank_score",
-        F.col("span").alias("function_span"), excerpt(lines, F.col("function_code")).alias("code_excerpt"),
+        F.col("span").alias("function_span"), excerpt(lines, F.col("function_code")).alias("code_excerpt"), graph.alias("graph_summary"),
     )
     return features.withColumn("summary", s)
 
 
+def packet(summarised: DataFrame, language: Column | None = None) -> DataFrame:
+    """Verification packets (PACKET and rank): code, span, alerts and graph evidence, the summary as context under its own key.
+
+    A context column (map of text) that the rows have is kept beside the summary.
+    """
+    have = summarised.columns
+    own = F.coalesce("context", F.create_map().cast("map<string,string>")) if "context" in have else F.create_map().cast("map<string,string>")
+    lang = language if language is not None else F.coalesce("language", F.lit("c")) if "language" in have else F.lit("c")
+    context = F.map_concat(F.map_filter(own, lambda k, _: k != "evidence_summary"), F.create_map(F.lit("evidence_summary"), F.to_json("summary", {"ignoreNullFields": "false"})))
+    graph = F.coalesce("graph_evidence", F.lit("{}")) if "graph_evidence" in have else F.lit("{}")
+    return summarised.select(
+        "sample_id", lang.alias("language"), F.coalesce("function_code", F.lit("")).alias("function_code"), "span", F.coalesce("alerts", F.array().cast(summarised.schema["alerts"].dataType.simpleString())).alias("static_alerts"),
+        graph.alias("graph_evidence"), context.alias("context"), *[c for c in ("rank",) if c in have],
+    )
+
+
+def prompt_of(packets: DataFrame) -> DataFrame:
+    """(sample_id, system, prompt, and rank if the packets have it)."""
+    head = F.concat(F.lit("sample_id: "), F.col("sample_id").cast("string"), F.lit("\nlanguage: "), "language", F.lit("\nspan: "), F.coalesce("span.file", F.lit("unknown")), F.lit(" "), F.col("span.start_line"), F.lit("-"), F.col("span.end_line"))
+    body = F.concat(head, F.lit("\n\ncode:\n"), "function_code", F.lit("\n\nevidence:\n"), F.element_at("context", F.lit("evidence_summary")), F.lit("\n\nanswer with:\n" + json.dumps(ANSWER)))
+    return packets.select("sample_id", F.lit(SYSTEM).alias("system"), body.alias("prompt"), *[c for c in ("rank",) if c in packets.columns])
+
+
 def prompt(features: DataFrame, language: Column | None = None) -> DataFrame:
     """features with summary, as (sample_id, system, prompt)."""
-    head = F.concat(F.lit("sample_id: "), F.col("sample_id").cast("string"), F.lit("\nlanguage: "), language if language is not None else F.lit("c"), F.lit("\nspan: "), F.col("span.file"), F.lit(" "), F.col("span.start_line"), F.lit("-"), F.col("span.end_line"))
-    body = F.concat(head, F.lit("\n\ncode:\n"), F.coalesce("function_code", F.lit("")), F.lit("\n\nevidence:\n"), F.to_json("summary", {"ignoreNullFields": "false"}), F.lit("\n\nanswer with:\n" + json.dumps(ANSWER)))
-    return features.select("sample_id", F.lit(SYSTEM).alias("system"), body.alias("prompt"))
+    return prompt_of(packet(features, language)).select("sample_id", "system", "prompt")
+
+
+def messages(prompts: DataFrame) -> DataFrame:
+    """prompts with messages: array of (role, content), as a client takes them."""
+    one = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    return prompts.withColumn("messages", F.array(one("system", "system"), one("user", "prompt")))
 
 
 def rule_verdict(text: Column) -> Column:
@@ -125,14 +162,80 @@ def read_answer(raw: object, sample_id: str) -> dict:
     return d
 
 
+class ChatError(RuntimeError):
+    """A chat call failed for good; the text has no key in it."""
+
+
+class ChatClient:
+    """A client of an HTTP endpoint that takes chat messages as JSON; made in each task, so it holds no connection.
+
+    Transport errors and the answers 429 and 500 to 599 are tried again, up to `attempts` times, after min(2 n, 10) seconds.
+    The key comes from the argument or the environment and is in no message, log or error. send(url, headers, body, seconds)
+    returns (status, body) and may be replaced in tests.
+    """
+
+    def __init__(self, url: str, model: str, key: str | None = None, key_name: str = "CHAT_API_KEY", temperature: float = 0.0, max_tokens: int = 1024, seconds: float = 60, attempts: int = 3, json_mode: bool = True, send: Callable | None = None, wait: Callable[[float], None] = time.sleep):
+        self.key = key or os.environ.get(key_name)
+        if not self.key:
+            raise ChatError(f"no key: pass one or set {key_name}")
+        self.url, self.seconds, self.attempts = f"{url.rstrip('/')}/chat/completions", seconds, attempts
+        self.send, self.wait = send or _post, wait
+        self.body = {"model": model, "temperature": temperature, "max_tokens": max_tokens} | ({"response_format": {"type": "json_object"}} if json_mode else {})
+
+    def __call__(self, messages: list[dict]) -> tuple[object, int | None, int | None]:
+        """(answer, prompt tokens, completion tokens)."""
+        headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
+        last = "no attempt"
+        for attempt in range(1, self.attempts + 1):
+            try:
+                status, raw = self.send(self.url, headers, json.dumps(self.body | {"messages": messages}).encode(), self.seconds)
+            except OSError as e:
+                last = f"{type(e).__name__}: {e}".replace(self.key, "***")
+            else:
+                if status == 200:
+                    return self._answer(raw)
+                if status != 429 and not 500 <= status <= 599:
+                    raise ChatError(f"status {status}")
+                last = f"status {status}"
+            if attempt < self.attempts:
+                self.wait(min(2.0 * attempt, 10.0))
+        raise ChatError(f"failed {self.attempts} times, at last with {last}")
+
+    @staticmethod
+    def _answer(raw: bytes) -> tuple[object, int | None, int | None]:
+        try:
+            body = json.loads(raw)
+            content = body["choices"][0]["message"]["content"]
+            used = body.get("usage") or {}
+            return content, used.get("prompt_tokens"), used.get("completion_tokens")
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
+            raise ChatError("malformed answer of the endpoint") from e
+
+
+def _post(url: str, headers: dict[str, str], body: bytes, seconds: float) -> tuple[int, bytes]:
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=seconds) as r:
+            return r.status, r.read()
+    except urllib.error.HTTPError as e:
+        return e.code, b""
+
+
+def chat_clients(url: str, config: VerifierConfig, key: str | None = None, **kw: object) -> Callable[[], ChatClient]:
+    """A maker of clients for verify(), with the model, temperature and length of the config."""
+    return lambda: ChatClient(url, config.model, key, temperature=config.temperature, max_tokens=config.max_tokens, **kw)
+
+
 def verify(prompts: DataFrame, make_client: Callable[[], Callable[[list[dict]], tuple[object, int | None, int | None]]], config: VerifierConfig | None = None) -> DataFrame:
     """Verdicts of a client, called in Arrow batches; a client a task, `concurrency` tasks at a time.
 
-    make_client() gives a function of messages that returns (answer, prompt tokens, completion tokens). An answer that does
-    not parse is sent back for repair up to max_retries times, then the verdict is uncertain with confidence 0; so it is,
-    without success, if the client fails. Write the result once and reuse it: every evaluation calls again.
+    make_client() gives a function of messages that returns (answer, prompt tokens, completion tokens). Of prompts with a rank,
+    the config's top_k are sent. An answer that does not parse is sent back for repair up to max_retries times, then the
+    verdict is uncertain with confidence 0; so it is, without success, if the client fails. Write the result once and reuse
+    it: every evaluation calls again.
     """
     c = config or VerifierConfig()
+    if c.top_k is not None and "rank" in prompts.columns:
+        prompts = prompts.where(F.col("rank") <= c.top_k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
@@ -168,3 +271,14 @@ def cost_log(verdicts: DataFrame, model: str) -> DataFrame:
     """Rows of the cost log; no prompts and no keys."""
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     return verdicts.select("sample_id", F.lit(model).alias("model"), "prompt_tokens", "completion_tokens", total.alias("total_tokens"), "latency_seconds", "success", F.col("error").alias("error_type"))
+
+
+def write_cost_log(verdicts: DataFrame, model: str, path: str | None, prices: tuple[float, float] | None = None) -> int:
+    """Replaces the log at path by the rows of this run, with the cost if prices a million tokens are given; no path, no log."""
+    if path is None:
+        return 0
+    from siltstone.operators.experiments import price
+    from siltstone.sources.sinks import write_jsonl
+
+    rows = cost_log(verdicts, model)
+    return write_jsonl(price(rows, *prices) if prices else rows, path)

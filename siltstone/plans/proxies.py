@@ -18,7 +18,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "CAST(get_json_object(props, '$.k') AS int) % 40 + 1 AS s")
     return e.selectExpr(
-        "event_id % 400 AS sample_id", "CASE WHEN event_id % 3 = 0 THEN 'codeql' ELSE 'lint' END AS tool", "event_type AS query_id", "event_type AS message",
+        "event_id div 25 AS sample_id", "CASE WHEN event_id % 3 = 0 THEN 'codeql' ELSE 'lint' END AS tool", "event_type AS query_id", "event_type AS message",
         "CASE event_type WHEN 'error' THEN 'Error ' WHEN 'click' THEN 'warning' WHEN 'signup' THEN 'note' WHEN 'view' THEN 'moderate' END AS severity",
         "concat('src/f', event_id % 10, '.c') AS file", "s AS start_line", "CAST(s + event_id % 4 AS int) AS end_line",
         "CASE event_id % 5 WHEN 0 THEN array('CWE-119', 'unknown') WHEN 1 THEN array('CWE-787') WHEN 2 THEN array('CWE-416', 'CWE-119') ELSE CAST(array() AS array<string>) END AS cwe",
@@ -31,7 +31,7 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id % 4 <> 3").selectExpr(
+    return table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS sample_id", "CASE doc_id % 3 WHEN 0 THEN 'vulnerable' WHEN 1 THEN 'benign' ELSE 'uncertain' END AS verdict", "(doc_id % 101) / 100.0D AS confidence",
         "CASE doc_id % 5 WHEN 0 THEN 'CWE-787' WHEN 1 THEN 'unknown' ELSE '' END AS predicted_cwe", "array(CAST(1 + doc_id % 7 AS int), CAST(3 + doc_id % 11 AS int)) AS vulnerable_lines", "'' AS patch_hint", "doc_id AS ord",
     )
@@ -62,7 +62,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same as common table expressions.
 SQL = {
     "samples": "SELECT d.doc_id AS sample_id, d.text AS code, d.lang AS language, d.source AS repo, CASE WHEN d.doc_id % 9 = 0 THEN ['CWE-20'] ELSE CAST([] AS VARCHAR[]) END AS cwe, coalesce(l.quality, 0) AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "alerts": """SELECT event_id % 400 AS sample_id, CASE WHEN event_id % 3 = 0 THEN 'codeql' ELSE 'lint' END AS tool, event_type AS query_id,
+    "alerts": """SELECT event_id // 25 AS sample_id, CASE WHEN event_id % 3 = 0 THEN 'codeql' ELSE 'lint' END AS tool, event_type AS query_id,
   CASE event_type WHEN 'error' THEN 'Error ' WHEN 'click' THEN 'warning' WHEN 'signup' THEN 'note' WHEN 'view' THEN 'moderate' END AS severity, 'src/f' || (event_id % 10) || '.c' AS file,
   s AS start_line, CAST(s + event_id % 4 AS INT) AS end_line,
   CASE event_id % 5 WHEN 0 THEN ['CWE-119', 'unknown'] WHEN 1 THEN ['CWE-787'] WHEN 2 THEN ['CWE-416', 'CWE-119'] ELSE CAST([] AS VARCHAR[]) END AS cwe,
@@ -70,7 +70,7 @@ SQL = {
   FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) % 40 + 1 AS s FROM events)""",
     "ranks": "SELECT sample_id, CAST((sample_id * 7919) % 1000 AS DOUBLE) / 1000 AS rank_score, label FROM samples",
     "verdicts": """SELECT doc_id AS sample_id, CASE doc_id % 3 WHEN 0 THEN 'vulnerable' WHEN 1 THEN 'benign' ELSE 'uncertain' END AS verdict, CAST(doc_id % 101 AS DOUBLE) / 100 AS confidence,
-  CASE doc_id % 5 WHEN 0 THEN 'CWE-787' WHEN 1 THEN 'unknown' ELSE '' END AS predicted_cwe, [CAST(1 + doc_id % 7 AS INT), CAST(3 + doc_id % 11 AS INT)] AS vulnerable_lines FROM documents WHERE doc_id % 4 <> 3""",
+  CASE doc_id % 5 WHEN 0 THEN 'CWE-787' WHEN 1 THEN 'unknown' ELSE '' END AS predicted_cwe, [CAST(1 + doc_id % 7 AS INT), CAST(3 + doc_id % 11 AS INT)] AS vulnerable_lines FROM documents""",
     "costs": """SELECT CASE WHEN event_id % 6 <> 0 THEN k END AS prompt_tokens, CASE WHEN event_id % 4 <> 0 THEN k * 2 END AS completion_tokens, CASE WHEN event_id % 2 <> 0 THEN k * 3 END AS total_tokens,
   CASE WHEN event_id % 9 <> 0 THEN value END AS latency_seconds, CASE WHEN event_id % 5 <> 0 THEN value / 1000 END AS api_cost_usd FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
     "nodes": "SELECT conv_id % 5 AS graph_id, conv_id * 100 + turn AS id, role AS type, text AS code, 'src/f' || (conv_id % 3) || '.c' AS file, CAST(turn + 1 + conv_id % 7 AS INT) AS line, 'fn' || (conv_id % 4) AS function FROM conversations",

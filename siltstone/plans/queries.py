@@ -21,6 +21,7 @@ from siltstone.operators import ranker as K
 from siltstone.operators import relational as R
 from siltstone.operators import verify as V
 from siltstone.plans import proxies as P
+from siltstone.plans import triage as T3
 from siltstone.plans.proxies import table, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,11 +229,11 @@ def topk_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_k(P.ranks(spark, sf), 50).select("sample_id", "rank")
 
 
-@register("anti_id_audit", "SELECT doc_id AS sample_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT event_id, 'extra' FROM events WHERE event_id % 100 = 0 AND event_id NOT IN (SELECT doc_id FROM documents)")
+@register("anti_id_audit", "SELECT doc_id AS sample_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT event_id, 'extra' FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents)")
 def anti_id_audit(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
     own = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"))
-    more = table(spark, sf, "events").where("event_id % 100 = 0").select(F.col("event_id").alias("sample_id"))
+    more = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"))
     return R.missing_ids(d, own).where("side = 'missing'").union(R.missing_ids(d, more).where("side = 'extra'"))
 
 
@@ -272,15 +273,15 @@ def alert_counters(spark: SparkSession, sf: str) -> DataFrame:
     return A.counters(P.alerts(spark, sf))
 
 
-_SPANS = "SELECT o_custkey % 100 AS k, CAST(o_orderkey % 5000 AS BIGINT) AS start_line, CAST(o_orderkey % 5000 + 20 + o_custkey % 300 AS BIGINT) AS end_line, o_orderkey AS ord FROM orders"
-_POINTS = "SELECT l_orderkey * 10 + l_linenumber AS pid, l_suppkey % 100 AS pk, l_partkey % 6000 AS line FROM lineitem"
+_SPANS = "SELECT o_custkey AS k, CAST(o_orderkey % 5000 AS BIGINT) AS start_line, CAST(o_orderkey % 5000 + 20 + o_custkey % 300 AS BIGINT) AS end_line, o_orderkey AS ord FROM orders"
+_POINTS = "SELECT l_orderkey * 10 + l_linenumber AS pid, l_partkey AS pk, l_orderkey % 6000 AS line FROM lineitem"
 
 
-@register("span_range_join", f"""WITH s AS ({_SPANS}), p AS (SELECT min(pid) AS pid, pk, line FROM ({_POINTS}) GROUP BY pk, line)
+@register("span_range_join", f"""WITH s AS ({_SPANS}), p AS ({_POINTS})
   SELECT pid, ord AS span_ord FROM (SELECT p.pid, s.ord, row_number() OVER (PARTITION BY p.pid ORDER BY s.end_line - s.start_line NULLS LAST, s.ord) AS r FROM p LEFT JOIN s ON p.pk = s.k AND p.line BETWEEN s.start_line AND s.end_line) WHERE r = 1""")
 def span_range_join(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "orders").selectExpr("o_custkey % 100 AS k", "o_orderkey % 5000 AS start_line", "o_orderkey % 5000 + 20 + o_custkey % 300 AS end_line", "o_orderkey AS ord")
-    p = table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS pid", "l_suppkey % 100 AS k", "l_partkey % 6000 AS line").groupBy("k", "line").agg(F.min("pid").alias("pid"))
+    s = table(spark, sf, "orders").selectExpr("o_custkey AS k", "o_orderkey % 5000 AS start_line", "o_orderkey % 5000 + 20 + o_custkey % 300 AS end_line", "o_orderkey AS ord")
+    p = table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS pid", "l_partkey AS k", "l_orderkey % 6000 AS line")
     return A.in_spans(p, s, key="k", line="line", ids="pid", bin_size=256).select("pid", "span_ord")
 
 
@@ -342,23 +343,42 @@ def fuse_final(spark: SparkSession, sf: str) -> DataFrame:
   r AS (SELECT sample_id, l, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, l) AS r FROM s)
   SELECT d.sample_id, coalesce(string_agg(l, ',' ORDER BY r) FILTER (WHERE r <= 5), '') AS lines FROM samples d LEFT JOIN r USING (sample_id) GROUP BY d.sample_id""")
 def line_scores_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _fused(spark, sf).select("sample_id", F.array_join(F.transform("vulnerable_lines", lambda x: x.cast("string")), ",").alias("lines"))
+    best = U.best_lines(U.scored_lines(P.alerts(spark, sf), P.verdicts(spark, sf)))
+    s = P.samples(spark, sf).select("sample_id").join(best, "sample_id", "left")
+    return s.select("sample_id", F.coalesce(F.array_join(F.transform("vulnerable_lines", lambda x: x.cast("string")), ","), F.lit("")).alias("lines"))
 
 
-@register("findings_report")
-def findings_report(spark: SparkSession, sf: str) -> DataFrame:
-    return U.report(U.findings(_fused(spark, sf)), {"threshold": "0.5"})
+_FINDINGS = f"SELECT f.*, l.lines FROM ({ORACLES['fuse_final']}) f JOIN ({ORACLES['line_scores_topk']}) l USING (sample_id)"
 
 
-@register("sarif_report")
-def sarif_report(spark: SparkSession, sf: str) -> DataFrame:
-    f = _fused(spark, sf).withColumn("file", F.concat(F.lit("src/"), F.col("repo"), F.lit(".c")))
-    return U.sarif(U.findings(f), f)
+@register("findings_report", f"SELECT sample_id, final_label, final_score AS final_confidence, predicted_cwe, lines, count(*) OVER () AS total, count(*) FILTER (WHERE final_label = 1) OVER () AS vulnerable_count FROM ({_FINDINGS})")
+def findings_report(spark: SparkSession, sf: str) -> DataFrame:
+    totals, rows = U.report(U.findings(_fused(spark, sf)))
+    f = F.from_json("json", "sample_id long, final_label int, final_confidence double, predicted_cwe string, vulnerable_lines array<int>")
+    out = rows.select(f.alias("f")).select("f.sample_id", "f.final_label", "f.final_confidence", "f.predicted_cwe", F.array_join(F.transform("f.vulnerable_lines", lambda x: x.cast("string")), ",").alias("lines"))
+    return rounded(out.crossJoin(F.broadcast(totals)))  # one row
 
 
-@register("finding_evidence")
+@register("sarif_report", with_("samples") + f""", f AS ({_FINDINGS}), r AS (SELECT f.sample_id, CASE WHEN predicted_cwe = 'unknown' THEN 'siltstone' ELSE predicted_cwe END AS rule, 'src/' || coalesce(s.repo, '') || '.c' AS uri, CASE WHEN lines = '' THEN 1 ELSE CAST(split_part(lines, ',', 1) AS BIGINT) END AS line
+  FROM f JOIN samples s USING (sample_id) WHERE final_label = 1) SELECT sample_id, rule, uri, line, min(sample_id) OVER (PARTITION BY rule) AS first_of_rule FROM r""")
+def sarif_report(spark: SparkSession, sf: str) -> DataFrame:
+    f = _fused(spark, sf).withColumn("file", F.concat(F.lit("src/"), F.coalesce("repo", F.lit("")), F.lit(".c")))
+    rules, results = U.sarif(U.findings(f), f)
+    x = F.from_json("json", "ruleId string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:long>>>>")
+    at = F.get("x.locations", F.lit(0))["physicalLocation"]
+    out = results.withColumn("x", x).where(F.col("x.message.text").startswith(F.concat(F.lit("Potential vulnerability ("), F.col("x.ruleId"), F.lit(") with confidence "))))
+    out = out.select(F.col("ord").alias("sample_id"), F.col("x.ruleId").alias("rule"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("line"))
+    return out.join(rules.withColumnRenamed("ord", "first_of_rule"), "rule")
+
+
+@register("finding_evidence", with_("alerts", "verdicts", "scored") + """, a AS (SELECT sample_id, count(*) AS n, coalesce(sum(len(trace_lines)), 0) AS t FROM alerts GROUP BY 1)
+  SELECT s.sample_id, repeat('static_alert,', coalesce(CAST(a.n AS INT), 0)) || CASE WHEN coalesce(a.t, 0) > 0 THEN 'trace_lines,' ELSE '' END || CASE WHEN v.sample_id IS NOT NULL THEN 'llm_verdict,' ELSE '' END || 'rank_score,fusion_scores,line_scores' AS kinds, round(s.rank_score, 6) AS rank_score, round(s.static_score, 6) AS static_score
+  FROM scored s LEFT JOIN a USING (sample_id) LEFT JOIN verdicts v USING (sample_id)""")
 def finding_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return U.findings(_fused(spark, sf)).select("sample_id", "evidence")
+    e = F.from_json("evidence", "array<struct<kind:string,value:double,static_score:double>>")
+    of = lambda k: F.get(F.filter("e", lambda x: x["kind"] == k), F.lit(0))
+    f = U.findings(_fused(spark, sf)).select("sample_id", e.alias("e"))
+    return rounded(f.select("sample_id", F.array_join(F.transform("e", lambda x: x["kind"]), ",").alias("kinds"), of("rank_score")["value"].alias("rank_score"), of("fusion_scores")["static_score"].alias("static_score")))
 
 
 # -- evaluation --------------------------------------------------------------------------------------------------------
@@ -443,7 +463,7 @@ _VROWS = with_("ranked", "verdicts") + ", t AS (SELECT r.rank, r.label, v.verdic
   round({_div('tp + tn', 'tp + fp + tn + fn')}, 6) AS accuracy, round(CASE WHEN d <> 0 THEN (CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(d) END, 6) AS mcc, round({_div('uncertain_n', 'n')}, 6) AS uncertain_rate, round({_div('tp', 'vulnerable_n')}, 6) AS vulnerable_verdict_precision,
   round({_div('bt', 'benign_n')}, 6) AS benign_verdict_precision, round({_div('positives_in_topk', 'n')}, 6) AS ranker_precision, round({_div('tp', 'vulnerable_n')} - {_div('positives_in_topk', 'n')}, 6) AS precision_gain FROM b""")
 def topk_verdict_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    r = R.rank_rows(P.ranks(spark, sf)).join(P.verdicts(spark, sf).select("sample_id", "verdict"), "sample_id")
+    r = R.join_all(R.top_k(P.ranks(spark, sf), max(KS)), P.verdicts(spark, sf).select("sample_id", "verdict"))
     return rounded(E.topk_verdicts(r, KS))
 
 
@@ -500,17 +520,20 @@ def rank_audit(spark: SparkSession, sf: str) -> DataFrame:
 _SPLITS = f"(SELECT doc_id AS sample_id, {_SHARE} FROM ({_HASHED}))"
 
 
-@register("leakage_audit", f"""WITH m AS {_SPLITS}, t AS (SELECT sample_id FROM m WHERE split = 'test'), v AS (SELECT doc_id AS sample_id FROM documents WHERE doc_id % 4 <> 3)
+@register("leakage_audit", f"""WITH m AS {_SPLITS}, t AS (SELECT sample_id FROM m WHERE split = 'test'), v AS (SELECT DISTINCT doc_id AS sample_id FROM labels)
   SELECT 'ids_in_two_splits' AS "check", 0 AS failures UNION ALL SELECT 'code_in_two_splits', count(*) FROM (SELECT sha256(coalesce(d.text, '')) AS h FROM documents d JOIN m ON d.doc_id = m.sample_id GROUP BY 1 HAVING count(DISTINCT split) > 1)
-  UNION ALL SELECT 'verdicts_outside_test', count(*) FROM v WHERE sample_id NOT IN (SELECT sample_id FROM t) UNION ALL SELECT 'verdicts_lacks', count(*) FROM t WHERE sample_id NOT IN (SELECT sample_id FROM v)""")
+  UNION ALL SELECT 'labels_outside_test', count(*) FROM v WHERE sample_id NOT IN (SELECT sample_id FROM t) UNION ALL SELECT 'labels_lacks', count(*) FROM t WHERE sample_id NOT IN (SELECT sample_id FROM v)""")
 def leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return E.audit_leakage(R.random_split(P.samples(spark, sf)), {"verdicts": P.verdicts(spark, sf)}, code="code")
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"))
+    return E.audit_leakage(R.random_split(P.samples(spark, sf)), {"labels": labelled}, code="code")
 
 
-@register("feature_audit", """SELECT 'missing' AS "check", count(*) AS failures FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'extra', 0 UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'empty_code', count(*) FROM documents WHERE doc_id % 10 <> 0 AND trim(coalesce(text, '')) = ''""")
+@register("feature_audit", """SELECT 'missing' AS "check", count(*) AS failures FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'extra', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'repeated', 0
+  UNION ALL SELECT 'empty_code', count(*) FROM labels l LEFT JOIN documents d USING (doc_id) WHERE trim(coalesce(text, '')) = ''""")
 def feature_audit(spark: SparkSession, sf: str) -> DataFrame:
-    s = P.samples(spark, sf)
-    return E.audit_features(s.where("sample_id % 10 <> 0").withColumnRenamed("code", "function_code"), s)
+    d = table(spark, sf, "documents").selectExpr("doc_id AS sample_id", "text AS function_code")
+    f = table(spark, sf, "labels").selectExpr("doc_id AS sample_id").join(d, "sample_id", "left")
+    return E.audit_features(f, P.samples(spark, sf))
 
 
 @register("readiness", with_("samples") + """ SELECT 'unique_ids' AS "check", count(*) = count(DISTINCT sample_id) AS ok FROM samples UNION ALL SELECT 'both_classes', count(DISTINCT label) = 2 FROM samples UNION ALL SELECT 'code_located', count(*) = count(*) FILTER (WHERE coalesce(code, '') <> '') FROM samples UNION ALL SELECT 'enough_rows', count(*) >= 20 FROM samples""")
@@ -642,7 +665,7 @@ _TERM = r"[A-Za-z_][\p{L}\p{N}_]+|\p{Nd}+|[^\p{L}\p{N}_\s\x1c-\x1f\x{85}\p{Z}]"
   f AS (SELECT sample_id, term, count(*) AS tf FROM g GROUP BY ALL), v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM f GROUP BY 1) SELECT term, df, total, round(ln((1 + (SELECT count(*) FROM samples)) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf FROM v ORDER BY total DESC, term LIMIT 500""")
 def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     s = P.samples(spark, sf)
-    return rounded(K.vocabulary(K.ngrams(s), s.count(), 500))
+    return rounded(K.vocabulary(s, s.count(), 500))
 
 
 @register("numeric_features", f"""SELECT sample_id, {_METRICS} FROM (SELECT doc_id AS sample_id, coalesce(text, '') AS c, regexp_extract_all(coalesce(text, ''), '{_NAME}') AS ids FROM documents)""")
@@ -652,10 +675,4 @@ def numeric_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("ranker_scores")
 def ranker_scores(spark: SparkSession, sf: str) -> DataFrame:
-    names = [*K.CODE, *K.ALERT]
-    rows = K.numeric_rows(P.samples(spark, sf), P.alerts(spark, sf))
-    rows = R.stratified_split(rows)
-    train = rows.where("split = 'train'")
-    ready = K.assemble(K.scale(rows, K.scaler(train, names)), names)
-    model = K.fit(ready.where("split = 'train'"))
-    return R.rank_rows(K.predict(model, ready).select("sample_id", "label", "split", "rank_score"))
+    return T3.train_ranker(P.samples(spark, sf), P.alerts(spark, sf), limit=2000)[1]

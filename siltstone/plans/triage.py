@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,10 @@ from siltstone.operators import graph as G
 from siltstone.operators import ranker as K
 from siltstone.operators import relational as R
 from siltstone.operators import verify as V
+from siltstone.operators.common import cut
 from siltstone.schemas import validate
 from siltstone.sources.records import load_dataset
+from siltstone.sources.sinks import write_jsonl
 
 _NONE = "array<int>"
 
@@ -70,45 +73,76 @@ def _ordered(own: DataFrame) -> DataFrame:
 
 @dataclass
 class Ranker:
-    """A fitted ranker: the model, its number columns and their deviations."""
+    """A fitted ranker: the model, its number columns with their deviations, and the vocabulary (term, idf) of its terms."""
 
-    model: LogisticRegressionModel
+    model: Model
     names: list[str]
     deviations: dict[str, float]
+    vocab: DataFrame
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        return K.predict(self.model, K.assemble(K.scale(rows, self.deviations), self.names))
+    def score(self, rows: DataFrame, samples: DataFrame, code: str = "code") -> DataFrame:
+        """rows (numbers of the samples) with rank_score."""
+        return K.predict(self.model, _ready(rows, samples, self.names, self.deviations, self.vocab, code)).drop("features")
 
     def importances(self) -> list[tuple[str, float]]:
-        return K.importances(self.model, self.names)
+        terms = [r[0] for r in self.vocab.select("term").orderBy("term").collect()]  # no longer than the vocabulary's limit
+        return K.importances(self.model, [*terms, *self.names, "intercept"])
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        spark.createDataFrame([(i, n, self.deviations[n]) for i, n in enumerate(self.names)], "place int, name string, deviation double").write.mode("overwrite").json(f"{path}/columns")
+        self.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        kind = "random_forest" if hasattr(self.model, "featureImportances") else "logistic_regression"
+        spark.createDataFrame([(i, n, self.deviations[n], kind) for i, n in enumerate(self.names)], "place int, name string, deviation double, model string").write.mode("overwrite").json(f"{path}/columns")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Ranker:
-        rows = spark.read.schema("place int, name string, deviation double").json(f"{path}/columns").orderBy("place").collect()  # a row a column
-        return Ranker(LogisticRegressionModel.load(f"{path}/model"), [r[1] for r in rows], {r[1]: r[2] for r in rows})
+        rows = spark.read.schema("place int, name string, deviation double, model string").json(f"{path}/columns").orderBy("place").collect()  # a row a column
+        kind = RandomForestClassificationModel if rows and rows[0][3] == "random_forest" else LogisticRegressionModel
+        return Ranker(kind.load(f"{path}/model"), [r[1] for r in rows], {r[1]: r[2] for r in rows}, spark.read.parquet(f"{path}/vocabulary"))
 
 
-def train_ranker(samples: DataFrame, alerts: DataFrame, *, manifest: DataFrame | None = None, code: str = "code", threshold: float = 0.5) -> tuple[Ranker, DataFrame, DataFrame]:
-    """(ranker, ranked rows, metrics by split), learnt on the train split: the manifest's if it is usable, else a stratified one."""
+def _ready(rows: DataFrame, samples: DataFrame, names: Sequence[str], deviations: dict[str, float], vocab: DataFrame, code: str) -> DataFrame:
+    terms = K.tfidf(K.ngrams(samples, code), vocab)
+    return K.assemble(K.scale(rows, deviations), names, terms, vocab)
+
+
+def train_ranker(samples: DataFrame, alerts: DataFrame, *, manifest: DataFrame | None = None, code: str = "code", threshold: float = 0.5, model: str = "logistic_regression", limit: int = 20_000, seed: int = 42, trees: int = 300) -> tuple[Ranker, DataFrame, DataFrame]:
+    """(ranker, ranked rows, metrics by split) of terms and numbers, learnt on the train split: the manifest's if it is usable,
+    else a stratified one. Vocabulary, idf and deviations come from the train split alone."""
     rows = K.numeric_rows(samples, alerts, code)
-    rows = R.resolve_split(rows, manifest) if manifest is not None else R.stratified_split(rows)
-    names = [*K.CODE, *K.ALERT]
-    train = rows.where("split = 'train'")
+    rows = cut(R.resolve_split(rows, manifest) if manifest is not None else R.stratified_split(rows, seed=seed))
+    names, train = list(K.NUMBERS), rows.where("split = 'train'")
+    own = samples.join(train.select("sample_id"), "sample_id", "left_semi")
+    vocab = cut(K.vocabulary(own, train.count(), limit, code).select("term", "idf"))
     deviations = K.scaler(train, names)
-    ranker = Ranker(K.fit(K.assemble(K.scale(train, deviations), names)), names, deviations)
-    scored = ranker.score(rows).select("sample_id", "label", "split", "rank_score")
+    ready = _ready(rows, samples, names, deviations, vocab, code)
+    ranker = Ranker(K.fit(ready.where("split = 'train'"), model=model, seed=seed, trees=trees), names, deviations, vocab)
+    scored = K.predict(ranker.model, ready).select("sample_id", "label", "split", "rank_score")
     return ranker, R.rank_rows(scored), E.classification(scored, F.col("label"), F.col("rank_score"), threshold, "split")
 
 
+def packets(features: DataFrame, ranks: DataFrame, alerts: DataFrame, k: int, graphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(packets, missed): verification packets of the k best samples, with their rank, and the ids among these without features.
+
+    graphs: (sample_id, evidence), the graph evidence as JSON text.
+    """
+    best = R.top_k(ranks, k).select("sample_id", "rank_score", "rank")
+    f = best.join(features, "sample_id").join(A.grouped(alerts, "ord"), "sample_id", "left")
+    if graphs is not None:
+        f = f.join(graphs.select("sample_id", F.col("evidence").alias("graph_evidence")), "sample_id", "left")
+    return V.packet(V.evidence_summary(f)), best.join(features, "sample_id", "left_anti").select("sample_id", "rank")
+
+
+def dry_run(features: DataFrame, ranks: DataFrame, alerts: DataFrame, path: str, config: V.VerifierConfig | None = None, graphs: DataFrame | None = None) -> int:
+    """Writes the messages of the best samples as JSON lines, by rank, without calling any client; returns their number."""
+    c = config or V.VerifierConfig()
+    found, _ = packets(features, ranks, alerts, c.top_k or max(1, ranks.count()), graphs)
+    return write_jsonl(V.messages(V.prompt_of(found)).orderBy("rank").select("sample_id", "messages"), path)
+
+
 def prompts_for(features: DataFrame, ranks: DataFrame, alerts: DataFrame, k: int) -> DataFrame:
     """Prompts of the k best samples that have features."""
-    best = R.top_k(ranks, k).select("sample_id", "rank_score")
-    f = best.join(features.select("sample_id", "function_code", "span", "trace_lines"), "sample_id").join(A.grouped(alerts, "ord"), "sample_id", "left")
-    return V.prompt(V.evidence_summary(f))
+    return V.prompt_of(packets(features, ranks, alerts, k)[0])
 
 
 def fuse(features: DataFrame, ranks: DataFrame, alerts: DataFrame, verdicts: DataFrame, threshold: float = 0.5) -> DataFrame:

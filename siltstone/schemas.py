@@ -16,7 +16,7 @@ FEATURE = f"sample_id string, label int, cwe array<string>, file string, functio
 RANK = "sample_id string, rank_score double, rank int, label int, metadata map<string,string>"
 COST = "sample_id string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, latency_seconds double, success boolean, api_cost_usd double, error_type string"
 _ALERT_FIELDS = ",".join(x.replace(" ", ":", 1) for x in ALERT.split(", "))
-PACKET = f"sample_id string, language string, function_code string, span {SPAN}, static_alerts array<struct<{_ALERT_FIELDS}>>, graph_evidence string, context string"
+PACKET = f"sample_id string, language string, function_code string, span {SPAN}, static_alerts array<struct<{_ALERT_FIELDS}>>, graph_evidence string, context map<string,string>"
 
 VERDICTS = ("vulnerable", "benign", "uncertain")
 

@@ -38,6 +38,35 @@ def case_file(df: DataFrame, path: str) -> int:
     return write_jsonl(df.select("sample_id", "rank", "rank_score", "label", "verdict", "confidence", "predicted_cwe", "vulnerable_lines", "evidence", "patch_hint"), path)
 
 
+def _stream(rows: DataFrame, order: str, column: str, out: Any) -> None:
+    """The rows' JSON by order into an open file, comma separated; a partition at a time passes the driver."""
+    first = True
+    for r in rows.orderBy(order).select(column).toLocalIterator(prefetchPartitions=True):
+        out.write(("" if first else ",") + "\n" + r[0])
+        first = False
+
+
+def write_report(totals: DataFrame, rows: DataFrame, path: str, metadata: dict[str, Any] | None = None) -> int:
+    """One JSON file of findings, by id, with metadata, total and vulnerable_count; returns the total."""
+    t = totals.first().asDict()
+    head = {"metadata": metadata or {}} | t
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "findings": [')
+        _stream(rows, "sample_id", "json", out)
+        out.write("]}\n")
+    return int(t["total"])
+
+
+def write_sarif(rules: DataFrame, results: DataFrame, path: str, tool: str = "siltstone") -> None:
+    """One SARIF 2.1.0 file; the rules are few, the results pass the driver a partition at a time."""
+    ids = [{"id": r[0]} for r in rules.orderBy("ord", "rule").select("rule").collect()]
+    head = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write(json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": ids}) + '}, "results": [')
+        _stream(results, "ord", "json", out)
+        out.write("]}]}\n")
+
+
 def flatten(metrics: dict[str, Any], prefix: str = "") -> dict[str, Any]:
     """Nested metrics with dotted keys."""
     out: dict[str, Any] = {}

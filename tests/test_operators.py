@@ -11,6 +11,7 @@ from siltstone.operators import graph as G
 from siltstone.operators import relational as R
 from siltstone.operators import verify as V
 from siltstone.schemas import ALERT, validate
+from siltstone.sources import sinks
 
 
 def ids(df, c="id"):
@@ -96,7 +97,7 @@ def test_feature_graph(program):
     assert {r["id"]: r["others"] for r in G.adjacency(n, e).collect()}["3"] == ["2", "4", "6"]
 
 
-def test_fusion_goldens(spark):
+def test_fusion_goldens(spark, tmp_path):
     f = spark.createDataFrame([("fz_001", []), ("fz_002", []), ("fz_003", []), ("fz_004", ["CWE-1"])], "sample_id string, cwe array<string>")
     r = spark.createDataFrame([("fz_001", 0.5, 0), ("fz_001", 0.92, 1), ("fz_002", 0.05, 2), ("fz_003", 0.71, 3), ("fz_004", 0.40, 4)], "sample_id string, rank_score double, ord int")
     a = spark.createDataFrame([("fz_001", "t", "q", "m", "error", "f.c", 12, 12, ["CWE-787"], [11], None, 0), ("fz_001", "t", "q", "m", "warning", "f.c", 13, 13, ["CWE-787"], [], None, 1), ("fz_003", "t", "q", "m", "error", "f.c", 4, 5, [], [2], None, 2), ("fz_004", "t", "q", "m", "note", "f.c", 3, 3, [], [3], None, 3)], ALERT + ", ord int")
@@ -111,9 +112,14 @@ def test_fusion_goldens(spark):
     found = U.findings(fused)
     kinds = [x["kind"] for x in json.loads(found.where("sample_id = 'fz_001'").first()["evidence"])]
     assert kinds == ["static_alert", "static_alert", "trace_lines", "llm_verdict", "rank_score", "fusion_scores", "line_scores"]
-    report = json.loads(U.report(found, {"k": "v"}).first()[0])
-    assert report["total"] == 4 and report["vulnerable_count"] == 2 and report["metadata"] == {"k": "v"}
-    sarif = json.loads(U.sarif(found, f.withColumn("file", F.lit("a.c"))).first()[0])
+    assert sinks.write_report(*U.report(found), str(tmp_path / "r.json"), {"k": "v"}) == 4
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["total"] == 4 and report["vulnerable_count"] == 2 and report["metadata"] == {"k": "v"} and [x["sample_id"] for x in report["findings"]] == list(want)
+    sinks.write_sarif(*U.sarif(found, f.withColumn("file", F.lit("a.c"))), str(tmp_path / "r.sarif"))
+    sarif = json.loads((tmp_path / "r.sarif").read_text())
+    assert [x["id"] for x in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["CWE-787", "CWE-416"]
+    lines = {x["sample_id"]: x["vulnerable_lines"] for x in U.best_lines(U.scored_lines(a, v)).collect()}
+    assert lines == {k: x["vulnerable_lines"] for k, x in got.items() if x["vulnerable_lines"]}
     assert sarif["version"] == "2.1.0" and [x["ruleId"] for x in sarif["runs"][0]["results"]] == ["CWE-787", "CWE-416"]
 
 

@@ -1,10 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import ranker as K
 from siltstone.operators import verify as V
 from siltstone.plans import triage
 from siltstone.schemas import ALERT
+from siltstone.sources import sinks
 
 
 def test_end_to_end(spark, tmp_path):
@@ -24,7 +27,25 @@ def test_end_to_end(spark, tmp_path):
     assert {r["split"]: r["f1"] for r in metrics.collect()}["train"] == 1.0
     ranker.save(spark, str(tmp_path / "ranker"))
     again = triage.Ranker.load(spark, str(tmp_path / "ranker"))
-    assert again.names == ranker.names and abs(again.importances()[0][1] - ranker.importances()[0][1]) < 1e-12
+    assert again.names == ranker.names and again.importances() == ranker.importances() and any(n == "strcpy" for n, _ in again.importances())
+    assert sinks.write_jsonl(m.select("sample_id"), str(tmp_path / "ids")) == 60  # before the model is sent to tasks again
+    numbers = K.numeric_rows(m, alerts)
+    first, second = ({r["sample_id"]: r["rank_score"] for r in x.collect()} for x in (again.score(numbers, m), ranked))
+    assert all(abs(first[k] - second[k]) < 1e-12 for k in second)
+    forest, _, byforest = triage.train_ranker(m, alerts, manifest=m.select("sample_id", "split"), model="random_forest", trees=20)
+    forest.save(spark, str(tmp_path / "forest"))
+    assert {r["split"]: r["f1"] for r in byforest.collect()}["train"] == 1.0 and triage.Ranker.load(spark, str(tmp_path / "forest")).score(numbers, m).count() == 60
+    with pytest.raises(ValueError):
+        triage.train_ranker(m, alerts, model="boosting")
+    graphs = spark.createDataFrame([("devign_0", '{"sinks": [3]}')], "sample_id string, evidence string")
+    packets, missed = triage.packets(f.where("sample_id <> 'devign_3'"), ranked, alerts, 20, graphs)
+    assert packets.count() == 19 and [r[0] for r in missed.collect()] == ["devign_3"]
+    one = packets.where("sample_id = 'devign_0'").first()
+    summary = json.loads(one["context"]["evidence_summary"])
+    assert summary["graph_summary"] == {"sinks": [3]} and summary["static_alert_count"] == 1 and summary["alert_summaries"][0]["severity"] == "error" and len(summary) == 11
+    assert triage.dry_run(f, ranked, alerts, str(tmp_path / "dry"), V.VerifierConfig(top_k=5)) == 5
+    dry = spark.read.json(str(tmp_path / "dry")).first()
+    assert [m["role"] for m in dry["messages"]] == ["system", "user"]
     prompts = triage.prompts_for(f, ranked, alerts, 10)
     verdicts = V.mock_verdicts(prompts).withColumns({"patch_hint": F.lit(""), "ord": F.lit(0)})
     assert verdicts.count() == 10
