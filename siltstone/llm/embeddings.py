@@ -9,8 +9,9 @@
 4. The united graph is searched, home by home. A query enters at the home's medoid (and then at its own node, if the greedy
    search has not come by it) and expands what is within the range and some slack, so it walks through whole
    neighbourhoods. Neighbours that live elsewhere and can be in range, by the angles of the edges walked, are sent as a visit
-   to their home, round by round until no visit is left. A query visits a home once; links to vectors of this home are
-   counted there, after their similarity is computed in double precision, so none counts twice and none is below `reach`.
+   to their home, round by round until no visit is left. Links to the vectors of a home are counted there, after their
+   similarity is computed in double precision; a query that comes again brings the bits of what it has seen, so no link
+   counts twice, and none is below `reach`.
 5. A bounded set of probes is compared with all vectors. If the recall of their links is under `least`, vectors join more
    shards and the search is done again; the recall measured is a column of the result.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import small, stage
 from siltstone.llm.graph import components
 
-DEGREE, CANDIDATES, ALPHA, BLOCK = 24, 40, 1.2, 256
+DEGREE, CANDIDATES, ALPHA, BLOCK, SURE = 24, 40, 1.2, 256, 3
 #: Children of a cell at most, rows of a cell that are dealt in one task, and cuts below each other.
 FAN, DEAL, DEPTH = 1024, 1 << 17, 8
 SLACK = 0.08
@@ -107,7 +108,9 @@ class Graph:
         order = np.lexsort((-np.einsum("ij,ij->i", x[a], x[b]), a))
         a, b = a[order], b[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
-        keep = rank < 3 * DEGREE
+        # long lists are cut, but each vector stays in the lists of the nearest it has kept, so that it can be reached
+        own = np.concatenate([v[:SURE] * n + i for i, v in enumerate(lists)]) if lists else np.zeros(0, int)
+        keep = (rank < 3 * DEGREE) | np.isin(a * n + b, own)
         self.a, self.b = a[keep], b[keep]
 
     def _prune(self, near: np.ndarray, sim: np.ndarray) -> list[np.ndarray]:
@@ -122,13 +125,13 @@ class Graph:
         return [row[k] for row, k in zip(near, kept, strict=True)]
 
 
-def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, enter: list[np.ndarray], reach: float, own: np.ndarray | None = None, effort: int = 8, width: int = 4) -> np.ndarray:
-    """Similarities (query, row of x) of what a range-expanding greedy search has seen, -2 elsewhere.
+def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, enter: list[np.ndarray], reach: float, own: np.ndarray | None = None, before: np.ndarray | None = None, effort: int = 8, width: int = 4) -> np.ndarray:
+    """Similarities (query, row of x) of what a range-expanding greedy search has seen, -2 elsewhere, -3 for what it saw before.
 
     enter: rows that each query begins with. own: each query's own row, where a query begins anew that has not come by it.
     """
     n, rows = len(x), np.arange(len(q))
-    sim = np.full((len(q), n), -2.0)
+    sim = np.full((len(q), n), -2.0) if before is None else np.where(before, -3.0, -2.0)
     todo = np.full((len(q), n), -2.0)  # similarity of what is seen but not expanded
 
     def see(r: np.ndarray, k: np.ndarray) -> None:
@@ -179,7 +182,7 @@ def _cut(vectors: DataFrame, sample: int, per_shard: int, overlap: int) -> DataF
 
     def learn(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
-        k = max(2, min(FAN, -(-t.column("n")[0].as_py() // per_shard)))
+        k = max(2, min(FAN, -(-t.column("n")[0].as_py() * overlap // per_shard)))
         return pa.table({"cell": t.column("cell").slice(0, 1), "pivots": pa.array([pivots(_matrix(t.column("vec")), k).tobytes()], pa.binary())})
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,7 +241,8 @@ _FOUND = "kind int, a long, b long, n long, vec binary, enter array<long>"
 def _visit(reach: float, first: bool) -> Callable[..., pa.Table]:
     """Search of a home: of all of its own vectors (first), or of visits (q, vec, enter) from elsewhere.
 
-    Gives links of a query (kind 0: a, n), forest edges (1: a, b) and visits to other homes (2: a, home b, vec, enter).
+    Gives links of a query (kind 0: a, n), forest edges (1: a, b), visits to other homes (2: a, home b, vec, enter), and what a
+    query has seen of this home, as bits (3: a, home b, vec).
     """
 
     def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
@@ -274,12 +278,21 @@ def _visit(reach: float, first: bool) -> Callable[..., pa.Table]:
                 right = right.sort_by("a")
                 q, ids = _matrix(right.column("vec")), right.column("a").to_numpy()
                 enter = [np.unique(np.searchsorted(rep, e)) for e in right.column("enter").to_pylist()]
+                known = right.column("seen").to_pylist()
             widest = np.arccos(reach - SLACK)
             link_q, link_x = [], []
             for at in range(0, len(q), BLOCK):
                 part = q[at : at + BLOCK]
-                own = np.arange(at, at + len(part)) if right is None else None
-                sim = search(x, edges, part, enter[at : at + BLOCK], reach, own)
+                own, before = (np.arange(at, at + len(part)) if right is None else None), None
+                if right is not None:
+                    before = np.zeros((len(part), len(rep)), bool)
+                    for r, bits in enumerate(known[at : at + BLOCK]):
+                        if bits is not None:
+                            before[r] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(rep)).astype(bool)
+                sim = search(x, edges, part, enter[at : at + BLOCK], reach, own, before)
+                seen = sim != -2
+                fresh = np.flatnonzero((sim > -2).any(axis=1))
+                add(3, ids[at + fresh].tolist(), [home] * len(fresh), vec=[np.packbits(s).tobytes() for s in seen[fresh]])
                 if own is not None:
                     sim[np.arange(len(part)), own] = 1.0
                 hit = sim >= reach
@@ -323,17 +336,19 @@ def _link(reps: DataFrame, reach: float, sample: int, per_shard: int, overlap: i
     none = F.array().cast("array<struct<b:long,home:long,sim:double>>")
     nodes = stage(nodes.select("rep", "m", "vec", "home", F.coalesce("near", none).alias("near")).repartition("home"))
     found = stage(nodes.groupBy("home").applyInArrow(_visit(reach, True), _FOUND))
-    seen = nodes.select(F.col("rep").alias("s_a"), F.col("home").alias("s_home"))
     links, forest = found.where("kind = 0"), found.where("kind = 1")
+    seen = stage(found.where("kind = 3").select(F.col("a").alias("s_a"), F.col("b").alias("s_b"), F.col("vec").alias("seen")))
     while True:
         asks = found.where("kind = 2").groupBy("a", "b").agg(F.first("vec").alias("vec"), F.array_distinct(F.flatten(F.collect_list("enter"))).alias("enter"))
-        asks = stage(asks.join(seen, (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_home")), "left_anti").select("a", "vec", "enter", F.col("b").alias("home")))
+        asks = asks.join(seen, (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_b")), "left")
+        asks = stage(asks.select("a", "vec", "enter", "seen", F.col("b").alias("home")))
         if asks.isEmpty():
             return links.groupBy("a").agg(F.sum("n").alias("n")), forest.select("a", "b")
-        seen = seen.union(asks.select(F.col("a").alias("s_a"), F.col("home").alias("s_home")))
         there = nodes.join(small(stage(asks.select(F.col("home").alias("asked")).distinct())), F.col("home") == F.col("asked"), "left_semi")
         found = stage(there.groupBy("home").cogroup(asks.groupBy("home")).applyInArrow(_visit(reach, False), _FOUND))
         links, forest = links.union(found.where("kind = 0")), forest.union(found.where("kind = 1"))
+        new = found.where("kind = 3").select(F.col("a").alias("s_a"), F.col("b").alias("s_b"), F.col("vec").alias("seen"))
+        seen = stage(seen.join(new, ["s_a", "s_b"], "left_anti").union(new))
 
 
 def _true_links(reps: DataFrame, queries: list, reach: float) -> DataFrame:

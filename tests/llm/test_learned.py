@@ -245,8 +245,9 @@ def test_graph_is_pruned():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = embeddings.Graph(x)
     degree = np.bincount(g.a, minlength=200)
-    assert degree.max() <= 3 * embeddings.DEGREE and degree.min() >= 1
-    edges = np.full((200, 3 * embeddings.DEGREE), -1)
+    entered = np.bincount(g.b, minlength=200)
+    assert degree.min() >= 1 and entered.min() >= min(embeddings.SURE, degree.min()) and degree.mean() <= 3 * embeddings.DEGREE
+    edges = np.full((200, degree.max()), -1)
     edges[g.a, np.arange(len(g.a)) - np.searchsorted(g.a, g.a)] = g.b
     sim = embeddings.search(x, edges, x[:50], [np.array([7])] * 50, 0.7)
     seen = sim > -2
