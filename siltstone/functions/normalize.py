@@ -131,7 +131,7 @@ def number_or_zero(c: Column) -> Column:
 
 def percent(c: Column) -> Column:
     """For display: a percentage with two decimals, n/a for null."""
-    return F.coalesce(F.format_string("%.2f%%", c * 100), F.lit("n/a"))
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.2f%%", c * 100))
 
 
 def redact_key(c: Column, key: str) -> Column:

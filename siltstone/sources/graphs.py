@@ -16,8 +16,10 @@ NODE_NAMES = {
 EDGE_NAMES = ("type", "label", "TYPE")
 
 
-def _name() -> Column:
-    return F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1), r"\.[^.]*$", "")
+def _name(path: Column | None = None) -> Column:
+    """A file's graph: its folder graph_id=..., as write_graphs names it, else its stem."""
+    p = F.col("_metadata.file_path") if path is None else path
+    return F.coalesce(F.nullif(F.regexp_extract(p, r"/graph_id=([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_replace(F.regexp_extract(p, r"([^/]*)$", 1), r"\.[^.]*$", ""))
 
 
 def _last(nodes: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def _last(nodes: DataFrame) -> DataFrame:
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of simple JSON graphs; graph_id is the file's stem."""
     kind = "struct<nodes:array<struct<id:string,type:string,code:string,file:string,line:string,function:string,properties:string>>,edges:array<struct<source:string,target:string,type:string,properties:string>>>"
-    docs = spark.read.option("wholetext", "true").text(path).select(_name().alias("graph_id"), F.from_json("value", kind).alias("d"))
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(_name().alias("graph_id"), F.from_json("value", kind).alias("d"))
     n = docs.select("graph_id", F.posexplode("d.nodes").alias("ord", "n"))
     nodes = n.select("graph_id", "n.id", "ord", "n.type", "n.code", "n.file", coerce_line(F.col("n.line")).alias("line"), "n.function", "n.properties")
     e = docs.select("graph_id", F.posexplode("d.edges").alias("ord", "e"))
@@ -37,18 +39,22 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of one GraphML file with key declarations; namespaces are ignored."""
-    x = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("nullValue", "\x00").schema(schema).load(path)
-    keys = x("key", "_id string, `_attr.name` string").select(F.col("_id").alias("k"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("name"))
-    names = F.broadcast(keys.agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("names")))  # one row of declarations
+    """(nodes, edges) of GraphML files with key declarations, each file's own; namespaces are ignored."""
+    def x(tag: str, schema: str) -> DataFrame:
+        r = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("nullValue", "\x00").option("recursiveFileLookup", "true").schema(schema).load(path)
+        return r.select("*", F.col("_metadata.file_path").alias("p"))
+
+    keys = x("key", "_id string, `_attr.name` string").where("_id is not null").select("p", F.col("_id").alias("k"), F.coalesce(F.col("`_attr.name`"), F.col("_id")).alias("name")).distinct()
+    names = keys.groupBy(F.col("p").alias("n_p")).agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("names"))  # a file's declarations
     data = "data array<struct<_VALUE:string,_key:string>>"
 
     def attrs(df: DataFrame) -> DataFrame:
+        df = df.withColumn("ord", F.monotonically_increasing_id()).join(names, F.col("p") == F.col("n_p"), "left")
         pairs = F.filter(F.transform(F.coalesce("data", F.array().cast("array<struct<_VALUE:string,_key:string>>")), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]).alias("k"), F.trim(d["_VALUE"]).alias("v"))), lambda p: F.coalesce(p["v"], F.lit("")) != "")
-        return df.withColumn("ord", F.monotonically_increasing_id()).crossJoin(names).withColumn("a", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))))
+        return df.withColumn("a", F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))))
 
     pick = lambda names_: F.coalesce(*[F.try_element_at("a", F.lit(n)) for n in names_])
-    gid = F.lit(path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]).alias("graph_id")
+    gid = _name(F.col("p")).alias("graph_id")
     used = [n for v in NODE_NAMES.values() for n in v]
     n = attrs(x("node", f"_id string, {data}").where("_id is not null"))
     nodes = n.select(gid, F.col("_id").alias("id"), "ord", *[(coerce_line(pick(v)) if k == "line" else pick(v)).alias(k) for k, v in NODE_NAMES.items()], F.to_json(F.map_filter("a", lambda k, _: ~k.isin(*used))).alias("properties"))
@@ -63,10 +69,22 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, json): each graph as one JSON document, nodes and edges in order."""
-    n = nodes.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("id", "type", "code", "file", "line", "function").alias("n")))), lambda x: x["n"]).alias("nodes"))
-    e = edges.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("source", "target", "type").alias("e")))), lambda x: x["e"]).alias("edges"))
-    return n.join(e, "graph_id", "full").select("graph_id", F.to_json(F.struct(F.coalesce("nodes", F.expr("slice(nodes, 1, 0)")).alias("nodes"), F.coalesce("edges", F.expr("slice(edges, 1, 0)")).alias("edges")), {"ignoreNullFields": "false"}).alias("json"))
+    """(graph_id, json): each graph as one JSON document, nodes and edges in order, properties kept if there are."""
+    def packed(df: DataFrame, *cols: str) -> tuple[Column, DataFrame]:
+        own = [*cols, *(["properties"] if "properties" in df.columns else [])]
+        kind = df.select(F.array(F.struct(*own))).schema[0].dataType.simpleString()
+        return F.array().cast(kind), df.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*own).alias("x")))), lambda r: r["x"]).alias("rows"))
+
+    no_nodes, n = packed(nodes, "id", "type", "code", "file", "line", "function")
+    no_edges, e = packed(edges, "source", "target", "type")
+    both = n.withColumnRenamed("rows", "nodes").join(e.withColumnRenamed("rows", "edges"), "graph_id", "full")
+    return both.select("graph_id", F.to_json(F.struct(F.coalesce("nodes", no_nodes).alias("nodes"), F.coalesce("edges", no_edges).alias("edges")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_graphs(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A JSON document a graph, in folders graph_id=..., which read_graph_json understands."""
+    docs = graph_json(nodes, edges)
+    docs.select(F.col("json").alias("value"), "graph_id").repartition("graph_id").write.mode("overwrite").partitionBy("graph_id").text(folder)
 
 
 _REGION = "struct<startLine:int,endLine:int>"
@@ -79,7 +97,7 @@ _SARIF = f"struct<runs:array<struct<tool:struct<driver:struct<name:string,rules:
 def read_sarif(spark: SparkSession, path: str, sample_id: str = "unknown", tool: str = "codeql") -> DataFrame:
     """Alert records of SARIF files with ord. A rule index resolves by the rules table, the end defaults to the start, the
     severity is the level, weakness ids come from tags, trace lines from code flows; raw keeps the result."""
-    docs = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", _SARIF).alias("d"), F.col("_metadata.file_path").alias("p"))
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", _SARIF).alias("d"), F.col("_metadata.file_path").alias("p"))
     runs = docs.select("p", F.posexplode("d.runs").alias("run", "r"))
     rows = runs.select("p", "run", F.col("r.tool.driver.rules").alias("rules"), F.posexplode("r.results").alias("i", "raw"))
     x = rows.withColumn("x", F.from_json("raw", _RESULT))

@@ -36,7 +36,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of one JSON array with ord, the place in the array; elements that are no objects are dropped."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     each = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "v"))
     return each.where(F.trim("v").startswith("{")).select(F.from_json("v", schema).alias("r"), F.col("ord").cast("long").alias("ord")).select("r.*", "ord")
 
@@ -120,12 +120,13 @@ def load_raw(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, Data
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(sample_id, code): files <sample_id>.*, the first by path for each id."""
-    f = spark.read.option("wholetext", "true").text(folder).select("value", F.col("_metadata.file_path").alias("p"))
+    """(sample_id, code): files <sample_id>.* or files in folders sample_id=..., the first by path for each id."""
+    f = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
     stem = F.regexp_replace(F.regexp_extract("p", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    stem = F.coalesce(F.nullif(F.regexp_extract("p", r"/sample_id=([^/]+)/[^/]*$", 1), F.lit("")), stem)
     return f.groupBy(stem.alias("sample_id")).agg(F.min_by("value", "p").alias("code"))
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, evidence): a JSON object by sample id, values as JSON text."""
-    return spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_id", "evidence"))
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_id", "evidence"))

@@ -17,7 +17,7 @@ def test_datasets(spark, tmp_path):
 
 
 def test_raw(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps([{"func": "a b", "target": 1}, 5, {"func": " ", "target": 0}, {"func": "c", "idx": 0, "target": 0}]))
+    (tmp_path / "a.json").write_text(json.dumps([{"func": "a b", "target": 1}, 5, {"func": " ", "target": 0}, {"func": "c", "idx": 0, "target": 0}], indent=2))
     good, bad = records.load_raw(spark, str(tmp_path / "a.json"), "devign")
     assert [r["sample_id"] for r in good.collect()] == ["devign_0"]
     assert {r["reason"] for r in bad.collect()} == {"empty_code", "duplicate_id"}
@@ -28,7 +28,7 @@ def test_raw(spark, tmp_path):
 
 def test_graph_files(spark, tmp_path):
     doc = {"nodes": [{"id": 1, "type": "A", "line": "3"}, {"id": 2, "line": 0}, {"id": 1, "type": "B", "line": 4.0}], "edges": [{"source": 1, "target": 2, "type": "DDG"}]}
-    (tmp_path / "s1.json").write_text(json.dumps(doc))
+    (tmp_path / "s1.json").write_text(json.dumps(doc, indent=1))
     n, e = graphs.read_graph(spark, str(tmp_path / "s1.json"))
     assert [(r["graph_id"], r["id"], r["ord"], r["type"], r["line"]) for r in n.orderBy("ord").collect()] == [("s1", "1", 0, "B", 4), ("s1", "2", 1, None, None)]
     out = json.loads(graphs.graph_json(n, e).first()["json"])
@@ -48,7 +48,7 @@ def test_sarif(spark, tmp_path):
         {"ruleId": "r/a", "level": "error", "message": {"text": "m"}, "locations": [loc("n/s.c", startLine=145, endLine=146)], "codeFlows": [{"threadFlows": [{"locations": [{"location": loc("n/s.c", startLine=s)} for s in (132, 140, 145)]}]}]},
         {"ruleIndex": 1, "message": {"text": "o"}, "locations": [loc("a.c", startLine=12)]},
     ]
-    (tmp_path / "x.sarif").write_text(json.dumps({"version": "2.1.0", "runs": [run]}))
+    (tmp_path / "x.sarif").write_text(json.dumps({"version": "2.1.0", "runs": [run]}, indent=2))
     a, b = graphs.read_sarif(spark, str(tmp_path / "x.sarif"), "s1").orderBy("ord").collect()
     assert (a["query_id"], a["severity"], a["cwe"], a["trace_lines"], a["end_line"], a["sample_id"]) == ("r/a", "error", ["CWE-119", "CWE-787"], [132, 140, 145], 146, "s1")
     assert (b["query_id"], b["cwe"], b["start_line"], b["end_line"], b["trace_lines"]) == ("r/b", [], 12, 12, []) and json.loads(a["raw"])["ruleId"] == "r/a"
