@@ -32,7 +32,10 @@ def test_graph_files(spark, tmp_path):
     n, e = graphs.read_graph(spark, str(tmp_path / "s1.json"))
     assert [(r["graph_id"], r["id"], r["ord"], r["type"], r["line"]) for r in n.orderBy("ord").collect()] == [("s1", "1", 0, "B", 4), ("s1", "2", 1, None, None)]
     out = json.loads(graphs.graph_json(n, e).first()["json"])
-    assert [x["id"] for x in out["nodes"]] == ["1", "2"] and out["edges"] == [{"source": "1", "target": "2", "type": "DDG"}]
+    assert [x["id"] for x in out["nodes"]] == ["1", "2"] and out["edges"] == [{"source": "1", "target": "2", "type": "DDG", "properties": None}]
+    graphs.write_graphs(n, e, str(tmp_path / "out"))
+    again, _ = graphs.read_graph(spark, str(tmp_path / "out"))
+    assert sorted((r["graph_id"], r["id"], r["line"]) for r in again.collect()) == [("s1", "1", 4), ("s1", "2", None)]
     xml = """<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="k0" for="node" attr.name="LINE_NUMBER"/><key id="k1" for="node" attr.name="CODE"/><key id="k2" for="edge" attr.name="label"/>
     <graph><node id="n1"><data key="k0">12</data><data key="k1">free(p)</data></node><node id="n2"><data key="k1">q</data></node><edge source="n1" target="n2"><data key="k2">CFG</data></edge><edge source="n2" target="n1" label="AST"/></graph></graphml>"""
     (tmp_path / "g.graphml").write_text(xml)
