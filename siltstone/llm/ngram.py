@@ -1,17 +1,24 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The trie has a level of contexts (words, in order of their hash) and a level of their successors. Child ranges are
-monotone pointers and successors, taken as context number and word hash, one monotone sequence; both are Elias-Fano
-coded, and the smoothed probabilities are quantised to a byte. Levels are written to a file and read back memory-mapped;
-a successor is searched within its context's range, by its high bits. The trie is cut into buckets by context hash, so
-no machine holds all of it, and each chunk of texts sends a bucket only its distinct words and pairs.
-
-Probabilities: interpolated absolute discounting, p(w | v) = max(c(vw) - d, 0) / c(v) + d t(v) / c(v) p(w), over the
-add-one unigrams p(w) = (c(w) + 1) / (N + V + 1); an unseen context leaves p(w).
+The trie of order n (3 unless given) has a level of words, in order of their hash, and levels of successors below: of each
+word, of each pair, and so on. Child ranges are monotone pointers, and the successors of a level, taken as the number of
+their context and the hash of their word, are one monotone sequence; both are Elias-Fano coded, and the smoothed
+probabilities and backoff weights are quantised to a byte. Levels are written to a file and read back memory-mapped (it has
+no name and ends with the task); an n-gram is searched word by word, each within the child range of its context, by its
+high bits. The trie is cut into buckets by the hash of the first word, so no machine holds all of it, and each chunk of texts
+sends a bucket only its distinct n-grams.
+
+Probabilities: interpolated absolute discounting, p(w | h) = max(c(hw) - d, 0) / c(h) + d t(h) / c(h) p(w | h'), h' being h
+without its first word, down to the add-one unigrams p(w) = (c(w) + 1) / (N + V + 1); an unseen context leaves p(w | h').
+Contexts begin at the text's start at the earliest.
+
+Words are known by 64 bits of their hash; a successor by 32 bits within a word's successors and by 24 within those of a
+longer context, so two of n successors of one context are taken for one with a probability of n * n / 2 ** 33 or 2 ** 25:
+some 0.1 pairs among 30 000 successors of a word, and some 0.03 among 1000 of a pair. Their counts add up then.
 
 Defined cases: null and empty texts are one end token; null ids count as the empty text when folds are drawn; repeated
-rows count as often as they occur; without training rows all counts are 0; an empty table gives no rows; other columns
-are ignored.
+rows count as often as they occur; without training rows all counts are 0; a text is never cut, it and its chunk are in
+one task's memory; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.chunks import Chunk, answer, buckets_for, expand, meet, pack, send, squeeze
+from siltstone.llm.chunks import Chunk, answer, buckets_for, expand, expand_longs, meet, pack, send, squeeze, squeeze_longs
 
-DISCOUNT = 0.75
+DISCOUNT, ORDER = 0.75, 3
 END, BEGIN = b"\n", b"\t"  # white space is in no word
 BINS = 255
+#: Bytes of a successor's hash: below a word, below longer contexts.
+NEAR, DEEP = 4, 3
 
 
 class Packed:
@@ -95,151 +104,233 @@ def _codebook(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(lo + step * np.arange(BINS)), (np.rint((np.log(x) - lo) / step) + 1).astype(np.uint8)
 
 
+def _keys(context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    return context.astype(np.uint64) << np.uint64(8 * size) | word
+
+
 class Trie:
-    """A bucket of the trie: hashes of contexts, and their successors (context number, word hash, count)."""
-
-    def __init__(self, contexts: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray):
-        """contexts: sorted hashes; the others sorted by (context, word)."""
-        n = np.bincount(context, minlength=len(contexts))
-        total = np.bincount(context, count, minlength=len(contexts))
-        self.pointers = Packed(np.concatenate([[0], np.cumsum(n)]).astype(np.uint64), int(n.sum()) + 1)
-        self.successors = Packed(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), max(1, len(contexts)) << 32)
-        self.contexts = Packed(contexts, 1 << 64)
-        self.book, prob = _codebook((count - DISCOUNT) / total[context])
-        back = np.where(total > 0, DISCOUNT * n / np.maximum(total, 1), 1.0)
-        self.back_book, backs = _codebook(back)
-        levels = [*self.contexts.planes(), *self.pointers.planes(), *self.successors.planes(), backs, prob]
+    """A bucket of the trie: hashes of words, and levels of successors (context, word hash, count), sorted by both.
+
+    Contexts of the first level are numbers of words, those of a deeper level numbers of the successors above.
+    """
+
+    def __init__(self, words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.sizes = [NEAR, *[DEEP] * (len(levels) - 1)]
+        self.words = Packed(words, 1 << 64)
+        self.pointers, self.successors, self.books, codes = [], [], [], []
+        above = len(words)
+        for (context, word, count), size in zip(levels, self.sizes, strict=True):
+            n, total = np.bincount(context, minlength=above), np.bincount(context, count, minlength=above)
+            self.pointers.append(Packed(np.concatenate([[0], np.cumsum(n)]).astype(np.uint64), len(context) + 1))
+            self.successors.append(Packed(_keys(context, word, size), max(1, above) << (8 * size)))
+            book, prob = _codebook((count - DISCOUNT) / total[context])
+            back_book, back = _codebook(np.where(total > 0, DISCOUNT * n / np.maximum(total, 1), 1.0))
+            self.books += [book, back_book]
+            codes += [prob, back]
+            above = len(context)
+        parts = [self.words, *self.pointers, *self.successors]
+        planes = [x for p in parts for x in p.planes()] + codes
         with tempfile.TemporaryFile() as file:
-            for x in levels:
+            for x in planes:
                 x.tofile(file)
             file.flush()
-            mapped = np.memmap(file, np.uint8, "r") if sum(len(x) for x in levels) else np.zeros(0, np.uint8)
-        at, parts = 0, []
-        for x in levels:
-            parts.append(mapped[at : at + len(x)])
+            mapped = np.memmap(file, np.uint8, "r") if sum(len(x) for x in planes) else np.zeros(0, np.uint8)
+        at, views = 0, []
+        for x in planes:
+            views.append(mapped[at : at + len(x)])
             at += len(x)
-        k = [len(p.planes()) for p in (self.contexts, self.pointers, self.successors)]
-        self.contexts.open(parts[: k[0]])
-        self.pointers.open(parts[k[0] : k[0] + k[1]])
-        self.successors.open(parts[k[0] + k[1] : sum(k)])
-        self.backs, self.prob = parts[-2], parts[-1]
-
-    def context(self, hashes: np.ndarray) -> np.ndarray:
-        return self.contexts.find(hashes)
-
-    def search(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of p(word | context) from its own count, 0 where the pair is unseen."""
-        out = np.zeros(len(word), np.uint8)
+        for p in parts:
+            n = len(p.planes())
+            p.open(views[:n])
+            views = views[n:]
+        self.prob, self.back = views[::2], views[1::2]
+
+    def word(self, hashes: np.ndarray) -> np.ndarray:
+        return self.words.find(hashes)
+
+    def search(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of successors on a level, -1 where the context (its place above) or the pair is unseen."""
+        out = np.full(len(word), -1, np.int64)
         known = np.flatnonzero(context >= 0)
         c = context[known]
-        full = known[self.pointers.get(c) < self.pointers.get(c + 1)]
-        at = self.successors.find(context[full].astype(np.uint64) << np.uint64(32) | word[full].astype(np.uint64))
-        out[full[at >= 0]] = self.prob[at[at >= 0]]
+        full = known[self.pointers[level].get(c) < self.pointers[level].get(c + 1)]
+        out[full] = self.successors[level].find(_keys(context[full], word[full], self.sizes[level]))
         return out
 
+    def probabilities(self, level: int, place: np.ndarray) -> np.ndarray:
+        """Codes of p(w | h) from the n-gram's own count, 0 where it is unseen."""
+        return _codes(self.prob[level], place)
+
+    def weights(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Codes of the backoff weights of contexts by their place above the level, 0 (a weight of 1) where they are unseen."""
+        return _codes(self.back[level], context)
+
+
+def _codes(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(place), np.uint8)
+    known = place >= 0
+    out[known] = codes[place[known]]
+    return out
+
 
 class Tokens:
-    """The tokens of a chunk's texts, and its distinct words and pairs by bucket."""
+    """The tokens of a chunk's texts, and its distinct words and n-grams by the bucket of their first word.
+
+    On level k (of order - 1), gram is the number of the n-gram of k + 2 words that ends at each token, -1 where the text
+    begins later; above and right are the distinct n-grams' contexts (numbers above) and last words.
+    """
 
-    def __init__(self, c: Chunk, n_buckets: int, trained: Callable[[list[int | None]], np.ndarray]):
+    def __init__(self, c: Chunk, n_buckets: int, trained: Callable[[list[int | None]], np.ndarray], order: int = ORDER):
         vocabulary: dict[bytes, int] = {BEGIN: 0, END: 1}
-        number = vocabulary.setdefault
-        flat: list[int] = []
+        flat: list[bytes] = []
         self.sizes = np.empty(len(c.sizes), np.int64)
         for i, t in enumerate(c.texts()):
             before = len(flat)
-            flat += [number(w, len(vocabulary)) for w in t.lower().split()]
-            flat.append(1)
+            flat += t.lower().split()
+            flat.append(END)
             self.sizes[i] = len(flat) - before
+        vocabulary |= dict.fromkeys(flat, 0)
+        for i, w in enumerate(vocabulary):
+            vocabulary[w] = i
+        ids = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], dtype=np.uint64)
         bucket = ((hashes >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.hash, self.bucket = hashes[order], bucket[order]
-        self.token = place[np.array(flat, np.int64)]
-        before = np.concatenate([[0], self.token[:-1]])
+        by = np.lexsort((hashes, bucket))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.hash, self.bucket = hashes[by], bucket[by]
+        self.token = place[ids]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        before[self.starts] = place[0]
         learn = np.repeat(trained(c.id_list()), self.sizes)
-        v = np.uint64(len(order))
-        pair = before.astype(np.uint64) * v + self.token.astype(np.uint64)
-        keys, self.pair = np.unique(pair, return_inverse=True)
-        self.left, self.right = (keys // v).astype(np.int64), (keys % v).astype(np.int64)
-        self.pairs = np.bincount(self.pair, learn, minlength=len(keys)).astype(np.uint32)
-        self.words = np.bincount(self.token, learn, minlength=len(order)).astype(np.uint32)
-        self.cuts = np.searchsorted(self.bucket, np.arange(n_buckets + 1))
-        self.pair_cuts = np.searchsorted(self.left, self.cuts)
+        self.counts = [np.bincount(self.token, learn, minlength=len(by)).astype(np.uint32)]
+        self.gram, self.above, self.right, self.cuts = [], [], [], [np.searchsorted(self.bucket, np.arange(n_buckets + 1))]
+        v = np.uint64(len(by))
+        last = np.concatenate([[0], self.token[:-1]])
+        last[self.starts] = place[0]
+        for _ in range(order - 1):
+            some = np.flatnonzero(last >= 0)
+            keys, number = np.unique(last[some].astype(np.uint64) * v + self.token[some].astype(np.uint64), return_inverse=True)
+            gram = np.full(len(self.token), -1, np.int64)
+            gram[some] = number
+            above = (keys // v).astype(np.int64)
+            self.gram.append(gram)
+            self.above.append(above)
+            self.right.append((keys % v).astype(np.int64))
+            self.counts.append(np.bincount(number, learn[some], minlength=len(keys)).astype(np.uint32))
+            self.cuts.append(np.searchsorted(above, self.cuts[-1]))
+            last = np.concatenate([[-1], gram[:-1]])
+            last[self.starts] = -1
 
     def ask(self) -> Iterator[tuple[int, str, bytes]]:
         for b in np.unique(self.bucket).tolist():
-            at, to, p, q = *self.cuts[b : b + 2], *self.pair_cuts[b : b + 2]
-            n = np.bincount(self.left[p:q] - at, minlength=to - at).astype(np.uint32)
-            plain = self.hash[at:to].tobytes() + (self.hash[self.right[p:q]] >> np.uint64(32)).astype(np.uint32).tobytes()
-            counts = squeeze(n.tobytes() + self.words[at:to].tobytes() + self.pairs[p:q].tobytes())
-            yield b, "grams", int(to - at).to_bytes(4, "little") + int(q - p).to_bytes(4, "little") + plain + counts
-
-
-def _bucket(payloads: list[bytes]) -> tuple[list[bytes], str]:
-    asked = []
-    for p in payloads:
-        n, m = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:8], "little")
-        counts = np.frombuffer(expand(p[8 + 8 * n + 4 * m :]), np.uint32)
-        asked.append((np.frombuffer(p, np.uint8, 8 * n, 8).view(np.uint64), np.frombuffer(p, np.uint8, 4 * m, 8 + 8 * n).view(np.uint32), counts[:n], counts[n : 2 * n], counts[2 * n :]))
-    words, number = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    unigram = np.bincount(number, np.concatenate([a[3] for a in asked]), minlength=len(words)).astype(np.int64)
-    ends = np.cumsum([len(a[0]) for a in asked])
-    own = [np.repeat(number[e - len(a[0]) : e], a[2]) for a, e in zip(asked, ends, strict=True)]
-    key = np.concatenate(own).astype(np.uint64) << np.uint64(32) | np.concatenate([a[1] for a in asked]).astype(np.uint64)
-    keys, at = np.unique(key, return_inverse=True)
-    count = np.bincount(at, np.concatenate([a[4] for a in asked]), minlength=len(keys))
-    seen = count > 0
-    context = (keys[seen] >> np.uint64(32)).astype(np.int64)
-    has, dense = np.unique(context, return_inverse=True)
-    trie = Trie(words[has], dense, (keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint32), count[seen])
-    totals = np.array([unigram.sum(), (unigram > 0).sum()], np.int64).tobytes()
-    books = trie.book.tobytes() + trie.back_book.tobytes()
-    out = []
-    for i, (a, e) in enumerate(zip(asked, ends, strict=True)):
-        c = trie.context(a[0])
-        backs = np.where(c >= 0, trie.backs[np.maximum(c, 0)] if len(trie.backs) else 0, 0).astype(np.uint8)
-        codes = trie.search(np.repeat(c, a[2]), a[1])
-        mine = unigram[number[e - len(a[0]) : e]].tobytes() + backs.tobytes() + codes.tobytes()
-        out.append((totals if i == 0 else bytes(16)) + books + squeeze(mine))
-    return out, "grams"
+            ends = [c[b : b + 2] for c in self.cuts]
+            plain, packed = [self.hash[ends[0][0] : ends[0][1]].tobytes()], [self.counts[0][ends[0][0] : ends[0][1]].tobytes()]
+            for k, (above, right) in enumerate(zip(self.above, self.right, strict=True)):
+                (p, q), (at, to) = ends[k + 1], ends[k]
+                word = (self.hash[right[p:q]] >> np.uint64(64 - 8 * (NEAR if k == 0 else DEEP))).astype("<u4")
+                plain.append(word.view(np.uint8).reshape(-1, 4)[:, : NEAR if k == 0 else DEEP].tobytes())
+                packed += [np.bincount(above[p:q] - at, minlength=to - at).astype(np.uint32).tobytes(), self.counts[k + 1][p:q].tobytes()]
+            sizes = np.array([q - p for p, q in ends], "<u4").tobytes()
+            yield b, "grams", sizes + b"".join(plain) + squeeze(b"".join(packed))
+
+
+class _Asked:
+    """A message of Tokens.ask: the words' hashes, and for each level the number of successors of each context, hashes and counts."""
+
+    def __init__(self, raw: bytes, order: int):
+        n = np.frombuffer(raw, "<u4", order).astype(np.int64).tolist()
+        at = 4 * order
+        self.hash = np.frombuffer(raw, np.uint8, 8 * n[0], at).view(np.uint64)
+        at += 8 * n[0]
+        self.words = []
+        for k, size in enumerate(n[1:]):
+            wide = NEAR if k == 0 else DEEP
+            rows = np.zeros((size, 8), np.uint8)
+            rows[:, :wide] = np.frombuffer(raw, np.uint8, wide * size, at).reshape(-1, wide)
+            self.words.append(rows.view("<u8").ravel())
+            at += wide * size
+        packed = np.frombuffer(expand(raw[at:]), np.uint32)
+        cuts = np.cumsum([n[0], *[x for k in range(order - 1) for x in (n[k], n[k + 1])]])
+        parts = np.split(packed, cuts[:-1])
+        self.counts, self.children = [parts[0], *parts[2::2]], parts[1::2]
+
+
+def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
+    def run(payloads: list[bytes]) -> tuple[list[bytes], str]:
+        asked = [_Asked(p, order) for p in payloads]
+        words, number = np.unique(np.concatenate([a.hash for a in asked]), return_inverse=True)
+        unigram = np.bincount(number, np.concatenate([a.counts[0] for a in asked]), minlength=len(words)).astype(np.int64)
+        # distinct n-grams level by level; those of the training rows make the trie, on whose places the deeper ones stand
+        levels, own, place = [], number, np.arange(len(words))
+        for k in range(order - 1):
+            context = np.repeat(own, np.concatenate([a.children[k] for a in asked]))
+            keys, own = np.unique(_keys(context, np.concatenate([a.words[k] for a in asked]), NEAR if k == 0 else DEEP), return_inverse=True)
+            count = np.bincount(own, np.concatenate([a.counts[k + 1] for a in asked]), minlength=len(keys))
+            seen = count > 0
+            bits = np.uint64(8 * (NEAR if k == 0 else DEEP))
+            levels.append((place[(keys[seen] >> bits).astype(np.int64)], keys[seen] & ((np.uint64(1) << bits) - np.uint64(1)), count[seen]))
+            place = np.where(seen, np.cumsum(seen) - 1, -1)  # a seen n-gram's context is seen, too
+        trie = Trie(words, levels)
+        totals = np.array([unigram.sum(), (unigram > 0).sum()], np.int64).tobytes()
+        books = b"".join(x.tobytes() for x in trie.books)
+        out, at = [], 0
+        for i, a in enumerate(asked):
+            context = trie.word(a.hash)
+            codes = []
+            for k in range(order - 1):
+                codes.append(trie.weights(k, context))
+                context = trie.search(k, np.repeat(context, a.children[k]), a.words[k])
+                codes.append(trie.probabilities(k, context))
+            mine = squeeze_longs(unigram[number[at : at + len(a.hash)]])
+            at += len(a.hash)
+            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + books + mine + squeeze(b"".join(c.tobytes() for c in codes)))
+        return out, "grams"
+
+    return run
 
 
 def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int, n_kinds: int) -> pa.Table:
+    deep = len(t.gram)
     count = np.zeros(len(t.hash), np.int64)
-    back, prob = np.ones(len(t.hash)), np.zeros(len(t.left))
+    back = [np.ones(len(t.hash)), *[np.ones(len(x)) for x in t.above[:-1]]]
+    prob = [np.zeros(len(x)) for x in t.above]
     for b in np.unique(t.bucket).tolist():
-        at, to, p, q = *t.cuts[b : b + 2], *t.pair_cuts[b : b + 2]
         raw = got["grams", b]
-        books = np.frombuffer(raw, np.float64, 2 * BINS, 16)
-        plain = expand(raw[16 + 16 * BINS :])
-        n = to - at
-        count[at:to] = np.frombuffer(plain, np.int64, n)
-        codes = np.frombuffer(plain, np.uint8, -1, 8 * n)
-        back[at:to] = np.concatenate([[1.0], books[BINS:]])[codes[:n]]
-        prob[p:q] = np.concatenate([[0.0], books[:BINS]])[codes[n:]]
-    single = (count + 1) / (n_all + n_kinds + 1)
-    base = np.log10(single)[t.token]
-    full = np.log10(prob + back[t.left] * single[t.right])[t.pair]
+        size, at = int.from_bytes(raw[16:20], "little"), 20 + 16 * BINS * deep
+        books = np.frombuffer(raw, np.float64, 2 * BINS * deep, 20).reshape(deep, 2, BINS)
+        codes = np.frombuffer(expand(raw[at + size :]), np.uint8)
+        ends = [x[b : b + 2] for x in t.cuts]
+        count[ends[0][0] : ends[0][1]] = expand_longs(raw[at : at + size])
+        used = 0
+        for k in range(deep):
+            (at, to), (p, q) = ends[k], ends[k + 1]
+            back[k][at:to] = np.concatenate([[1.0], books[k, 1]])[codes[used : used + to - at]]
+            prob[k][p:q] = np.concatenate([[0.0], books[k, 0]])[codes[used + to - at : used + to - at + q - p]]
+            used += to - at + q - p
+    single = ((count + 1) / (n_all + n_kinds + 1))[t.token]
+    full = single
+    for k in range(deep):
+        some = np.flatnonzero(t.gram[k] >= 0)
+        g = t.gram[k][some]
+        full = full.copy()
+        full[some] = prob[k][g] + back[k][t.above[k][g]] * full[some]
     add = lambda x: np.add.reduceat(x, t.starts) if len(t.starts) else np.zeros(0)
     return pa.table({
         "doc_id": pa.array(c.id_list(), pa.int64()), "n_tokens": t.sizes, "n_known": add((count[t.token] > 0).astype(np.int64)),
-        "train_tokens": np.full(len(t.sizes), n_all, np.int64), "base_score": add(base), "score": add(full),
+        "train_tokens": np.full(len(t.sizes), n_all, np.int64), "base_score": add(np.log10(single)), "score": add(np.log10(full)),
     })
 
 
-def score(docs: DataFrame, trained: Callable[[list[int | None]], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, trained: Callable[[list[int | None]], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score); trained says of each id whether to learn from it."""
+    if order < 2:
+        raise ValueError(f"order must be 2 or more, got {order}")
     chunks = pack(docs, id_col=id_col, text_col=text_col)
     n = buckets_for(chunks)
-    told = answer(send(chunks, lambda c: Tokens(c, n, trained).ask()), _bucket, n)
+    told = answer(send(chunks, lambda c: Tokens(c, n, trained, order).ask()), _bucket_of(order), n)
     # the first 16 bytes of an answer: little-endian totals, in one answer of each bucket
     number = lambda at: F.expr("+".join(f"conv(hex(substring(payload, {at + i + 1}, 1)), 16, 10) * {1 << 8 * i}L" for i in range(7))).cast("long")
     total = told.select(number(0).alias("n"), number(8).alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_all, n_kinds = int(total[0] or 0), int(total[1] or 0)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(chunks, told, lambda c, got: _scores(Tokens(c, n, trained), c, got, n_all, n_kinds), schema, n)
+    return meet(chunks, told, lambda c, got: _scores(Tokens(c, n, trained, order), c, got, n_all, n_kinds), schema, n)

@@ -314,32 +314,39 @@ def test_elias_fano():
         assert (p.find(other) == -1).all()
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores(spark, monkeypatch, order):
+    monkeypatch.setattr(chunks, "CHUNK", 9000)
     docs = corpus()
     learn = lambda ids: np.array([i is not None and i % 3 != 0 for i in ids], dtype=bool)
     tokens = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in docs]
     train = [w for i, w in tokens if i is not None and i % 3 != 0]
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    pair, after, kinds = Counter(), Counter(), Counter()
+    gram, after, kinds = Counter(), Counter(), Counter()
     for w in train:
-        pair.update(zip([b"\t", *w[:-1]], w, strict=True))
-    for (a, _), k in pair.items():
-        after[a] += k
-        kinds[a] += 1
+        padded = (b"\t", *w)
+        for k in range(2, order + 1):
+            gram.update(padded[a : a + k] for a in range(len(padded) - k + 1))
+    for g, k in gram.items():
+        after[g[:-1]] += k
+        kinds[g[:-1]] += 1
+
+    def p(h, b):
+        low = p(h[1:], b) if len(h) > 1 else (c[b] + 1) / (n + v + 1)
+        return (max(gram[(*h, b)] - 0.75, 0) + 0.75 * kinds[h] * low) / after[h] if after[h] else low
+
     want = []
     for i, w in tokens:
-        base = score = 0.0
-        for a, b in zip([b"\t", *w[:-1]], w, strict=True):
-            u = (c[b] + 1) / (n + v + 1)
-            base += np.log10(u)
-            score += np.log10((max(pair[a, b] - 0.75, 0) + 0.75 * kinds[a] * u) / after[a] if after[a] else u)
+        padded = (b"\t", *w)
+        base = sum(np.log10((c[b] + 1) / (n + v + 1)) for b in w)
+        score = sum(np.log10(p(padded[max(0, a - order + 1) : a], padded[a])) for a in range(1, len(padded)))
         want.append((i, len(w), sum(c[x] > 0 for x in w), n, base, score))
-    got = [tuple(r) for r in ngram.score(documents(spark, docs), learn).collect()]
+    got = [tuple(r) for r in ngram.score(documents(spark, docs), learn, order=order).collect()]
     for a, b in zip(sorted(got, key=KEY), sorted(want, key=KEY), strict=True):
-        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 and abs(a[5] - b[5]) < 0.03 * abs(b[5]) + 0.1
-    assert ngram.score(documents(spark, docs).limit(0), learn).count() == 0
-    empty = ngram.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), lambda ids: np.zeros(len(ids), bool)).first()
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 and abs(a[5] - b[5]) < 0.01 * abs(b[5]) + 0.1
+    assert ngram.score(documents(spark, docs).limit(0), learn, order=order).count() == 0
+    empty = ngram.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), lambda ids: np.zeros(len(ids), bool), order=order).first()
     assert (empty["n_tokens"], empty["n_known"], empty["train_tokens"], empty["base_score"]) == (1, 0, 0, 0.0)
 
 
