@@ -340,3 +340,15 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     asked = meet(chunks, told, phrases, "chunk long, bucket int, kind string, payload binary", n)
     ranked = answer(asked, _phrases_of_bucket, n)
     return meet(chunks, told.union(ranked), lambda c, got: _result(Parse(c, n), c, got), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", n)
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, unnest(generate_series(0, length(h) // 2 - 50)) AS p, h FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM s JOIN f USING (s) WHERE first < doc_id),
+i AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c) GROUP BY doc_id, k),
+r AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM i),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM r JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
