@@ -35,8 +35,12 @@ from pyspark.sql import functions as F
 from siltstone.llm.chunks import Chunk, answer, buckets_for, expand, expand_longs, meet, pack, send, squeeze, squeeze_longs
 
 DISCOUNT, ORDER = 0.75, 3
-END, BEGIN = b"\n", b"\t"  # white space is in no word
 BINS = 255
+#: Bytes of a word that are hashed eight at a time; longer words are hashed one by one.
+WIDE = 64
+_M = np.uint64(0x9FB21C651E98DF25)
+#: Hashes that stand for a text's end and beginning.
+END, BEGIN = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000B2)
 #: Bytes of a successor's hash: below a word, below longer contexts.
 NEAR, DEEP = 4, 3
 
@@ -74,6 +78,12 @@ class Packed:
         high = np.searchsorted(self.starts, at, side="right") - 1
         return high.astype(np.uint64) << np.uint64(self.low_bits) | self._low(at)
 
+    def decoded(self) -> np.ndarray:
+        """All values in order."""
+        at = np.arange(self.n)
+        ones = np.flatnonzero(np.unpackbits(self.high, count=self.size))
+        return (ones - at).astype(np.uint64) << np.uint64(self.low_bits) | self._low(at)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Places of the values, -1 for others."""
         out = np.full(len(values), -1, np.int64)
@@ -144,6 +154,7 @@ class Trie:
             p.open(views[:n])
             views = views[n:]
         self.prob, self.back = views[::2], views[1::2]
+        self.has_children = [np.diff(p.decoded()) > 0 for p in self.pointers]
 
     def word(self, hashes: np.ndarray) -> np.ndarray:
         return self.words.find(hashes)
@@ -152,8 +163,7 @@ class Trie:
         """Places of successors on a level, -1 where the context (its place above) or the pair is unseen."""
         out = np.full(len(word), -1, np.int64)
         known = np.flatnonzero(context >= 0)
-        c = context[known]
-        full = known[self.pointers[level].get(c) < self.pointers[level].get(c + 1)]
+        full = known[self.has_children[level][context[known]]]
         out[full] = self.successors[level].find(_keys(context[full], word[full], self.sizes[level]))
         return out
 
@@ -173,6 +183,40 @@ def _codes(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M
+    return h ^ (h >> np.uint64(29))
+
+
+def _words(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of a chunk's words, A-Z lower-cased. Words of up to WIDE bytes are hashed side by side."""
+    raw = c.raw.lower()
+    text = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(text) + 2, bool)
+    inside[1:-1] = (text != 32) & ((text < 9) | (text > 13))
+    edge = np.zeros(len(text) + 1, bool)  # between texts
+    edge[c.ends] = True
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    size = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1 - start
+    doc = np.searchsorted(c.ends, start, side="right")
+    out = np.empty(len(start), np.uint64)
+    padded = np.concatenate([text, np.zeros(WIDE, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    short = size <= WIDE
+    for at in range(0, len(start), 1 << 16):
+        s, n = start[at : at + (1 << 16)], size[at : at + (1 << 16)]
+        h = n.astype(np.uint64) * _M
+        for k in range(0, min(WIDE, int(n.max(initial=0))), 8):
+            left = np.flatnonzero(n > k)
+            part = rows[s[left] + k].copy().view("<u8").ravel()
+            drop = np.maximum(8 - (n[left] - k), 0).astype(np.uint64) * np.uint64(8)
+            h[left] = _mix(h[left] ^ ((part << drop) >> drop))
+        out[at : at + (1 << 16)] = h
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]])
+    return _mix(out), doc
+
+
 class Tokens:
     """The tokens of a chunk's texts, and its distinct words and n-grams by the bucket of their first word.
 
@@ -181,32 +225,21 @@ class Tokens:
     """
 
     def __init__(self, c: Chunk, n_buckets: int, trained: Callable[[list[int | None]], np.ndarray], order: int = ORDER):
-        vocabulary: dict[bytes, int] = {BEGIN: 0, END: 1}
-        flat: list[bytes] = []
-        self.sizes = np.empty(len(c.sizes), np.int64)
-        for i, t in enumerate(c.texts()):
-            before = len(flat)
-            flat += t.lower().split()
-            flat.append(END)
-            self.sizes[i] = len(flat) - before
-        vocabulary |= dict.fromkeys(flat, 0)
-        for i, w in enumerate(vocabulary):
-            vocabulary[w] = i
-        ids = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], dtype=np.uint64)
-        bucket = ((hashes >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64)
-        by = np.lexsort((hashes, bucket))
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        self.hash, self.bucket = hashes[by], bucket[by]
-        self.token = place[ids]
+        word, doc = _words(c)
+        self.sizes = np.bincount(doc, minlength=len(c.sizes)) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
+        tokens = np.full(len(word) + len(c.sizes), END, np.uint64)
+        tokens[np.arange(len(word)) + doc] = word  # each text's end token comes after its words
+        # distinct words in the order of their hashes, which is that of the buckets
+        self.hash, number = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+        self.token, begin = number[:-1], number[-1]
+        self.bucket = ((self.hash >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
         learn = np.repeat(trained(c.id_list()), self.sizes)
-        self.counts = [np.bincount(self.token, learn, minlength=len(by)).astype(np.uint32)]
+        self.counts = [np.bincount(self.token, learn, minlength=len(self.hash)).astype(np.uint32)]
         self.gram, self.above, self.right, self.cuts = [], [], [], [np.searchsorted(self.bucket, np.arange(n_buckets + 1))]
-        v = np.uint64(len(by))
+        v = np.uint64(len(self.hash))
         last = np.concatenate([[0], self.token[:-1]])
-        last[self.starts] = place[0]
+        last[self.starts] = begin
         for _ in range(order - 1):
             some = np.flatnonzero(last >= 0)
             keys, number = np.unique(last[some].astype(np.uint64) * v + self.token[some].astype(np.uint64), return_inverse=True)
@@ -261,7 +294,7 @@ def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
         words, number = np.unique(np.concatenate([a.hash for a in asked]), return_inverse=True)
         unigram = np.bincount(number, np.concatenate([a.counts[0] for a in asked]), minlength=len(words)).astype(np.int64)
         # distinct n-grams level by level; those of the training rows make the trie, on whose places the deeper ones stand
-        levels, own, place = [], number, np.arange(len(words))
+        levels, own, place, distinct, numbers = [], number, np.arange(len(words)), [], []
         for k in range(order - 1):
             context = np.repeat(own, np.concatenate([a.children[k] for a in asked]))
             keys, own = np.unique(_keys(context, np.concatenate([a.words[k] for a in asked]), NEAR if k == 0 else DEEP), return_inverse=True)
@@ -269,21 +302,27 @@ def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
             seen = count > 0
             bits = np.uint64(8 * (NEAR if k == 0 else DEEP))
             levels.append((place[(keys[seen] >> bits).astype(np.int64)], keys[seen] & ((np.uint64(1) << bits) - np.uint64(1)), count[seen]))
+            distinct.append((keys >> bits, keys & ((np.uint64(1) << bits) - np.uint64(1))))
+            numbers.append(own)
             place = np.where(seen, np.cumsum(seen) - 1, -1)  # a seen n-gram's context is seen, too
         trie = Trie(words, levels)
         totals = np.array([unigram.sum(), (unigram > 0).sum()], np.int64).tobytes()
         books = b"".join(x.tobytes() for x in trie.books)
-        out, at = [], 0
+        # each distinct n-gram is searched once, below the place of its context
+        found, codes = trie.word(words), []
+        weights = _codes(trie.back[0], found)[number]
+        for k in range(order - 1):
+            context, word = distinct[k]
+            found = trie.search(k, found[context.astype(np.int64)], word)
+            codes.append((weights, trie.probabilities(k, found)[numbers[k]]))
+            weights = trie.weights(k + 1, found)[numbers[k]] if k + 1 < order - 1 else weights
+        out, at = [], [0] * order
         for i, a in enumerate(asked):
-            context = trie.word(a.hash)
-            codes = []
-            for k in range(order - 1):
-                codes.append(trie.weights(k, context))
-                context = trie.search(k, np.repeat(context, a.children[k]), a.words[k])
-                codes.append(trie.probabilities(k, context))
-            mine = squeeze_longs(unigram[number[at : at + len(a.hash)]])
-            at += len(a.hash)
-            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + books + mine + squeeze(b"".join(c.tobytes() for c in codes)))
+            to = [x + n for x, n in zip(at, [len(a.hash), *map(len, a.words)], strict=True)]
+            mine = squeeze_longs(unigram[number[at[0] : to[0]]])
+            plain = b"".join(w[at[k] : to[k]].tobytes() + p[at[k + 1] : to[k + 1]].tobytes() for k, (w, p) in enumerate(codes))
+            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + books + mine + squeeze(plain))
+            at = to
         return out, "grams"
 
     return run
