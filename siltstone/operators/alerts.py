@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.lines import covered
-from siltstone.functions.normalize import basename, paths_match, severity_rank
+from siltstone.functions.normalize import SEVERITY_WEIGHTS, UNKNOWN_WEIGHT, basename, clamp, paths_match, severity_rank, severity_weight
+from siltstone.functions.scores import ALERT_BASE, TRACE_BONUS
 
 # Severities that count as high, bodies of a batch file and the lines of its header.
 HIGH = ("error", "critical", "high")
@@ -44,6 +45,20 @@ def ranker_features(alerts: DataFrame, sample_id: str = "sample_id") -> DataFram
     return out.select(sample_id, n("alert_count"), F.lit(1.0).alias("has_codeql_alert"), n("high_severity_count"), n("unique_query_count"), n("cwe_count"), n("trace_line_count"))
 
 
+def static_scores(alerts: DataFrame, sample_id: str = "sample_id") -> DataFrame:
+    """(sample_id, static_score): the score of scores.static_score without an array a sample.
+
+    Alerts are counted by the weight of their severity, so the sum does not depend on their order.
+    """
+    weights = sorted({*SEVERITY_WEIGHTS.values(), UNKNOWN_WEIGHT})
+    w = severity_weight(F.col("severity"))
+    a = alerts.groupBy(sample_id).agg(*[F.count_if(w == x).alias(f"w{i}") for i, x in enumerate(weights)], F.max(F.coalesce(F.size("trace_lines"), F.lit(0))).alias("traces"))
+    total = F.lit(0.0)
+    for i, x in enumerate(weights):
+        total = total + F.lit(ALERT_BASE * x) * F.col(f"w{i}")
+    return a.select(sample_id, clamp(total + F.when(F.col("traces") > 0, F.lit(TRACE_BONUS)).otherwise(0.0)).alias("static_score"))
+
+
 def line_unions(alerts: DataFrame, sample_id: str = "sample_id") -> DataFrame:
     """(sample_id, alert_lines, trace_lines): sorted distinct lines."""
     a = alerts.groupBy(sample_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(covered(F.col("start_line"), F.col("end_line")))))).alias("alert_lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("trace_lines")))).alias("trace_lines"))

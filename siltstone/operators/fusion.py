@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import unknown_cwe
 from siltstone.functions.scores import FUSION_WEIGHTS, LINE_WEIGHTS, alert_lines, final_score, graph_lines, label_of, line_scores, static_score, top_lines, trace_lines, verdict_score
-from siltstone.operators.alerts import cwe_mode, grouped
+from siltstone.operators.alerts import cwe_mode, grouped, static_scores
 from siltstone.operators.relational import last_wins
 
 _VERDICT = ("verdict", "confidence", "predicted_cwe", "vulnerable_lines", "evidence", "need_more_context", "missing_context", "patch_hint")
@@ -28,6 +28,19 @@ def join_signals(features: DataFrame, ranks: DataFrame, alerts: DataFrame, verdi
     return out.withColumn("rank_score", F.coalesce("rank_score", F.lit(0.0)))
 
 
+def signals(samples: DataFrame, ranks: DataFrame, alerts: DataFrame, verdicts: DataFrame, threshold: float = 0.5, order: str = "ord") -> DataFrame:
+    """(sample_id, label, rank_score, static_score, llm_score, final_score, final_label): the scores alone, without lines or evidence.
+
+    Alerts are aggregated to a number a sample before the join, so no row holds them.
+    """
+    r = ranks.groupBy("sample_id").agg(F.max_by("rank_score", order).alias("rank_score"))
+    v = verdicts.groupBy("sample_id").agg(F.max_by(F.struct("verdict", "confidence"), order).alias("v"))
+    j = samples.select("sample_id", "label").join(r, "sample_id", "left").join(static_scores(alerts), "sample_id", "left").join(v, "sample_id", "left")
+    j = j.select("sample_id", "label", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rank_score", "static_score")], verdict_score(F.col("v.verdict"), F.col("v.confidence")).alias("llm_score"))
+    j = j.withColumn("final_score", final_score(F.col("static_score"), F.col("rank_score"), F.col("llm_score")))
+    return j.withColumn("final_label", label_of(F.col("final_score"), threshold))
+
+
 def fuse(joined: DataFrame, threshold: float = 0.5, weights: dict[str, Column | float] | None = None, k: int = 5) -> DataFrame:
     """joined with static_score, llm_score, final_score, final_label, predicted_cwe, line_scores, vulnerable_lines, patch_hint."""
     none = F.array().cast("array<int>")

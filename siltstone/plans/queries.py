@@ -312,6 +312,11 @@ def rebase_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("static_scores", with_("static_scores") + " SELECT sample_id, round(CAST(static_score AS DOUBLE), 6) AS static_score FROM static_scores")
 def static_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.static_scores(P.alerts(spark, sf)))
+
+
+@register("static_scores_of_arrays", with_("static_scores") + " SELECT sample_id, round(CAST(static_score AS DOUBLE), 6) AS static_score FROM static_scores")
+def static_scores_of_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.grouped(P.alerts(spark, sf), "ord").select("sample_id", S.static_score(F.col("alerts")).alias("static_score")))
 
 
@@ -325,7 +330,8 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rank_rows(_fused(spark, sf).select("sample_id", "label", "rank_score", "static_score", "llm_score"))
+    s = U.signals(P.samples(spark, sf), P.ranks(spark, sf), P.alerts(spark, sf), P.verdicts(spark, sf))
+    return R.rank_rows(s.select("sample_id", "label", "rank_score", "static_score", "llm_score"))
 
 
 _FINAL = "CAST(0.25 AS DOUBLE) * static_score + CAST(0.45 AS DOUBLE) * rank_score + CAST(0.30 AS DOUBLE) * llm_score"
@@ -602,10 +608,22 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.mean_pool(n.select("graph_id").distinct(), v, 2).select("graph_id", F.get("vector", F.lit(0)).alias("v0"), F.get("vector", F.lit(1)).alias("v1")))
 
 
-@register("node_hash_vectors")
+def crc_sql(text: str) -> str:
+    """SQL of the CRC-32 of a text's UTF-8 bytes: eight shifts after each byte."""
+    steps = ", ".join(["256"] * 8)
+    byte = f"flatten(list_transform(generate_series(1, octet_length(encode({text}))), lambda i: [CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT), {steps}]))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {byte}), lambda c, x: CASE WHEN x = 256 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END), CAST(4294967295 AS BIGINT))"
+
+
+@register("node_hash_vectors", with_("nodes") + f""", t AS (SELECT id, unnest(regexp_extract_all(coalesce(code, ''), '{_TOKEN}')) AS w FROM nodes), k AS (SELECT w, {crc_sql('w')} % 16 AS slot FROM (SELECT DISTINCT w FROM t)), s AS (SELECT id, slot, count(*) AS n FROM t JOIN k USING (w) GROUP BY ALL),
+  h AS (SELECT id, string_agg(slot || ':' || n, ',' ORDER BY slot) AS tokens, sum(n) AS total FROM s GROUP BY id)
+  SELECT graph_id, id AS node_id, {crc_sql("coalesce(type, 'UNKNOWN')")} % 16 AS type_slot, CASE WHEN line BETWEEN 1 AND 40 THEN line ELSE 0 END AS line, CAST(CASE WHEN line = 3 THEN 1 ELSE 0 END + CASE WHEN line = 4 THEN 2 ELSE 0 END AS INT) AS flags, coalesce(tokens, '') AS tokens, 37 AS width FROM nodes LEFT JOIN h USING (id)""")
 def node_hash_vectors(spark: SparkSession, sf: str) -> DataFrame:
     n = G.feature_nodes(P.nodes(spark, sf), F.array(F.lit(3)), F.array(F.lit(4)), F.lit(1), F.lit(40))
-    return n.select("graph_id", "node_id", node_vector(F.col("node_type"), F.col("code"), F.col("line_index"), F.col("static_flags")).alias("vector"))
+    v = n.withColumn("v", node_vector(F.col("node_type"), F.col("code"), F.col("line_index"), F.col("static_flags"))).withColumn("n", F.size(T.tokens(F.col("code"))))
+    slots = F.transform(F.slice("v", 22, 16), lambda x, i: F.struct(i.alias("i"), F.round(x * F.col("n")).cast("long").alias("k")))
+    tokens = F.array_join(F.transform(F.filter(slots, lambda x: x["k"] > 0), lambda x: F.concat_ws(":", x["i"], x["k"])), ",")
+    return v.select("graph_id", "node_id", (F.array_position(F.slice("v", 1, 16), 1.0) - 1).alias("type_slot"), F.round(F.get("v", F.lit(16)) * 100).cast("int").alias("line"), (F.get("v", F.lit(17)) + 2 * F.get("v", F.lit(18))).cast("int").alias("flags"), tokens.alias("tokens"), F.size("v").alias("width"))
 
 
 # -- verifier ------------------------------------------------------------------------------------------------------------
