@@ -121,8 +121,8 @@ def send(chunks: DataFrame, f: Callable[[Chunk], Iterator[tuple[int, str, bytes]
 
 
 def parts_for(n_buckets: int) -> int:
-    """Tasks that buckets or chunks are dealt to: two of them a task, as each task leaves a file."""
-    return max(4, -(-n_buckets // 2))
+    """Tasks that buckets or chunks are dealt to: four of them a task, one after the other, as each task leaves a file."""
+    return max(4, -(-n_buckets // 4))
 
 
 def answer(messages: DataFrame, f: Callable[[list[bytes]], tuple[list[bytes], str]], n_buckets: int) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.chunks import Chunk, answer, buckets_for, expand, expand_longs, meet, pack, send, squeeze, squeeze_longs
+from siltstone.llm.chunks import CHUNK, Chunk, answer, buckets_for, expand, expand_longs, meet, pack, send, squeeze, squeeze_longs
 
 DISCOUNT, ORDER = 0.75, 3
 BINS = 255
@@ -278,9 +278,9 @@ class _Asked:
         self.words = []
         for k, size in enumerate(n[1:]):
             wide = NEAR if k == 0 else DEEP
-            rows = np.zeros((size, 8), np.uint8)
+            rows = np.zeros((size, 4), np.uint8)
             rows[:, :wide] = np.frombuffer(raw, np.uint8, wide * size, at).reshape(-1, wide)
-            self.words.append(rows.view("<u8").ravel())
+            self.words.append(rows.view("<u4").ravel())
             at += wide * size
         packed = np.frombuffer(expand(raw[at:]), np.uint32)
         cuts = np.cumsum([n[0], *[x for k in range(order - 1) for x in (n[k], n[k + 1])]])
@@ -298,6 +298,8 @@ def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
         for k in range(order - 1):
             context = np.repeat(own, np.concatenate([a.children[k] for a in asked]))
             keys, own = np.unique(_keys(context, np.concatenate([a.words[k] for a in asked]), NEAR if k == 0 else DEEP), return_inverse=True)
+            own = own.astype(np.uint32)
+            del context
             count = np.bincount(own, np.concatenate([a.counts[k + 1] for a in asked]), minlength=len(keys))
             seen = count > 0
             bits = np.uint64(8 * (NEAR if k == 0 else DEEP))
@@ -365,7 +367,7 @@ def score(docs: DataFrame, trained: Callable[[list[int | None]], np.ndarray], *,
     if order < 2:
         raise ValueError(f"order must be 2 or more, got {order}")
     chunks = pack(docs, id_col=id_col, text_col=text_col)
-    n = buckets_for(chunks)
+    n = buckets_for(chunks, size=CHUNK)  # deep levels weigh more than the text: half of the usual share a bucket
     told = answer(send(chunks, lambda c: Tokens(c, n, trained, order).ask()), _bucket_of(order), n)
     # the first 16 bytes of an answer: little-endian totals, in one answer of each bucket
     number = lambda at: F.expr("+".join(f"conv(hex(substring(payload, {at + i + 1}, 1)), 16, 10) * {1 << 8 * i}L" for i in range(7))).cast("long")
