@@ -3,12 +3,14 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Of each value the corpus is asked which words
 disclose it: with N documents, n(e) that hold the value, n(t) the word, n(e, t) both, the disclosure is PMI / IC =
 log(N n(e,t) / (n(e) n(t))) / log(N / n(e)), 1 for a word that stands only with the value, anywhere in its documents.
-Words above `generalise` are replaced by a general term, above `remove` they go, in all documents. Words within values
+Words above `generalise` are replaced by a general term (the class that their form shows: a
+number, a code, a name or another term), above `remove` they go, in all documents. Words within values
 are not counted. A word passes only if n(t) <= N ** (1 - generalise) * n(e) ** generalise, as n(e, t) <= n(e); this leaves
-out pairs before they are counted. Values that stand in the same documents are counted as one, and so are words.
+out pairs before they are counted. A value in fewer than `support` documents discloses nothing by count. Values that stand in the same documents are counted as one, and so are words.
 
 Defined cases: null texts are empty and have no spans; repeated rows are judged alike, and count each in n but once for the
-support; null ids are allowed; empty tables give no rows; offsets are in code points, the end exclusive; other columns are
+support; null ids are allowed; texts of any length are taken whole, as one value of a task; equal disclosures are no tie, as each word
+is judged for itself; empty tables give no rows; offsets are in code points, the end exclusive; other columns are
 ignored.
 """
 
@@ -33,6 +35,11 @@ _PATTERNS = {"email": _MAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 
 
+def general(v: Column) -> Column:
+    """The general term of a word: the class that its form shows."""
+    return F.when(v.rlike(r"^[0-9]+$"), "[NUMBER]").when(v.rlike(r"[0-9]"), "[CODE]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+
+
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, r"[^0-9]", "")
 
@@ -148,14 +155,14 @@ def render(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, by: Column | None = None) -> Column:
-    """text with each span replaced by its kind's tag, or `by`; overlapping spans become one, tagged as the first."""
+    """text with each span replaced by its kind's tag, a term by its general one, or all by `by`; overlapping spans become one, tagged as the first."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tag = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["s"] >= acc["at"]
         piece = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece, by if by is not None else F.element_at(tag, x["kind"])))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece, by if by is not None else F.when(x["kind"] == "term", general(x["v"])).otherwise(F.element_at(tag, x["kind"]))))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(F.array_sort(spans), start, step)
     return F.transform(F.array(done), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))[0]

@@ -247,7 +247,51 @@ def test_disclosing_terms_of_whole_documents(spark):
     for x in r:
         assert {s["v"].lower() for s in x["extra"]} == (want if x["doc_id"] < 6 else {"li"} if x["doc_id"] == 400 else set()), x
     t = {x["doc_id"]: x["text"] for x in pii.sanitise(documents(spark, texts)).collect()}
-    assert "ab12" not in t[0] and "Brunhild" not in t[0] and "Li " not in t[0] and t[7] == texts[7][1] and t[400] in ("ask  or Lila", "ask [TERM] or Lila")
+    assert "ab12" not in t[0] and "Brunhild" not in t[0] and "Li " not in t[0] and t[7] == texts[7][1] and t[400] in ("ask  or Lila", "ask [NAME] or Lila")
+
+
+def test_general_terms(spark):
+    d = spark.createDataFrame([("Li ab12 42 word Émile",)], "text string")
+    rows = [("Li", 0), ("ab12", 3), ("42", 8), ("word", 11), ("Émile", 16)]
+    found = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(4).alias("o"), F.lit(s + len(v)).alias("e"), F.lit("term").alias("kind"), F.lit(v).alias("v")) for v, s in rows])
+    assert d.select(pii.redact(F.col("text"), found)).first()[0] == "[NAME] [CODE] [NUMBER] [TERM] [NAME]"
+
+
+def test_disclosure_against_brute_force(spark):
+    """Disclosure of every word for every value by plain counts over whole documents."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(150):
+        who = i % 15
+        own = [f"n{who}x", f"q{who // 2}y"] if i < 60 else []
+        mail = f" u{who}@mail.example.com" if i < 60 else ""
+        texts.append((i, " ".join([*rng.sample(pool, 6), *(w for w in own if rng.random() < 0.97)]) + mail))
+    texts += [(200, "n3x only here"), texts[5], texts[5]]
+    counts, told = Counter(i for i, _ in texts), dict(texts)
+    total = sum(counts.values())
+    words = {i: set(alnum(re.sub(r"\S+@\S+", " ", t))) for i, t in told.items()}
+    value = {i: re.findall(r"\S+@\S+", t) for i, t in told.items()}
+    want = {}
+    for e in {v for x in value.values() for v in x}:
+        docs = [i for i in told if e in value[i]]
+        n_e = sum(counts[i] for i in docs)
+        for w in {w for i in docs for w in words[i]}:
+            both = [i for i in docs if w in words[i]]
+            n_t = sum(counts[i] for i in told if w in words[i])
+            if len(both) >= 3:
+                d = math.log(total * sum(counts[i] for i in both) / (n_e * n_t)) / math.log(total / n_e)
+                if d >= 0.85:
+                    want[w] = max(d, want.get(w, 0))
+    df = documents(spark, texts)
+    f = pii.find(df).where("size(spans) > 0")
+    keyed = df.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("k"), "text")
+    got = {r["term"]: (r["disclosure"], r["action"]) for r in pii.disclosing_terms(f.select("k", "text", "spans"), keyed).collect()}
+    assert set(got) == set(want) and len(want) >= 10
+    assert all(abs(got[w][0] - d) < 1e-9 and got[w][1] == ("gone" if d >= 0.95 else "term") for w, d in want.items())
 
 
 
