@@ -433,3 +433,10 @@ def saved_ranker(spark: SparkSession, sf: str) -> DataFrame:
     again = T3.Ranker.load(spark, path).score(K.numeric_rows(s, a), s)
     both = ranked.select("sample_id", F.col("rank_score").alias("a")).join(again.select("sample_id", F.col("rank_score").alias("b")), "sample_id")
     return both.agg(F.count("*").alias("rows"), F.bool_and(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
+
+
+@register("ranker_importances", "SELECT 500 + 24 + 1 AS names, true AS falling")
+def ranker_importances(spark: SparkSession, sf: str) -> DataFrame:
+    found = T3.train_ranker(P.samples(spark, sf), P.alerts(spark, sf), limit=500)[0].importances()
+    falling = all(abs(a[1]) >= abs(b[1]) for a, b in zip(found, found[1:], strict=False))
+    return spark.createDataFrame([(len({n for n, _ in found}), falling)], "names int, falling boolean")

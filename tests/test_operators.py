@@ -203,6 +203,64 @@ def test_verifier(spark):
     assert got["b"]["verdict"] == "vulnerable" and got["c"]["success"] is False and got["c"]["verdict"] == "uncertain" and got["d"]["confidence"] == 0.0 and got["d"]["success"] is True
 
 
+def test_chat_client():
+    waits, calls = [], []
+
+    def sender(*answers):
+        left = list(answers)
+
+        def send(url, headers, body, seconds):
+            calls.append((url, headers["Authorization"], json.loads(body)))
+            a = left.pop(0)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        return send
+
+    good = (200, json.dumps({"choices": [{"message": {"content": "{}"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 1}}).encode())
+    config = V.VerifierConfig(model="m", temperature=0.5, max_tokens=9)
+    make = lambda *a, **kw: V.chat_clients("http://x/", config, "s3cret", send=sender(*a), wait=waits.append, **kw)()
+    assert make((429, b""), OSError("s3cret is down"), good)([{"role": "user", "content": "hi"}]) == ("{}", 3, 1)
+    assert waits == [2.0, 4.0] and calls[0][0] == "http://x/chat/completions" and calls[0][1] == "Bearer s3cret"
+    assert calls[0][2] == {"model": "m", "temperature": 0.5, "max_tokens": 9, "response_format": {"type": "json_object"}, "messages": [{"role": "user", "content": "hi"}]}
+    with pytest.raises(V.ChatError, match="status 400"):
+        make((400, b""))([])
+    with pytest.raises(V.ChatError) as e:
+        make(OSError("s3cret is down"), (503, b""), OSError("s3cret is down"))([])
+    assert "s3cret" not in str(e.value) and "***" in str(e.value)
+    for raw in (b"no json", b"{}", b'{"choices": []}', b"[]"):
+        with pytest.raises(V.ChatError, match="malformed"):
+            make((200, raw))([])
+    with pytest.raises(V.ChatError, match="no key"):
+        V.ChatClient("http://x", "m", key_name="NO_SUCH_KEY_NAME")
+
+
+def test_only_the_best_are_sent(spark):
+    p = spark.createDataFrame([(str(i), "s", "p", i) for i in range(1, 9)], "sample_id string, system string, prompt string, rank int")
+    client = lambda: lambda messages: ('{"verdict": "benign", "confidence": 1}', 1, 1)
+    assert sorted(r[0] for r in V.verify(p, client, V.VerifierConfig(top_k=3)).select("sample_id").collect()) == ["1", "2", "3"]
+    assert V.verify(p, client, V.VerifierConfig(top_k=None)).count() == 8
+
+
+def test_splits_keep_ids_together(spark):
+    rows = [(i % 20, i % 2, i) for i in range(60)] + [(None, 0, 0)]
+    d = spark.createDataFrame(rows, "sample_id int, label int, v int")
+    for s in (R.random_split(d), R.time_split(d, "v")):
+        assert s.count() == len(rows) and max(len({r["split"] for r in s.collect() if r["sample_id"] == i}) for i in (*range(20), None)) == 1
+    assert R.stratified_split(d).count() == len(rows)
+    with pytest.raises(Exception, match="no row for 3"):
+        R.join_all(d.where("sample_id = 3"), d.where("sample_id = 4").select("sample_id", F.col("v").alias("w"))).collect()
+
+
+def test_odd_numbers(spark):
+    from siltstone.functions import normalize as N
+
+    d = spark.createDataFrame([("1e12",), ("abc",), (None,), ("7.5",)], "x string")
+    got = [tuple(r) for r in d.select(N.coerce_line(F.col("x")), N.number_or_zero(F.col("x")), N.percent(F.lit(None).cast("double"))).collect()]
+    assert got == [(None, 1e12, "n/a"), (None, 0.0, "n/a"), (None, 0.0, "n/a"), (7, 7.5, "n/a")]
+
+
 def test_schemas_parse(spark):
     from siltstone import schemas as C
 
