@@ -43,9 +43,13 @@ def _grams(code: str) -> Column:
     return F.flatten(F.transform(F.array(t), lambda x: F.concat(x, two(x))))
 
 
-def ngrams(samples: DataFrame, code: str = "code", sample_id: str = "sample_id") -> DataFrame:
-    """(sample_id, term, tf): one- and two-grams of each sample with their counts, case kept."""
-    return samples.select(sample_id, F.explode(_grams(code)).alias("term")).groupBy(sample_id, "term").agg(F.count("*").alias("tf"))
+def ngrams(samples: DataFrame, code: str = "code", sample_id: str = "sample_id", vocab: DataFrame | None = None) -> DataFrame:
+    """(sample_id, term, tf): one- and two-grams of each sample with their counts, case kept; with vocab (bounded by its limit) of
+    its terms alone, so that others are dropped before the shuffle."""
+    terms = samples.select(sample_id, F.explode(_grams(code)).alias("term"))
+    if vocab is not None:
+        terms = terms.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    return terms.groupBy(sample_id, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(samples: DataFrame, n_docs: int, limit: int = 20_000, code: str = "code") -> DataFrame:

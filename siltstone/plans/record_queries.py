@@ -19,7 +19,7 @@ from siltstone.operators import fusion as U
 from siltstone.operators import ranker as K
 from siltstone.operators import relational as R
 from siltstone.operators import verify as V
-from siltstone.operators.common import shared_path
+from siltstone.operators.common import cut, shared_path
 from siltstone.plans import proxies as P
 from siltstone.plans import triage as T3
 from siltstone.plans.proxies import table, with_
@@ -267,7 +267,8 @@ def record_numbers(spark: SparkSession, sf: str) -> DataFrame:
   w AS (SELECT sample_id, (1 + ln(tf)) * idf AS w FROM f JOIN v USING (term)), n AS (SELECT sample_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1) SELECT sample_id, count(*) AS terms, round(sum(w.w / n.n), 5) AS total, round(max(w.w / n.n), 5) AS heaviest FROM w JOIN n USING (sample_id) GROUP BY 1""")
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     s = P.samples(spark, sf)
-    w = K.tfidf(K.ngrams(s), K.vocabulary(s, s.count(), 300))
+    v = cut(K.vocabulary(s, s.count(), 300))
+    w = K.tfidf(K.ngrams(s, vocab=v), v)
     return rounded(w.groupBy("sample_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("total"), F.max("weight").alias("heaviest")), 5)
 
 

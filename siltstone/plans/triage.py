@@ -102,7 +102,7 @@ class Ranker:
 
 
 def _ready(rows: DataFrame, samples: DataFrame, names: Sequence[str], deviations: dict[str, float], vocab: DataFrame, code: str) -> DataFrame:
-    terms = K.tfidf(K.ngrams(samples, code), vocab)
+    terms = K.tfidf(K.ngrams(samples, code, vocab=vocab), vocab)
     return K.assemble(K.scale(rows, deviations), names, terms, vocab)
 
 
