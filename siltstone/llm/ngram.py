@@ -6,7 +6,8 @@ their context and the hash of their word, are one monotone sequence; both are El
 probabilities and backoff weights are quantised to a byte. Levels are written to a file and read back memory-mapped (it has
 no name and ends with the task); an n-gram is searched word by word, each within the child range of its context, by its
 high bits. The trie is cut into buckets by the hash of the first word, so no machine holds all of it, and each chunk of texts
-sends a bucket only its distinct n-grams.
+sends a bucket only its distinct n-grams. The n-grams of a frequent word are cut into parts by their second word, and its
+totals are added up from the parts, so that they meet in no single bucket.
 
 Probabilities: interpolated absolute discounting, p(w | h) = max(c(hw) - d, 0) / c(h) + d t(h) / c(h) p(w | h'), h' being h
 without its first word, down to the add-one unigrams p(w) = (c(w) + 1) / (N + V + 1); an unseen context leaves p(w | h').
@@ -217,29 +218,64 @@ def _words(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return _mix(out), doc
 
 
+class Splits:
+    """Frequent words and the number of parts that their successors are dealt to, by the hash of the successor."""
+
+    def __init__(self, parts: dict[int, int] | None = None):
+        self.words = np.array(sorted(parts or {}), np.uint64)
+        self.parts = np.array([(parts or {})[w] for w in self.words.tolist()], np.uint64)
+
+    def root(self, words: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """What an n-gram's bucket goes by: the first word, or for a frequent one its part, whose first is the word itself."""
+        if not len(self.words):
+            return words
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        some = np.flatnonzero(self.words[at] == words)
+        out = words.copy()
+        out[some] = self._key(words[some], _mix(after[some]) % self.parts[at[some]])
+        return out
+
+    @staticmethod
+    def _key(words: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return np.where(part == 0, words, _mix(words + part * _M))
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(root, place of its word) of all parts."""
+        word = np.repeat(np.arange(len(self.words)), self.parts.astype(np.int64))
+        part = np.arange(len(word)) - np.searchsorted(word, word)
+        return self._key(self.words[word], part.astype(np.uint64)), word
+
+
+def _hashes(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token hashes, tokens of each text, first token of each text)."""
+    word, doc = _words(c)
+    sizes = np.bincount(doc, minlength=len(c.sizes)) + 1
+    tokens = np.full(len(word) + len(c.sizes), END, np.uint64)
+    tokens[np.arange(len(word)) + doc] = word  # each text's end token comes after its words
+    return tokens, sizes, np.cumsum(sizes) - sizes
+
+
 class Tokens:
-    """The tokens of a chunk's texts, and its distinct words and n-grams by the bucket of their first word.
+    """The tokens of a chunk's texts, and its distinct words and n-grams by the bucket of their root (see Splits).
 
-    On level k (of order - 1), gram is the number of the n-gram of k + 2 words that ends at each token, -1 where the text
-    begins later; above and right are the distinct n-grams' contexts (numbers above) and last words.
+    roots are the words' own and those of frequent words' parts, in the order of the buckets; main is a word's own root. On
+    level k (of order - 1), gram is the number of the n-gram of k + 2 words that ends at each token, -1 where the text
+    begins later; above and right are the distinct n-grams' contexts (numbers above, roots on the first) and last words.
     """
 
-    def __init__(self, c: Chunk, n_buckets: int, trained: Callable[[list[int | None]], np.ndarray], order: int = ORDER):
-        word, doc = _words(c)
-        self.sizes = np.bincount(doc, minlength=len(c.sizes)) + 1
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        tokens = np.full(len(word) + len(c.sizes), END, np.uint64)
-        tokens[np.arange(len(word)) + doc] = word  # each text's end token comes after its words
-        # distinct words in the order of their hashes, which is that of the buckets
-        self.hash, number = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-        self.token, begin = number[:-1], number[-1]
-        self.bucket = ((self.hash >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    def __init__(self, c: Chunk, n_buckets: int, trained: Callable[[list[int | None]], np.ndarray], order: int = ORDER, splits: Splits | None = None):
+        tokens, self.sizes, self.starts = _hashes(c)
+        self.word, self.token = np.unique(tokens, return_inverse=True)
+        before = np.concatenate([np.zeros(1, np.uint64), tokens[:-1]])[: len(tokens)]
+        before[self.starts] = BEGIN
+        root = (splits or Splits()).root(before, tokens)
+        self.roots, number = np.unique(np.concatenate([self.word, root]), return_inverse=True)
+        self.main, last = number[: len(self.word)], number[len(self.word) :]
+        self.bucket = ((self.roots >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
         learn = np.repeat(trained(c.id_list()), self.sizes)
-        self.counts = [np.bincount(self.token, learn, minlength=len(self.hash)).astype(np.uint32)]
+        self.counts = [np.bincount(self.main[self.token], learn, minlength=len(self.roots)).astype(np.uint32)]
         self.gram, self.above, self.right, self.cuts = [], [], [], [np.searchsorted(self.bucket, np.arange(n_buckets + 1))]
-        v = np.uint64(len(self.hash))
-        last = np.concatenate([[0], self.token[:-1]])
-        last[self.starts] = begin
+        v = np.uint64(len(self.word))
         for _ in range(order - 1):
             some = np.flatnonzero(last >= 0)
             keys, number = np.unique(last[some].astype(np.uint64) * v + self.token[some].astype(np.uint64), return_inverse=True)
@@ -257,10 +293,10 @@ class Tokens:
     def ask(self) -> Iterator[tuple[int, str, bytes]]:
         for b in np.unique(self.bucket).tolist():
             ends = [c[b : b + 2] for c in self.cuts]
-            plain, packed = [self.hash[ends[0][0] : ends[0][1]].tobytes()], [self.counts[0][ends[0][0] : ends[0][1]].tobytes()]
+            plain, packed = [self.roots[ends[0][0] : ends[0][1]].tobytes()], [self.counts[0][ends[0][0] : ends[0][1]].tobytes()]
             for k, (above, right) in enumerate(zip(self.above, self.right, strict=True)):
                 (p, q), (at, to) = ends[k + 1], ends[k]
-                word = (self.hash[right[p:q]] >> np.uint64(64 - 8 * (NEAR if k == 0 else DEEP))).astype("<u4")
+                word = (self.word[right[p:q]] >> np.uint64(64 - 8 * (NEAR if k == 0 else DEEP))).astype("<u4")
                 plain.append(word.view(np.uint8).reshape(-1, 4)[:, : NEAR if k == 0 else DEEP].tobytes())
                 packed += [np.bincount(above[p:q] - at, minlength=to - at).astype(np.uint32).tobytes(), self.counts[k + 1][p:q].tobytes()]
             sizes = np.array([q - p for p, q in ends], "<u4").tobytes()
@@ -268,7 +304,7 @@ class Tokens:
 
 
 class _Asked:
-    """A message of Tokens.ask: the words' hashes, and for each level the number of successors of each context, hashes and counts."""
+    """A message of Tokens.ask: the roots' hashes, and for each level the number of successors of each context, hashes and counts."""
 
     def __init__(self, raw: bytes, order: int):
         n = np.frombuffer(raw, "<u4", order).astype(np.int64).tolist()
@@ -288,7 +324,11 @@ class _Asked:
         self.counts, self.children = [parts[0], *parts[2::2]], parts[1::2]
 
 
-def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
+def _bucket_of(order: int, splits: Splits | None = None) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
+    """What a bucket does with its messages. An answer has totals, sizes, code books, counts of the words, of the parts of frequent
+    words what the training rows have (root, pairs, different pairs), and codes; totals and parts are in its first answer."""
+    parts = np.sort(splits.roots()[0]) if splits is not None else np.zeros(0, np.uint64)
+
     def run(payloads: list[bytes]) -> tuple[list[bytes], str]:
         asked = [_Asked(p, order) for p in payloads]
         words, number = np.unique(np.concatenate([a.hash for a in asked]), return_inverse=True)
@@ -308,6 +348,9 @@ def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
             numbers.append(own)
             place = np.where(seen, np.cumsum(seen) - 1, -1)  # a seen n-gram's context is seen, too
         trie = Trie(words, levels)
+        context, _, count = levels[0]
+        split = np.flatnonzero(np.isin(words, parts))
+        side = np.stack([words[split], np.bincount(context, count, minlength=len(words))[split].astype(np.uint64), np.bincount(context, minlength=len(words))[split].astype(np.uint64)], axis=1).tobytes()
         totals = np.array([unigram.sum(), (unigram > 0).sum()], np.int64).tobytes()
         books = b"".join(x.tobytes() for x in trie.books)
         # each distinct n-gram is searched once, below the place of its context
@@ -323,22 +366,61 @@ def _bucket_of(order: int) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
             to = [x + n for x, n in zip(at, [len(a.hash), *map(len, a.words)], strict=True)]
             mine = squeeze_longs(unigram[number[at[0] : to[0]]])
             plain = b"".join(w[at[k] : to[k]].tobytes() + p[at[k + 1] : to[k + 1]].tobytes() for k, (w, p) in enumerate(codes))
-            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + books + mine + squeeze(plain))
+            own = side if i == 0 else b""
+            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + len(own).to_bytes(4, "little") + books + own + mine + squeeze(plain))
             at = to
         return out, "grams"
 
     return run
 
 
-def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int, n_kinds: int) -> pa.Table:
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, n, kinds) of the parts of frequent words, from answers (payload, deep)."""
+    for b in batches:
+        rows = [np.zeros((0, 3), np.uint64)]
+        for raw, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            size = int.from_bytes(raw[20:24], "little")
+            if size:
+                rows.append(np.frombuffer(raw, np.uint64, size // 8, 24 + 16 * BINS * deep).reshape(-1, 3))
+        all_ = np.concatenate(rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(all_[:, i]) for i in range(3)], ["root", "n", "kinds"])
+
+
+class Parts:
+    """What the parts of frequent words have of their word: the share of its training pairs, and the word's backoff weight."""
+
+    def __init__(self, splits: Splits, rows: list[tuple[int, int, int]]):
+        roots, word = splits.roots()
+        order = np.argsort(roots)
+        self.roots, word = roots[order], word[order]
+        n, kinds = np.zeros(len(roots)), np.zeros(len(roots))
+        if rows:
+            told = np.array(rows, np.int64)
+            at = np.searchsorted(self.roots, np.ascontiguousarray(told[:, 0]).view(np.uint64))
+            n[at], kinds[at] = told[:, 1], told[:, 2]
+        total = np.bincount(word, n, minlength=len(splits.words))
+        every = np.bincount(word, kinds, minlength=len(splits.words))
+        self.share = n / np.maximum(total[word], 1)
+        self.back = np.where(total[word] > 0, DISCOUNT * every[word] / np.maximum(total[word], 1), 1.0)
+
+    def find(self, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the roots are parts, their places)."""
+        if not len(self.roots):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.roots, roots), len(self.roots) - 1)
+        some = np.flatnonzero(self.roots[at] == roots)
+        return some, at[some]
+
+
+def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int, n_kinds: int, parts: Parts | None = None) -> pa.Table:
     deep = len(t.gram)
-    count = np.zeros(len(t.hash), np.int64)
-    back = [np.ones(len(t.hash)), *[np.ones(len(x)) for x in t.above[:-1]]]
+    count = np.zeros(len(t.roots), np.int64)
+    back = [np.ones(len(t.roots)), *[np.ones(len(x)) for x in t.above[:-1]]]
     prob = [np.zeros(len(x)) for x in t.above]
     for b in np.unique(t.bucket).tolist():
         raw = got["grams", b]
-        size, at = int.from_bytes(raw[16:20], "little"), 20 + 16 * BINS * deep
-        books = np.frombuffer(raw, np.float64, 2 * BINS * deep, 20).reshape(deep, 2, BINS)
+        size, at = int.from_bytes(raw[16:20], "little"), 24 + 16 * BINS * deep + int.from_bytes(raw[20:24], "little")
+        books = np.frombuffer(raw, np.float64, 2 * BINS * deep, 24).reshape(deep, 2, BINS)
         codes = np.frombuffer(expand(raw[at + size :]), np.uint8)
         ends = [x[b : b + 2] for x in t.cuts]
         count[ends[0][0] : ends[0][1]] = expand_longs(raw[at : at + size])
@@ -348,7 +430,13 @@ def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int,
             back[k][at:to] = np.concatenate([[1.0], books[k, 1]])[codes[used : used + to - at]]
             prob[k][p:q] = np.concatenate([[0.0], books[k, 0]])[codes[used + to - at : used + to - at + q - p]]
             used += to - at + q - p
-    single = ((count + 1) / (n_all + n_kinds + 1))[t.token]
+    if parts is not None:  # a part's probabilities are of its own pairs: of the word's they are its share
+        some, at = parts.find(t.roots)
+        share = np.ones(len(t.roots))
+        share[some], back[0][some] = parts.share[at], parts.back[at]
+        prob[0] *= share[t.above[0]]
+    seen = count[t.main][t.token]
+    single = (seen + 1) / (n_all + n_kinds + 1)
     full = single
     for k in range(deep):
         some = np.flatnonzero(t.gram[k] >= 0)
@@ -357,21 +445,53 @@ def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int,
         full[some] = prob[k][g] + back[k][t.above[k][g]] * full[some]
     add = lambda x: np.add.reduceat(x, t.starts) if len(t.starts) else np.zeros(0)
     return pa.table({
-        "doc_id": pa.array(c.id_list(), pa.int64()), "n_tokens": t.sizes, "n_known": add((count[t.token] > 0).astype(np.int64)),
+        "doc_id": pa.array(c.id_list(), pa.int64()), "n_tokens": t.sizes, "n_known": add((seen > 0).astype(np.int64)),
         "train_tokens": np.full(len(t.sizes), n_all, np.int64), "base_score": add(np.log10(single)), "score": add(np.log10(full)),
     })
 
 
+def frequent(chunks: DataFrame, n_buckets: int, most: int = 32) -> Splits:
+    """Words that are more than two buckets' share of the tokens, by a sample of `most` chunks spread over the table.
+
+    The sample only chooses how n-grams are dealt; whatever it misses stays in one bucket. It brings no more words to the
+    driver than there are buckets.
+    """
+    last = chunks.agg(F.max("chunk")).first()[0]
+    if last is None:
+        return Splits()
+    step = max(1, ((last >> 32) + 1) // most)
+    some = chunks.where(F.col("chunk").isin([p << 32 for p in range(0, (last >> 32) + 1, step)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+                tokens, sizes, _ = _hashes(Chunk(row))
+                word, n = np.unique(tokens, return_counts=True)
+                n[word == END] = 0
+                many = np.flatnonzero(n * 4 * n_buckets >= len(tokens))
+                word = np.concatenate([word[many], [BEGIN, np.uint64(0)]])  # 0 stands for all
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate([n[many], [len(sizes), len(tokens)]]))], ["word", "n"])
+
+    sums = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = sums.where("word = 0").select(F.col("n").alias("all"))
+    share = F.col("n") / F.col("all") * n_buckets
+    rows = sums.where("word <> 0").crossJoin(F.broadcast(total)).select("word", share.alias("share")).where("share >= 2").collect()  # one row of totals
+    return Splits({r[0] % (1 << 64): int(r[1]) + 1 for r in rows})
+
+
 def score(docs: DataFrame, trained: Callable[[list[int | None]], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score); trained says of each id whether to learn from it."""
     if order < 2:
         raise ValueError(f"order must be 2 or more, got {order}")
     chunks = pack(docs, id_col=id_col, text_col=text_col)
     n = buckets_for(chunks, size=CHUNK)  # deep levels weigh more than the text: half of the usual share a bucket
-    told = answer(send(chunks, lambda c: Tokens(c, n, trained, order).ask()), _bucket_of(order), n)
+    splits = frequent(chunks, n)
+    told = answer(send(chunks, lambda c: Tokens(c, n, trained, order, splits).ask()), _bucket_of(order, splits), n)
     # the first 16 bytes of an answer: little-endian totals, in one answer of each bucket
     number = lambda at: F.expr("+".join(f"conv(hex(substring(payload, {at + i + 1}, 1)), 16, 10) * {1 << 8 * i}L" for i in range(7))).cast("long")
     total = told.select(number(0).alias("n"), number(8).alias("v")).agg(F.sum("n"), F.sum("v")).first()
     n_all, n_kinds = int(total[0] or 0), int(total[1] or 0)
+    rows = told.where(F.expr("substring(payload, 21, 4) <> X'00000000'")).select("payload", F.lit(order - 1).alias("deep")).mapInArrow(_parts_of, "root long, n long, kinds long")
+    parts = Parts(splits, [tuple(r) for r in rows.collect()] if len(splits.words) else [])  # a row a part
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(chunks, told, lambda c, got: _scores(Tokens(c, n, trained, order), c, got, n_all, n_kinds), schema, n)
+    return meet(chunks, told, lambda c, got: _scores(Tokens(c, n, trained, order, splits), c, got, n_all, n_kinds, parts), schema, n)

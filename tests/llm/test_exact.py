@@ -358,10 +358,29 @@ def test_elias_fano():
         assert (p.find(other) == -1).all()
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_lm_scores(spark, monkeypatch, order):
+def chunk_of(texts):
+    size = np.array([len(t) for t in texts], np.int64)
+    ids = np.arange(len(texts), dtype=np.int64)
+    return chunks.Chunk({"chunk": 0, "ids": ids.tobytes(), "null_ids": (ids < 0).tobytes(), "sizes": size.tobytes(), "texts": chunks.squeeze(b"".join(texts))})
+
+
+def test_words_of_a_chunk():
+    texts = [b"The cat", b"", b"cat\x0b\x1c the" + b"x" * 64, b" \t", b"y" * 65 + b" cat " + b"Y" * 65 + b"\r\n", b"cat", "é É".encode()]
+    hashes, doc = ngram._words(chunk_of(texts))
+    words = [(w, i) for i, t in enumerate(texts) for w in t.lower().split()]
+    assert doc.tolist() == [i for _, i in words]
+    named = dict(zip([w for w, _ in words], hashes.tolist(), strict=True))
+    assert [named[w] for w, _ in words] == hashes.tolist() and len(set(named.values())) == len(named)
+
+
+@pytest.mark.parametrize(("order", "split"), [(2, False), (3, False), (4, False), (2, True), (3, True)])
+def test_lm_scores(spark, monkeypatch, order, split):
     monkeypatch.setattr(chunks, "CHUNK", 9000)
     docs = corpus()
+    if split:  # as if these were so frequent that their n-grams are dealt to several buckets
+        often = Counter(w for _, t in docs for w in (t or "").encode().lower().split()).most_common(30)
+        parts = {h: 2 + i % 4 for i, h in enumerate(ngram._words(chunk_of([w for w, _ in often]))[0].tolist())} | {int(ngram.BEGIN): 5, 12345: 3}
+        monkeypatch.setattr(ngram, "frequent", lambda table, n: ngram.Splits(parts))
     learn = lambda ids: np.array([i is not None and i % 3 != 0 for i in ids], dtype=bool)
     tokens = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in docs]
     train = [w for i, w in tokens if i is not None and i % 3 != 0]
@@ -394,5 +413,14 @@ def test_lm_scores(spark, monkeypatch, order):
     assert (empty["n_tokens"], empty["n_known"], empty["train_tokens"], empty["base_score"]) == (1, 0, 0, 0.0)
 
 
+def test_frequent_words_are_split(spark):
+    d = spark.createDataFrame([(i, "the " * 50 + f"w{i} v{i % 7}") for i in range(200)] + [(None, None)], "doc_id long, text string")
+    found = ngram.frequent(chunks.pack(d, size=2000), 64)
+    the = ngram._words(chunk_of([b"the"]))[0][0]
+    parts = dict(zip(found.words.tolist(), found.parts.tolist(), strict=True))
+    assert 50 <= parts[int(the)] <= 64 and len(parts) <= 4 and len(np.unique(found.roots()[0])) == sum(parts.values())
+    assert len(ngram.frequent(chunks.pack(d.limit(0)), 4).words) == 0
+
+
 def test_schema_names_clash_on_purpose():
     assert {"term", "h", "k"} <= {f.split()[0] for f in SCHEMA.split(", ")}
