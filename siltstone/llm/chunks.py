@@ -27,8 +27,8 @@ MESSAGE = "chunk long, bucket int, kind string, payload binary"
 MESSAGE_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("kind", pa.string()), ("payload", pa.binary())])
 
 
-def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeeze(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def expand(packed: bytes) -> bytes:
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
             null = np.array([i is None for i in ids], dtype=bool)
             own = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            row = [(part << 32) + number, held, own.tobytes(), null.tobytes(), sizes.tobytes(), squeeze(b"".join(texts))]
+            row = [(part << 32) + number, held, own.tobytes(), null.tobytes(), sizes.tobytes(), squeeze(b"".join(texts), 3)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
         for b in batches:

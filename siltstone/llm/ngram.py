@@ -293,7 +293,8 @@ class Tokens:
     def ask(self) -> Iterator[tuple[int, str, bytes]]:
         for b in np.unique(self.bucket).tolist():
             ends = [c[b : b + 2] for c in self.cuts]
-            plain, packed = [self.roots[ends[0][0] : ends[0][1]].tobytes()], [self.counts[0][ends[0][0] : ends[0][1]].tobytes()]
+            roots = squeeze_longs(self.roots[ends[0][0] : ends[0][1]].view(np.int64))  # sorted, so that they share their first bytes
+            plain, packed = [len(roots).to_bytes(4, "little"), roots], [self.counts[0][ends[0][0] : ends[0][1]].tobytes()]
             for k, (above, right) in enumerate(zip(self.above, self.right, strict=True)):
                 (p, q), (at, to) = ends[k + 1], ends[k]
                 word = (self.word[right[p:q]] >> np.uint64(64 - 8 * (NEAR if k == 0 else DEEP))).astype("<u4")
@@ -309,8 +310,9 @@ class _Asked:
     def __init__(self, raw: bytes, order: int):
         n = np.frombuffer(raw, "<u4", order).astype(np.int64).tolist()
         at = 4 * order
-        self.hash = np.frombuffer(raw, np.uint8, 8 * n[0], at).view(np.uint64)
-        at += 8 * n[0]
+        size = int.from_bytes(raw[at : at + 4], "little")
+        self.hash = expand_longs(raw[at + 4 : at + 4 + size]).view(np.uint64)
+        at += 4 + size
         self.words = []
         for k, size in enumerate(n[1:]):
             wide = NEAR if k == 0 else DEEP
