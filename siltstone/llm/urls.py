@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,10 @@ from siltstone.llm.common import ascii_lower
 #: (verdict, host, path): fixed values of the production rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Globs over host and path that block what no rule decides.
-BLOCK = ("*spam*/**", "*spam*", "*cheap-pills*/**", "*cheap-pills*", "*casino*/**", "*casino*", "**/login/**", "**.exe")
+HOSTS = ("spam", "cheap-pills", "casino", "betting", "payday-loan", "phish", "malware", "warez", "porn", "escort")
+FOLDERS = ("login", "signin", "cart", "checkout", "wp-admin", "cgi-bin")
+FILES = ("exe", "msi", "apk", "dmg", "iso", "zip")
+BLOCK = (*[g for h in HOSTS for g in (f"*{h}*/**", f"*{h}*")], *[f"**/{f}/**" for f in FOLDERS], *[f"**.{f}" for f in FILES])
 #: Rows of state that are stepped together.
 ROWS = 1 << 14
 
@@ -141,7 +145,14 @@ def judge(pages: DataFrame, filters: Filter | None = None, *, id_col: str = "pag
     return p.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
-ORACLE_SQL = r"""
+def _regex(glob: str) -> str:
+    """The glob as a regular expression."""
+    kinds = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(kinds.get(part) or re.escape(part) for part in re.split(r"(\*\*|\*|\?)", glob) if part)
+
+
+_BLOCKED = "|".join(map(_regex, BLOCK))
+ORACLE_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT page_id, host, path, CASE
@@ -152,7 +163,7 @@ j AS (SELECT page_id, host, path, CASE
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN host LIKE '%spam%' OR host LIKE '%cheap-pills%' OR host LIKE '%casino%' OR path LIKE '%/login/%' OR host || path LIKE '%.exe' THEN 'block'
+  WHEN regexp_full_match(host || path, '(?s){_BLOCKED}') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM j
 """
