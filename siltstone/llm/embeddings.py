@@ -375,7 +375,7 @@ def _true_links(reps: DataFrame, queries: list, reach: float) -> DataFrame:
     return reps.select("m", "vec", "rep").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 600, overlap: int = 3, probes: int = 1024, least: float = 0.98, tries: int = 3) -> DataFrame:
+def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 1500, overlap: int = 3, probes: int = 1024, least: float = 0.98, tries: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) of every row; recall: share of the probes' true links that were found.
 
     A vector joins `overlap` shards; as long as the recall is under `least`, twice as many, in up to `tries` searches.
