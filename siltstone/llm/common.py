@@ -43,14 +43,29 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def n_staged() -> int:
+    """Tables staged so far, for sweep()."""
+    return len(_made)
+
+
+def sweep(since: int) -> None:
+    """Delete the tables staged after the first `since`, but for the latest, which must not read the others any more."""
+    for spark, path in _made[since:-1]:
+        _delete(spark, path)
+    _made[since:-1] = []
+
+
 @atexit.register
 def release() -> None:
     """Delete the staged tables; results that still read them must have been written before."""
     while _made:
-        spark, path = _made.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_made.pop())
         except Exception:  # the session may be gone by the time the interpreter exits
             return
 

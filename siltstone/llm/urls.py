@@ -9,7 +9,7 @@ A host and path rule is a pattern too: the host as it is, or anything that ends
 beginning. The rule with the longest host and path wins; the rest is judged by the block patterns.
 
 Defined cases: a null URL or one without `://` has an empty host and path, fits no rule and no block pattern, and is
-allowed; repeated rows are judged alike; ties between rules go to the first; an empty table gives no rows; other columns
+allowed; URLs of any length are taken whole; repeated rows are judged alike; ties between rules go to the first; an empty table gives no rows; other columns
 are ignored.
 """
 

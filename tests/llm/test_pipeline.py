@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline as cp
 from siltstone.llm import mixing, simhash
-from siltstone.llm.common import stage
+from siltstone.llm.common import n_staged, stage
 from tests.llm.data import corpus, words
 from tests.llm.test_exact import alnum, spans
 
@@ -106,7 +106,10 @@ def test_stages(spark, tables):
 
 def test_run_and_empty(spark, tables):
     docs, _, folder = tables
-    assert cp.run(spark, folder).count() > 50
+    before = n_staged()
+    found = cp.run(spark, folder)
+    assert found.count() > 50 and {"copies", "taken", "text"} <= set(found.columns)
+    assert n_staged() - before < 20  # the tables of the stages before are gone
     empty = docs.limit(0)
     for name, f in cp.STAGES:
         out = f(spark, empty, folder)
