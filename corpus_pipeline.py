@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, mixing, pii, simhash, toxicity
-from siltstone.llm.common import fold_of, stage, table
+from siltstone.llm.common import fold_of, n_staged, stage, sweep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what a stage has staged goes once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), n_staged()
     for _, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir))
+        sweep(before)
     return STAGES[-1][1](spark, docs, sf_dir)
