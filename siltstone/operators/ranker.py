@@ -81,12 +81,12 @@ def scale(rows: DataFrame, deviations: dict[str, float]) -> DataFrame:
 
 
 def assemble(rows: DataFrame, names: Sequence[str], terms: DataFrame | None = None, vocab: DataFrame | None = None, sample_id: str = "sample_id") -> DataFrame:
-    """rows with features: term weights (sparse), then the scaled numbers, then a constant for the penalised intercept.
+    """rows with features: term weights (sparse), then the scaled numbers.
 
     Catalyst has no constructor of vectors; their storage form is written as a table in the shared folder, which the learner
     reads again and again, and read back as vectors.
     """
-    numbers = F.array(*[F.col(c).cast("double") for c in names], F.lit(1.0))
+    numbers = F.array(*[F.col(c).cast("double") for c in names])
     size = 0
     out = rows.withColumn("_x", F.array().cast("array<struct<i:int,weight:double>>"))
     if terms is not None and vocab is not None:
@@ -96,7 +96,7 @@ def assemble(rows: DataFrame, names: Sequence[str], terms: DataFrame | None = No
         out = rows.join(per, sample_id, "left").withColumn("_x", F.coalesce("_w", F.array().cast("array<struct<i:int,weight:double>>"))).drop("_w")
     indices = F.concat(F.transform("_x", lambda r: r["i"]), F.transform(numbers, lambda _, j: F.lit(size) + j))
     values = F.concat(F.transform("_x", lambda r: r["weight"]), numbers)
-    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + len(names) + 1).alias("size"), indices.alias("indices"), values.alias("values"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + len(names)).alias("size"), indices.alias("indices"), values.alias("values"))
     spark = rows.sparkSession
     path = shared_path(spark, "features")
     out.withColumn("features", vector).drop("_x").write.parquet(path)
@@ -104,7 +104,10 @@ def assemble(rows: DataFrame, names: Sequence[str], terms: DataFrame | None = No
 
 
 def fit(train: DataFrame, label: str = "label", c: float = 1.0, model: str = "logistic_regression", seed: int = 42, trees: int = 300) -> Model:
-    """Balanced L2 logistic regression without a free intercept, or a balanced random forest; both classes are needed."""
+    """Balanced L2 logistic regression, or a balanced random forest; both classes are needed.
+
+    The intercept is free: a constant column, whose weight would be penalised, gets none from Spark's learner.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, expected one of {MODELS}")
     n = {r[0]: r[1] for r in train.groupBy(label).count().collect()}  # two rows
@@ -116,7 +119,7 @@ def fit(train: DataFrame, label: str = "label", c: float = 1.0, model: str = "lo
     if model == "random_forest":
         fitted = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=15, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
     else:
-        fitted = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=200, tol=1e-8).fit(rows)
+        fitted = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=200, tol=1e-8).fit(rows)
     if fitted.hasSummary:  # it holds the session, which must not travel with the model
         fitted._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
     return fitted

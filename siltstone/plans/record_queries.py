@@ -436,8 +436,42 @@ def saved_ranker(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count("*").alias("rows"), F.bool_and(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
 
 
-@register("ranker_importances", "SELECT 500 + 24 + 1 AS names, true AS falling")
+@register("ranker_importances", "SELECT 500 + 24 AS names, true AS falling")
 def ranker_importances(spark: SparkSession, sf: str) -> DataFrame:
     found = T3.train_ranker(P.samples(spark, sf), P.alerts(spark, sf), limit=500)[0].importances()
     falling = all(abs(a[1]) >= abs(b[1]) for a, b in zip(found, found[1:], strict=False))
     return spark.createDataFrame([(len({n for n, _ in found}), falling)], "names int, falling boolean")
+
+
+@register("config_files", "SELECT * FROM (VALUES ('model', '\"b\"'), ('top_k', '7'), ('weights', '{\"llm\": 0.5}'), ('seed', '42')) t(name, value)")
+def config_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_path(spark, "config")
+    sinks.put_text(spark, f"{folder}/a.json", '{"model": "a", "seed": 42,\n "weights": {"static": 1, "llm": 0}}')
+    sinks.put_text(spark, f"{folder}/b.json", '{"model": "b", "top_k": 7, "weights": {"llm": 0.5}}')
+    merged = sinks.load_config(f"{folder}/a.json", f"{folder}/b.json", spark=spark)
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in merged.items()], "name string, value string")
+
+
+@register("metric_files", with_("ranks") + ", m AS (" + _class_sql("SELECT label AS y, CASE WHEN rank_score >= 0.5 THEN 1 ELSE 0 END AS f FROM ranks") + """)
+  SELECT 'summary.csv' AS file, 'classification.tp' AS metric, CAST(tp AS VARCHAR) AS value FROM m UNION ALL SELECT 'summary.csv', 'classification.fp', CAST(fp AS VARCHAR) FROM m UNION ALL SELECT 'summary.csv', 'cost', '' UNION ALL SELECT 'summary.md', 'classification.tp', CAST(tp AS VARCHAR) FROM m
+  UNION ALL SELECT 'summary.md', 'classification.fp', CAST(fp AS VARCHAR) FROM m UNION ALL SELECT 'summary.md', 'cost', 'n/a' UNION ALL SELECT 'classification_metrics.json', 'tp', CAST(tp AS VARCHAR) FROM m UNION ALL SELECT 'classification_metrics.json', 'fp', CAST(fp AS VARCHAR) FROM m""")
+def metric_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_path(spark, "files")
+    r = P.ranks(spark, sf)
+    m = E.classification(r, F.col("label"), F.col("rank_score")).select("tp", "fp").first().asDict()
+    names = sinks.write_metrics({"classification": m, "cost": None}, folder, spark)
+    assert names == ["classification_metrics.json", "metrics.json", "summary.csv", "summary.md"]
+    lines = lambda n, skip: spark.read.text(f"{folder}/{n}").where(~F.col("value").rlike(skip) & (F.col("value") != "")).withColumn("file", F.lit(n))
+    csv = lines("summary.csv", "^metric,").select("file", F.substring_index("value", ",", 1).alias("metric"), F.substring_index("value", ",", -1).alias("value"))
+    part = lambda i: F.trim(F.get(F.split("value", "[|]"), F.lit(i)))
+    md = lines("summary.md", r"^#|^\| metric|^\|---").select("file", part(1).alias("metric"), part(2).alias("value"))
+    block = spark.read.text(f"{folder}/classification_metrics.json", wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("metric", "value"))
+    return csv.union(md).union(block.select(F.lit("classification_metrics.json"), "metric", "value"))
+
+
+@register("sample_graphs", with_("nodes", "edges") + """ SELECT CAST(graph_id AS VARCHAR) AS graph_id, 'node' AS kind, CAST(id AS VARCHAR) AS a FROM nodes WHERE graph_id IN (SELECT doc_id FROM labels) UNION ALL SELECT CAST(graph_id AS VARCHAR), 'edge', CAST(source AS VARCHAR) FROM edges WHERE graph_id IN (SELECT doc_id FROM labels)""")
+def sample_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "graphs")
+    graphs.write_graphs(P.nodes(spark, sf), P.edges(spark, sf), path)
+    n, e = graphs.of_samples(table(spark, sf, "labels").selectExpr("doc_id AS sample_id"), *graphs.read_graph(spark, path))
+    return n.select("graph_id", F.lit("node").alias("kind"), F.col("id").alias("a")).union(e.select("graph_id", F.lit("edge"), "source"))

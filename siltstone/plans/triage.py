@@ -86,7 +86,7 @@ class Ranker:
 
     def importances(self) -> list[tuple[str, float]]:
         terms = [r[0] for r in self.vocab.select("term").orderBy("term").collect()]  # no longer than the vocabulary's limit
-        return K.importances(self.model, [*terms, *self.names, "intercept"])
+        return K.importances(self.model, [*terms, *self.names])
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")

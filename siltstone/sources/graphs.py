@@ -68,6 +68,13 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read_graphml(spark, path) if path.lower().endswith((".graphml", ".xml")) else read_graph_json(spark, path)
 
 
+def of_samples(samples: DataFrame, nodes: DataFrame, edges: DataFrame, sample_id: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of the samples' graphs, whose ids are those of the samples; samples without a graph have none."""
+    ids = samples.select(F.col(sample_id).cast("string").alias("_i")).distinct()
+    own = lambda df: df.join(ids, F.col("graph_id").cast("string") == F.col("_i"), "left_semi")
+    return own(nodes), own(edges)
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, json): each graph as one JSON document, nodes and edges in order, properties kept if there are."""
     def packed(df: DataFrame, *cols: str) -> tuple[Column, DataFrame]:

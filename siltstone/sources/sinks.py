@@ -6,7 +6,7 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -80,24 +80,39 @@ def show(v: Any) -> str:
     return "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
 
 
-def write_metrics(metrics: dict[str, Any], folder: str) -> list[str]:
-    """Metric files of one evaluation: a JSON file a block, all of them, a CSV and a Markdown summary. Driver-sized."""
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file at any path that Spark can write."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_metrics(metrics: dict[str, Any], folder: str, spark: SparkSession | None = None) -> list[str]:
+    """Metric files of one evaluation: a JSON file a block, all of them, a CSV and a Markdown summary. Driver-sized.
+
+    With a session the folder may be anywhere that Spark writes, else it is a local one.
+    """
     out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
+    if spark is None:
+        out.mkdir(parents=True, exist_ok=True)
+    put = (lambda name, text: put_text(spark, f"{folder}/{name}", text)) if spark is not None else (lambda name, text: (out / name).write_text(text, encoding="utf-8"))
     files = {f"{k}_metrics.json": v for k, v in metrics.items() if isinstance(v, dict)} | {"metrics.json": metrics}
     for name, v in files.items():
-        (out / name).write_text(json.dumps(v, indent=2, ensure_ascii=False))
+        put(name, json.dumps(v, indent=2, ensure_ascii=False))
     flat = flatten(metrics)
-    (out / "summary.csv").write_text("metric,value\n" + "".join(f"{k},{'' if v is None else v}\n" for k, v in flat.items()))
-    (out / "summary.md").write_text("# Evaluation\n\n| metric | value |\n|---|---|\n" + "".join(f"| {k} | {show(v)} |\n" for k, v in flat.items()))
+    put("summary.csv", "metric,value\n" + "".join(f"{k},{'' if v is None else v}\n" for k, v in flat.items()))
+    put("summary.md", "# Evaluation\n\n| metric | value |\n|---|---|\n" + "".join(f"| {k} | {show(v)} |\n" for k, v in flat.items()))
     return sorted([*files, "summary.csv", "summary.md"])
 
 
-def load_config(*paths: str) -> dict[str, Any]:
-    """Shallow merge of JSON config files, later ones win; YAML if a parser is installed."""
+def load_config(*paths: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """Shallow merge of JSON config files, later ones win; YAML if a parser is installed. With a session, from anywhere that Spark reads."""
     out: dict[str, Any] = {}
     for p in paths:
-        text = Path(p).read_text()
+        text = spark.read.text(p, wholetext=True).first()[0] if spark is not None else Path(p).read_text(encoding="utf-8")
         if p.endswith((".yaml", ".yml")):
             try:
                 import yaml

@@ -8,6 +8,7 @@ from siltstone.operators import evaluation as E
 from siltstone.operators import experiments as X
 from siltstone.operators import fusion as U
 from siltstone.operators import graph as G
+from siltstone.operators import ranker as K
 from siltstone.operators import relational as R
 from siltstone.operators import verify as V
 from siltstone.schemas import ALERT, validate
@@ -253,6 +254,21 @@ def test_splits_keep_ids_together(spark):
         R.join_all(d.where("sample_id = 3"), d.where("sample_id = 4").select("sample_id", F.col("v").alias("w"))).collect()
 
 
+def test_linear_ranker_is_at_its_optimum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=80) > 0.6).astype(int)
+    df = spark.createDataFrame([(f"s{i}", int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "sample_id string, label int, a double, b double, c double")
+    for c in (1.0, 0.1):
+        m = K.fit(K.assemble(df, ["a", "b", "c"]), c=c)
+        coef = m.coefficients.toArray()
+        w = 80 / (2 * np.where(y == 1, y.sum(), 80 - y.sum()))
+        slope = w * (1 / (1 + np.exp(-x @ coef - m.intercept)) - y)
+        assert abs(slope.sum()) < 1e-3 and np.abs(x.T @ slope + coef / c).max() < 1e-3 and abs(m.intercept) > 0.1
+
+
 def test_odd_numbers(spark):
     from siltstone.functions import normalize as N
 
