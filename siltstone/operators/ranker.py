@@ -55,11 +55,12 @@ def ngrams(samples: DataFrame, code: str = "code", sample_id: str = "sample_id",
 def vocabulary(samples: DataFrame, n_docs: int, limit: int = 20_000, code: str = "code") -> DataFrame:
     """(term, df, total, idf): the terms with the highest counts, smaller terms first among equals; idf is smoothed, plus 1.
 
-    A row's terms are sorted, so that the first of equals marks the document; one aggregation with partial sums counts both.
+    A row gives its terms and its distinct terms; one aggregation by term with partial sums counts both, so nothing is
+    shuffled by document and term.
     """
-    first = F.transform(F.sort_array(_grams(code)), lambda x, i: F.struct(x.alias("term"), i.alias("i")))
-    pairs = F.flatten(F.transform(F.array(first), lambda s: F.transform(s, lambda x: F.struct(x["term"].alias("term"), F.when((x["i"] > 0) & (F.get(s, x["i"] - 1)["term"] == x["term"]), 0).otherwise(1).alias("first")))))
-    v = samples.select(F.inline(pairs)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("total"))
+    both = F.transform(F.array(_grams(code)), lambda g: F.array(F.struct(F.lit(False).alias("once"), g.alias("terms")), F.struct(F.lit(True).alias("once"), F.array_distinct(g).alias("terms"))))
+    rows = samples.select(F.inline(F.flatten(both))).select("once", F.explode("terms").alias("term"))
+    v = rows.groupBy("term").agg(F.count_if("once").alias("df"), F.count_if(~F.col("once")).alias("total"))
     return v.orderBy(F.col("total").desc(), "term").limit(limit).withColumn("idf", F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
