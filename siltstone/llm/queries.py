@@ -9,8 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, embeddings, language, mixing, ngram, pii, repeats, simhash, toxicity, urls
-from siltstone.llm.common import LOWER, UPPER, fold_of, table
+from siltstone.llm import align, decontaminate, embeddings, language, mixing, ngram, oneperm, pii, repeats, runs, simhash, toxicity, urls
+from siltstone.llm.common import LOWER, NOT_SPACES, UPPER, fold_of, table
+
+#: The folder of the public tokenizers, on the driver.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's fingerprint, and that of the text with its second half replaced by the beginning of the next document."""
+    r = oneperm.followed(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    r = oneperm.fingerprint(r.withColumn("edited", edited), "edited", "edited_fp")
+    return r.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), oneperm.hex_of(F.col("fp")).alias("fingerprint"), oneperm.hex_of(F.col("edited_fp")).alias("edited_fingerprint"),
+        oneperm.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), oneperm.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs, a tenth of whose texts repeat a stretch of their words from some word on; null ids have none planted."""
+    w, n, a, p = F.col("_w"), F.size("_w"), F.col("_a"), F.col("_p")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    # a text that gets none has no words here
+    d = docs.select("doc_id", "text", g.alias("_g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(f"({NOT_SPACES})"))).otherwise(F.array().cast("array<string>")).alias("_w"))
+    d = d.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+    d = d.withColumn("_p", F.lit(1) + F.floor((n - a) / (3 + F.col("_g") % 8)).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p)))
+    return d.select("doc_id", F.when(n > 0, F.array_join(each, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs.find(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("top", runs.strongest(F.col("runs")))
+    return r.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 # -- views of what SQL can check, where it cannot express the whole result -------------------------------------------------
 
 
@@ -151,7 +192,7 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_val
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op6_embeddings, op7_repeats, op8_url_rules, op9_lm_score, op10_toxicity)
+    operators = (op1_decontaminate, op2_language, op3_simhash, op4_mix_sources, op5_pii, op6_embeddings, op7_repeats, op8_url_rules, op9_lm_score, op10_toxicity, op11_fingerprints, op12_runs, op13_alignment)
     return {f.__name__: f for f in (*operators, language_folds, mix_targets, pii_base, lm_base, toxicity_folds)}
 
 

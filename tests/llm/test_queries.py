@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_url_rules": ["page_id", "host", "path", "rule", "verdict"],
     "op9_lm_score": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op12_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 FOLDS = {"op2_language": 4, "op9_lm_score": 7, "op10_toxicity": 4}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
