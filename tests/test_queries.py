@@ -2,11 +2,12 @@ import os
 
 import pytest
 
-import siltstone.plans.record_queries  # noqa: F401  registers its queries
+import siltstone.plans.model_queries  # noqa: F401  registers its queries
+import siltstone.plans.record_queries  # noqa: F401
 from siltstone.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["code_metrics", "normalized_dedup", "hash_split", "rank_global", "fuse_final", "line_scores_topk", "roc_pr_auc", "grouped_ranking", "method_matrix", "span_range_join", "khop_slice", "cost_summary", "topk_verdict_analysis", "parse_verdicts", "wrap_offsets", "devign_records", "bigvul_records", "graph_files", "graphml_files", "sarif_alerts", "matrix_cells", "matrix_curves", "verification_packets", "client_verdicts", "test_only_audit", "findings_report", "sarif_report", "node_hash_vectors", "tfidf_weights"]
+SOME = ["code_metrics", "normalized_dedup", "hash_split", "rank_global", "fuse_final", "line_scores_topk", "roc_pr_auc", "grouped_ranking", "method_matrix", "span_range_join", "khop_slice", "cost_summary", "topk_verdict_analysis", "parse_verdicts", "wrap_offsets", "devign_records", "bigvul_records", "graph_files", "graphml_files", "sarif_alerts", "matrix_cells", "matrix_curves", "verification_packets", "client_verdicts", "test_only_audit", "findings_report", "sarif_report", "node_hash_vectors", "tfidf_weights", "graph_encoder", "token_means"]
 
 
 def plain(v):
