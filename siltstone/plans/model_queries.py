@@ -65,12 +65,12 @@ def graph_encoder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("token_means", f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TOKEN}')[:256]) AS w FROM documents), k AS (SELECT w, {crc_sql('w')} % 4096 AS slot FROM (SELECT DISTINCT w FROM t))
-  SELECT doc_id, """ + ", ".join(f"coalesce(round(v{d}, 6), 0) AS v{d}" for d in range(4)) + " FROM documents LEFT JOIN (SELECT doc_id, " + ", ".join(f"avg((slot * {d + 3} % 97 - 48) / CAST(53 AS DOUBLE)) AS v{d}" for d in range(4)) + " FROM t JOIN k USING (w) GROUP BY doc_id) USING (doc_id)")
+  SELECT doc_id, """ + ", ".join(f"coalesce(round(v{d}, 9), 0) AS v{d}" for d in range(4)) + " FROM documents LEFT JOIN (SELECT doc_id, " + ", ".join(f"avg((slot * {d + 3} % 97 - 48) / CAST(53 AS DOUBLE)) AS v{d}" for d in range(4)) + " FROM t JOIN k USING (w) GROUP BY doc_id) USING (doc_id)")
 def token_means(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", E.slots(F.col("text")).alias("slots"))
     embedding = spark.range(4096).select(F.col("id").cast("int").alias("slot"), F.array(*[(F.col("id") * (d + 3) % 97 - 48) / F.lit(53.0) for d in range(4)]).alias("vector"))
     got = E.token_means(rows, embedding, 4, "doc_id")
-    return rounded(got.select("doc_id", *[F.get("vector", F.lit(d)).alias(f"v{d}") for d in range(4)]))
+    return rounded(got.select("doc_id", *[F.get("vector", F.lit(d)).alias(f"v{d}") for d in range(4)]), 9)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
