@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import coerce_cwe, coerce_cwe_list, coerce_label, first_present, span, split_name, stable_id
 from siltstone.schemas import validate
+from siltstone.sources.ranges import read_csv_ranges, read_json_members, read_json_ranges
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
@@ -29,16 +30,14 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return parsed.where(ok).select(F.from_json("value", schema).alias("r"), "ord").select("r.*", "ord"), parsed.where(~ok).select("ord", "value")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, quoted cells over several lines and doubled quotes; ord in file order."""
-    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).withColumn("ord", F.monotonically_increasing_id())
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header, quoted cells over several lines and doubled quotes, read by byte ranges; ord in file order. Without a schema all columns are text."""
+    return read_csv_ranges(spark, path, schema)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of one JSON array with ord, the place in the array; elements that are no objects are dropped."""
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("ord", "v"))
-    return each.where(F.trim("v").startswith("{")).select(F.from_json("v", schema).alias("r"), F.col("ord").cast("long").alias("ord")).select("r.*", "ord")
+    """Objects of a JSON array, read by byte ranges, with ord, the place in the array; elements that are no objects are dropped."""
+    return read_json_ranges(spark, path, schema)
 
 
 @dataclass(frozen=True)
@@ -90,8 +89,7 @@ def load_dataset(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A dataset file (JSON lines, or CSV for bigvul) as sample records."""
     d = DATASETS[name]
     if name == "bigvul":
-        header = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).columns
-        return normalise(read_csv(spark, path, ", ".join(f"`{c}` string" for c in header)), d)
+        return normalise(read_csv(spark, path), d)
     return normalise(read_jsonl(spark, path, d.schema()), d)
 
 
@@ -104,8 +102,8 @@ def load_raw(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, Data
     if name == "devign":
         rows = read_json_array(spark, path, d.schema()).withColumn("idx", F.coalesce("idx", F.col("ord").cast("string")))
     elif name == "bigvul":
-        header = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).columns
-        rows = read_csv(spark, path, ", ".join(f"`{c}` string" for c in header))
+        rows = read_csv(spark, path)
+        header = set(rows.columns)
         get = lambda c: F.col(f"`{c}`") if c in header else F.lit(None).cast("string")
         cwe = F.trim(get("CWE ID"))
         rows = rows.withColumns({"id": F.coalesce(F.nullif(get("index"), F.lit("")), F.col("ord").cast("string")), "cwe": F.when(F.lower(cwe) != "none", F.nullif(cwe, F.lit(""))), "func_before": F.coalesce(F.nullif(get("func_before"), F.lit("")), get("processed_func"))})
@@ -128,5 +126,5 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, evidence): a JSON object by sample id, values as JSON text."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_id", "evidence"))
+    """(sample_id, evidence): a JSON object by sample id, values as JSON text, read by byte ranges."""
+    return read_json_members(spark, path).select(F.col("key").alias("sample_id"), F.col("value").alias("evidence"))
