@@ -100,9 +100,14 @@ def coerce_line(c: Column) -> Column:
     return F.when(n >= 1, n)
 
 
+def tidy_path(c: Column) -> Column:
+    """A path with slashes for backslashes and none at its beginning."""
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "^/+", "")
+
+
 def paths_match(a: Column, b: Column) -> Column:
     """Equal, or one is a suffix of the other at a slash; backslashes count as slashes and null matches nothing."""
-    x, y = (F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/+", "") for p in (a, b))
+    x, y = tidy_path(a), tidy_path(b)
     return F.coalesce((a == b) | (x == y) | F.endswith(x, F.concat(F.lit("/"), y)) | F.endswith(y, F.concat(F.lit("/"), x)), F.lit(False))
 
 

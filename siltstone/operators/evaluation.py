@@ -51,17 +51,87 @@ def aucs(df: DataFrame, label: Column, score: Column) -> DataFrame:
     return out.select(F.when(both, F.try_divide("a", F.col("tp").cast("double") * F.col("tn"))).alias("roc_auc"), F.when(both, F.try_divide("s", F.col("tp").cast("double"))).alias("pr_auc"))
 
 
+#: Rows, blocks and blocks of blocks that one window takes.
+BLOCK = 10_000
+
+
 def running_sums(df: DataFrame, order: Column, sums: Sequence[str]) -> DataFrame:
-    """df with <c>_before for each c: the sum of c over the rows before in the order, without a window over all rows."""
-    ranked = global_rank(df, order, name="_r")
-    # ranks are dense, so blocks of them are windows of bounded size, and block totals are few
-    block = ranked.withColumn("_k", F.floor((F.col("_r") - 1) / 10_000))
-    totals = block.groupBy("_k").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    w = W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select(F.col("_k").alias("_j"), *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    inside = W.partitionBy("_k").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
-    out = block.join(before, F.col("_k") == F.col("_j"))
-    return out.withColumns({f"{c}_before": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_r", "_k", "_j", *[f"_b_{c}" for c in sums])
+    """df with <c>_before for each c: the sum of c over the rows before in the order, without a window over all rows.
+
+    Rows are numbered; blocks of them are summed up, blocks of these blocks, and so on (three levels reach 10^16 rows), and
+    the sums before each block are handed down again. Every window is over the members of one block.
+    """
+    ranked = global_rank(df, order, name="_r").withColumn("_k0", F.floor((F.col("_r") - 1) / BLOCK))
+    levels = [ranked.groupBy("_k0").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])]
+    for i in range(1, 3):
+        up = levels[-1].withColumn(f"_k{i}", F.floor(F.col(f"_k{i - 1}") / BLOCK))
+        levels[-1] = up
+        levels.append(up.groupBy(f"_k{i}").agg(*[F.sum(f"_t_{c}").alias(f"_t_{c}") for c in sums]))
+    levels[-1] = levels[-1].withColumn("_k3", F.floor(F.col("_k2") / BLOCK))
+    before = None
+    for i in (2, 1, 0):
+        own = W.partitionBy(f"_k{i + 1}").orderBy(f"_k{i}").rowsBetween(W.unboundedPreceding, -1)
+        t = levels[i].select(f"_k{i}", f"_k{i + 1}", *[F.coalesce(F.sum(f"_t_{c}").over(own), F.lit(0)).alias(f"_w_{c}") for c in sums])
+        if before is not None:
+            t = t.join(before, F.col(f"_k{i + 1}") == F.col("_j")).select(f"_k{i}", *[(F.col(f"_w_{c}") + F.col(f"_b_{c}")).alias(f"_w_{c}") for c in sums])
+        before = t.select(F.col(f"_k{i}").alias("_j"), *[F.col(f"_w_{c}").alias(f"_b_{c}") for c in sums])
+    inside = W.partitionBy("_k0").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    out = ranked.join(before, F.col("_k0") == F.col("_j"))
+    return out.withColumns({f"{c}_before": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_r", "_k0", "_j", *[f"_b_{c}" for c in sums])
+
+
+def order_statistics(df: DataFrame, column: str, share: float, buckets: int = 4096) -> tuple[float, float, float] | None:
+    """(lower value, upper value, weight of the upper) at the share of the sorted values, null ones left out; None without values.
+
+    Exact, in bounded memory: values are counted by sign and exponent, with each bucket's least and greatest value; the bucket
+    that holds the wanted place is cut into buckets of equal width, and so on, until it holds one value: some six passes at
+    most. Infinite values and, after all others, NaN are counted apart.
+    """
+    x = F.col(column).cast("double")
+    v = df.select(x.alias("x")).where("x is not null")
+    odd = [F.count_if(F.col("x") == float("-inf")), F.count_if(F.col("x") == float("inf")), F.count_if(F.isnan("x"))]
+    finite = ~F.isnan("x") & ~F.col("x").isin(float("inf"), float("-inf"))
+    n, low, high, nan, least, most = v.agg(F.count(F.lit(1)), *odd, F.min(F.when(finite, F.col("x"))), F.max(F.when(finite, F.col("x")))).first()
+    if not n:
+        return None
+    at = share * (n - 1)
+    below = int(at)
+    above = min(below + 1, n - 1) if at > below else below
+
+    def value(place: int) -> float:
+        if place < low:
+            return float("-inf")
+        if place >= n - nan:
+            return float("nan")
+        if place >= n - nan - high:
+            return float("inf")
+        a, b, left, scale = least, most, place - low, True
+        while a != b:
+            half, step = a / 2, (b / 2 - a / 2) / buckets * 2  # halves, as the range of doubles is no double
+            near = v.where(finite & F.col("x").between(a, b))
+            cell = F.least(F.lit(buckets - 1), F.floor((F.col("x") / 2 - F.lit(half)) / F.lit(step) * 2)) if step else F.when(F.col("x") == a, 0).otherwise(1)
+            if scale:
+                cell, scale = F.when(F.col("x") == 0, 0).otherwise(F.signum("x") * (F.floor(F.log2(F.abs("x"))) + 1100)), False
+            for _, count, first, last in sorted(map(tuple, near.groupBy(cell.alias("c")).agg(F.count(F.lit(1)), F.min("x"), F.max("x")).collect())):  # a row a bucket
+                if left < count:
+                    if (first, last) == (a, b):  # neighbours that no width can part
+                        return a if left < near.where(F.col("x") == a).count() else b
+                    a, b = first, last
+                    break
+                left -= count
+        return a
+
+    lower = value(below)
+    return lower, lower if above == below else value(above), at - below
+
+
+def percentile(df: DataFrame, column: str, share: float) -> float | None:
+    """The exact percentile with linear interpolation between neighbours."""
+    found = order_statistics(df, column, share)
+    if found is None:
+        return None
+    a, b, w = found
+    return a if w == 0 or a == b else a + (b - a) * w
 
 
 def ranking(ranked: DataFrame, label: str, ks: Sequence[int], *keys: str) -> DataFrame:
@@ -111,9 +181,9 @@ def localization(truth: DataFrame, findings: DataFrame, ks: Sequence[int] = (1,
 
 
 def costs(log: DataFrame) -> DataFrame:
-    """Totals and means of tokens, cost and latency. Missing is not 0: totals skip it, means of tokens and cost divide by all rows."""
+    """Totals and means of tokens, cost and latency, and the exact 95th percentile of the latency, which takes some passes. Missing is not 0: totals skip it, means of tokens and cost divide by all rows."""
     total = F.coalesce("total_tokens", F.when(F.col("prompt_tokens").isNotNull() | F.col("completion_tokens").isNotNull(), F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))))
-    t = log.withColumn("_t", total).agg(F.count("*").alias("calls"), F.sum("_t").alias("total_tokens"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("api_cost_usd").alias("total_cost"), F.avg("latency_seconds").alias("avg_latency"), F.percentile("latency_seconds", 0.95).alias("p95_latency"))
+    t = log.withColumn("_t", total).agg(F.count("*").alias("calls"), F.sum("_t").alias("total_tokens"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("api_cost_usd").alias("total_cost"), F.avg("latency_seconds").alias("avg_latency")).withColumn("p95_latency", F.lit(percentile(log, "latency_seconds", 0.95)).cast("double"))
     n = F.col("calls")
     return t.withColumns({"avg_tokens": F.try_divide(F.col("total_tokens").cast("double"), n), "avg_cost": F.try_divide("total_cost", n)})
 
@@ -254,6 +324,16 @@ def secrets(df: DataFrame, *cols: str, pattern: str = "(" + "|".join(SECRETS) +
     return df.where(bad)
 
 
+#: Beyond the fixed ones: a quoted hexadecimal token.
+QUOTED_TOKEN = r"(?i:token)\s*[:=]\s*[\"'][0-9a-fA-F]{32,}[\"']"
+
+
+def secret_counts(df: DataFrame, text: str, patterns: Sequence[str] = (*SECRETS, QUOTED_TOKEN)) -> DataFrame:
+    """df with matches, array<struct(pattern, n)>: the patterns, by number from 0, that the text holds, and how often; rows without any go."""
+    found = F.array(*[F.struct(F.lit(i).alias("pattern"), F.regexp_count(text, F.lit(p)).alias("n")) for i, p in enumerate(patterns)])
+    return df.withColumn("matches", F.filter(found, lambda m: m["n"] > 0)).where(F.size("matches") > 0)
+
+
 def verdict_distribution(verdicts: DataFrame, *keys: str) -> DataFrame:
     """(keys, vulnerable, benign, uncertain): verdicts of each group."""
     return verdicts.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])

@@ -163,9 +163,12 @@ def reject_stream(spark: SparkSession, sf: str) -> DataFrame:
     return R.reject_stream(e, "c", "k", "event_id").select("event_id", "reason")
 
 
-@register("secret_scan", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(sk-[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|(?i:api[_-]?key)\\s*[:=]\\s*\\S{12,})')")
+_SECRETS = (*E.SECRETS, E.QUOTED_TOKEN)
+
+
+@register("secret_scan", "SELECT doc_id, pattern, n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS pattern, CAST(len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}')) AS INT) AS n FROM documents" for i, p in enumerate(_SECRETS)) + ") WHERE n > 0")
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return E.secrets(table(spark, sf, "documents"), "text").select("doc_id")
+    return E.secret_counts(table(spark, sf, "documents"), "text").select("doc_id", F.inline("matches"))
 
 
 # -- splits and samples ------------------------------------------------------------------------------------------
@@ -274,21 +277,28 @@ def alert_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SPANS = "SELECT o_custkey AS k, CAST(o_orderkey % 5000 AS BIGINT) AS start_line, CAST(o_orderkey % 5000 + 20 + o_custkey % 300 AS BIGINT) AS end_line, o_orderkey AS ord FROM orders"
-_POINTS = "SELECT l_orderkey * 10 + l_linenumber AS pid, l_partkey AS pk, l_orderkey % 6000 AS line FROM lineitem"
+_NTH = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
+_POINTS = f"SELECT l_orderkey, l_linenumber, {_NTH} AS nth, l_partkey AS pk, l_orderkey % 6000 AS line FROM lineitem"
 
 
 @register("span_range_join", f"""WITH s AS ({_SPANS}), p AS ({_POINTS})
-  SELECT pid, ord AS span_ord FROM (SELECT p.pid, s.ord, row_number() OVER (PARTITION BY p.pid ORDER BY s.end_line - s.start_line NULLS LAST, s.ord) AS r FROM p LEFT JOIN s ON p.pk = s.k AND p.line BETWEEN s.start_line AND s.end_line) WHERE r = 1""")
+  SELECT l_orderkey, l_linenumber, CAST(nth AS INT) AS nth, ord AS span_ord FROM (SELECT p.*, s.ord, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, nth ORDER BY s.end_line - s.start_line NULLS LAST, s.ord) AS r FROM p LEFT JOIN s ON p.pk = s.k AND p.line BETWEEN s.start_line AND s.end_line) WHERE r = 1""")
 def span_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item; order and line number repeat, so items of the same two are numbered."""
     s = table(spark, sf, "orders").selectExpr("o_custkey AS k", "o_orderkey % 5000 AS start_line", "o_orderkey % 5000 + 20 + o_custkey % 300 AS end_line", "o_orderkey AS ord")
-    p = table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS pid", "l_partkey AS k", "l_orderkey % 6000 AS line")
-    return A.in_spans(p, s, key="k", line="line", ids="pid", bin_size=256).select("pid", "span_ord")
+    p = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_NTH} AS nth", "l_partkey AS k", "l_orderkey % 6000 AS line").withColumn("pid", F.concat_ws(":", "l_orderkey", "l_linenumber", "nth"))
+    return A.in_spans(p, s, key="k", line="line", ids="pid", bin_size=256).select("l_orderkey", "l_linenumber", "nth", "span_ord")
+
+
+_LONG = "CASE line % 3 WHEN 0 THEN file WHEN 1 THEN '/home/build/' || file ELSE regexp_extract(file, '([^/]*)$', 1) END"
 
 
-@register("map_alerts", with_("alerts", "nodes") + """, s AS (SELECT graph_id * 1000 + line AS sample_id, file, min(line) AS a, max(line) + 4 AS b FROM nodes GROUP BY graph_id, line, file)
-  SELECT ord, sample_id FROM (SELECT x.ord, s.sample_id, row_number() OVER (PARTITION BY x.ord ORDER BY s.b - s.a NULLS LAST, s.sample_id) AS r FROM alerts x LEFT JOIN s ON x.file = s.file AND x.start_line <= s.b AND x.end_line >= s.a) WHERE r = 1""")
+@register("map_alerts", with_("alerts", "nodes") + f""", s AS (SELECT graph_id * 1000 + line AS sample_id, {_LONG} AS file, min(line) AS a, max(line) + 4 AS b FROM nodes GROUP BY graph_id, line, file)
+  SELECT ord, sample_id FROM (SELECT x.ord, s.sample_id, row_number() OVER (PARTITION BY x.ord ORDER BY s.b - s.a NULLS LAST, s.sample_id) AS r FROM alerts x LEFT JOIN s
+    ON (x.file = ltrim(s.file, '/') OR ends_with(s.file, '/' || x.file) OR ends_with(x.file, '/' || s.file)) AND x.start_line <= s.b AND x.end_line >= s.a) WHERE r = 1""")
 def map_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    n = P.nodes(spark, sf).groupBy("graph_id", "line", "file").agg(F.min("line").alias("a"), (F.max("line") + 4).alias("b"))
+    """Sample paths are those of the alerts, or longer ones, or base names."""
+    n = P.nodes(spark, sf).groupBy("graph_id", "line", "file").agg(F.min("line").alias("a"), (F.max("line") + 4).alias("b")).withColumn("file", F.expr(_LONG))
     s = n.select((F.col("graph_id") * 1000 + F.col("line")).alias("sample_id"), F.struct("file", F.col("a").alias("start_line"), F.col("b").alias("end_line")).alias("span"))
     return A.map_to_samples(P.alerts(spark, sf), s).select("ord", "sample_id")
 

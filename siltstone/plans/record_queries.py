@@ -136,10 +136,12 @@ def raw_csv(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("sample_id", F.array_join("cwe", ",").alias("cwe"), "label", F.sha2("code", 256).alias("digest"))
 
 
-@register("keyed_evidence", "SELECT CAST(n_nationkey AS VARCHAR) AS sample_id, n_name AS name, n_regionkey AS region FROM nation")
+@register("keyed_evidence", "SELECT CAST(c_custkey AS VARCHAR) AS sample_id, c_name AS name, c_nationkey AS region FROM customer")
 def keyed_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").selectExpr("collect_list(struct(CAST(n_nationkey AS string), named_struct('name', n_name, 'region', n_regionkey))) AS x")
-    path = _written(n.select(F.to_json(F.map_from_entries("x")).alias("value")).coalesce(1), "keyed")
+    """One JSON object of all customers, written by many tasks and read by byte ranges."""
+    path = shared_path(spark, "keyed")
+    member = F.concat(F.lit('"'), "c_custkey", F.lit('": '), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("region"))))
+    sinks.write_joined(table(spark, sf, "customer").select("c_custkey", member.alias("m")), "c_custkey", "m", path, "{", "}")
     r = records.read_keyed(spark, path).select("sample_id", F.from_json("evidence", "name string, region int").alias("e"))
     return r.select("sample_id", "e.name", "e.region")
 

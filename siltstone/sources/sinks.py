@@ -38,33 +38,79 @@ def case_file(df: DataFrame, path: str) -> int:
     return write_jsonl(df.select("sample_id", "rank", "rank_score", "label", "verdict", "confidence", "predicted_cwe", "vulnerable_lines", "evidence", "patch_hint"), path)
 
 
-def _stream(rows: DataFrame, order: str, column: str, out: Any) -> None:
-    """The rows' JSON by order into an open file, comma separated; a partition at a time passes the driver."""
-    first = True
-    for r in rows.orderBy(order).select(column).toLocalIterator(prefetchPartitions=True):
-        out.write(("" if first else ",") + "\n" + r[0])
-        first = False
+def write_joined(rows: DataFrame, order: str, column: str, path: str, head: str, tail: str) -> None:
+    """One text file: head, the column of the rows by order (unique) with commas between them, tail.
+
+    Tasks write the sorted rows as parts, which the file system then joins: by reference where it can (HDFS), else by copying
+    bytes from part to file. No row passes the driver, and the file appears under its name when it is whole.
+    """
+    spark = rows.sparkSession
+    last = rows.agg(F.max(order)).first()[0]
+    text = F.concat(column, F.when(F.col(order) == F.lit(last), "").otherwise(","))
+    parts = f"{path}.parts"
+    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).select(text.alias("value")).write.mode("overwrite").text(parts)
+    put_text(spark, f"{parts}/_head", head + "\n")
+    put_text(spark, f"{parts}/_tail", tail + "\n")
+    join_files(spark, [f"{parts}/_head", *part_files(spark, parts), f"{parts}/_tail"], path)
+    _path(spark, parts)[1].delete(_path(spark, parts)[0], True)
+
+
+def _path(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """A Hadoop path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def part_files(spark: SparkSession, folder: str) -> list[str]:
+    """A written table's files in the order of the tasks that wrote them."""
+    p, fs = _path(spark, folder)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-") and s.getLen())
+
+
+def join_files(spark: SparkSession, files: list[str], path: str) -> None:
+    """The files' bytes, one after the other, as a file at path; the files may be used up."""
+    first, fs = _path(spark, files[0])
+    to = _path(spark, path)[0]
+    rest = [_path(spark, f)[0] for f in files[1:]]
+    if rest:
+        try:
+            array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(rest))
+            for i, r in enumerate(rest):
+                array[i] = r
+            fs.concat(first, array)
+        except Exception as e:  # a file system without it says so
+            if "UnsupportedOperation" not in f"{type(e).__name__} {e}":
+                raise
+            joined = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.joined")
+            out = fs.create(joined, True)
+            try:
+                for f in (first, *rest):
+                    source = fs.open(f)
+                    try:
+                        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                    finally:
+                        source.close()
+            finally:
+                out.close()
+            first = joined
+    fs.delete(to, False)
+    if not fs.rename(first, to):
+        raise OSError(f"cannot write {path}")
 
 
 def write_report(totals: DataFrame, rows: DataFrame, path: str, metadata: dict[str, Any] | None = None) -> int:
-    """One JSON file of findings, by id, with metadata, total and vulnerable_count; returns the total."""
+    """One JSON file of findings, by id (unique), with metadata, total and vulnerable_count; returns the total."""
     t = totals.first().asDict()
     head = {"metadata": metadata or {}} | t
-    with Path(path).open("w", encoding="utf-8") as out:
-        out.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "findings": [')
-        _stream(rows, "sample_id", "json", out)
-        out.write("]}\n")
+    write_joined(rows, "sample_id", "json", path, json.dumps(head, ensure_ascii=False)[:-1] + ', "findings": [', "]}")
     return int(t["total"])
 
 
 def write_sarif(rules: DataFrame, results: DataFrame, path: str, tool: str = "siltstone") -> None:
-    """One SARIF 2.1.0 file; the rules are few, the results pass the driver a partition at a time."""
+    """One SARIF 2.1.0 file, results by ord (unique); the rules are few."""
     ids = [{"id": r[0]} for r in rules.orderBy("ord", "rule").select("rule").collect()]
     head = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
-    with Path(path).open("w", encoding="utf-8") as out:
-        out.write(json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": ids}) + '}, "results": [')
-        _stream(results, "ord", "json", out)
-        out.write("]}]}\n")
+    write_joined(results, "ord", "json", path, json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": ids}) + '}, "results": [', "]}]}")
 
 
 def flatten(metrics: dict[str, Any], prefix: str = "") -> dict[str, Any]:
