@@ -134,19 +134,16 @@ def sample_ids(rows: DataFrame, n: int) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("label", "i")
 
 
-def sample_texts(rows: DataFrame, n: int, most: int, labelled: DataFrame | None = None) -> dict:
-    """label to texts: of each label n ids at most, one text an id, in order of the ids.
+def sample_texts(rows: DataFrame, n: int, labelled: DataFrame | None = None) -> dict:
+    """label to whole texts: of each label n ids at most, one text an id, in order of the ids.
 
-    rows (label, i, t), or rows (i, t) with labelled (label, i). Of a text of more than `most` characters, the `most` at a
-    place drawn by its hash are taken. Ids only meet; of the chosen ones the smallest text an id is fetched, so that
-    repeated rows bring one text to the driver.
+    rows (label, i, t), or rows (i, t) with labelled (label, i). Ids only meet; of the chosen ones the smallest text an id is
+    fetched, so that repeated rows bring one text to the driver, which holds n texts a label.
     """
     own = labelled is None
     chosen = stage(sample_ids(rows.select("label", "i") if own else labelled, n)).withColumnsRenamed({"label": "c_label", "i": "c_i"})
-    at = 1 + F.pmod(F.xxhash64("t"), F.greatest(F.lit(1), F.length("t") - most + 1)).cast("int")
-    part = F.when(F.length("t") <= most, F.col("t")).otherwise(F.substring("t", at, F.lit(most)))
     on = (F.col("i") == F.col("c_i")) & (F.col("label") == F.col("c_label")) if own else F.col("i") == F.col("c_i")
-    near = rows.join(small(chosen), on).select(F.col("c_label").alias("label"), "i", part.alias("t"))
+    near = rows.join(small(chosen), on).select(F.col("c_label").alias("label"), "i", "t")
     out: dict = {}
     for label, _, t in near.groupBy("label", "i").agg(F.min("t").alias("t")).orderBy("i").collect():
         out.setdefault(label, []).append(t)

@@ -375,10 +375,11 @@ def _true_links(reps: DataFrame, queries: list, reach: float) -> DataFrame:
     return reps.select("m", "vec", "rep").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 1500, overlap: int = 3, probes: int = 1024, least: float = 0.98, tries: int = 3) -> DataFrame:
+def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9, sample: int = 8192, per_shard: int = 1500, overlap: int = 3, probes: int = 1024, least: float = 0.98, tries: int = 3, floor: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) of every row; recall: share of the probes' true links that were found.
 
-    A vector joins `overlap` shards; as long as the recall is under `least`, twice as many, in up to `tries` searches.
+    A vector joins `overlap` shards; as long as the recall is under `least`, twice as many, in up to `tries` searches. A recall
+    below `floor` after these is an error, not a result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = stage(rows.mapInArrow(_keys, "vec_id long, vec binary, key binary"))
@@ -394,12 +395,14 @@ def group(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
         if recall >= least or not tries:
             break
         overlap *= 2
+    if recall < floor:
+        raise RuntimeError(f"the search found {recall:.3f} of the probes' links, {floor} are wanted: raise overlap or tries")
     roots = components(forest)
     label = reps.select("key", "rep", "m").join(links, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     label = stage(label.select(F.col("key").alias("l_key"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "rep").alias("root")))
     out = rows.join(label, (F.col("key") == F.col("l_key")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))
 
 
 def audit(vectors: DataFrame, found: DataFrame, *, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = 0.9) -> float:

@@ -6,14 +6,13 @@ last resort is 1/256 a byte. The trees are learnt from a bounded sample and froz
 exact to double precision, and the shortest code wins. The nodes of all languages share one table with a row of log
 probabilities each, so a byte costs one look-up for all languages unless it escapes.
 
-Learning: at most `per_lang` labelled ids of a language, chosen by a hash of the id, one text each, and of a longer text
-the `most` characters at a place drawn by a hash; so the sample and the model are bounded for a language, whatever the
-size of the corpus, and no language goes unlearnt because its texts are long or its rows repeat. Texts are judged whole,
-in pieces of bounded size.
+Learning: at most `per_lang` labelled ids of a language, chosen by a hash of the id, one text each, learnt whole; so the
+sample is bounded in texts for a language, whatever the size of the corpus, and no language goes unlearnt because its rows
+repeat. Texts are judged whole, in pieces of bounded size.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; rows without a label are not learnt from;
-without any labelled row all texts are `und`; ties go to the smaller language name; repeated rows are judged alike; other
-columns are ignored.
+rows with a null id are judged, but not learnt from; without any labelled row all texts are `und`; ties go to the smaller
+language name; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,8 +62,8 @@ class Trees:
             low = np.uint64((1 << (8 * (k - 1))) - 1)
             short = self.rows[k - 2].find(keys & low) if k > 1 else None
             contexts = Rows(np.unique(np.concatenate([c[k - 1][0] >> np.uint64(8) for c in counts])))
-            value = np.empty((len(keys), n_lang), dtype=np.float32)
-            escape = np.zeros((len(contexts.keys), n_lang), dtype=np.float32)
+            value = np.empty((len(keys), n_lang), dtype=np.float64)
+            escape = np.zeros((len(contexts.keys), n_lang), dtype=np.float64)
             for j in range(n_lang):
                 grams, n = counts[j][k - 1]
                 ctx, start = np.unique(grams >> np.uint64(8), return_index=True)
@@ -115,7 +114,7 @@ class Trees:
             joined = np.frombuffer(b"".join(what), dtype=np.uint8)
             size = np.array([len(p) for p in what])
             end = np.cumsum(size)
-            bits = np.vstack([np.zeros((ORDER, len(self.langs)), np.float32), self.bits(joined)])
+            bits = np.vstack([np.zeros((ORDER, len(self.langs)), np.float64), self.bits(joined)])
             for i in range(ORDER):
                 bits[end - size + i] = 0  # the context
             np.subtract.at(total, who, np.add.reduceat(bits, end - size, axis=0, dtype=np.float64))
@@ -132,11 +131,11 @@ class Trees:
         return [self.langs[a] if k else "und" for a, k in zip(at, known, strict=True)], np.where(known, score, 0.0)
 
 
-def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, most: int = 1 << 16) -> dict[str, list[bytes]]:
-    """The bounded learning sample: of each language per_lang ids by a hash, one text an id, `most` characters of a text."""
+def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> dict[str, list[bytes]]:
+    """The bounded learning sample: of each language per_lang ids by a hash, one whole text an id."""
     text = F.col(text_col)
     rows = docs.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).alias("label"), F.col(id_col).alias("i"), text.alias("t"))
-    return {lang: [t.encode() for t in texts] for lang, texts in sample_texts(rows, per_lang, most).items()}
+    return {lang: [t.encode() for t in texts] for lang, texts in sample_texts(rows, per_lang).items()}
 
 
 def identify(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,13 +17,13 @@ same over its most toxic passage of `passage` words, as a few toxic words in a l
 logistic curve of both, fitted on a part of the sample that is set apart, gives the score. Words of unknown beginnings are
 left out of the likelihoods.
 
-Learning: at most `per_class` labelled ids of each class, chosen by a hash of the id, one text each, and of a longer text
-the `most` characters at a place drawn by a hash; so sample and model are bounded whatever the size of the corpus. A fifth
-of the sample is set apart for the curve. Texts are scored whole, a batch of them in a task's memory.
+Learning: at most `per_class` labelled ids of each class, chosen by a hash of the id, one text each, learnt whole; so the
+sample is bounded in texts whatever the size of the corpus. A fifth of the sample is set apart for the curve. Texts are
+scored whole, a batch of them in a task's memory.
 
 Defined cases: null and empty texts carry no evidence and get the score of an even text; rows without a label are not
 learnt from; without labelled rows of both classes all scores are 0; repeated rows are judged alike and learnt once an id;
-other columns are ignored.
+of equally toxic words the score is the same whichever is meant; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,15 +196,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
         use = [u for u in use if u not in bad]
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, most: int = 1 << 16) -> tuple[list[str], list[str], float]:
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000) -> tuple[list[str], list[str], float]:
     """The bounded learning sample: texts of toxic and of ordinary labelled rows, and the share of toxic labels.
 
-    Of each class per_class ids by a hash, one text an id, and `most` characters of a text; an id labelled both ways is in both.
+    Of each class per_class ids by a hash, one whole text an id; an id labelled both ways is in both.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("m"), F.col(label_col).cast("int").alias("label")).distinct()
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     ids = rows.select("i").join(marks, F.col("i") == F.col("m")).select("label", "i")  # only ids go through the shuffle
-    texts = sample_texts(rows, per_class, most, ids)
+    texts = sample_texts(rows, per_class, ids)
     share = marks.agg(F.avg("label")).first()[0]
     return texts.get(1, []), texts.get(0, []), float(min(0.99, max(0.01, share))) if share is not None else 0.5
 
