@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from siltstone.functions.text import TERM, code_metrics, tokens
 from siltstone.functions.vectors import STATIC_KEYS
 from siltstone.operators.alerts import ranker_features
 from siltstone.operators.common import shared_path
+from siltstone.operators.newton import logistic
 
 # The number columns in order.
 CODE = ("line_count", "char_count", "token_count", "dangerous_api_count", "pointer_operator_count", "array_access_count", "loop_count", "if_count", "return_count")
@@ -105,9 +108,9 @@ def assemble(rows: DataFrame, names: Sequence[str], terms: DataFrame | None = No
 
 
 def fit(train: DataFrame, label: str = "label", c: float = 1.0, model: str = "logistic_regression", seed: int = 42, trees: int = 300) -> Model:
-    """Balanced L2 logistic regression, or a balanced random forest; both classes are needed.
+    """Balanced L2 logistic regression with a penalised intercept, or a balanced random forest; both classes are needed.
 
-    The intercept is free: a constant column, whose weight would be penalised, gets none from Spark's learner.
+    The forest's trees end at depth 30, the deepest that Spark grows.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, expected one of {MODELS}")
@@ -118,14 +121,28 @@ def fit(train: DataFrame, label: str = "label", c: float = 1.0, model: str = "lo
     w = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, total / (len(n) * v))])
     rows = train.withColumn("_w", F.element_at(w, F.col(label))).withColumn("_y", F.col(label).cast("double"))
     if model == "random_forest":
-        fitted = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=15, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+        fitted = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
     else:
-        fitted = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=200, tol=1e-8).fit(rows)
+        return _linear(rows, c)
     if fitted.hasSummary:  # it holds the session, which must not travel with the model
         fitted._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
     return fitted
 
 
+def _linear(rows: DataFrame, c: float) -> LogisticRegressionModel:
+    """The regression's weights as a model of Spark's, which scores, is saved and is read like any other."""
+    spark = rows.sparkSession
+    size = len(rows.select("features").first()[0])
+    path = shared_path(spark, "entries")
+    rows.select("features", F.col("_y").alias("y"), F.col("_w").alias("w")).write.parquet(path)
+    # what a vector is stored as: its entries, places left out if it is dense
+    stored = spark.read.schema("features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>, y double, w double").parquet(path)
+    places = F.coalesce("features.indices", F.transform("features.values", lambda _, i: i))
+    w = logistic(stored.select(places.alias("index"), F.col("features.values").alias("value"), "y", "w"), size, c)
+    weights = _py2java(spark.sparkContext, DenseVector(w[:-1]))
+    return LogisticRegressionModel(spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"logistic-{uuid.uuid4().hex[:12]}", weights, float(w[-1])))
+
+
 def predict(model: Model, rows: DataFrame) -> DataFrame:
     """rows with rank_score, the probability of label 1."""
     return model.transform(rows).withColumn("rank_score", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -225,20 +228,49 @@ def chat_clients(url: str, config: VerifierConfig, key: str | None = None, **kw:
     return lambda: ChatClient(url, config.model, key, temperature=config.temperature, max_tokens=config.max_tokens, **kw)
 
 
-def verify(prompts: DataFrame, make_client: Callable[[], Callable[[list[dict]], tuple[object, int | None, int | None]]], config: VerifierConfig | None = None) -> DataFrame:
+class Journaled:
+    """A client that keeps each answer in a folder, by a hash of the model, its settings and the messages, and never asks the same again.
+
+    A task that runs again (a lost executor, another evaluation, another run) finds what was answered before and asks only
+    for the rest; two tasks that ask the same at the same time may both ask. The folder is anywhere that pyarrow can write.
+    """
+
+    def __init__(self, client: Callable, folder: str, config: VerifierConfig):
+        from pyarrow import fs
+
+        self.client, self.config, self.kinds = client, [config.model, config.temperature, config.max_tokens], fs.FileType
+        self.fs, self.folder = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def __call__(self, messages: list[dict]) -> tuple[object, int | None, int | None]:
+        key = hashlib.sha256(json.dumps([*self.config, messages], sort_keys=True).encode()).hexdigest()
+        path = f"{self.folder}/{key}.json"
+        if self.fs.get_file_info(path).type == self.kinds.File:
+            with self.fs.open_input_stream(path) as f:
+                return tuple(json.loads(f.read()))
+        answer = self.client(messages)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as f:
+            f.write(json.dumps(answer).encode())
+        self.fs.move(part, path)  # an answer is there as a whole or not at all
+        return answer
+
+
+def verify(prompts: DataFrame, make_client: Callable[[], Callable[[list[dict]], tuple[object, int | None, int | None]]], config: VerifierConfig | None = None, journal: str | None = None) -> DataFrame:
     """Verdicts of a client, called in Arrow batches; a client a task, `concurrency` tasks at a time.
 
     make_client() gives a function of messages that returns (answer, prompt tokens, completion tokens). Of prompts with a rank,
     the config's top_k are sent. An answer that does not parse is sent back for repair up to max_retries times, then the
-    verdict is uncertain with confidence 0; so it is, without success, if the client fails. Write the result once and reuse
-    it: every evaluation calls again.
+    verdict is uncertain with confidence 0; so it is, without success, if the client fails. With a journal (a folder that all
+    executors share) no question is asked again, however often the result is evaluated or a task is run; failures are not
+    kept. Without one every evaluation calls again.
     """
     c = config or VerifierConfig()
     if c.top_k is not None and "rank" in prompts.columns:
         prompts = prompts.where(F.col("rank") <= c.top_k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
+        client = make_client() if journal is None else Journaled(make_client(), journal, c)
         for b in batches:
             yield pd.DataFrame([_one(client, r.sample_id, r.system, r.prompt, c.max_retries) for r in b.itertuples()], columns=[x.split()[0] for x in VERDICT.split(", ")])
 

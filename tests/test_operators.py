@@ -255,18 +255,23 @@ def test_splits_keep_ids_together(spark):
 
 
 def test_linear_ranker_is_at_its_optimum(spark):
+    """Against Newton's method over the whole matrix, the intercept a penalised column of ones."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(80, 3))
+    x = rng.normal(size=(80, 3)) * [1.0, 30.0, 0.0]
     y = (x[:, 0] + 0.5 * rng.normal(size=80) > 0.6).astype(int)
     df = spark.createDataFrame([(f"s{i}", int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "sample_id string, label int, a double, b double, c double")
-    for c in (1.0, 0.1):
-        m = K.fit(K.assemble(df, ["a", "b", "c"]), c=c)
-        coef = m.coefficients.toArray()
-        w = 80 / (2 * np.where(y == 1, y.sum(), 80 - y.sum()))
-        slope = w * (1 / (1 + np.exp(-x @ coef - m.intercept)) - y)
-        assert abs(slope.sum()) < 1e-3 and np.abs(x.T @ slope + coef / c).max() < 1e-3 and abs(m.intercept) > 0.1
+    ones, w = np.column_stack([x, np.ones(80)]), 80 / (2 * np.where(y == 1, y.sum(), 80 - y.sum()))
+    for c in (1.0, 0.1, 50.0):
+        want = np.zeros(4)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-ones @ want))
+            want -= np.linalg.solve(c * (ones.T * (w * p * (1 - p))) @ ones + np.eye(4), c * ones.T @ (w * (p - y)) + want)
+        m = K.fit(K.assemble(df.repartition(3), ["a", "b", "c"]), c=c)
+        assert np.allclose([*m.coefficients.toArray(), m.intercept], want, atol=1e-6) and abs(m.intercept) > 0.1
+        scored = {r["sample_id"]: r["rank_score"] for r in K.predict(m, K.assemble(df, ["a", "b", "c"])).collect()}
+        assert np.allclose([scored[f"s{i}"] for i in range(80)], 1 / (1 + np.exp(-ones @ want)), atol=1e-6)
 
 
 def test_odd_numbers(spark):
