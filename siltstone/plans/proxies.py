@@ -47,15 +47,15 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id % 5 AS graph_id", "conv_id * 100 + turn AS id", "conv_id * 100 + turn AS ord", "role AS type", "text AS code", "concat('src/f', conv_id % 3, '.c') AS file",
+        "conv_id % 5 + conv_id div 1000 * 5 AS graph_id", "conv_id * 100 + turn AS id", "conv_id * 100 + turn AS ord", "role AS type", "text AS code", "concat('src/f', conv_id % 3, '.c') AS file",
         "CAST(turn + 1 + conv_id % 7 AS int) AS line", "concat('fn', conv_id % 4) AS function",
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    own = c.selectExpr("conv_id % 5 AS graph_id", "conv_id * 100 + turn AS ord", "conv_id * 100 + turn AS source", "conv_id * 100 + turn + 1 AS target", "CASE WHEN turn % 2 = 0 THEN 'CFG' ELSE 'DDG' END AS type")
-    cross = c.where("turn = 0").selectExpr("conv_id % 5", "1000000 + conv_id", "conv_id * 100", "(conv_id + 5) * 100", "'CALL'")
+    own = c.selectExpr("conv_id % 5 + conv_id div 1000 * 5 AS graph_id", "conv_id * 100 + turn AS ord", "conv_id * 100 + turn AS source", "conv_id * 100 + turn + 1 AS target", "CASE WHEN turn % 2 = 0 THEN 'CFG' ELSE 'DDG' END AS type")
+    cross = c.where("turn = 0").selectExpr("conv_id % 5 + conv_id div 1000 * 5", "1000000 + conv_id", "conv_id * 100", "(conv_id + 5) * 100", "'CALL'")
     return own.union(cross)
 
 
@@ -73,9 +73,9 @@ SQL = {
   CASE doc_id % 5 WHEN 0 THEN 'CWE-787' WHEN 1 THEN 'unknown' ELSE '' END AS predicted_cwe, [CAST(1 + doc_id % 7 AS INT), CAST(3 + doc_id % 11 AS INT)] AS vulnerable_lines FROM documents""",
     "costs": """SELECT CASE WHEN event_id % 6 <> 0 THEN k END AS prompt_tokens, CASE WHEN event_id % 4 <> 0 THEN k * 2 END AS completion_tokens, CASE WHEN event_id % 2 <> 0 THEN k * 3 END AS total_tokens,
   CASE WHEN event_id % 9 <> 0 THEN value END AS latency_seconds, CASE WHEN event_id % 5 <> 0 THEN value / 1000 END AS api_cost_usd FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
-    "nodes": "SELECT conv_id % 5 AS graph_id, conv_id * 100 + turn AS id, role AS type, text AS code, 'src/f' || (conv_id % 3) || '.c' AS file, CAST(turn + 1 + conv_id % 7 AS INT) AS line, 'fn' || (conv_id % 4) AS function FROM conversations",
-    "edges": """SELECT conv_id % 5 AS graph_id, conv_id * 100 + turn AS ord, conv_id * 100 + turn AS source, conv_id * 100 + turn + 1 AS target, CASE WHEN turn % 2 = 0 THEN 'CFG' ELSE 'DDG' END AS type FROM conversations
-  UNION ALL SELECT conv_id % 5, 1000000 + conv_id, conv_id * 100, (conv_id + 5) * 100, 'CALL' FROM conversations WHERE turn = 0""",
+    "nodes": "SELECT conv_id % 5 + conv_id // 1000 * 5 AS graph_id, conv_id * 100 + turn AS id, role AS type, text AS code, 'src/f' || (conv_id % 3) || '.c' AS file, CAST(turn + 1 + conv_id % 7 AS INT) AS line, 'fn' || (conv_id % 4) AS function FROM conversations",
+    "edges": """SELECT conv_id % 5 + conv_id // 1000 * 5 AS graph_id, conv_id * 100 + turn AS ord, conv_id * 100 + turn AS source, conv_id * 100 + turn + 1 AS target, CASE WHEN turn % 2 = 0 THEN 'CFG' ELSE 'DDG' END AS type FROM conversations
+  UNION ALL SELECT conv_id % 5 + conv_id // 1000 * 5, 1000000 + conv_id, conv_id * 100, (conv_id + 5) * 100, 'CALL' FROM conversations WHERE turn = 0""",
     "ranked": "SELECT *, row_number() OVER (ORDER BY rank_score DESC, sample_id) AS rank FROM ranks",
     "static_scores": """SELECT sample_id, least(1.0, sum(CAST(0.4 AS DOUBLE) * CASE WHEN lower(trim(severity)) IN ('high', 'error', 'critical') THEN CAST(1.0 AS DOUBLE) WHEN lower(trim(severity)) IN ('medium', 'warning', 'moderate') THEN CAST(0.7 AS DOUBLE)
   WHEN lower(trim(severity)) IN ('low', 'note', 'recommendation') THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END) + CASE WHEN max(len(trace_lines)) > 0 THEN 0.15 ELSE 0 END) AS static_score FROM alerts GROUP BY sample_id""",

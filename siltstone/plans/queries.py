@@ -611,10 +611,10 @@ def graph_collate(spark: SparkSession, sf: str) -> DataFrame:
     return G.collate(g, "batch", "conv_id").select("conv_id", "offset", "batch_index")
 
 
-@register("mean_pool", "SELECT graph_id, round(avg(x), 6) AS v0, round(avg(y), 6) AS v1 FROM (SELECT conv_id % 5 AS graph_id, CAST(turn AS DOUBLE) AS x, CAST(length(text) AS DOUBLE) AS y FROM conversations) GROUP BY 1")
+@register("mean_pool", "SELECT graph_id, round(avg(x), 6) AS v0, round(avg(y), 6) AS v1 FROM (SELECT conv_id % 5 + conv_id // 1000 * 5 AS graph_id, CAST(turn AS DOUBLE) AS x, CAST(length(text) AS DOUBLE) AS y FROM conversations) GROUP BY 1")
 def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     n = P.nodes(spark, sf)
-    v = table(spark, sf, "conversations").selectExpr("conv_id % 5 AS graph_id", "array(CAST(turn AS double), CAST(length(text) AS double)) AS vector")
+    v = table(spark, sf, "conversations").selectExpr("conv_id % 5 + conv_id div 1000 * 5 AS graph_id", "array(CAST(turn AS double), CAST(length(text) AS double)) AS vector")
     return rounded(G.mean_pool(n.select("graph_id").distinct(), v, 2).select("graph_id", F.get("vector", F.lit(0)).alias("v0"), F.get("vector", F.lit(1)).alias("v1")))
 
 

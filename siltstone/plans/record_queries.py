@@ -162,6 +162,15 @@ def graph_files(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("graph_id", F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b"), F.coalesce("file", F.lit("")).alias("c"), "line").union(e.select("graph_id", F.lit("edge"), "source", "type", "target", F.lit(None).cast("int")))
 
 
+@register("graph_lines", with_("nodes", "edges") + """ SELECT CAST(graph_id AS VARCHAR) AS graph_id, 'node' AS kind, CAST(id AS VARCHAR) AS a, type AS b, coalesce(file, '') AS c, line FROM nodes UNION ALL SELECT CAST(graph_id AS VARCHAR), 'edge', CAST(source AS VARCHAR), type, CAST(target AS VARCHAR), NULL FROM edges""")
+def graph_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Graphs packed into few files and read again."""
+    path = shared_path(spark, "graph_lines")
+    graphs.write_graph_lines(P.nodes(spark, sf), P.edges(spark, sf), path)
+    n, e = graphs.read_graph_lines(spark, path)
+    return n.select("graph_id", F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b"), F.coalesce("file", F.lit("")).alias("c"), "line").union(e.select("graph_id", F.lit("edge"), "source", "type", "target", F.lit(None).cast("int")))
+
+
 @register("graphml_files", with_("nodes", "edges") + """ SELECT CAST(graph_id AS VARCHAR) AS graph_id, 'node' AS kind, CAST(id AS VARCHAR) AS a, type AS b, file AS c, line FROM nodes UNION ALL SELECT CAST(graph_id AS VARCHAR), 'edge', CAST(source AS VARCHAR), type, CAST(target AS VARCHAR), NULL FROM edges""")
 def graphml_files(spark: SparkSession, sf: str) -> DataFrame:
     n = P.nodes(spark, sf).selectExpr("graph_id", "concat('<node id=\"', id, '\"><data key=\"t\">', type, '</data><data key=\"f\">', file, '</data><data key=\"l', graph_id, '\">', line, '</data></node>') AS x")

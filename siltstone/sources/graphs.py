@@ -30,8 +30,14 @@ def _last(nodes: DataFrame) -> DataFrame:
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of simple JSON graphs; graph_id is the file's stem."""
-    kind = "struct<nodes:array<struct<id:string,type:string,code:string,file:string,line:string,function:string,properties:string>>,edges:array<struct<source:string,target:string,type:string,properties:string>>>"
-    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(_name().alias("graph_id"), F.from_json("value", kind).alias("d"))
+    return _of_documents(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(_name().alias("graph_id"), F.from_json("value", _GRAPH).alias("d")))
+
+
+_GRAPH = "struct<nodes:array<struct<id:string,type:string,code:string,file:string,line:string,function:string,properties:string>>,edges:array<struct<source:string,target:string,type:string,properties:string>>>"
+
+
+def _of_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed documents (graph_id, d)."""
     n = docs.select("graph_id", F.posexplode("d.nodes").alias("ord", "n"))
     nodes = n.select("graph_id", "n.id", "ord", "n.type", "n.code", "n.file", coerce_line(F.col("n.line")).alias("line"), "n.function", "n.properties")
     e = docs.select("graph_id", F.posexplode("d.edges").alias("ord", "e"))
@@ -89,11 +95,21 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_graphs(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """A JSON document a graph, in folders graph_id=..., which read_graph_json understands."""
+    """A JSON document a graph, in folders graph_id=..., which read_graph_json understands. For few graphs; write_graph_lines packs many into a file."""
     docs = graph_json(nodes, edges)
     docs.select(F.col("json").alias("value"), "graph_id").repartition("graph_id").write.mode("overwrite").partitionBy("graph_id").text(folder)
 
 
+def write_graph_lines(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """JSON lines {graph_id, graph}, many graphs a file and as many files as tasks."""
+    graph_json(nodes, edges).select(F.col("graph_id").cast("string").alias("graph_id"), F.col("json").alias("graph")).write.mode("overwrite").option("compression", "gzip").json(folder)
+
+
+def read_graph_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of what write_graph_lines wrote."""
+    return _of_documents(spark.read.schema("graph_id string, graph string").json(folder).select("graph_id", F.from_json("graph", _GRAPH).alias("d")))
+
+
 _REGION = "struct<startLine:int,endLine:int>"
 _PLACE = f"struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:{_REGION}>>"
 _RESULT = f"struct<ruleId:string,ruleIndex:int,level:string,message:struct<text:string>,locations:array<{_PLACE}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{_PLACE}>>>>>>>"

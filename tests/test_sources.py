@@ -36,6 +36,9 @@ def test_graph_files(spark, tmp_path):
     graphs.write_graphs(n, e, str(tmp_path / "out"))
     again, _ = graphs.read_graph(spark, str(tmp_path / "out"))
     assert sorted((r["graph_id"], r["id"], r["line"]) for r in again.collect()) == [("s1", "1", 4), ("s1", "2", None)]
+    graphs.write_graph_lines(n, e, str(tmp_path / "lines"))
+    packed = graphs.read_graph_lines(spark, str(tmp_path / "lines"))
+    assert [sorted(map(repr, x.collect())) for x in packed] == [sorted(map(repr, x.select(*y.columns).collect())) for x, y in zip((again, e), packed, strict=True)]
     xml = """<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="k0" for="node" attr.name="LINE_NUMBER"/><key id="k1" for="node" attr.name="CODE"/><key id="k2" for="edge" attr.name="label"/>
     <graph><node id="n1"><data key="k0">12</data><data key="k1">free(p)</data></node><node id="n2"><data key="k1">q</data></node><edge source="n1" target="n2"><data key="k2">CFG</data></edge><edge source="n2" target="n1" label="AST"/></graph></graphml>"""
     (tmp_path / "g.graphml").write_text(xml)
