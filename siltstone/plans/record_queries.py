@@ -437,14 +437,22 @@ def strict_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.join_all(R.top_k(P.ranks(spark, sf), 30), P.verdicts(spark, sf).select("sample_id", "verdict")).select("rank", "sample_id", "verdict")
 
 
-@register("saved_ranker", with_("samples") + " SELECT count(*) AS rows, true AS same FROM samples")
+_CODE_METRICS = ("line_count", "char_count", "token_count", "dangerous_api_count", "pointer_operator_count", "array_access_count", "loop_count", "if_count", "return_count")
+
+
+@register("saved_ranker", with_("samples") + f""", p AS (SELECT sample_id, row_number() OVER (PARTITION BY label ORDER BY md5(sample_id || ':42'), sample_id) AS p, count(*) OVER (PARTITION BY label) AS n FROM samples),
+  m AS (SELECT {_METRICS} FROM (SELECT coalesce(code, '') AS c, regexp_extract_all(coalesce(code, ''), '{_NAME}') AS ids FROM samples JOIN p USING (sample_id) WHERE p <= round_even(n * CAST(0.7 AS DOUBLE), 0)))
+  """ + " UNION ALL ".join(f"SELECT '{c}' AS name, round(CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END, 6) AS deviation, true AS same FROM m" for c in _CODE_METRICS))
 def saved_ranker(spark: SparkSession, sf: str) -> DataFrame:
+    """A ranker that was saved and loaded: the deviations by which it scales the code metrics, and whether it scores as the one that was saved."""
     s, a, path = P.samples(spark, sf), P.alerts(spark, sf), shared_path(spark, "ranker")
     ranker, ranked, _ = T3.train_ranker(s, a, limit=500)
     ranker.save(spark, path)
-    again = T3.Ranker.load(spark, path).score(K.numeric_rows(s, a), s)
+    loaded = T3.Ranker.load(spark, path)
+    again = loaded.score(K.numeric_rows(s, a), s)
     both = ranked.select("sample_id", F.col("rank_score").alias("a")).join(again.select("sample_id", F.col("rank_score").alias("b")), "sample_id")
-    return both.agg(F.count("*").alias("rows"), F.bool_and(F.abs(F.col("a") - F.col("b")) < 1e-9).alias("same"))
+    same = both.agg((F.bool_and(F.abs(F.col("a") - F.col("b")) < 1e-9) & (F.count("*") == s.count())).alias("same")).first()[0]
+    return rounded(spark.createDataFrame([(n, loaded.deviations[n], same) for n in loaded.names if n in _CODE_METRICS], "name string, deviation double, same boolean"))
 
 
 @register("ranker_importances", "SELECT 500 + 24 AS names, true AS falling")
@@ -454,12 +462,15 @@ def ranker_importances(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(len({n for n, _ in found}), falling)], "names int, falling boolean")
 
 
-@register("config_files", "SELECT * FROM (VALUES ('model', '\"b\"'), ('top_k', '7'), ('weights', '{\"llm\": 0.5}'), ('seed', '42')) t(name, value)")
+@register("config_files", """SELECT 'key' || c_custkey % 40 AS name, '"' || arg_max(c_name, CAST(c_nationkey % 5 AS BIGINT) * 1000000000 + c_custkey) || '"' AS value FROM customer GROUP BY 1""")
 def config_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Five config files made of the customers, by nation; of a key in several files the last one's value counts."""
     folder = shared_path(spark, "config")
-    sinks.put_text(spark, f"{folder}/a.json", '{"model": "a", "seed": 42,\n "weights": {"static": 1, "llm": 0}}')
-    sinks.put_text(spark, f"{folder}/b.json", '{"model": "b", "top_k": 7, "weights": {"llm": 0.5}}')
-    merged = sinks.load_config(f"{folder}/a.json", f"{folder}/b.json", spark=spark)
+    last = table(spark, sf, "customer").groupBy(F.expr("c_nationkey % 5").alias("file"), F.expr("concat('key', c_custkey % 40)").alias("k")).agg(F.max_by("c_name", "c_custkey").alias("v"))
+    for file, text in last.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v"))))).orderBy("file").collect():  # five files of 40 keys at most
+        sinks.put_text(spark, f"{folder}/{file}.json", text)
+    paths = [f"{folder}/{file}.json" for file in range(5)]
+    merged = sinks.load_config(*paths, spark=spark)
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in merged.items()], "name string, value string")
 
 
