@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import coerce_line
+from siltstone.operators.common import cut
+from siltstone.sources.ranges import json_pieces
 
 # Attribute names of node fields in graph exports, the first present counts.
 NODE_NAMES = {
@@ -114,15 +116,39 @@ _REGION = "struct<startLine:int,endLine:int>"
 _PLACE = f"struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:{_REGION}>>"
 _RESULT = f"struct<ruleId:string,ruleIndex:int,level:string,message:struct<text:string>,locations:array<{_PLACE}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{_PLACE}>>>>>>>"
 _RULE = "struct<id:string,properties:struct<tags:array<string>,`problem.severity`:string>,defaultConfiguration:struct<level:string>>"
-_SARIF = f"struct<runs:array<struct<tool:struct<driver:struct<name:string,rules:array<{_RULE}>>>,results:array<string>>>>"
+_TOOL = f"struct<driver:struct<name:string,rules:array<{_RULE}>>>"
+#: Depths in a SARIF file: its runs' objects, and what their members hold.
+_RUN, _HELD = 3, 4
+
+
+def _results(spark: SparkSession, path: str) -> DataFrame:
+    """(p, run, i, raw, rules): the results of SARIF files, read by byte ranges, with their runs' rules.
+
+    A file is cut at the depth of the results; the shallow pieces between, a few a run, say which container the deep ones
+    after them belong to, and how many runs have begun.
+    """
+    pieces = cut(json_pieces(spark, path, _HELD, _RUN))
+    by = W.partitionBy("file").orderBy("ord")  # a file's shallow pieces
+    shallow = pieces.where("not deep").select(
+        F.col("file").alias("p"), (F.sum("opened").over(by) - 1).alias("run"), F.regexp_extract("text", r'"([^"]*)"\s*:\s*[\[{]\s*$', 1).alias("key"),
+        F.col("ord").alias("start"), F.coalesce(F.lead("ord").over(by), F.lit((1 << 62)).cast("long")).alias("end"),
+    )
+    held = F.broadcast(shallow.where("key in ('results', 'tool')"))
+    deep = pieces.where("deep and text <> ''").join(held, (F.col("file") == F.col("p")) & (F.col("ord") > F.col("start")) & (F.col("ord") < F.col("end")))
+    tools = deep.where(F.col("key") == "tool").where(F.col("text").startswith('"driver"'))
+    rules = tools.select(F.col("p").alias("r_p"), F.col("run").alias("r_run"), F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), _TOOL)["driver"]["rules"].alias("rules"))
+    found = deep.where(F.col("key") == "results").select("p", "run", (F.col("ord") - F.col("start") - 1).alias("i"), F.get_json_object("text", "$").alias("raw"))
+    return found.join(F.broadcast(rules), (F.col("p") == F.col("r_p")) & (F.col("run") == F.col("r_run")), "left").drop("r_p", "r_run")  # a row a run
 
 
 def read_sarif(spark: SparkSession, path: str, sample_id: str = "unknown", tool: str = "codeql") -> DataFrame:
     """Alert records of SARIF files with ord. A rule index resolves by the rules table, the end defaults to the start, the
     severity is the level, weakness ids come from tags, trace lines from code flows; raw keeps the result."""
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", _SARIF).alias("d"), F.col("_metadata.file_path").alias("p"))
-    runs = docs.select("p", F.posexplode("d.runs").alias("run", "r"))
-    rows = runs.select("p", "run", F.col("r.tool.driver.rules").alias("rules"), F.posexplode("r.results").alias("i", "raw"))
+    rows = _results(spark, path)
+    sizes = rows.groupBy("p", "run").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("p").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a file's runs
+    first = sizes.select(F.col("p").alias("f_p"), F.col("run").alias("f_run"), before.alias("before"))
+    rows = rows.join(F.broadcast(first), (F.col("p") == F.col("f_p")) & (F.col("run") == F.col("f_run"))).drop("f_p", "f_run")
     x = rows.withColumn("x", F.from_json("raw", _RESULT))
     rule_id = F.coalesce("x.ruleId", F.get("rules", F.col("x.ruleIndex"))["id"], F.lit("unknown"))
     x = x.withColumn("rule_id", rule_id).withColumn("rule", F.get(F.filter("rules", lambda r: r["id"] == F.col("rule_id")), F.lit(0)))
@@ -132,8 +158,7 @@ def read_sarif(spark: SparkSession, path: str, sample_id: str = "unknown", tool:
     cwe = F.array_distinct(F.transform(F.filter(tags, lambda t: F.lower(t).rlike(r"cwe[-/]?0*\d+$")), lambda t: F.concat(F.lit("CWE-"), F.regexp_extract(F.lower(t), r"cwe[-/]?0*(\d+)$", 1))))
     steps = F.flatten(F.flatten(F.transform("x.codeFlows", lambda c: F.transform(c["threadFlows"], lambda t: F.transform(t["locations"], lambda s: s["location"]["physicalLocation"]["region"]["startLine"])))))
     trace = F.filter(F.coalesce(F.array_distinct(steps), F.array().cast("array<int>")), lambda s: s >= 1)
-    order = F.row_number().over(W.partitionBy("p").orderBy("run", "i")) - 1
     return x.select(
         F.lit(sample_id).alias("sample_id"), F.lit(tool).alias("tool"), F.col("rule_id").alias("query_id"), F.coalesce("x.message.text", F.lit("")).alias("message"), F.coalesce("x.level", "rule.defaultConfiguration.level").alias("severity"),
-        F.coalesce(place["artifactLocation"]["uri"], F.lit("unknown")).alias("file"), start.alias("start_line"), F.greatest(start, F.coalesce(place["region"]["endLine"], start)).alias("end_line"), cwe.alias("cwe"), trace.alias("trace_lines"), "raw", order.cast("long").alias("ord"),
+        F.coalesce(place["artifactLocation"]["uri"], F.lit("unknown")).alias("file"), start.alias("start_line"), F.greatest(start, F.coalesce(place["region"]["endLine"], start)).alias("end_line"), cwe.alias("cwe"), trace.alias("trace_lines"), "raw", (F.col("before") + F.col("i")).cast("long").alias("ord"),
     )

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PIECES = "file string, place long, ord long, first boolean, last boolean, text string"
-_CUT_SCHEMA = pa.schema([("file", pa.string()), ("place", pa.int64()), ("ord", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("text", pa.string())])
+_PIECES = "file string, place long, ord long, first boolean, last boolean, text string, deep boolean, opened long"
+_CUT_SCHEMA = pa.schema([("file", pa.string()), ("place", pa.int64()), ("ord", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("text", pa.string()), ("deep", pa.bool_()), ("opened", pa.int64())])
 
 
 def _segments(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -55,7 +55,8 @@ def _ranges(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[tuple[tu
 
 
 def _cut(segments: DataFrame, starts: DataFrame, state: list[str], f: Callable) -> DataFrame:
-    """(file, ord, text): all records. f(segments of a range, state) gives (text, ends a record) in turn."""
+    """(file, ord, text, deep, opened): all records. f(segments of a range, state) gives (text, ends a record, and for JSON whether it
+    is deep and what it opens) in turn."""
     s = starts.select(F.col("file").alias("of"), F.col("place").alias("at"), *state, "before")
     rows = segments.join(F.broadcast(s), (F.col("file") == F.col("of")) & (F.col("place") == F.col("at"))).select("value", "file", "place", *state, "before")
 
@@ -64,8 +65,8 @@ def _cut(segments: DataFrame, starts: DataFrame, state: list[str], f: Callable)
             file, place, *known, ord_ = key
             out: list[tuple] = []
             first = True  # whether the record may have begun in an earlier range
-            for text, ends in f(parts, *known):
-                out.append((file, place, ord_, not first, ends, text))
+            for text, ends, *more in f(parts, *known):
+                out.append((file, place, ord_, not first, ends, text, *(more or (True, 0))))
                 first, ord_ = False, ord_ + 1
                 if len(out) >= 1024:
                     yield _batch(out)
@@ -74,10 +75,10 @@ def _cut(segments: DataFrame, starts: DataFrame, state: list[str], f: Callable)
                 yield _batch(out)
 
     pieces = rows.mapInArrow(run, _PIECES)
-    whole = pieces.where("first and last").select("file", "ord", "text")
+    whole = pieces.where("first and last").select("file", "ord", "text", "deep", "opened")
     # the pieces of a record: the end of one range, ranges without any end, and the beginning of another
-    rest = pieces.where("not (first and last)").groupBy("file", "ord").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
-    return whole.union(rest.select("file", "ord", F.array_join(F.transform("p", lambda x: x["text"]), "")))
+    rest = pieces.where("not (first and last)").groupBy("file", "ord").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"), F.bool_or("deep").alias("deep"), F.sum("opened").alias("opened"))
+    return whole.union(rest.select("file", "ord", F.array_join(F.transform("p", lambda x: x["text"]), ""), "deep", "opened"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -157,7 +158,7 @@ def read_csv_ranges(spark: SparkSession, path: str, schema: str | None = None) -
 
     Without a schema the columns are text, named by the first file's header. Blank records are skipped.
     """
-    records = csv_records(spark, path)
+    records = csv_records(spark, path).select("file", "ord", "text")
     cells = lambda c, kind: F.from_csv(F.regexp_replace(c, r"\r$", ""), kind, {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
     if schema is None:
         names = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).columns  # reads the first record alone
@@ -207,27 +208,37 @@ def _levels(raw: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.cumsum(np.where(inside, 0, _DEPTH[raw]).astype(np.int64))
 
 
-def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, text): the elements of an array, or the members of an object (`"key": value`), of each file, numbered from 0."""
+def _events(raw: np.ndarray, inside: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a piece may end, and at which depth it does so: at a comma of its depth, when its depth opens, when it closes."""
+    change = np.where(inside, 0, _DEPTH[raw])
+    at = np.flatnonzero((change != 0) | ((raw == _COMMA) & ~inside))
+    return at, level[at] + (change[at] < 0)
+
+
+def json_pieces(spark: SparkSession, path: str, depth: int = 1, opening: int = 0) -> DataFrame:
+    """(file, ord, text, deep, opened): JSON files cut at one depth. Deep pieces are the elements or members at that depth; what stands
+    between two containers of them is one shallow piece, from the closing bracket of one to the opening bracket of the next.
+
+    opened: how many brackets the piece opens at the depth `opening`, which is less than depth.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, place), parts in _ranges(batches):
-            state, depth = [False, True], [0, 0]
+            state, at_depth = [False, True], [0, 0]
             ends: list[dict[int, int]] = [{}, {}]
             for values in parts:
                 raw = np.frombuffer((",".join(values) + ",").encode(), np.uint8)
                 inside, odd = _strings(raw)
-                comma = raw == _COMMA
                 new = []
                 for k in range(2):
                     own = ~inside if state[k] else inside
                     level = _levels(raw, own)
-                    for d, n in zip(*np.unique(level[comma & ~own] + depth[k], return_counts=True), strict=True):
+                    for d, n in zip(*np.unique(_events(raw, own, level)[1] + at_depth[k], return_counts=True), strict=True):
                         ends[k][int(d)] = ends[k].get(int(d), 0) + int(n)
-                    depth[k] += int(level[-1])
+                    at_depth[k] += int(level[-1])
                     new.append(state[k] != odd)
                 state = new
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([place], pa.int64()), *[pa.array([v], t) for k in range(2) for v, t in ((state[k], pa.bool_()), (depth[k], pa.int64()), (list(ends[k].items()), pa.map_(pa.int64(), pa.int64())))]], names=["file", "place", "out", "out_d", "out_n", "in", "in_d", "in_n"])
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([place], pa.int64()), *[pa.array([v], t) for k in range(2) for v, t in ((state[k], pa.bool_()), (at_depth[k], pa.int64()), (list(ends[k].items()), pa.map_(pa.int64(), pa.int64())))]], names=["file", "place", "out", "out_d", "out_n", "in", "in_d", "in_n"])
 
     segments = _segments(spark, path, ",")
     found = segments.mapInArrow(sums, "file string, place long, out boolean, out_d long, out_n map<long,long>, in boolean, in_d long, in_n map<long,long>")
@@ -240,36 +251,43 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     def step(acc, r):  # type: ignore[no-untyped-def]
         s = last(acc)
         pick = lambda c: F.when(s["inside"], r[f"in{c}"]).otherwise(r[f"out{c}"])
-        ended = F.get(F.filter(pick("_n"), lambda e: e["key"] == 1 - s["depth"]), F.lit(0))["value"]
+        ended = F.get(F.filter(pick("_n"), lambda e: e["key"] == depth - s["depth"]), F.lit(0))["value"]
         return F.concat(acc, F.array(F.struct(pick("").alias("inside"), (s["depth"] + pick("_d")).alias("depth"), (s["before"] + F.coalesce(ended, long(0))).alias("before"))))
 
     known = per.select("file", "r", F.aggregate("r", F.array(start), step).alias("s"))
     starts = known.select("file", F.posexplode("r").alias("i", "r"), "s").select("file", "r.place", *[F.get("s", F.col("i"))[c].alias(c) for c in ("inside", "depth", "before")])
 
-    def cut(parts: Iterator[list[str]], inside: bool, depth: int) -> Iterator[tuple[str, bool]]:
+    def cut(parts: Iterator[list[str]], inside: bool, above: int) -> Iterator[tuple[str, bool, bool, int]]:
         held: list[str] = []
+        opened = 0
         for values in parts:
             raw = np.frombuffer(text := (",".join(values) + ",").encode(), np.uint8)
             own, odd = _strings(raw)
             own = ~own if inside else own
-            level = _levels(raw, own) + depth
-            begin = 0
-            for end in np.flatnonzero((raw == _COMMA) & ~own & (level == 1)).tolist():
-                held.append(text[begin:end].decode())
-                yield "".join(held), True
-                held, begin = [], end + 1
+            level = _levels(raw, own) + above
+            opens = np.flatnonzero((level == opening) & ~own & (_DEPTH[raw] > 0)) if opening else np.zeros(0, np.int64)
+            at, deep = _events(raw, own, level)
+            begin = seen = 0
+            for end in at[deep == depth].tolist():
+                kind = raw[end]
+                to = end + 1 if _DEPTH[kind] > 0 else end  # an opening bracket ends what stands before its container
+                upto = int(np.searchsorted(opens, to)) if len(opens) else 0
+                held.append(text[begin:to].decode())
+                yield "".join(held), True, bool(_DEPTH[kind] <= 0), opened + upto - seen
+                held, opened, seen, begin = [], 0, upto, to + (kind == _COMMA)
             held.append(text[begin:].decode())
-            inside, depth = inside != odd, int(level[-1])
+            opened += len(opens) - seen
+            inside, above = inside != odd, int(level[-1])
         if "".join(held):
-            yield "".join(held), False
-
-    records = _cut(segments, starts, ["inside", "depth"], cut)
-    # the first record still has the opening bracket, the last the closing one and the comma that stands for the file's end
-    ends = records.withColumn("text", F.when(F.col("ord") == 0, F.regexp_replace("text", "^﻿?\\s*[\\[{]", "")).otherwise(F.col("text")))
-    final = ends.withColumn("whole", F.regexp_extract("text", r"(?s)^(.*)[\]}]\s*,$", 1))
-    number = records.groupBy(F.col("file").alias("of")).agg(F.max("ord").alias("most"))
-    t = final.join(F.broadcast(number), F.col("file") == F.col("of")).withColumn("text", F.regexp_replace(F.when(F.col("ord") == F.col("most"), F.col("whole")).otherwise(F.col("text")), r"^\s+|\s+$", ""))
-    return t.where("not (ord = 0 and ord = most and text = '')").select("file", "ord", "text")
+            yield "".join(held), False, False, opened
+
+    pieces = _cut(segments, starts, ["inside", "depth"], cut)
+    return pieces.withColumn("text", F.when(F.col("deep"), F.regexp_replace("text", r"^\s+|\s+$", "")).otherwise(F.col("text")))
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, text): the elements of an array, or the members of an object (`"key": value`), of each file, numbered from 0."""
+    return json_pieces(spark, path).where("deep and text <> ''").select("file", (F.col("ord") - 1).alias("ord"), "text")  # the first piece is the bracket
 
 
 def read_json_ranges(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from siltstone.schemas import SAMPLE
 from siltstone.sources import graphs, records, sinks
@@ -80,3 +81,32 @@ def test_stream_matches_batch(spark, tmp_path):
     q = stateless.accept(spark.readStream.schema(SAMPLE).json(str(tmp_path / "in")), "sample").writeStream.format("memory").queryName("accepted").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("accepted").count() == stateless.accept(df, "sample").count() == 4
+
+
+def test_sarif_by_ranges(spark, tmp_path):
+    """Several runs, rules after results, results without a tool, nested containers, and other members named like them."""
+    rng = random.Random(4)
+    result = lambda r, i: {"ruleIndex": i % 3, "message": {"text": f'r{r}, "{i}" ]}}'}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.c"}, "region": {"startLine": i + 1}}}], "x": [[{"y": [1, 2]}]]}
+    rules = [{"id": f"q{i}", "properties": {"tags": [f"external/cwe/cwe-0{i}"]}} for i in range(3)]
+    runs = []
+    for r in range(4):
+        tool = {"driver": {"name": "t", "rules": rules[: 3 - r % 2]}, "extensions": [{"results": [1]}]}
+        members = [("tool", tool), ("results", [result(r, i) for i in range(rng.randint(0, 9) if r != 2 else 0)]), ("invocations", [{"ok": True}, {"results": []}]), ("id", "x, results")]
+        rng.shuffle(members)
+        runs.append(dict(members))
+    del runs[3]["tool"]
+    (tmp_path / "a.sarif").write_text(json.dumps({"$schema": "s", "runs": runs, "version": "2.1.0", "properties": {"tags": ["x"]}}, indent=1))
+    want = [(r, x["message"]["text"], x["locations"][0]["physicalLocation"]["region"]["startLine"], (rules[: 3 - r % 2] + [{}] * 3)[x["ruleIndex"]].get("id", "unknown") if r < 3 else "unknown") for r, run in enumerate(runs) for x in run["results"]]
+    assert len(want) > 8
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (300, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = graphs.read_sarif(spark, str(tmp_path / "a.sarif")).orderBy("ord").collect()
+            assert [(r["message"], r["start_line"], r["query_id"]) for r in got] == [w[1:] for w in want]
+            assert [r["ord"] for r in got] == list(range(len(want)))
+            assert json.loads(got[0]["raw"]) == next(x for run in runs for x in run["results"])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
