@@ -100,8 +100,11 @@ def token_means(rows: DataFrame, embedding: DataFrame, width: int, sample_id: st
 
     Slots are counted in their row first, so a slot that repeats in a sample is one row.
     """
-    each = F.transform(F.array_distinct("slots"), lambda s: F.struct(s.alias("own"), F.size(F.filter("slots", lambda x: x == s)).cast("double").alias("n")))
-    met = rows.select(sample_id, F.inline(each)).join(embedding.select("slot", array_to_vector("vector").alias("v")), F.col("own") == F.col("slot"))
+    ordered = rows.select(sample_id, F.sort_array("slots").alias("s")).withColumn("d", F.array_distinct("s"))
+    ordered = ordered.withColumn("at", F.transform("d", lambda x: F.array_position("s", x)))
+    n = lambda i: (F.coalesce(F.get("at", i + 1), F.size("s") + 1) - F.get("at", i)).cast("double")
+    each = F.transform("d", lambda x, i: F.struct(x.alias("own"), n(i).alias("n")))
+    met = ordered.select(sample_id, F.inline(each)).join(embedding.select("slot", array_to_vector("vector").alias("v")), F.col("own") == F.col("slot"))
     means = met.groupBy(F.col(sample_id).alias("_i")).agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("n"))).alias("vector"))
     return rows.select(sample_id).distinct().join(means, F.col(sample_id) == F.col("_i"), "left").select(sample_id, F.coalesce("vector", F.array_repeat(F.lit(0.0), width)).alias("vector"))
 
