@@ -24,9 +24,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.common import shared_path
+
 _PIECES = "file string, place long, ord long, first boolean, last boolean, text string, deep boolean, opened long"
 _CUT_SCHEMA = pa.schema([("file", pa.string()), ("place", pa.int64()), ("ord", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("text", pa.string()), ("deep", pa.bool_()), ("opened", pa.int64())])
 
@@ -37,23 +40,31 @@ def _segments(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"))
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[tuple[tuple, Iterator[list[str]]]]:
-    """For each range of a task (the columns from `at` on) its segments, a batch at a time."""
+def _ranges(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[tuple[tuple, Iterator[pa.Array]]]:
+    """For each range of a task (file and place, the columns from `at` on, and what is known of it) its segments, a batch at a time."""
 
-    def parts() -> Iterator[tuple[tuple, list[str]]]:
+    def parts() -> Iterator[tuple[tuple, pa.Array]]:
         for b in batches:
-            keys = list(zip(*[b.column(i).to_pylist() for i in range(at, b.num_columns)], strict=True))
-            values = b.column(0).to_pylist()
-            begin = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[begin]:
-                    yield keys[begin], values[begin:i]
-                    begin = i
+            n = b.num_rows
+            if not n:
+                continue
+            new = np.zeros(max(n - 1, 0), bool)
+            for c in (b.column(at), b.column(at + 1)):
+                new |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                yield tuple(b.column(i)[begin].as_py() for i in range(at, b.num_columns)), b.column(0).slice(begin, end - begin)
 
     for key, group in groupby(parts(), key=lambda p: p[0]):
         yield key, (values for _, values in group)
 
 
+def _joined(values: pa.Array) -> bytes:
+    """Segments of JSON with a comma after each, as bytes."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pc.binary_join(lists, pa.scalar(",", values.type))[0].as_buffer().to_pybytes() + b","
+
+
 def _cut(segments: DataFrame, starts: DataFrame, state: list[str], f: Callable) -> DataFrame:
     """(file, ord, text, deep, opened): all records. f(segments of a range, state) gives (text, ends a record, and for JSON whether it
     is deep and what it opens) in turn."""
@@ -74,7 +85,9 @@ def _cut(segments: DataFrame, starts: DataFrame, state: list[str], f: Callable)
             if out:
                 yield _batch(out)
 
-    pieces = rows.mapInArrow(run, _PIECES)
+    path = shared_path(segments.sparkSession, "pieces")  # they are read twice here, and by all that reads the records
+    rows.mapInArrow(run, _PIECES).write.parquet(path)
+    pieces = segments.sparkSession.read.schema(_PIECES).parquet(path)
     whole = pieces.where("first and last").select("file", "ord", "text", "deep", "opened")
     # the pieces of a record: the end of one range, ranges without any end, and the beginning of another
     rest = pieces.where("not (first and last)").groupBy("file", "ord").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"), F.bool_or("deep").alias("deep"), F.sum("opened").alias("opened"))
@@ -124,7 +137,7 @@ def csv_records(spark: SparkSession, path: str, separator: str = ",", quote: str
         for (file, place), parts in _ranges(batches):
             state, ends = [False, True], [0, 0]
             for values in parts:
-                for line in values:
+                for line in values.to_pylist():
                     state = [scan(line, x) for x in state] if quote in line else state
                     ends = [n + (not x) for n, x in zip(ends, state, strict=True)]
             yield pa.RecordBatch.from_pydict({"file": [file], "place": [place], "out": [state[0]], "out_n": [ends[0]], "in": [state[1]], "in_n": [ends[1]]})
@@ -138,10 +151,10 @@ def csv_records(spark: SparkSession, path: str, separator: str = ",", quote: str
     known = per.select("file", "r", F.aggregate("r", F.array(start), step).alias("s"))
     starts = known.select("file", F.posexplode("r").alias("i", "r"), "s").select("file", "r.place", F.get("s", F.col("i"))["inside"].alias("inside"), F.get("s", F.col("i"))["before"].alias("before"))
 
-    def cut(parts: Iterator[list[str]], inside: bool) -> Iterator[tuple[str, bool]]:
+    def cut(parts: Iterator[pa.Array], inside: bool) -> Iterator[tuple[str, bool]]:
         held: list[str] = []
         for values in parts:
-            for line in values:
+            for line in values.to_pylist():
                 inside = scan(line, inside)
                 held.append(line)
                 if not inside:
@@ -166,13 +179,13 @@ def read_csv_ranges(spark: SparkSession, path: str, schema: str | None = None) -
         if not schema:
             return spark.createDataFrame([], "ord long")
     rows = records.where("ord > 0 and trim(text) not in ('', '\r')").select(cells(F.col("text"), schema).alias("r"), "file", (F.col("ord") - 1).alias("ord"))
-    return _numbered(rows).select("r.*", "ord")
+    return _numbered(rows, path).select("r.*", "ord")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """rows (file, ord, ...) with ord over all files, in the order of their names; that of a single file stays."""
+def _numbered(rows: DataFrame, path: str) -> DataFrame:
+    """rows (file, ord, ...) of the files at path with ord over all files, in the order of their names; that of a single file stays."""
     plain = lambda n: re.sub("^([a-z]+):/+", r"\1:/", n)  # noqa: E731  Spark writes the same path with one slash and with three
-    names = sorted({plain(n) for n in rows.inputFiles()})
+    names = sorted({plain(n) for n in _segments(rows.sparkSession, path, "\n").inputFiles()})
     if len(names) < 2:
         return rows
     spark = rows.sparkSession
@@ -227,7 +240,7 @@ def json_pieces(spark: SparkSession, path: str, depth: int = 1, opening: int = 0
             state, at_depth = [False, True], [0, 0]
             ends: list[dict[int, int]] = [{}, {}]
             for values in parts:
-                raw = np.frombuffer((",".join(values) + ",").encode(), np.uint8)
+                raw = np.frombuffer(_joined(values), np.uint8)
                 inside, odd = _strings(raw)
                 new = []
                 for k in range(2):
@@ -257,11 +270,11 @@ def json_pieces(spark: SparkSession, path: str, depth: int = 1, opening: int = 0
     known = per.select("file", "r", F.aggregate("r", F.array(start), step).alias("s"))
     starts = known.select("file", F.posexplode("r").alias("i", "r"), "s").select("file", "r.place", *[F.get("s", F.col("i"))[c].alias(c) for c in ("inside", "depth", "before")])
 
-    def cut(parts: Iterator[list[str]], inside: bool, above: int) -> Iterator[tuple[str, bool, bool, int]]:
+    def cut(parts: Iterator[pa.Array], inside: bool, above: int) -> Iterator[tuple[str, bool, bool, int]]:
         held: list[str] = []
         opened = 0
         for values in parts:
-            raw = np.frombuffer(text := (",".join(values) + ",").encode(), np.uint8)
+            raw = np.frombuffer(text := _joined(values), np.uint8)
             own, odd = _strings(raw)
             own = ~own if inside else own
             level = _levels(raw, own) + above
@@ -293,7 +306,7 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
 def read_json_ranges(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of JSON arrays with ord, the place in the array; elements that are no objects are dropped."""
     rows = json_records(spark, path).where(F.col("text").startswith("{"))
-    return _numbered(rows.select(F.from_json("text", schema).alias("r"), "file", "ord")).select("r.*", "ord")
+    return _numbered(rows.select(F.from_json("text", schema).alias("r"), "file", "ord"), path).select("r.*", "ord")
 
 
 def read_json_members(spark: SparkSession, path: str) -> DataFrame:
