@@ -33,3 +33,11 @@ def test_batch_files_after_the_thousandth_keep_their_own_names(spark):
     df = spark.range(1102).select(F.col("id").alias("sample_id"), F.lit("a\nb\n").alias("c"))
     got = {r["sample_id"]: r["batch_file"] for r in A.wrap(df, F.col("c"), "sample_id", batch=1).collect()}
     assert got[100] == "batch_100.c" and got[1000] == "batch_1000.c" and len(set(got.values())) == 1102
+
+
+def test_bodies_of_blanks_are_skipped_as_in_sql(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a\nb", " \n\t\n", " \n ", " \n \n", "\x0b\n\x0b", None, "", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id int, c string")
+    assert sorted(r["sample_id"] for r in A.wrap(df, F.col("c"), "sample_id").collect()) == [0, 4]
