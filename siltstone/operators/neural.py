@@ -4,14 +4,17 @@ Model: the mean of the embeddings of a sample's first tokens, a two-layer percep
 static vector are each brought to the hidden width, joined, fused by two layers and scored by two more; the loss is the
 cross-entropy of the logit.
 
-Training is a chain of Spark jobs, one for each step. The rows of a batch are read (batches are partitions of a staged table),
-every task sums the gradients of its rows, and these sums meet in a tree: by parameter part and slice of the tasks, then by
-part, where they meet the part's own state (values and both moments of AdamW) and leave the next version of it. The embedding
-is cut into shards, and a task sends of a shard only the rows that its tokens touched. Neither rows nor gradients pass the
-driver; it reads the parameters alone, whose size is the model's, to send them to the tasks.
-
-Every version of the state is a table in the folder of the run. A run that ended early, or lost its driver, goes on from the
-last complete version and ends in the same parameters, as batches, their order, dropout and the order of sums follow the seed.
+Training is a chain of Spark jobs, each of which takes some steps (Plan.span) in one barrier stage, as a job a step would spend
+most of its time on being started. The rows of these steps are shuffled to the stage's tasks by the piece of their batch and
+sorted by step, so a task streams them and holds one piece at a time. In a step, every task sums the gradients of its pieces
+and sends each other task the stretch of them that this one owns; the owner adds the pieces in their order, moves its stretch
+of the parameters by AdamW, whose moments it alone holds, and sends it to the others. Tasks talk over sockets, as Spark's own
+barrier takes a second. Neither rows nor gradients pass the driver; between jobs it reads the state, whose size is the
+model's, to send it to the tasks. The tasks of a barrier stage start together: Spark refuses it if dynamic allocation is on.
+
+Every job leaves a version of the state, a table in the folder of the run. A run that ended early, or lost its driver, goes on
+from the last complete version and ends in the same parameters, as batches, their pieces and order, dropout and the order of
+sums follow the seed and the rows, not the number of tasks or of jobs. A job whose task is lost starts again as a whole.
 
 The attention encoder is a DataFrame plan: scores of edges, their greatest by destination, and the mean of the sources' values
 by these weights, both aggregated with partial sums, so a hub is no single group.
@@ -22,13 +25,18 @@ zeros; repeated ids are rows of their own; an empty table cannot be learnt from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hmac
+import secrets
+import socket
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import BarrierTaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +47,6 @@ from siltstone.functions.vectors import node_vector, static_vector
 from siltstone.operators.common import shared_path
 
 Weights = dict[str, np.ndarray]
-GRADIENT = "part string, shard int, task int, loss double, touched binary, payload binary"
 STATE = "part string, shard int, step int, value binary, first binary, second binary, losses array<double>"
 #: Rows of a step of the forward pass.
 SLICE = 128
@@ -87,12 +94,12 @@ def slots(code: Column, vocab: int = 4096, most: int = 256) -> Column:
     return F.transform(F.slice(tokens(code), 1, most), lambda t: crc_bucket(t, vocab))
 
 
-def inputs(features: DataFrame, shape: Shape | None = None, *, label: str = "label", code: str = "function_code") -> DataFrame:
-    """(sample_id, label, slots, nodes, static) of feature records; the nodes of a record are capped where its graph was sliced."""
+def inputs(features: DataFrame, shape: Shape | None = None, *, label: str = "label", code: str = "function_code", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, label, slots, nodes, static) and the columns of keep, of feature records; the nodes of a record are capped where its graph was sliced."""
     s = shape or Shape()
     none = F.array().cast("array<array<double>>")
     own = F.transform("nodes", lambda n: node_vector(n["node_type"], n["code"], n["line_index"], n["static_flags"])) if "nodes" in features.columns else none
-    return features.select("sample_id", F.col(label).cast("int").alias("label"), slots(F.col(code), s.vocab, s.most_tokens).alias("slots"), F.coalesce(own, none).alias("nodes"), static_vector(F.col("static_features")).alias("static"))
+    return features.select("sample_id", F.col(label).cast("int").alias("label"), slots(F.col(code), s.vocab, s.most_tokens).alias("slots"), F.coalesce(own, none).alias("nodes"), static_vector(F.col("static_features")).alias("static"), *keep)
 
 
 def token_means(rows: DataFrame, embedding: DataFrame, width: int, sample_id: str = "sample_id") -> DataFrame:
@@ -191,22 +198,26 @@ def encode_graphs(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layers:
 # -- forward and backward over some rows -------------------------------------------------------------------------------
 
 
+def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of lists, 0 of null, and their values one after the other."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False), c.flatten()
+
+
 class Rows:
     """Rows as arrays: the share of each touched slot in a sample, its nodes one after the other, static numbers, labels."""
 
     def __init__(self, batch: pa.RecordBatch | pa.Table, shape: Shape):
-        own = [x or [] for x in batch.column("slots").to_pylist()]
-        who = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        flat = np.array([s for x in own for s in x], np.int64)
+        (sizes, slots), (n_nodes, nodes), (n_static, static) = (_lists(batch.column(c)) for c in ("slots", "nodes", "static"))
+        n, flat = len(sizes), slots.to_numpy(zero_copy_only=False).astype(np.int64)
         self.slots, place = np.unique(flat, return_inverse=True)
-        self.share = np.zeros((len(own), len(self.slots)))
-        np.add.at(self.share, (who, place), 1.0)
-        self.share /= np.maximum(self.share.sum(axis=1, keepdims=True), 1)
-        nodes = [x or [] for x in batch.column("nodes").to_pylist()]
-        self.node_of = np.repeat(np.arange(len(nodes)), [len(x) for x in nodes])
-        self.nodes = np.array([v for x in nodes for v in x], float).reshape(-1, shape.node)
-        self.n_nodes = np.maximum(np.bincount(self.node_of, minlength=len(nodes)), 1).astype(float)[:, None]
-        self.static = np.array([x or [0.0] * shape.static for x in batch.column("static").to_pylist()], float).reshape(-1, shape.static)
+        k = len(self.slots)
+        self.share = np.bincount(np.repeat(np.arange(n), sizes) * k + place, minlength=n * k).reshape(n, k) / np.maximum(sizes, 1)[:, None]
+        self.node_of = np.repeat(np.arange(n), n_nodes)
+        self.nodes = _lists(nodes)[1].to_numpy(zero_copy_only=False).reshape(-1, shape.node)
+        self.n_nodes = np.maximum(n_nodes, 1).astype(float)[:, None]
+        self.static = np.zeros((n, shape.static))
+        self.static[n_static > 0] = static.to_numpy(zero_copy_only=False).reshape(-1, shape.static)
         self.label = np.array(batch.column("label").to_pylist(), float) if "label" in batch.schema.names else None
 
 
@@ -251,7 +262,10 @@ def gradients(w: Weights, x: Rows, keep: list[np.ndarray] | None = None) -> tupl
 
 @dataclass(frozen=True)
 class Plan:
-    """How to train. Fixed values of the defaults: learning rate 0.001, decay 0.01, moments 0.9 and 0.999, dropout 0.1."""
+    """How to train. Fixed values of the defaults: learning rate 0.001, decay 0.01, moments 0.9 and 0.999, dropout 0.1.
+
+    files: pieces of a batch, and the most tasks of a step. span: the most steps of a job, which leaves a version of the state.
+    """
 
     epochs: int = 2
     batch_rows: int = 1024
@@ -262,6 +276,7 @@ class Plan:
     dropout: float = 0.1
     seed: int = 42
     files: int = 8
+    span: int = 128
 
 
 def adamw(p: Plan, step: int, value: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,13 +313,18 @@ def _read(spark: SparkSession, folder: str, step: int) -> DataFrame:
     return spark.read.schema(STATE).parquet(_version(folder, step))
 
 
+def _states(spark: SparkSession, folder: str, step: int, shape: Shape, *columns: str) -> dict[str, Weights]:
+    """Columns of a version by part; their size is the model's."""
+    rows = sorted(_read(spark, folder, step).select("part", "shard", *columns).collect())
+    return {c: {part: np.concatenate([np.frombuffer(r[c], float) for r in rows if r["part"] == part]).reshape(size) for part, size in shape.parts().items()} for c in columns}
+
+
 def load(spark: SparkSession, folder: str, shape: Shape) -> Weights:
     """The parameters of the last complete version; their size is the model's."""
     step = latest(spark, folder)
     if step is None:
         raise ValueError(f"no complete version in {folder}")
-    rows = _read(spark, folder, step).select("part", "shard", "value").collect()
-    return {part: np.concatenate([np.frombuffer(v, float) for _, v in sorted((r[1], r[2]) for r in rows if r[0] == part)]).reshape(size) for part, size in shape.parts().items()}
+    return _states(spark, folder, step, shape, "value")["value"]
 
 
 def losses(spark: SparkSession, folder: str) -> list[float]:
@@ -312,73 +332,140 @@ def losses(spark: SparkSession, folder: str) -> list[float]:
     return list(_read(spark, folder, latest(spark, folder) or 0).where("part = 'head2.b'").first()["losses"])
 
 
-def _sent(w: Weights, shape: Shape, p: Plan, step: int, count: int) -> object:
-    """The tasks of a step: sums of the gradients of their rows, by part and shard, over the number of rows of the batch."""
+def _stretches(shape: Shape, tasks: int) -> list[list[tuple[str, int, int, int]]]:
+    """Of each task the (part, shard, first, end) that it owns in the parameters laid end to end: stretches of like length."""
+    at, units = 0, []
+    for part, (_, width) in shape.parts().items():
+        for shard, a, e in shape.bounds(part):
+            units.append((part, shard, at, at + (e - a) * width))
+            at += (e - a) * width
+    out: list[list[tuple[str, int, int, int]]] = [[] for _ in range(tasks)]
+    for u in units:
+        out[(u[2] + u[3]) * tasks // (2 * at)].append(u)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        rng = np.random.default_rng([p.seed, step, task])
-        total: Weights = {}
-        embedded, seen, loss = np.zeros(shape.parts()["embedding"]), np.zeros(shape.vocab, bool), 0.0
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                x = Rows(b.slice(at, SLICE), shape)
-                keep = [(rng.random((n, shape.hidden)) >= p.dropout) / (1 - p.dropout) for n in (len(x.nodes), len(x.static))] if p.dropout else None
-                own, g = gradients(w, x, keep)
-                embedded[x.slots] += g.pop("embedding")
-                seen[x.slots] = True
-                loss += own
-                total = {k: total[k] + v for k, v in g.items()} if total else g
-        out = [(k, 0, task, loss / count, b"", (v / count).tobytes()) for k, v in total.items()]
-        for shard, a, e in shape.bounds("embedding"):
-            rows = np.flatnonzero(seen[a:e])
-            if len(rows):
-                out.append(("embedding", shard, task, 0.0, rows.astype(np.int32).tobytes(), (embedded[a:e][rows] / count).tobytes()))
-        for r in out:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["part", "shard", "task", "loss", "touched", "payload"])
 
-    return run
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(step, piece, up to SLICE rows) of rows sorted by both, cut alike however the batches are."""
+    key, held, n = (0, 0), [], 0
+    for b in (b for b in batches if b.num_rows):
+        step, piece = b.column("step").to_numpy(), b.column("piece").to_numpy()
+        for a, e in pairwise([0, *(np.flatnonzero((np.diff(step) != 0) | (np.diff(piece) != 0)) + 1).tolist(), b.num_rows]):
+            if held and key != (step[a], piece[a]):
+                yield *key, pa.Table.from_batches(held)
+                held, n = [], 0
+            key = (int(step[a]), int(piece[a]))
+            while a < e:
+                few = min(e - a, SLICE - n)
+                held.append(b.slice(a, few))
+                a, n = a + few, n + few
+                if n == SLICE:
+                    yield *key, pa.Table.from_batches(held)
+                    held, n = [], 0
+    if held:
+        yield *key, pa.Table.from_batches(held)
+
+
+def _lines(key: bytes) -> dict[int, socket.socket]:
+    """Connections to the other tasks of the barrier stage; who connects must know the key."""
+
+    def take(s: socket.socket, n: int) -> bytes:
+        got = b""
+        while len(got) < n and (more := s.recv(n - len(got))):
+            got += more
+        return got
+
+    c = BarrierTaskContext.get()
+    me, hosts = c.partitionId(), [t.address.rsplit(":", 1)[0] for t in c.getTaskInfos()]
+    out: dict[int, socket.socket] = {}
+    with socket.create_server(("", 0), backlog=len(hosts)) as server:
+        ports = c.allGather(str(server.getsockname()[1]))
+        for i in range(me):
+            out[i] = socket.create_connection((hosts[i], int(ports[i])))
+            out[i].sendall(key + me.to_bytes(4, "little"))
+        while len(out) < len(hosts) - 1:
+            s, _ = server.accept()
+            said = take(s, len(key) + 4)
+            if hmac.compare_digest(said[:-4], key):
+                out[int.from_bytes(said[-4:], "little")] = s
+            else:
+                s.close()
+    for s in out.values():
+        s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return out
 
 
-def _summed(table: pa.Table, shape: Shape) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sum, touched rows, loss) of gradients of one part and shard, in the order of the tasks."""
-    rows = sorted(table.select(["part", "shard", "task", "loss", "touched", "payload"]).to_pylist(), key=lambda r: r["task"])
-    part, shard = rows[0]["part"], rows[0]["shard"]
-    _, a, e = shape.bounds(part)[shard]
-    width = shape.parts()[part][1]
-    total, seen = np.zeros((e - a, width)), np.zeros(e - a, bool)
-    for r in rows:
-        at = np.frombuffer(r["touched"], np.int32) if part == "embedding" else np.arange(e - a)
-        total[at] += np.frombuffer(r["payload"], float).reshape(-1, width)
-        seen[at] = True
-    return total, np.flatnonzero(seen), sum(r["loss"] for r in rows)
-
-
-def _step(rows: DataFrame, state: DataFrame, w: Weights, shape: Shape, p: Plan, step: int, count: int) -> DataFrame:
-    """The next version of the state."""
-
-    def partial(table: pa.Table) -> pa.Table:
-        total, seen, loss = _summed(table, shape)
-        one = table.slice(0, 1).to_pylist()[0]
-        sparse = one["part"] == "embedding"
-        out = {"part": one["part"], "shard": one["shard"], "task": min(table.column("task").to_pylist()), "loss": loss, "touched": seen.astype(np.int32).tobytes() if sparse else b"", "payload": (total[seen] if sparse else total).tobytes()}
-        types = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-        return pa.table([pa.array([v], t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
-
-    def update(own: pa.Table, grads: pa.Table) -> pa.Table:
-        r = own.to_pylist()[0]
-        _, a, e = shape.bounds(r["part"])[r["shard"]]
-        size = (e - a, shape.parts()[r["part"]][1])
-        g, _, loss = _summed(grads, shape) if grads.num_rows else (np.zeros(size), None, 0.0)
-        old = [np.frombuffer(r[c], float).reshape(size) for c in ("value", "first", "second")]
-        new = [x.tobytes() for x in adamw(p, step, *old, g)]
-        said = [*r["losses"], loss] if r["part"] == "head2.b" else []
-        return pa.table([pa.array([r["part"]]), pa.array([r["shard"]], pa.int32()), pa.array([step], pa.int32()), *[pa.array([x], pa.binary()) for x in new], pa.array([said], pa.list_(pa.float64()))], names=["part", "shard", "step", "value", "first", "second", "losses"])
-
-    sent = rows.mapInArrow(_sent(w, shape, p, step, count), GRADIENT)  # type: ignore[arg-type]
-    fan = max(1, int(np.sqrt(max(1, rows.rdd.getNumPartitions()))))
-    some = sent.groupBy("part", "shard", F.pmod("task", F.lit(fan)).alias("slice")).applyInArrow(partial, GRADIENT)
-    return state.groupBy("part", "shard").cogroup(some.groupBy("part", "shard")).applyInArrow(update, STATE)
+def _swap(lines: dict[int, socket.socket], me: int, give: Callable[[int], np.ndarray], into: Callable[[int], np.ndarray]) -> None:
+    """Gives every other task an array and fills one from it, in pairs, of which the lower task speaks first, so none waits for a full buffer."""
+    for r in range(1, 1 << len(lines).bit_length()):
+        if (other := me ^ r) in lines:
+            for sends in (me < other, me > other):
+                if sends:
+                    lines[other].sendall(np.ascontiguousarray(give(other)).data.cast("B"))
+                elif (buffer := into(other)).size:
+                    view, at = buffer.data.cast("B"), 0
+                    while at < len(view):
+                        if not (n := lines[other].recv_into(view[at:])):
+                            raise ConnectionError(f"task {other} has ended")
+                        at += n
+
+
+def _steps(state: object, shape: Shape, p: Plan, first: int, last: int, tasks: int, key: bytes) -> object:
+    """The tasks of steps first to last: each leaves the next version of what it owns. state: a broadcast of values, both moments and losses."""
+    size = sum(a * b for a, b in shape.parts().values())
+    owned = _stretches(shape, tasks)
+    ends = [0, *[u[-1][3] if u else 0 for u in owned]]
+    ends = np.maximum.accumulate(ends).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me = BarrierTaskContext.get().partitionId()
+        lines = _lines(key)
+        whole = state.value  # type: ignore[attr-defined]
+        flat, at, w = np.concatenate([x.ravel() for x in whole["value"].values()]), 0, {}
+        for part, (rows, width) in shape.parts().items():
+            w[part] = flat[at : at + rows * width].reshape(rows, width)
+            at += rows * width
+        lo, hi = ends[me], ends[me + 1]
+        one, two = (np.concatenate([x.ravel() for x in whole[c].values()])[lo:hi] for c in ("first", "second"))
+        losses_, pieces = list(whole["losses"]), [range(t, p.files, tasks) for t in range(tasks)]
+        few = _slices(batches)
+        ahead = next(few, None)
+        for step in range(first, last + 1):
+            # a row a piece: gradients, and at the end the sum of the losses and the number of rows
+            own = np.zeros((len(pieces[me]), size + 2))
+            for k, piece in enumerate(pieces[me]):
+                rng, at, g = np.random.default_rng([p.seed, step, piece]), 0, {}
+                for part, (rows, width) in shape.parts().items():
+                    g[part] = own[k, at : at + rows * width].reshape(rows, width)
+                    at += rows * width
+                while ahead is not None and ahead[:2] == (step, piece):
+                    x = Rows(ahead[2], shape)
+                    keep = [(rng.random((n, shape.hidden)) >= p.dropout) / (1 - p.dropout) for n in (len(x.nodes), len(x.static))] if p.dropout else None
+                    loss, more = gradients(w, x, keep)
+                    for part, v in more.items():
+                        g[part][x.slots if part == "embedding" else slice(None)] += v
+                    own[k, size:] += loss, len(x.label)
+                    ahead = next(few, None)
+            stretch = lambda t: np.concatenate([own[:, ends[t] : ends[t + 1]], own[:, size:]], axis=1)  # noqa: B023, E731
+            got = {t: stretch(t) if t == me else np.empty((len(pieces[t]), hi - lo + 2)) for t in range(tasks)}
+            _swap(lines, me, stretch, lambda t: got[t])  # noqa: B023
+            total = np.zeros(hi - lo + 2)
+            for piece in range(p.files):
+                total += got[piece % tasks][piece // tasks]
+            *_, loss, n = total
+            losses_.append(float(loss / n))
+            flat[lo:hi], one, two = adamw(p, step, flat[lo:hi], one, two, total[:-2] / n)
+            _swap(lines, me, lambda t: flat[lo:hi], lambda t: flat[ends[t] : ends[t + 1]])
+        if ahead is not None:
+            raise RuntimeError(f"rows of step {ahead[0]}, piece {ahead[1]} are not in their place")
+        for s in lines.values():
+            s.close()
+        for part, shard, a, e in owned[me]:
+            values = [x.tobytes() for x in (flat[a:e], one[a - lo : e - lo], two[a - lo : e - lo])]
+            said = losses_ if part == "head2.b" else []
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard], pa.int32()), pa.array([last], pa.int32()), *[pa.array([x], pa.binary()) for x in values], pa.array([said], pa.list_(pa.float64()))], names=["part", "shard", "step", "value", "first", "second", "losses"])
+
+    return run
 
 
 def train(rows: DataFrame, folder: str, shape: Shape | None = None, plan: Plan | None = None, *, stop_after: int | None = None) -> list[float]:
@@ -394,7 +481,7 @@ def train(rows: DataFrame, folder: str, shape: Shape | None = None, plan: Plan |
             raise ValueError("there are no rows to learn from")
         k = max(1, round(n / p.batch_rows))
         dealt = rows.select("sample_id", "label", "slots", "nodes", "static", F.pmod(F.xxhash64("sample_id", F.lit(p.seed)), F.lit(k)).alias("batch"))
-        dealt.repartition("batch", F.pmod(F.xxhash64("sample_id"), F.lit(p.files))).sortWithinPartitions("batch", "sample_id").write.mode("overwrite").partitionBy("batch").parquet(table)
+        dealt.repartition("batch").sortWithinPartitions("batch", "sample_id").write.mode("overwrite").partitionBy("batch").parquet(table)
     staged = spark.read.parquet(table)
     sizes = {r[0]: r[1] for r in staged.groupBy("batch").count().collect()}  # a row a batch
     step = latest(spark, folder)
@@ -404,14 +491,21 @@ def train(rows: DataFrame, folder: str, shape: Shape | None = None, plan: Plan |
         state = [(k, s, 0, w[k][a:e].tobytes(), zero(w[k][a:e]), zero(w[k][a:e]), []) for k in shape.parts() for s, a, e in shape.bounds(k)]
         spark.createDataFrame(state, STATE).write.mode("overwrite").parquet(_version(folder, 0))
     order = [b for e in range(p.epochs) for b in np.random.default_rng([p.seed, e]).permutation(sorted(sizes)).tolist()]
-    while step < min(len(order), stop_after if stop_after is not None else len(order)):
-        b = order[step]
-        w = load(spark, folder, shape)
-        own = staged.where(F.col("batch") == b).drop("batch")
-        _step(own, _read(spark, folder, step), w, shape, p, step + 1, sizes[b]).write.mode("overwrite").parquet(_version(folder, step + 1))
-        step += 1
-        if step > 2:  # the last two stay
-            _delete(spark, _version(folder, step - 2))
+    sc, before, stop = spark.sparkContext, None, min(len(order), stop_after if stop_after is not None else len(order))
+    tasks = max(1, min(p.files, sc.defaultParallelism // int(sc.getConf().get("spark.task.cpus", "1"))))
+    while step < stop:
+        last = min(step + p.span, stop)
+        some = spark.createDataFrame([(s + 1, order[s]) for s in range(step, last)], "step int, b int")
+        piece = F.pmod(F.xxhash64("sample_id"), F.lit(p.files)).cast("int")
+        own = staged.where(F.col("batch").isin(order[step:last])).join(F.broadcast(some), F.col("batch") == F.col("b"))  # a row a step
+        own = own.select("step", piece.alias("piece"), "sample_id", "label", "slots", "nodes", "static", F.xxhash64("label", "slots", "nodes", "static").alias("tie"))
+        own = own.repartitionById(tasks, F.col("piece") % tasks).sortWithinPartitions("step", "piece", "sample_id", "tie")
+        whole = sc.broadcast(_states(spark, folder, step, shape, "value", "first", "second") | {"losses": losses(spark, folder)})
+        own.mapInArrow(_steps(whole, shape, p, step + 1, last, tasks, secrets.token_bytes(32)), STATE, barrier=True).write.mode("overwrite").parquet(_version(folder, last))  # type: ignore[arg-type]
+        whole.destroy()
+        if before is not None:  # the last two stay
+            _delete(spark, _version(folder, before))
+        before, step = step, last
     return losses(spark, folder)
 
 

@@ -87,7 +87,7 @@ def neural_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all samples by the neural ranker, learnt on the train part of a stratified split."""
     f = R.stratified_split(features(spark, sf))
     path = shared_path(spark, "inputs")
-    E.inputs(f).join(f.select(F.col("sample_id").alias("i"), "split"), F.col("sample_id") == F.col("i")).drop("i").write.parquet(path)
+    E.inputs(f, keep=("split",)).write.parquet(path)
     rows, run = spark.read.parquet(path), shared_path(spark, "neural")
     E.train(rows.where("split = 'train'"), run, plan=E.Plan(epochs=3))
     scores = E.score(rows, E.load(spark, run, E.Shape())).withColumnRenamed("sample_id", "i")

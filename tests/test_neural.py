@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from siltstone.operators import neural as N
@@ -90,6 +91,33 @@ def test_a_stopped_run_goes_on_as_if_it_had_not(spark, tmp_path):
     assert N.score(df.limit(0), a, SMALL).count() == 0
 
 
+def test_steps_share_jobs_and_results_do_not_depend_on_tasks(spark, tmp_path, monkeypatch):
+    df, sc = spark.createDataFrame(rows(90) + rows(3), SCHEMA), spark.sparkContext
+    jobs, said = {}, {}
+    for name, plan in {"few": N.Plan(epochs=1, batch_rows=30), "many": N.Plan(epochs=6, batch_rows=30), "short": N.Plan(epochs=6, batch_rows=30, span=5), "three": N.Plan(epochs=6, batch_rows=30)}.items():
+        if name == "three":
+            monkeypatch.setattr(SparkContext, "defaultParallelism", property(lambda self: 3))
+        sc.setJobGroup(name, name)
+        said[name] = N.train(df, str(tmp_path / name), SMALL, plan)
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(name))
+    assert len(said["few"]) == 3 and len(said["many"]) == 18
+    assert jobs["many"] == jobs["few"]
+    assert said["many"] == said["short"] == said["three"] and said["many"][:3] == said["few"]
+    got = [N.load(spark, str(tmp_path / n), SMALL) for n in ("many", "short", "three")]
+    assert all((got[0][k] == g[k]).all() for g in got[1:] for k in g)
+
+
+def test_slices_are_cut_alike_however_batches_are():
+    step, piece = np.repeat([1, 1, 2, 4], [5, 300, 2, 129]), np.repeat([0, 3, 3, 1], [5, 300, 2, 129])
+    table = pa.table({"step": step, "piece": piece, "v": np.arange(len(step))})
+    want = [(1, 0, 5), (1, 3, 128), (1, 3, 128), (1, 3, 44), (2, 3, 2), (4, 1, 128), (4, 1, 1)]
+    for most in (1, 7, 1000):
+        got = list(N._slices(iter([*table.to_batches(max_chunksize=most), pa.RecordBatch.from_pylist([], table.schema)])))
+        assert [(s, p, t.num_rows) for s, p, t in got] == want
+        assert pa.concat_tables([t for *_, t in got]).column("v").to_pylist() == list(range(len(step)))
+    assert list(N._slices(iter([]))) == []
+
+
 def test_token_means(spark):
     shape = N.Shape(hidden=256)
     rng = np.random.default_rng(2)
