@@ -107,12 +107,17 @@ class Packed:
 
 
 def _codebook(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and codes (from 1) of positive x, quantised evenly in the logarithm."""
+    """Scale (logarithm of the least value, step) and codes (from 1) of positive x, quantised evenly in the logarithm."""
     if not len(x):
-        return np.zeros(BINS), np.zeros(0, np.uint8)
+        return np.array([-np.inf, 0.0]), np.zeros(0, np.uint8)
     lo, hi = np.log(x.min()), np.log(x.max())
     step = max(hi - lo, 1e-9) / (BINS - 1)
-    return np.exp(lo + step * np.arange(BINS)), (np.rint((np.log(x) - lo) / step) + 1).astype(np.uint8)
+    return np.array([lo, step]), (np.rint((np.log(x) - lo) / step) + 1).astype(np.uint8)
+
+
+def _book(scale: np.ndarray) -> np.ndarray:
+    """The values of the codes from 1 on; without any, zeros."""
+    return np.exp(scale[0] + scale[1] * np.arange(BINS))
 
 
 def _keys(context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
@@ -128,15 +133,15 @@ class Trie:
     def __init__(self, words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.sizes = [NEAR, *[DEEP] * (len(levels) - 1)]
         self.words = Packed(words, 1 << 64)
-        self.pointers, self.successors, self.books, codes = [], [], [], []
+        self.pointers, self.successors, self.scales, codes = [], [], [], []
         above = len(words)
         for (context, word, count), size in zip(levels, self.sizes, strict=True):
             n, total = np.bincount(context, minlength=above), np.bincount(context, count, minlength=above)
             self.pointers.append(Packed(np.concatenate([[0], np.cumsum(n)]).astype(np.uint64), len(context) + 1))
             self.successors.append(Packed(_keys(context, word, size), max(1, above) << (8 * size)))
-            book, prob = _codebook((count - DISCOUNT) / total[context])
-            back_book, back = _codebook(np.where(total > 0, DISCOUNT * n / np.maximum(total, 1), 1.0))
-            self.books += [book, back_book]
+            scale, prob = _codebook((count - DISCOUNT) / total[context])
+            back_scale, back = _codebook(np.where(total > 0, DISCOUNT * n / np.maximum(total, 1), 1.0))
+            self.scales += [scale, back_scale]
             codes += [prob, back]
             above = len(context)
         parts = [self.words, *self.pointers, *self.successors]
@@ -327,8 +332,9 @@ class _Asked:
 
 
 def _bucket_of(order: int, splits: Splits | None = None) -> Callable[[list[bytes]], tuple[list[bytes], str]]:
-    """What a bucket does with its messages. An answer has totals, sizes, code books, counts of the words, of the parts of frequent
-    words what the training rows have (root, pairs, different pairs), and codes; totals and parts are in its first answer."""
+    """What a bucket does with its messages. An answer has totals, sizes, the scales of the code books (which would be most of it, as
+    answers number buckets times chunks), counts of the words, of the parts of frequent words what the training rows have (root,
+    pairs, different pairs), and codes; totals and parts are in its first answer."""
     parts = np.sort(splits.roots()[0]) if splits is not None else np.zeros(0, np.uint64)
 
     def run(payloads: list[bytes]) -> tuple[list[bytes], str]:
@@ -354,7 +360,7 @@ def _bucket_of(order: int, splits: Splits | None = None) -> Callable[[list[bytes
         split = np.flatnonzero(np.isin(words, parts))
         side = np.stack([words[split], np.bincount(context, count, minlength=len(words))[split].astype(np.uint64), np.bincount(context, minlength=len(words))[split].astype(np.uint64)], axis=1).tobytes()
         totals = np.array([unigram.sum(), (unigram > 0).sum()], np.int64).tobytes()
-        books = b"".join(x.tobytes() for x in trie.books)
+        scales = b"".join(x.tobytes() for x in trie.scales)
         # each distinct n-gram is searched once, below the place of its context
         found, codes = trie.word(words), []
         weights = _codes(trie.back[0], found)[number]
@@ -369,7 +375,7 @@ def _bucket_of(order: int, splits: Splits | None = None) -> Callable[[list[bytes
             mine = squeeze_longs(unigram[number[at[0] : to[0]]])
             plain = b"".join(w[at[k] : to[k]].tobytes() + p[at[k + 1] : to[k + 1]].tobytes() for k, (w, p) in enumerate(codes))
             own = side if i == 0 else b""
-            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + len(own).to_bytes(4, "little") + books + own + mine + squeeze(plain))
+            out.append((totals if i == 0 else bytes(16)) + len(mine).to_bytes(4, "little") + len(own).to_bytes(4, "little") + scales + own + mine + squeeze(plain))
             at = to
         return out, "grams"
 
@@ -383,7 +389,7 @@ def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             size = int.from_bytes(raw[20:24], "little")
             if size:
-                rows.append(np.frombuffer(raw, np.uint64, size // 8, 24 + 16 * BINS * deep).reshape(-1, 3))
+                rows.append(np.frombuffer(raw, np.uint64, size // 8, 24 + 32 * deep).reshape(-1, 3))
         all_ = np.concatenate(rows).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(all_[:, i]) for i in range(3)], ["root", "n", "kinds"])
 
@@ -421,16 +427,16 @@ def _scores(t: Tokens, c: Chunk, got: dict[tuple[str, int], bytes], n_all: int,
     prob = [np.zeros(len(x)) for x in t.above]
     for b in np.unique(t.bucket).tolist():
         raw = got["grams", b]
-        size, at = int.from_bytes(raw[16:20], "little"), 24 + 16 * BINS * deep + int.from_bytes(raw[20:24], "little")
-        books = np.frombuffer(raw, np.float64, 2 * BINS * deep, 24).reshape(deep, 2, BINS)
+        size, at = int.from_bytes(raw[16:20], "little"), 24 + 32 * deep + int.from_bytes(raw[20:24], "little")
+        scales = np.frombuffer(raw, np.float64, 4 * deep, 24).reshape(deep, 2, 2)
         codes = np.frombuffer(expand(raw[at + size :]), np.uint8)
         ends = [x[b : b + 2] for x in t.cuts]
         count[ends[0][0] : ends[0][1]] = expand_longs(raw[at : at + size])
         used = 0
         for k in range(deep):
             (at, to), (p, q) = ends[k], ends[k + 1]
-            back[k][at:to] = np.concatenate([[1.0], books[k, 1]])[codes[used : used + to - at]]
-            prob[k][p:q] = np.concatenate([[0.0], books[k, 0]])[codes[used + to - at : used + to - at + q - p]]
+            back[k][at:to] = np.concatenate([[1.0], _book(scales[k, 1])])[codes[used : used + to - at]]
+            prob[k][p:q] = np.concatenate([[0.0], _book(scales[k, 0])])[codes[used + to - at : used + to - at + q - p]]
             used += to - at + q - p
     if parts is not None:  # a part's probabilities are of its own pairs: of the word's they are its share
         some, at = parts.find(t.roots)

@@ -424,3 +424,14 @@ def test_frequent_words_are_split(spark):
 
 def test_schema_names_clash_on_purpose():
     assert {"term", "h", "k"} <= {f.split()[0] for f in SCHEMA.split(", ")}
+
+
+def test_answers_of_the_trie_are_as_small_as_what_was_asked():
+    learn = lambda ids: np.ones(len(ids), bool)
+    asked = [m for _, _, m in ngram.Tokens(chunk_of([b"a b c", b"a b d"]), 1, learn).ask()]
+    answers, _ = ngram._bucket_of(3)(asked * 3)
+    assert len(answers) == 3 and max(map(len, answers)) < 300  # answers number chunks times buckets, so none may hold whole code books
+    assert not ngram._book(ngram._codebook(np.zeros(0))[0]).any()
+    x = np.array([0.001, 0.25, 0.5])
+    scale, codes = ngram._codebook(x)
+    assert ngram._book(scale)[codes - 1] == pytest.approx(x, rel=0.02)
