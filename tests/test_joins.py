@@ -41,3 +41,11 @@ def test_bodies_of_blanks_are_skipped_as_in_sql(spark):
     texts = ["a\nb", " \n\t\n", " \n ", " \n \n", "\x0b\n\x0b", None, "", "a"]
     df = spark.createDataFrame(list(enumerate(texts)), "sample_id int, c string")
     assert sorted(r["sample_id"] for r in A.wrap(df, F.col("c"), "sample_id").collect()) == [0, 4]
+
+
+def test_bodies_without_an_order_come_last_as_in_sql(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(2, "a\nb"), (None, "a\nb\nc\nd"), (1, "a\nb\nc"), (-3, "a\nb")], "sample_id int, c string")
+    got = {r["sample_id"]: (r["batch_file"], r["start_line"], r["end_line"]) for r in A.wrap(df, F.col("c"), "sample_id", batch=3).collect()}
+    assert got == {-3: ("batch_000.c", 8, 9), 1: ("batch_000.c", 12, 14), 2: ("batch_000.c", 17, 18), None: ("batch_001.c", 8, 11)}
